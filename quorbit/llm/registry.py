@@ -7,9 +7,13 @@ from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quorbit.llm.language_id import op4
 from quorbit.llm.line_dedup import op9
+from quorbit.llm.pieces import op6
+from quorbit.llm.quality_gam import op2
 from quorbit.llm.quality_rules import op10
 from quorbit.llm.sharding import op5
+from quorbit.llm.simhash import op1
 from quorbit.llm.url_filter import op3
 from quorbit.session import table
 
@@ -22,6 +26,10 @@ def _over(operator: Callable[..., DataFrame], *tables: str) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_simhash_dedup": _over(op1, "documents"),
+        "op2_quality_gam": _over(op2, "documents", "labels"),
+        "op4_language_id": _over(op4, "documents"),
+        "op6_sentencepiece": _over(op6, "documents"),
         "op3_url_filter": _over(op3, "pages", "labels"),
         "op5_sharding": _over(op5, "documents"),
         "op9_line_dedup": _over(op9, "documents"),
