@@ -7,6 +7,7 @@ from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quorbit.llm.decontamination import op8
 from quorbit.llm.language_id import op4
 from quorbit.llm.line_dedup import op9
 from quorbit.llm.pieces import op6
@@ -32,6 +33,7 @@ def queries() -> dict[str, Query]:
         "op6_sentencepiece": _over(op6, "documents"),
         "op3_url_filter": _over(op3, "pages", "labels"),
         "op5_sharding": _over(op5, "documents"),
+        "op8_decontamination": _over(op8, "documents", "benchmark"),
         "op9_line_dedup": _over(op9, "documents"),
         "op10_quality_rules": _over(op10, "documents"),
     }
