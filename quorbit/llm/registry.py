@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quorbit.llm.decontamination import op8
 from quorbit.llm.language_id import op4
 from quorbit.llm.line_dedup import op9
+from quorbit.llm.lm_scoring import op7
 from quorbit.llm.pieces import op6
 from quorbit.llm.quality_gam import op2
 from quorbit.llm.quality_rules import op10
@@ -33,6 +34,7 @@ def queries() -> dict[str, Query]:
         "op6_sentencepiece": _over(op6, "documents"),
         "op3_url_filter": _over(op3, "pages", "labels"),
         "op5_sharding": _over(op5, "documents"),
+        "op7_lm_scoring": _over(op7, "documents"),
         "op8_decontamination": _over(op8, "documents", "benchmark"),
         "op9_line_dedup": _over(op9, "documents"),
         "op10_quality_rules": _over(op10, "documents"),
