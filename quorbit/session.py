@@ -30,17 +30,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names.
 
-    ``spark.checkpoint.dir`` names that folder. Only where it is unset, as in
-    tests on one machine, a temporary folder is used.
+    Only where that is unset, as in tests on one machine, a temporary folder is
+    used.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+    known = context._jsc.sc().getCheckpointDir()
+    if not known.isDefined():
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"quorbit-{os.getpid()}-"))
+        known = context._jsc.sc().getCheckpointDir()
+    return known.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
