@@ -10,15 +10,26 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def pick(df: DataFrame, **named: str) -> DataFrame:
+def pick(df: DataFrame, row: bool = False, **named: str) -> DataFrame:
     """The columns ``named`` (new=old), found by exact name and position.
 
     Other columns go, so that names which clash with an operator's own, also in
-    another letter case or twice, do no harm. An absent column is an error.
+    another letter case or twice, do no harm; with ``row``, a column of that
+    name holds them all, for ``unpack``. An absent column is an error.
     """
     places = {new: df.columns.index(old) for new, old in named.items()}
     flat = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    return flat.select(*(F.col(f"c{i}").alias(new) for new, i in places.items()))
+    whole = [F.struct(*flat.columns).alias("row")] if row else []
+    return flat.select(*(F.col(f"c{i}").alias(new) for new, i in places.items()), *whole)
+
+
+def unpack(df: DataFrame, like: DataFrame, **replaced: Column) -> DataFrame:
+    """The columns of ``like`` from the column ``row``, but for those that are ``replaced``, which keep their types."""
+    made = []
+    for i, (name, kind) in enumerate(like.dtypes):
+        column = replaced[name].cast(kind) if name in replaced else F.col(f"row.c{i}")
+        made.append(column.alias(name))
+    return df.select(*made)
 
 
 def words(text: Column) -> Column:

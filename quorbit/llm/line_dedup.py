@@ -51,15 +51,15 @@ def copied_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
     return made.join(first, ["a", "b"]).filter(~order.eqNullSafe(F.col("first"))).select("id", "mark", "start", "end")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, text without copied lines, n_lines, n_removed.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, row: bool = False) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, text without copied lines, n_lines, n_removed; with ``row``, also the whole row.
 
     Lines are what newlines separate; blank ones form no window and stay unless
     a copied window spans them. Lines compare without blanks at their ends.
     Texts of fewer lines than a window, and null ones, stay as they are. Rows
     that are repeated whole count as one document and share its result.
     """
-    rows = pick(docs, id=id_col, text=text_col).withColumn("mark", F.xxhash64("text"))
+    rows = pick(docs, row=row, id=id_col, text=text_col).withColumn("mark", F.xxhash64("text"))
     covered = copied_windows(rows, span).groupBy("id", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     covered = covered.withColumnsRenamed({"id": "id_", "mark": "mark_"})
     joined = rows.join(covered, F.col("id").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_")), "left")
@@ -73,6 +73,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         joined.withColumn("gone", gone)
         .withColumn("lines", lines)
         .select(
+            *(["row"] if row else []),
             F.col("id").alias("doc_id"),
             F.when(F.col("text").isNotNull(), F.array_join(kept, "\n")).alias("text"),
             F.coalesce(F.when(F.col("text").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_lines"),

@@ -178,7 +178,11 @@ def train(found: DataFrame, labels: DataFrame, most_rows: int = SAMPLE_ROWS) ->
     least id hash are learnt from.
     """
     known = found.filter("doc_id is not null").join(labels.filter("quality is not null").withColumnRenamed("doc_id", "labelled"), F.col("doc_id") == F.col("labelled"))
-    rows = known.select("doc_id", "x", "quality").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id", "quality", "x").limit(most_rows).collect()
+    place = F.xxhash64("doc_id", F.lit("sample"))
+    share = most_rows / max(known.count(), 1)
+    if share < 1:  # a little more than the bound first, so that few rows reach the driver
+        known = known.filter(F.shiftrightunsigned(place, 1) < F.lit(int(min(1.0, 1.1 * share + 1e-9) * (1 << 62)) * 2 - 1))
+    rows = known.select("doc_id", "x", "quality").orderBy(F.shiftrightunsigned(place, 1), "doc_id", "quality", "x").limit(most_rows).collect()
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([float(r["quality"]) for r in rows]))
 
