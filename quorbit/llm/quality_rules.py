@@ -39,40 +39,57 @@ NOTICE = (
 )
 
 
+def _only(text: Column, marks: str) -> Column:
+    """The marks of a text, in order; runs of other characters are passed over at once."""
+    return F.regexp_replace(text, f"[^{marks}]+", "")
+
+
 def _n(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(without(text, characters))
 
 
 def line_passes(line: Column, limits: Limits = Limits()) -> Column:
     """Whether a line keeps its place; lines without a word pass."""
-    chars = F.length(without(line, BLANKS))
     n_words = F.size(F.split(F.trim(line), "[\\x20\\x09-\\x0D]+"))
-    bars = _n(line, "|»•·")
-    punctuation = (
-        ((n_words < limits.long_line) | line.rlike("[.!?…:;。！？]"))
-        & (_n(line, "#*$%&") <= limits.most_symbols * chars)
-        & (_n(line, "!?") <= n_words * limits.most_shouts * 2)
-    )
-    navigation = (bars < limits.least_bars) | (bars < n_words * limits.most_bars)
+
+    def rules(marks: Column) -> Column:
+        bars = _n(marks, "|»•·")
+        punctuation = (
+            ((n_words < limits.long_line) | line.rlike("[.!?…:;。！？]"))
+            & (_n(marks, "#*$%&") <= limits.most_symbols * F.length(line))
+            & (_n(marks, "!?") <= n_words * limits.most_shouts * 2)
+        )
+        navigation = (bars < limits.least_bars) | (bars < n_words * limits.most_bars)
+        return punctuation & navigation
+
     notice = (n_words <= limits.notice_words) & F.lower(line).rlike(NOTICE)
-    return (chars == 0) | (punctuation & navigation & ~notice)
+    return ~has_word(line) | (F.element_at(F.transform(F.array(_only(line, "#*$%&|»•·!?")), rules), 1) & ~notice)
+
 
+def has_word(text: Column) -> Column:
+    return text.rlike("[^\\x20\\x09-\\x0D]")
 
-def repeated_words(word_list: Column) -> Column:
+
+def window_hashes(word_list: Column) -> Column:
+    """Hashes of the 3-word windows, in order."""
+    at = lambda i: F.get(word_list, i)
+    n = F.size(word_list)
+    made = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))
+    return F.when(n >= 3, made).otherwise(F.array().cast("array<bigint>"))
+
+
+def repeated_words(windows: Column) -> Column:
     """How many words stand in a 3-word window that the text has twice or more.
 
     Windows are sorted by hash with their places, so that equal ones are
     neighbours; places of repeated windows are sorted again and their spans
-    merged. All that is linear in one text, but for the two sorts.
+    merged. That is linear in one text, but for the two sorts; texts whose
+    windows are all different need neither.
     """
-    n = F.size(word_list)
-    at = lambda i: F.element_at(word_list, i.cast("int"))
-    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.xxhash64(at(i), at(i + 1), at(i + 2)).alias("h"), i.alias("p"))))
-    windows = F.sort_array(F.coalesce(windows, F.array().cast("array<struct<h:bigint,p:int>>")))
 
     def merged(arrays: Column) -> Column:
-        near = lambda x, i, d: F.coalesce(F.get(arrays, i + d)["h"] == x["h"], F.lit(False))
-        again = F.transform(F.filter(arrays, lambda x, i: near(x, i, -1) | near(x, i, 1)), lambda x: x["p"])
+        near = lambda x, i: F.coalesce(F.get(arrays, i)["h"] == x["h"], F.lit(False))
+        again = F.transform(F.filter(arrays, lambda x, i: near(x, i - 1) | near(x, i + 1)), lambda x: x["p"])
         return F.aggregate(
             F.sort_array(again),
             F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
@@ -80,12 +97,14 @@ def repeated_words(word_list: Column) -> Column:
             lambda a: a["n"],
         )
 
+    placed = F.sort_array(F.transform(windows, lambda h, p: F.struct(h.alias("h"), p.alias("p"))))
     # bound by transform, so that the sorted windows are made once
-    return F.element_at(F.transform(F.array(windows), merged), 1).cast("long")
+    found = F.element_at(F.transform(F.array(placed), merged), 1)
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(found).cast("long")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, clean_text, the measures and the verdict.
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits(), row: bool = False) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, clean_text, the measures and the verdict; with ``row``, also the whole row.
 
     Measures (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) are of
     the whole text as it came; ``lost`` is the share of its word characters in
@@ -93,24 +112,27 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Repeated rows are judged each by itself.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    has_word = lambda line: F.length(without(line, BLANKS)) > 0
+    measures = F.struct(
+        F.col("clean_text"),
+        F.size("words").cast("long").alias("n_words"),
+        F.col("word_chars"),
+        F.length(_only(F.col("text"), SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.size("with_word") - F.size(F.array_distinct("with_word"))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("windows")).alias("n_repeat_words"),
+        F.when(F.col("clean_text") == F.col("text"), F.col("word_chars")).otherwise(F.length(without(F.col("clean_text"), BLANKS))).cast("long").alias("kept_chars"),
+    )
+    whole = ["row"] if row else []
     measured = (
-        pick(docs, doc_id=id_col, text=text_col)
-        .select("doc_id", text.alias("text"))
+        pick(docs, row=row, doc_id=id_col, text=text_col)
+        .withColumn("text", text)
         .withColumn("lines", F.split("text", "\n"))
         .withColumn("with_word", F.filter("lines", has_word))
         .withColumn("clean_text", F.concat_ws("\n", F.filter("lines", lambda line: line_passes(line, limits))))
         .withColumn("words", words(F.col("text")))
-        .select(
-            "doc_id",
-            "clean_text",
-            F.size("words").cast("long").alias("n_words"),
-            F.length(without(F.col("text"), BLANKS)).cast("long").alias("word_chars"),
-            _n(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
-            (F.size("with_word") - F.size(F.array_distinct("with_word"))).cast("long").alias("n_dup_lines"),
-            repeated_words(F.col("words")).alias("n_repeat_words"),
-            F.length(without(F.col("clean_text"), BLANKS)).cast("long").alias("kept_chars"),
-        )
+        .withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
+        .withColumn("windows", window_hashes(F.col("words")))
+        # one row each; no filter on the measures goes below this, where it would make them again
+        .select(*whole, "doc_id", F.inline(F.array(measures)))
     )
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.most_repeated * F.col("n_words"))
     lost = F.when(F.col("word_chars") > 0, 1 - F.col("kept_chars") / F.col("word_chars")).otherwise(0.0)
