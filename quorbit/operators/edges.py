@@ -17,7 +17,7 @@ def hop_edges(basis: DataFrame, width: int) -> DataFrame:
 
 
 def hamming_edges(basis: DataFrame, distances: tuple[int, ...] = (2, 4)) -> DataFrame:
-    """(bra, ket, distance) with the distance in ``distances``: states that differ in few bits.
+    """(bra, ket, distance) with the distance in ``distances``, of states with equal numbers of occupied sites.
 
     By deletion keys, an equi-join: the two differ in d/2 sites each, so what is
     left of either without those sites is the same. All pairs are compared by
