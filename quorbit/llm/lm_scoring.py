@@ -10,9 +10,11 @@ reached by the state's failure arc, of weight MASS / (c(h) + MASS), to the root,
 whose arcs are the unigrams. One left-to-right traversal carries the state.
 
 The whole model grows with the corpus and fits in no task. So documents are
-dealt into blocks of bounded size; each block asks for the counts of its own
-words and bigrams, the corpus answers, and the block scores its documents with
-the part of the automaton that it can reach. That part is bounded by the block.
+dealt into blocks of bounded size. Each block sends the sorted keys of its words
+and bigrams, with its own counts, to ranges of the key space; a range adds up
+what all blocks have and answers each with totals in the order that it asked.
+The block then builds the part of the automaton that it can reach, which is
+bounded by the block, and scores its documents.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorbit.llm.arrow import slices
@@ -30,24 +32,26 @@ from quorbit.llm.columns import n_bytes, pick
 from quorbit.llm.language_id import held_out
 
 MASS = 50.0
-#: Bytes of text in a block, on average; and tokens after which a block's counts are passed on.
-BLOCK_BYTES, FLUSH_TOKENS = 24_000_000, 6_000_000
+#: Bytes of text in a block, and behind a range of keys, on average; words after which a task passes on those it has seen.
+BLOCK_BYTES, RANGE_BYTES, FLUSH_WORDS = 12_000_000, 16_000_000, 1_000_000
 BEGIN, END = 0, 1
-OUT_ROWS = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.uint64(1)
 
 
+def word_hash(word: bytes) -> int:
+    """Odd, where the keys of pairs are even."""
+    return xxhash.xxh64_intdigest(word, 7) | 1
+
+
 class Vocabulary(dict):
-    """Numbers for the words of a block, in order of appearance, and their hashes."""
+    """Numbers for the words of a block, in order of appearance."""
 
     def __init__(self) -> None:
-        super().__init__()
-        self.hashes = [xxhash.xxh64_intdigest(b"\n<", 7), xxhash.xxh64_intdigest(b"\n>", 7)]
+        super().__init__({b"\n<": BEGIN, b"\n>": END})
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.hashes)
-        self.hashes.append(xxhash.xxh64_intdigest(word, 7))
+        self[word] = number = len(self)
         return number
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -58,132 +62,136 @@ class Vocabulary(dict):
         out[1:-1] = list(map(self.__getitem__, words))
         return out
 
-    def word_keys(self) -> np.ndarray:
-        return np.array(self.hashes, np.uint64) | _ONE
+
+def packed(values: np.ndarray) -> bytes:
+    """64-bit values by byte planes, which compress where neighbours are alike."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
 
 
 def pair_keys(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Keys of (first << 32 | second) pairs; even, where the keys of words are odd."""
+    """Keys of (first << 32 | second) pairs of word numbers."""
     first, second = words[pairs >> 32], words[pairs & 0xFFFFFFFF]
     mixed = (first * _ODD) ^ (second >> np.uint64(17)) ^ (second << np.uint64(47))
     mixed = (mixed ^ (mixed >> np.uint64(32))) * _ODD
     return (mixed ^ (mixed >> np.uint64(29))) & ~_ONE
 
 
-def counted(vocabulary: Vocabulary, texts: list[np.ndarray], learnt: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all words and pairs, each once, and how often learnt texts have them."""
-    ids = np.concatenate([t[1:] for t in texts])
-    pairs = np.concatenate([t[:-1] << 32 | t[1:] for t in texts])
-    weight = np.repeat(np.array(learnt, np.float64), [len(t) - 1 for t in texts])
-    words = vocabulary.word_keys()
-    seen, at = np.unique(pairs, return_inverse=True)
-    word_counts = np.bincount(ids, weight, len(words))
-    word_counts[BEGIN] = sum(learnt)
-    used = np.bincount(ids, minlength=len(words)) > 0
-    used[BEGIN] = True
-    keys = np.concatenate([words[used], pair_keys(words, seen)])
-    return keys, np.concatenate([word_counts[used], np.bincount(at, weight, len(seen))]).astype(np.int64)
+class Block:
+    """A block's texts as numbers, its distinct pairs, and the keys of words and pairs in the order of ``order``."""
+
+    def __init__(self, texts: list[str | None]):
+        vocabulary = Vocabulary()
+        ids = [vocabulary.ids(t) for t in texts]
+        self.sizes = np.array([len(t) - 1 for t in ids], np.int64)
+        steps = np.concatenate([t[:-1] << 32 | t[1:] for t in ids])
+        self.pairs, self.at = np.unique(steps, return_inverse=True)
+        words = np.fromiter(map(word_hash, vocabulary), np.uint64, len(vocabulary))
+        self.n_words = len(words)
+        self.keys = np.concatenate([words, pair_keys(words, self.pairs)])
+        self.order = np.argsort(self.keys, kind="stable")
+
+    def counts(self, learnt: list[bool]) -> np.ndarray:
+        """How often learnt texts have each word and pair; begins count as words here, for their state."""
+        weight = np.repeat(np.array(learnt, np.float64), self.sizes)
+        pairs = np.bincount(self.at, weight, len(self.pairs))
+        words = np.bincount(self.pairs & 0xFFFFFFFF, pairs, self.n_words)
+        words[BEGIN] = sum(learnt)
+        return np.concatenate([words, pairs]).astype(np.int64)
+
+
+class BackoffAutomaton:
+    """The states, arcs and failure arcs that one block can reach."""
 
+    def __init__(self, block: Block, totals: np.ndarray, tokens: int, kinds: int):
+        self.word_count, arc = totals[: block.n_words], totals[block.n_words :]
+        self.root = (self.word_count + 0.5) / (tokens + 0.5 * (kinds + 1))
+        self.fail = MASS / (self.word_count + MASS)
+        state, word = block.pairs >> 32, block.pairs & 0xFFFFFFFF
+        taken = (arc + MASS * self.root[word]) / (self.word_count[state] + MASS)
+        self.step = np.log10(np.where(arc > 0, taken, self.fail[state] * self.root[word]))
 
-def _out(keys: np.ndarray, counts: np.ndarray, block: int | None) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(keys), OUT_ROWS):
-        columns = [pa.array(keys[i : i + OUT_ROWS].view(np.int64)), pa.array(counts[i : i + OUT_ROWS])]
-        names = ["key", "n"]
-        if block is not None:
-            columns, names = [pa.array(np.full(len(columns[0]), block, np.int32)), *columns], ["block", *names]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+    def traverse(self, block: Block) -> np.ndarray:
+        """Log10 probability of each text, left to right. The state before a token is the word before it, whichever arc was taken."""
+        return np.add.reduceat(self.step[block.at], np.cumsum(block.sizes) - block.sizes)
 
 
 def word_counts(docs: DataFrame) -> tuple[int, int]:
     """Tokens and distinct tokens of (learnt, text) rows that are learnt from; each text has one end."""
 
+    def out(words: set[bytes], tokens: int) -> pa.RecordBatch:
+        keys = np.fromiter(map(word_hash, words), np.uint64, len(words)).view(np.int64)
+        n = np.zeros(len(keys) + 1, np.int64)
+        n[-1] = tokens
+        return pa.RecordBatch.from_arrays([pa.array(np.append(keys, np.uint64(word_hash(b"\n>")).view(np.int64))), pa.array(n)], names=["key", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, held = Vocabulary(), np.zeros(0, np.int64)
+        words, tokens = set(), 0
         for batch in batches:
             for learnt, texts in slices(batch):
-                ids = [vocabulary.ids(t)[1:] for k, t in zip(learnt, texts, strict=True) if k]
-                if ids:
-                    n = np.bincount(np.concatenate(ids), minlength=len(vocabulary.hashes))
-                    n[: len(held)] += held
-                    held = n
-                if len(held) > FLUSH_TOKENS // 6:
-                    yield from _out(vocabulary.word_keys()[held > 0], held[held > 0], None)
-                    vocabulary, held = Vocabulary(), np.zeros(0, np.int64)
-        if held.any():
-            yield from _out(vocabulary.word_keys()[: len(held)][held > 0], held[held > 0], None)
+                for known, text in zip(learnt, texts, strict=True):
+                    if known:
+                        found = (text or "").encode().lower().split()
+                        words.update(found)
+                        tokens += len(found) + 1
+                if len(words) > FLUSH_WORDS:
+                    yield out(words, tokens)
+                    words, tokens = set(), 0
+        if tokens:
+            yield out(words, tokens)
 
     found = docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     row = found.agg(F.sum("n"), F.count("*")).first()
     return row[0] or 0, row[1]
 
 
-def asked_counts(docs: DataFrame) -> DataFrame:
-    """(block, learnt, text) rows, dealt by block, to (block, key, n): what each block has of each word and pair."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[Vocabulary, list[np.ndarray], list[bool], list[int]]] = {}
-        for batch in batches:
-            for block, learnt, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                vocabulary, texts, flags, size = held.setdefault(block, (Vocabulary(), [], [], [0]))
-                texts.append(vocabulary.ids(text))
-                flags.append(learnt)
-                size[0] += len(texts[-1])
-                if size[0] > FLUSH_TOKENS:
-                    yield from _out(*counted(vocabulary, texts, flags), block)
-                    del held[block]
-        for block, (vocabulary, texts, flags, _) in held.items():
-            yield from _out(*counted(vocabulary, texts, flags), block)
-
-    return docs.mapInArrow(run, "block int, key long, n long")
+def ask(docs: pa.Table, n_ranges: int) -> pa.Table:
+    """A block's sorted keys and counts, cut into ranges of the key space."""
+    block = Block(docs.column("text").to_pylist())
+    keys = block.keys[block.order]
+    counts = block.counts(docs.column("learnt").to_pylist())[block.order]
+    cuts = np.searchsorted(keys, np.array([(i << 64) // n_ranges for i in range(n_ranges)], np.uint64)).tolist() + [len(keys)]
+    some = [i for i in range(n_ranges) if cuts[i] < cuts[i + 1]]
+    return pa.table(
+        {
+            "block": pa.array([docs.column("block")[0].as_py()] * len(some), pa.int32()),
+            "range": pa.array(some, pa.int32()),
+            "keys": pa.array([packed(keys[cuts[i] : cuts[i + 1]]) for i in some], pa.binary()),
+            "n": pa.array([packed(counts[cuts[i] : cuts[i + 1]]) for i in some], pa.binary()),
+        }
+    )
 
 
-class BackoffAutomaton:
-    """The states and arcs that one block can reach."""
-
-    def __init__(self, vocabulary: Vocabulary, pairs: np.ndarray, keys: np.ndarray, counts: np.ndarray, tokens: int, kinds: int):
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.counts = keys[order], counts[order]
-        words = vocabulary.word_keys()
-        self.word_count = self._count(words)
-        self.total = tokens + 0.5 * (kinds + 1)
-        self.root = (self.word_count + 0.5) / self.total
-        self.fail = MASS / (self.word_count + MASS)  # of the state after each word, and after the begin
-        count = self._count(pair_keys(words, pairs))
-        self.arcs, arc = pairs[count > 0], count[count > 0]
-        state, word = self.arcs >> 32, self.arcs & 0xFFFFFFFF
-        self.arc_weight = np.log10((arc + MASS * self.root[word]) / (self.word_count[state] + MASS))
-
-    def _count(self, asked: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(asked), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
-        return np.where(self.keys[at] == asked, self.counts[at], 0)
-
-    def traverse(self, ids: np.ndarray) -> np.ndarray:
-        """Log10 probability of each token. The state before a token is the word before it, whichever arc was taken."""
-        steps = ids[:-1] << 32 | ids[1:]
-        at = np.minimum(np.searchsorted(self.arcs, steps), max(len(self.arcs) - 1, 0))
-        back = np.log10(self.fail[ids[:-1]] * self.root[ids[1:]])
-        return np.where(self.arcs[at] == steps, self.arc_weight[at], back) if len(self.arcs) else back
+def answer(asked: pa.Table) -> pa.Table:
+    """Totals over all blocks, for each key of each block in its order."""
+    parts = [unpacked(x, np.uint64) for x in asked.column("keys").to_pylist()]
+    counts = np.concatenate([unpacked(x, np.int64) for x in asked.column("n").to_pylist()])
+    keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+    totals = np.bincount(at, counts, len(keys)).astype(np.int64)[at]
+    ends = np.cumsum([len(x) for x in parts])[:-1]
+    return pa.table({"block": asked.column("block"), "range": asked.column("range"), "n": pa.array(map(packed, np.split(totals, ends)), pa.binary())})
 
 
 def score_block(docs: pa.Table, answers: pa.Table, tokens: int, kinds: int) -> pa.Table:
-    vocabulary = Vocabulary()
-    texts = [vocabulary.ids(t) for t in docs.column("text").to_pylist()]
-    pairs = np.unique(np.concatenate([t[:-1] << 32 | t[1:] for t in texts]))
-    key, n = (answers.column(c).to_numpy() for c in ("key", "n"))
-    model = BackoffAutomaton(vocabulary, pairs, key.view(np.uint64), n, tokens, kinds)
-    known, base = model.word_count > 0, np.log10(model.root)
-    rows = [(len(t) - 1, int(known[t[1:]].sum()), float(base[t[1:]].sum()), float(model.traverse(t).sum())) for t in texts]
-    sizes, found, bases, scores = zip(*rows, strict=True)
+    block = Block(docs.column("text").to_pylist())
+    order = np.argsort(answers.column("range").to_numpy())
+    sorted_totals = np.concatenate([unpacked(answers.column("n")[i].as_py(), np.int64) for i in order.tolist()])
+    totals = np.empty(len(sorted_totals), np.int64)
+    totals[block.order] = sorted_totals
+    model = BackoffAutomaton(block, totals, tokens, kinds)
+    starts = np.cumsum(block.sizes) - block.sizes
+    words = (block.pairs & 0xFFFFFFFF)[block.at]
     return pa.table(
         {
             "doc_id": docs.column("doc_id"),
-            "n_tokens": pa.array(sizes, pa.int64()),
-            "n_known": pa.array(found, pa.int64()),
-            "train_tokens": pa.array([tokens] * len(rows), pa.int64()),
-            "base_score": pa.array(bases, pa.float64()),
-            "score": pa.array(scores, pa.float64()),
+            "n_tokens": pa.array(block.sizes),
+            "n_known": pa.array(np.add.reduceat((model.word_count > 0).astype(np.int64)[words], starts)),
+            "train_tokens": pa.array(np.full(len(starts), tokens, np.int64)),
+            "base_score": pa.array(np.add.reduceat(np.log10(model.root)[words], starts)),
+            "score": pa.array(model.traverse(block)),
         }
     )
 
@@ -197,13 +205,13 @@ def lm_scores(docs: DataFrame, fold: int = 1, id_col: str = "doc_id", text_col:
     rows, learnt = pick(docs, doc_id=id_col, text=text_col), ~held_out("doc_id", fold)
     tokens, kinds = word_counts(rows.select(learnt.alias("learnt"), "text"))
     size = rows.agg(F.sum(n_bytes(F.col("text")))).first()[0] or 0
-    n_blocks = max(1, -(-size // BLOCK_BYTES))
+    n_blocks, n_ranges = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // RANGE_BYTES))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")).repartition(n_blocks, "block")
-    asked = asked_counts(dealt.select("block", learnt.alias("learnt"), "text"))  # both uses of the dealt texts share one exchange
-    answers = asked.withColumn("n", F.sum("n").over(Window.partitionBy("key"))).filter("n > 0")
+    asked = dealt.select("block", learnt.alias("learnt"), "text").groupBy("block").applyInArrow(lambda t: ask(t, n_ranges), "block int, range int, keys binary, n binary")
+    answers = asked.groupBy("range").applyInArrow(answer, "block int, range int, n binary")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return (
-        dealt.select("block", "doc_id", "text")
+        dealt.select("block", "doc_id", "text")  # both uses of the dealt texts share one exchange
         .groupBy("block")
         .cogroup(answers.groupBy("block"))
         .applyInArrow(
