@@ -100,15 +100,12 @@ def integral_tables(spark: SparkSession, norb: int, core: float, one: dict[tuple
         table = first[p % 2]
         return table.get((p // 2, q // 2), table.get((q // 2, p // 2), 0.0)) if p % 2 == q % 2 else 0.0
 
-    full: dict[tuple[int, int], dict] = {}
-    for key, block in blocks.items():
-        held = full[key] = {}
+    full: dict[tuple[int, int], dict] = defaultdict(dict)
+    for (left, right), block in blocks.items():
         for (p, q, r, s), v in block.items():
             for a, b in ((p, q), (q, p)):
                 for c, d in ((r, s), (s, r)):
-                    held[a, b, c, d] = v
-                    if key[0] == key[1]:
-                        held[c, d, a, b] = v
+                    full[left, right][a, b, c, d] = full[right, left][c, d, a, b] = v
 
     def g(p: int, q: int, r: int, s: int) -> float:
         return full[p % 2, r % 2].get((p // 2, q // 2, r // 2, s // 2), 0.0) if p % 2 == q % 2 and r % 2 == s % 2 else 0.0
