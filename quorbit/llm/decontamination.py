@@ -41,6 +41,8 @@ ASCII_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 OTHER_MARKS = tuple(m.encode() for m in "«»“”„‘’…¿¡")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 20
+#: Slots of the items' bags of words; the last one, of words that no item has, stays empty.
+BAG = 1024
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -95,6 +97,7 @@ class Index:
     open: list[np.ndarray] = field(default_factory=list)  # by sample: slots of items' keys
     stop: list[np.ndarray] = field(default_factory=list)  # and of those whose item ends before the next sample
     ends: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # key -> item, offset
+    bags: np.ndarray = field(default_factory=lambda: np.zeros((0, BAG + 1), bool))  # item, slot of a code -> whether the item has one there
 
     @classmethod
     def of(cls, items: list[tuple[object, str]]) -> Index:
@@ -118,7 +121,9 @@ class Index:
                 anchor[[cs[i] for i in own]] = True
             starts.append(own)
         made = cls(coded, code, anchor, moves, places, *([np.zeros(1 << _SLOTS, bool) for _ in range(SAMPLES)] for _ in range(2)))
+        made.bags = np.zeros((len(coded), BAG + 1), bool)
         for number, ((_, cs), own) in enumerate(zip(coded, starts, strict=True)):
+            made.bags[number, np.array(cs) % BAG] = True
             sequence = np.array([*cs, *[END] * (STEPS + 1)], np.int64)
             for offset in own:
                 for r in range(REPETITIONS):
@@ -161,6 +166,25 @@ class Index:
                     found.update((b, b - offset, number) for number, offset in self.ends.get(k, ()))
         return found
 
+    def likely(self, codes: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, begin, end) of candidates whose surroundings hold enough of the item's words, as words that are not edited are there."""
+        found = np.array(sorted(self.candidates(codes)), np.int64).reshape(-1, 3)
+        owner, number = np.searchsorted(begins, found[:, 0], side="right") - 1, found[:, 2]
+        found = np.unique(np.stack([owner, number, found[:, 1]], axis=1), axis=0)
+        sizes = np.array([len(cs) for _, cs in self.items], np.int64)
+        most = np.array([most_edits(n) for n in sizes.tolist()], np.int64)
+        slots = np.where(codes < 2, BAG, codes % BAG)
+        for at in range(0, len(found), 1 << 16):
+            owner, number, b = found[at : at + (1 << 16)].T
+            low = np.maximum(b - most[number], begins[owner])
+            high = np.minimum(b + sizes[number] + 2 * most[number], begins[owner + 1] - 1)
+            held = np.zeros(len(b), np.int64)
+            for step in range(int((high - low).max(initial=0))):
+                place = low + step
+                held += self.bags[number, slots[np.minimum(place, len(slots) - 1)]] & (place < high)
+            keep = held >= sizes[number] - most[number]
+            yield from zip(*(x[keep].tolist() for x in (owner, number, low, high)), strict=True)
+
     def hits(self, texts: list[list[bytes]]) -> Iterator[tuple[int, object, int, int, int]]:
         """(text, item key, edits, first word, words) for each item that a text holds; the place with the fewest edits."""
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -169,21 +193,9 @@ class Index:
         for at, t in zip(begins.tolist(), texts, strict=False):
             codes[at : at + len(t)] = list(map(self.code.__getitem__, t))
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        checked: set[tuple[int, int, int]] = set()
-        sets = [set(cs) for _, cs in self.items]
-        for anchor, b, number in sorted(self.candidates(codes)):
-            owner = int(np.searchsorted(begins, anchor, side="right")) - 1
+        for owner, number, low, high in self.likely(codes, begins):
             pattern = self.items[number][1]
-            most = most_edits(len(pattern))
-            if (owner, number, b) in checked:
-                continue
-            checked.add((owner, number, b))
-            low, high = max(b - most, int(begins[owner])), min(b + len(pattern) + 2 * most, int(begins[owner + 1]) - 1)
-            near = codes[low:high].tolist()
-            own = sets[number]
-            if sum([c in own for c in near]) < len(pattern) - most:  # each word that is not edited is there
-                continue
-            if (got := find_within(pattern, near, most)) is not None:
+            if (got := find_within(pattern, codes[low:high].tolist(), most_edits(len(pattern)))) is not None:
                 best[owner, number] = min(best.get((owner, number), (1 << 30, 0)), (got[0], low + got[1]))
         for (owner, number), (edits, end) in sorted(best.items()):
             n = len(self.items[number][1])
