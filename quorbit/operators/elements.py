@@ -180,3 +180,11 @@ def integral_edges(basis: DataFrame, ints: Integrals) -> DataFrame:
     off = singles(basis, ints).select("bra", "det", "h").unionByName(doubles(basis.select("det"), ints).select("bra", "det", "h"))
     off = off.join(basis.select(F.col("det").alias("bra")), "bra").select("bra", F.col("det").alias("ket"), "h")
     return diagonal(basis, ints).select(F.col("det").alias("bra"), F.col("det").alias("ket"), "h").unionByName(off)
+
+
+def pair_elements(pairs: DataFrame, ints: Integrals) -> DataFrame:
+    """(bra, ket, h) for given pairs; zero for pairs more than two moves apart, or whose moves no integral joins."""
+    kets = pairs.select(F.col("ket").alias("det")).distinct()
+    off = singles(kets, ints).select("bra", F.col("det").alias("ket"), "h").unionByName(doubles(kets, ints).select("bra", F.col("det").alias("ket"), "h"))
+    same = diagonal(kets, ints).select(F.col("det").alias("bra"), F.col("det").alias("ket"), "h")
+    return pairs.select("bra", "ket").join(off.unionByName(same), ["bra", "ket"], "left").select("bra", "ket", F.coalesce("h", F.lit(0.0)).alias("h"))

@@ -91,3 +91,12 @@ def is_sorted(rows: DataFrame, key: str, place: str, by: str) -> DataFrame:
     """(by, wrong): rows whose key is not over the key before, for each group."""
     before = F.lag(key).over(Window.partitionBy(by).orderBy(place))
     return rows.withColumn("_before", before).groupBy(by).agg(F.sum(F.when(F.col("_before") >= F.col(key), 1).otherwise(0)).alias("wrong"))
+
+
+def shuffled(rows: DataFrame, seed: int, key: str = "det", parts: int = 64) -> DataFrame:
+    """``position``: a seeded order in which the least key stays first, however rows lie."""
+    first = rows.agg(F.min(key).alias("first")).first()[0]
+    if first is None:
+        return rows.withColumn("position", F.lit(0).cast("bigint"))
+    h = F.when(F.col(key) == F.lit(first), F.lit(None)).otherwise(F.xxhash64(F.lit(seed), F.col(key)))
+    return ranked(rows.withColumn("_h", F.coalesce(h, F.lit((1 << 63) - 1))), "_h", key, parts).drop("_h")

@@ -45,31 +45,42 @@ def orthogonalized(x: DataFrame, against: list[DataFrame], passes: int = 2) -> D
     return x
 
 
-def davidson(edges: DataFrame, diagonal: DataFrame, start: DataFrame, eps: float = 1e-4, restarts: int = 1, block: int = 10, regular: float = 1e-12, max_time: float | None = None) -> Solution:
-    """Stops where the residual norm is under ``eps``; after ``block`` vectors it begins again from the Ritz vector."""
-    current, began, history, steps = cut(normalized(start)), time.time(), [], 0
-    energy, size = math.nan, math.inf
+def davidson(edges: DataFrame, diagonal: DataFrame, start: DataFrame | list[DataFrame], eps: float = 1e-4, restarts: int = 1, block: int = 10, regular: float = 1e-12, max_time: float | None = None) -> Solution:
+    """Stops where the residual norm is under ``eps``; after ``block`` vectors it begins again from the Ritz vector.
+
+    Several start vectors open the first subspace together.
+    """
+    began, history, steps = time.time(), [], 0
+    energy, size, current = math.nan, math.inf, None
     for _ in range(max(restarts, 1)):
-        basis, images, small = [current], [], np.zeros((0, 0))
+        basis, images, small = [], [], np.zeros((0, 0))
+        for vector in [current] if current is not None else start if isinstance(start, list) else [start]:
+            own = orthogonalized(vector, basis)
+            if (length := norm(own)) > 1e-10:
+                basis.append(cut(scaled(own, 1 / length)))
+        if not basis:
+            raise ValueError("a zero vector has no direction")
         while True:
-            images.append(cut(mult(edges, basis[-1])))
-            new = _dots(basis, images[-1])
-            small = np.pad(small, ((0, 1), (0, 1)))
-            small[-1, :] = small[:, -1] = new
+            while len(images) < len(basis):
+                images.append(cut(mult(edges, basis[len(images)])))
+                new = _dots(basis[: len(images)], images[-1])
+                small = np.pad(small, ((0, 1), (0, 1)))
+                small[-1, :] = small[:, -1] = new
             values, vectors = np.linalg.eigh(small)
             energy, mix = float(values[0]), vectors[:, 0].tolist()
             history.append(energy)
-            current = cut(combined(basis, mix))
-            residual = cut(combined([*images, current], [*mix, -energy]))
+            residual = cut(combined([*images, *basis], [*mix, *(-energy * m for m in mix)]))
             size, steps = norm(residual), steps + 1
             late = max_time is not None and time.time() - began + (time.time() - began) / steps > max_time
             if size < eps or late or len(basis) >= block:
                 break
-            step = residual.join(diagonal, "det").select("det", (F.col("c") / _away(F.lit(energy) - F.col("h"), regular)).alias("c"))
-            new_vector = orthogonalized(cut(step), basis)
+            down = F.lit(energy) - F.coalesce("h", F.lit(0.0))  # states without a diagonal row have a zero there
+            step = residual.join(diagonal, "det", "left").select("det", (F.col("c") / _away(down, regular)).alias("c"))
+            new_vector = orthogonalized(step, basis)
             if (length := norm(new_vector)) < 1e-10:
                 break
-            basis.append(cut(scaled(new_vector, 1 / length)))
+            basis.append(scaled(new_vector, 1 / length))
+        current = cut(combined(basis, mix))
         if size < eps or late:
             break
     return Solution(energy, current, size, history)
@@ -96,14 +107,16 @@ def lanczos(edges: DataFrame, start: DataFrame, eps: float = 1e-8, most: int = 6
         if (length := norm(image)) < eps:
             break
         beta.append(length)
-        basis.append(cut(scaled(image, 1 / length)))
+        basis.append(scaled(image, 1 / length))
     vector = cut(combined(basis[: len(mix)], mix.tolist()))
     residual = norm(combined([mult(edges, vector), vector], [1.0, -history[-1]]))
     return Solution(history[-1], vector, residual, history)
 
 
-def ground_state(edges: DataFrame, basis: DataFrame, method: str = "davidson", seed: int = 1, **options) -> Solution:  # noqa: ANN003
+def ground_state(edges: DataFrame, basis: DataFrame, method: str = "davidson", seed: int = 1, n_start: int = 1, **options) -> Solution:  # noqa: ANN003
     start = start_vector(basis, "random", seed)
+    if n_start > 1 and method == "davidson":
+        start = [start_vector(basis, "random", seed + k) for k in range(n_start)]
     if method == "lanczos":
         return lanczos(edges, start, **options)
     return davidson(edges, edges.filter("bra = ket").select(F.col("bra").alias("det"), "h"), start, **options)

@@ -18,7 +18,7 @@ from quorbit.operators import observe as O
 from quorbit.operators import select as S
 from quorbit.operators import summary
 from quorbit.operators.algebra import parse_operator, term_table
-from quorbit.session import table
+from quorbit.session import cut, table
 from quorbit.sources import generate as G
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -569,6 +569,34 @@ def expand_integral_heatbath(spark, d):  # noqa: ANN001, ANN201
     return X.integral_expansion(basis(spark, d), _chain(spark), 100.0)
 
 
+@query(
+    "element_pairs",
+    _HUB + ", pairs AS (SELECT b.det AS ket, b2.det AS bra FROM basis b JOIN basis b2 ON b2.det = xor(b.det, 5) OR b2.det = xor(b.det, 1365)) "
+    "SELECT bra, ket, CAST(CASE WHEN bit_count(xor(bra, ket)) = 2 THEN -1.0 * (1 - 2 * CAST((ket >> 1) & 1 AS INTEGER)) ELSE 0.0 END AS DOUBLE) AS h FROM pairs",
+)
+def element_pairs(spark, d):  # noqa: ANN001, ANN201
+    own = basis(spark, d)
+    other = own.select(F.col("det").alias("bra"))
+    near = own.select(F.col("det").alias("ket"), F.explode(F.array(F.col("det").bitwiseXOR(F.lit(5)), F.col("det").bitwiseXOR(F.lit(1365)))).alias("bra")).join(other, "bra")
+    return E.pair_elements(near, _chain(spark))
+
+
+@query("complex_squares", "SELECT vec_id, round(embedding[1]::DOUBLE * embedding[1]::DOUBLE + embedding[2]::DOUBLE * embedding[2]::DOUBLE, 6) AS square, round(embedding[1]::DOUBLE * embedding[3]::DOUBLE + embedding[2]::DOUBLE * embedding[4]::DOUBLE, 6) AS re, round(embedding[1]::DOUBLE * embedding[4]::DOUBLE - embedding[2]::DOUBLE * embedding[3]::DOUBLE, 6) AS im FROM embeddings")
+def complex_squares(spark, d):  # noqa: ANN001, ANN201
+    from quorbit.functions import complex as C
+
+    x = C.make(F.get("embedding", F.lit(0)), F.get("embedding", F.lit(1)))
+    y = C.make(F.get("embedding", F.lit(2)), F.get("embedding", F.lit(3)))
+    product = C.times(C.conjugate(x), y)
+    return table(spark, d, "embeddings").select("vec_id", F.round(C.square(x), 6).alias("square"), F.round(product["re"], 6).alias("re"), F.round(product["im"], 6).alias("im"))
+
+
+@query("energy_deltas", "SELECT event_type, ts, value, round(value - lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), 6) AS delta FROM events")
+def energy_deltas(spark, d):  # noqa: ANN001, ANN201
+    before = F.lag("value").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
+    return table(spark, d, "events").select("event_type", "ts", "value", F.round(F.col("value") - before, 6).alias("delta"))
+
+
 # -- results without an SQL form ------------------------------------------------------
 
 
@@ -586,8 +614,8 @@ def solve_ground_state(spark, d):  # noqa: ANN001, ANN201
 
     own = basis(spark, d, 8).select("det")
     bonds = [(i, (i + 1) % 8) for i in range(8)]
-    edges = E.operator_edges(own, term_table(spark, parse_operator(G.bond_model(bonds, 1.0, 2.0))), False)
-    found = ground_state(edges, own, eps=1e-5, block=12, restarts=3)
+    edges = cut(E.operator_edges(own, term_table(spark, parse_operator(G.bond_model(bonds, 1.0, 2.0))), False))
+    found = ground_state(edges, own, eps=1e-4, block=12, restarts=3)
     return spark.createDataFrame([(found.energy, found.residual, len(found.history))], "energy double, residual double, steps int")
 
 
@@ -597,6 +625,11 @@ def solve_lanczos(spark, d):  # noqa: ANN001, ANN201
 
     own = basis(spark, d, 8).select("det")
     bonds = [(i, (i + 1) % 8) for i in range(8)]
-    edges = E.operator_edges(own, term_table(spark, parse_operator(G.bond_model(bonds, 1.0, 2.0))), False)
-    found = ground_state(edges, own, "lanczos", eps=1e-8, most=12)
+    edges = cut(E.operator_edges(own, term_table(spark, parse_operator(G.bond_model(bonds, 1.0, 2.0))), False))
+    found = ground_state(edges, own, "lanczos", eps=1e-8, most=40)
     return spark.createDataFrame([(found.energy, found.residual, len(found.history))], "energy double, residual double, steps int")
+
+
+@query("shuffled_states")
+def shuffled_states(spark, d):  # noqa: ANN001, ANN201
+    return S.shuffled(basis(spark, d), 3).select("det", "position")

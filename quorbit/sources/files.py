@@ -107,15 +107,25 @@ def read_shards(spark: SparkSession, paths: list[str], width: int) -> DataFrame:
     return rows.select("det")
 
 
+def read_records(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """(record) of a fixed number of bytes; files split at records, so one large file is read by many tasks."""
+    return spark.sparkContext.binaryRecords(path, size).map(lambda r: (r,)).toDF("record binary")
+
+
 def read_binary_states(spark: SparkSession, path: str, width: int, name: str = "det") -> DataFrame:
-    """Packed records of (width + 7) // 8 bytes, most significant bit first."""
-    size = (width + 7) // 8
-    # files that split by records: no file is one row
-    reader = spark.read.format("binaryFile").load(path)
-    at = F.explode(F.sequence(F.lit(0), (F.length("content") / size).cast("int") - 1))
-    records = reader.filter(F.length("content") >= size).select("content", at.alias("at"))
-    value = F.conv(F.hex(F.substring(F.col("content"), F.col("at") * size + 1, F.lit(size))), 16, 10).cast("long")
-    return records.select(value.alias(name)).distinct()
+    """Distinct states of packed records of (width + 7) // 8 bytes, most significant bit first."""
+    records = read_records(spark, path, (width + 7) // 8)
+    return records.select(F.conv(F.hex("record"), 16, 10).cast("long").alias(name)).distinct()
+
+
+def read_word_states(spark: SparkSession, path: str, width: int, word_bits: int = B.WORD_BITS, name: str = "det") -> DataFrame:
+    """Distinct states of raw records: little-endian 8-byte words of ``word_bits`` bits, least significant word first."""
+    records = read_records(spark, path, 8 * -(-width // word_bits))
+    word = lambda n: F.conv(F.hex(F.concat(*[F.substring("record", 8 * n + k, 1) for k in range(8, 0, -1)])), 16, 10).cast("long")
+    total = word(0)
+    for n in range(1, -(-width // word_bits)):
+        total = total.bitwiseOR(F.shiftleft(word(n), n * word_bits))
+    return records.select(total.alias(name)).distinct()
 
 
 def write_states(basis: DataFrame, path: str, width: int) -> None:

@@ -82,6 +82,8 @@ def test_state_files(spark, tmp_path):
             files.read_shards(spark, bad, 4)
     (tmp_path / "d.bin").write_bytes(bytes([0b00000101, 0b11000000, 0b00000001, 0b00000000]))
     assert states(files.read_binary_states(spark, str(tmp_path / "d.bin"), 11)) == [256, 1472]
+    (tmp_path / "e.bin").write_bytes((5).to_bytes(8, "little") + (1).to_bytes(8, "little") + (7).to_bytes(8, "little") + (0).to_bytes(8, "little"))
+    assert states(files.read_word_states(spark, str(tmp_path / "e.bin"), 40, 20)) == [7, 5 + (1 << 20)]
     files.write_states(files.read_states(spark, str(one), 4), str(tmp_path / "out"), 4)
     assert states(files.read_states(spark, str(tmp_path / "out"), 4)) == [1, 2]
     (tmp_path / "list").write_text("x\n\ny\n")
@@ -190,3 +192,10 @@ def test_sampled_states(spark):
     got = states(G.sampled_states(spark, 20, 7, 500, 3))
     assert len(set(got)) == len(got) > 450 and all(x.bit_count() == 7 for x in got)
     assert got == states(G.sampled_states(spark, 20, 7, 500, 3).repartition(3))
+
+
+def test_shuffled(spark):
+    basis = G.fock_space(spark, 8, 4)
+    got = {r["det"]: r["position"] for r in S.shuffled(basis, 3).collect()}
+    assert got[15] == 0 and sorted(got.values()) == list(range(70)) and sorted(got, key=got.get) != sorted(got)
+    assert got == {r["det"]: r["position"] for r in S.shuffled(basis.repartition(5), 3).collect()}
