@@ -1,9 +1,10 @@
 """Lowest eigenpairs by Davidson and Lanczos.
 
-The loop runs on the driver; vectors are tables. All inner products of a step
-come from one grouped job, and each new vector is checkpointed. A subspace
-vector is a column set keyed by its number: (det, k, c), so that projections on
-the whole subspace are one join.
+The loop runs on the driver. The whole subspace is one table, a row for each
+state: its diagonal element and arrays of its components in the vectors and in
+their images. So linear combinations are projections, all inner products of a
+step are one aggregation, and only the operator itself needs a join. Each step's
+table is checkpointed.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ import time
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorbit.operators.apply import combined, inner, mult, norm, normalized, scaled, start_vector
+from quorbit.operators.apply import start_vector
 from quorbit.session import cut
 
 
@@ -28,21 +29,78 @@ class Solution:
     history: list[float] = field(default_factory=list)
 
 
-def _dots(many: list[DataFrame], one: DataFrame) -> list[float]:
-    """Inner products of each of many vectors with one, in one job."""
-    rows = None
-    for k, v in enumerate(many):
-        part = v.select("det", F.col("c").alias("v"), F.lit(k).alias("k"))
-        rows = part if rows is None else rows.unionByName(part)
-    sums = dict(rows.join(one.select("det", "c"), "det").groupBy("k").agg(F.sum(F.col("v") * F.col("c"))).collect())
-    return [float(sums.get(k) or 0.0) for k in range(len(many))]
-
-
-def orthogonalized(x: DataFrame, against: list[DataFrame], passes: int = 2) -> DataFrame:
-    """x without its parts along unit vectors; two passes keep rounding out."""
-    for _ in range(passes if against else 0):
-        x = cut(combined([x, *against], [1.0, *(-d for d in _dots(against, x))]))
-    return x
+def _mix(column: str, weights: list[float]) -> Column:
+    total = F.lit(0.0)
+    for k, w in enumerate(weights):
+        total = total + F.col(column)[k] * F.lit(float(w))
+    return total
+
+
+class Subspace:
+    """Orthonormal vectors ``v`` and their images ``w``, as arrays by state."""
+
+    def __init__(self, edges: DataFrame, starts: list[DataFrame], diagonal: DataFrame | None = None):
+        self.edges = edges
+        table = starts[0].select("det", F.array("c").alias("v"))
+        for other in starts[1:]:
+            more = other.select("det", F.col("c").alias("_c"))
+            table = table.join(more, "det").select("det", F.concat("v", F.array("_c")).alias("v"))
+        if diagonal is None:
+            table = table.withColumn("h", F.lit(0.0))
+        else:  # states without a diagonal row have a zero there
+            table = table.join(diagonal.select("det", "h"), "det", "left").withColumn("h", F.coalesce("h", F.lit(0.0)))
+        self.table = cut(table.withColumn("w", F.array().cast("array<double>")).select("det", "h", "v", "w"))
+        gram = self._gram("v", range(len(starts)), range(len(starts)))
+        values, vectors = np.linalg.eigh(gram)
+        if not (values > 1e-20).any():
+            raise ValueError("a zero vector has no direction")
+        sharp = [(vectors[:, k] / math.sqrt(values[k])).tolist() for k in reversed(range(len(values))) if values[k] > 1e-12 * values[-1]]
+        self.table = self.table.withColumn("v", F.array(*[_mix("v", m) for m in sharp]))
+        self.size, self.images = len(sharp), 0
+
+    def _gram(self, right: str, rows: range, columns: range) -> np.ndarray:
+        sums = [F.sum(F.col("v")[i] * F.col(right)[j]) for i in rows for j in columns]
+        return np.array([x or 0.0 for x in self.table.agg(*sums).first()], float).reshape(len(rows), len(columns))
+
+    def apply(self) -> np.ndarray:
+        """Adds the missing images, and returns the vectors' products with them."""
+        new = range(self.images, self.size)
+        kets = self.table.select(F.col("det").alias("ket"), *[F.col("v")[k].alias(f"v{k}") for k in new])
+        sums = [F.sum(F.col("h") * F.col(f"v{k}")).alias(f"w{k}") for k in new]
+        made = self.edges.select("bra", "ket", "h").join(kets, "ket").groupBy(F.col("bra").alias("det")).agg(*sums)
+        joined = self.table.join(made, "det", "left")
+        self.table = cut(joined.select("det", "h", "v", F.concat("w", F.array(*[F.coalesce(f"w{k}", F.lit(0.0)) for k in new])).alias("w")))
+        self.images = self.size
+        return self._gram("w", range(self.size), new)
+
+    def append(self, vector: Column, least: float = 1e-10) -> float:
+        """Adds the part of ``vector`` that is orthogonal to all, found in two passes; returns its length, under which nothing is added."""
+        self.table = self.table.withColumn("t", vector)
+        for _ in range(2):
+            found = self.table.agg(F.sum(F.col("t") * F.col("t")), *[F.sum(F.col("v")[k] * F.col("t")) for k in range(self.size)]).first()
+            dots = [float(x or 0.0) for x in found[1:]]
+            self.table = self.table.withColumn("t", F.col("t") - _mix("v", dots))
+        length = math.sqrt(max(float(found[0] or 0.0) - sum(d * d for d in dots), 0.0))
+        if length > least:
+            self.table = self.table.withColumn("v", F.concat("v", F.array(F.col("t") / F.lit(length))))
+            self.size += 1
+        self.table = self.table.drop("t")
+        return length
+
+    def residual(self, mix: list[float], energy: float) -> Column:
+        return _mix("w", mix) - F.lit(energy) * _mix("v", mix)
+
+    def residual_norm(self, mix: list[float], energy: float) -> float:
+        r = self.residual(mix, energy)
+        return math.sqrt(float(self.table.agg(F.sum(r * r)).first()[0] or 0.0))
+
+    def restart(self, mix: list[float]) -> None:
+        """Keeps the combination alone; its image is the images' combination."""
+        self.table = cut(self.table.select("det", "h", F.array(_mix("v", mix)).alias("v"), F.array(_mix("w", mix)).alias("w")))
+        self.size = self.images = 1
+
+    def vector(self, mix: list[float]) -> DataFrame:
+        return cut(self.table.select("det", _mix("v", mix).alias("c")))
 
 
 def davidson(edges: DataFrame, diagonal: DataFrame, start: DataFrame | list[DataFrame], eps: float = 1e-4, restarts: int = 1, block: int = 10, regular: float = 1e-12, max_time: float | None = None) -> Solution:
@@ -50,73 +108,55 @@ def davidson(edges: DataFrame, diagonal: DataFrame, start: DataFrame | list[Data
 
     Several start vectors open the first subspace together.
     """
-    began, history, steps = time.time(), [], 0
-    energy, size, current = math.nan, math.inf, None
-    for _ in range(max(restarts, 1)):
-        basis, images, small = [], [], np.zeros((0, 0))
-        for vector in [current] if current is not None else start if isinstance(start, list) else [start]:
-            own = orthogonalized(vector, basis)
-            if (length := norm(own)) > 1e-10:
-                basis.append(cut(scaled(own, 1 / length)))
-        if not basis:
-            raise ValueError("a zero vector has no direction")
+    space = Subspace(edges, start if isinstance(start, list) else [start], diagonal)
+    began, history, size = time.time(), [], math.inf
+    for turn in range(max(restarts, 1)):
+        if turn:
+            space.restart(mix)
+        small = np.array([[energy]]) if turn else np.zeros((0, 0))
         while True:
-            while len(images) < len(basis):
-                images.append(cut(mult(edges, basis[len(images)])))
-                new = _dots(basis[: len(images)], images[-1])
-                small = np.pad(small, ((0, 1), (0, 1)))
-                small[-1, :] = small[:, -1] = new
-            values, vectors = np.linalg.eigh(small)
+            if space.images < space.size:
+                old, products = len(small), space.apply()
+                small = np.pad(small, (0, space.size - old))
+                small[:, old:] = products
+                small[old:, :] = products.T
+            values, vectors = np.linalg.eigh((small + small.T) / 2)
             energy, mix = float(values[0]), vectors[:, 0].tolist()
             history.append(energy)
-            residual = cut(combined([*images, *basis], [*mix, *(-energy * m for m in mix)]))
-            size, steps = norm(residual), steps + 1
-            late = max_time is not None and time.time() - began + (time.time() - began) / steps > max_time
-            if size < eps or late or len(basis) >= block:
+            size = space.residual_norm(mix, energy)
+            spent = time.time() - began
+            late = max_time is not None and spent + spent / len(history) > max_time
+            if size < eps or late or space.size >= block:
                 break
-            down = F.lit(energy) - F.coalesce("h", F.lit(0.0))  # states without a diagonal row have a zero there
-            step = residual.join(diagonal, "det", "left").select("det", (F.col("c") / _away(down, regular)).alias("c"))
-            new_vector = orthogonalized(step, basis)
-            if (length := norm(new_vector)) < 1e-10:
+            down = F.lit(energy) - F.col("h")
+            down = F.when(F.abs(down) < regular, F.lit(regular)).otherwise(down)
+            if space.append(space.residual(mix, energy) / down) <= 1e-10:
                 break
-            basis.append(scaled(new_vector, 1 / length))
-        current = cut(combined(basis, mix))
         if size < eps or late:
             break
-    return Solution(energy, current, size, history)
-
-
-def _away(x, least: float):  # noqa: ANN001, ANN202
-    return F.when(F.abs(x) < least, F.lit(least)).otherwise(x)
+    return Solution(energy, space.vector(mix), size, history)
 
 
 def lanczos(edges: DataFrame, start: DataFrame, eps: float = 1e-8, most: int = 60) -> Solution:
     """Stops where the energy moves, or the next vector's length is, under ``eps``; two Gram-Schmidt passes a step."""
-    basis, alpha, beta, history = [cut(normalized(start))], [], [], []
-    mix = np.ones(1)
-    for _ in range(most):
-        image = cut(mult(edges, basis[-1]))
-        alpha.append(inner(basis[-1], image))
-        tri = np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1)
-        values, vectors = np.linalg.eigh(tri)
-        mix = vectors[:, 0]
+    space, alpha, beta, history = Subspace(edges, [start]), [], [], []
+    while True:
+        alpha.append(float(space.apply()[-1, -1]))
+        values, vectors = np.linalg.eigh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))
+        mix = vectors[:, 0].tolist()
         history.append(float(values[0]))
-        if len(history) > 1 and abs(history[-1] - history[-2]) < eps:
+        if len(history) >= most or len(history) > 1 and abs(history[-1] - history[-2]) < eps:
             break
-        image = orthogonalized(image, basis)
-        if (length := norm(image)) < eps:
+        if (length := space.append(F.col("w")[space.size - 1], eps)) <= eps:
             break
         beta.append(length)
-        basis.append(scaled(image, 1 / length))
-    vector = cut(combined(basis[: len(mix)], mix.tolist()))
-    residual = norm(combined([mult(edges, vector), vector], [1.0, -history[-1]]))
-    return Solution(history[-1], vector, residual, history)
+    return Solution(history[-1], space.vector(mix), space.residual_norm(mix, history[-1]), history)
 
 
 def ground_state(edges: DataFrame, basis: DataFrame, method: str = "davidson", seed: int = 1, n_start: int = 1, **options) -> Solution:  # noqa: ANN003
     start = start_vector(basis, "random", seed)
-    if n_start > 1 and method == "davidson":
-        start = [start_vector(basis, "random", seed + k) for k in range(n_start)]
     if method == "lanczos":
         return lanczos(edges, start, **options)
+    if n_start > 1:
+        start = [start_vector(basis, "random", seed + k) for k in range(n_start)]
     return davidson(edges, edges.filter("bra = ket").select(F.col("bra").alias("det"), "h"), start, **options)
