@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorbit.operators.observe import marginal
+from quorbit.session import cut
 
 
 def ranked(rows: DataFrame, value: str = "c", key: str = "det", parts: int = 64) -> DataFrame:
@@ -15,7 +16,8 @@ def ranked(rows: DataFrame, value: str = "c", key: str = "det", parts: int = 64)
     the parts' sizes: no task holds all rows.
     """
     order = [F.desc(value), F.asc(key)]
-    ranged = rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    # checkpointed, as its two uses must see the same ranges
+    ranged = cut(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     sizes = ranged.groupBy("part").count()
     offsets = sizes.withColumn("before", F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).drop("count")
     inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
@@ -35,7 +37,8 @@ def weight_cut(rows: DataFrame, weight: str, key: str, target: float, parts: int
     parts first; then within parts.
     """
     order = [F.desc(weight), F.asc(key)]
-    ranged = rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    # checkpointed, as its two uses must see the same ranges
+    ranged = cut(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     sums = ranged.groupBy("part").agg(F.sum(weight).alias("w"))
     total = F.sum("w").over(Window.partitionBy(F.lit(0)))
     before = F.coalesce(F.sum("w").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
