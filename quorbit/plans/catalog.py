@@ -591,10 +591,10 @@ def complex_squares(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "embeddings").select("vec_id", F.round(C.square(x), 6).alias("square"), F.round(product["re"], 6).alias("re"), F.round(product["im"], 6).alias("im"))
 
 
-@query("energy_deltas", "SELECT event_type, ts, value, round(value - lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), 6) AS delta FROM events")
+@query("energy_deltas", "SELECT event_id, event_type, value, round(value - lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), 6) AS delta FROM events")
 def energy_deltas(spark, d):  # noqa: ANN001, ANN201
     before = F.lag("value").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    return table(spark, d, "events").select("event_type", "ts", "value", F.round(F.col("value") - before, 6).alias("delta"))
+    return table(spark, d, "events").select("event_id", "event_type", "value", F.round(F.col("value") - before, 6).alias("delta"))
 
 
 # -- results without an SQL form ------------------------------------------------------

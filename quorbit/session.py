@@ -40,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
     known = context._jsc.sc().getCheckpointDir()
     if not known.isDefined():
         named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local["):
+        if not named and context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"quorbit-{os.getpid()}-"))
         known = context._jsc.sc().getCheckpointDir()
