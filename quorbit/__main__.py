@@ -6,9 +6,7 @@ import argparse
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quorbit.functions import bits as B
 from quorbit.operators import stat, summary
 from quorbit.operators.algebra import term_table
 from quorbit.operators.elements import diagonal, operator_diagonal
@@ -47,8 +45,11 @@ def parser() -> argparse.ArgumentParser:
     own.add_argument("--norb", type=int, required=True)
     own.add_argument("--out", required=True)
     own = sub.add_parser("summarize")
-    own.add_argument("--batches", required=True)
-    own.add_argument("--out", required=True)
+    own.add_argument("--batches")
+    own.add_argument("--out")
+    own.add_argument("--log", nargs="+", help="run logs; their spread over ranks goes to --profile-output, their values to --rank-output")
+    own.add_argument("--profile-output")
+    own.add_argument("--rank-output")
     return top
 
 
@@ -69,6 +70,29 @@ def _report(result: diag.Result, out: str | None, width: int) -> dict:
     return {"energy": result.energy, "residual": result.solution.residual, "steps": len(result.solution.history), "discarded": result.discarded}
 
 
+def _summaries(spark: SparkSession, a: argparse.Namespace) -> dict:
+    targets = [x for x in (a.out, a.profile_output, a.rank_output) if x]
+    if len(set(targets)) != len(targets):
+        raise ValueError("output paths must be distinct")
+    if not (a.batches and a.out or a.log and a.profile_output):
+        raise ValueError("give --batches and --out, or --log and --profile-output")
+    done = {}
+    if a.batches:
+        rows: DataFrame = files.read_batches(spark, a.batches)
+        problems = [tuple(r) for r in summary.validate(rows).orderBy("calculation_id").limit(20).collect()]
+        if problems:
+            raise ValueError(f"the batches break the table's rules: {problems}")
+        summary.summarize(rows).write.mode("overwrite").csv(a.out, header=True)
+        done["summaries"] = spark.read.csv(a.out, header=True).count()
+    if a.log:
+        log = files.read_log(spark, a.log)
+        summary.diagnostics(log).write.mode("overwrite").csv(a.profile_output, header=True)
+        done["diagnostics"] = spark.read.csv(a.profile_output, header=True).count()
+        if a.rank_output:
+            log.select("calculation_id", "batch_id", "rank", "host", "kind", "metric", "value").write.mode("overwrite").csv(a.rank_output, header=True)
+    return done
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("quorbit").getOrCreate()
@@ -101,12 +125,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         files.write_states(made, a.out, 2 * a.norb)
         out = {"states": made.count()}
     else:
-        rows: DataFrame = files.read_batches(spark, a.batches)
-        problems = [tuple(r) for r in summary.validate(rows).orderBy("calculation_id").limit(20).collect()]
-        if problems:
-            raise ValueError(f"the batches break the table's rules: {problems}")
-        summary.summarize(rows).write.mode("overwrite").csv(a.out, header=True)
-        out = {"summaries": spark.read.csv(a.out, header=True).count()}
+        out = _summaries(spark, a)
     return out
 
 

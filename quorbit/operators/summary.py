@@ -33,7 +33,7 @@ def validate(batches: DataFrame) -> DataFrame:
     return twice.unionByName(mixed.filter("a > 1 or b > 1").select("calculation_id", F.lit("mixed settings").alias("problem"))).distinct()
 
 
-def diagnostics(log: DataFrame, keys: tuple[str, ...] = ("batch_id", "kind", "metric")) -> DataFrame:
+def diagnostics(log: DataFrame, keys: tuple[str, ...] = ("calculation_id", "batch_id", "kind", "metric")) -> DataFrame:
     """Spread of each metric over ranks; ``max_over_mean`` is null where the mean is 0."""
     mean = F.avg("value")
     return log.groupBy(*keys).agg(

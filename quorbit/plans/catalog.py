@@ -362,7 +362,7 @@ def agg_batch_summary(spark, d):  # noqa: ANN001, ANN201
 @query("agg_diagnostics", "SELECT user_id % 20 AS batch_id, event_type AS metric, count(*) AS rank_count, min(value) AS low, round(avg(value), 6) AS mean, max(value) AS high, round(CASE WHEN avg(value) <> 0 THEN max(value) / avg(value) END, 6) AS ratio FROM events GROUP BY 1, 2")
 def agg_diagnostics(spark, d):  # noqa: ANN001, ANN201
     rows = table(spark, d, "events").select((F.col("user_id") % 20).alias("batch_id"), F.lit("profile").alias("kind"), F.col("event_type").alias("metric"), "value")
-    out = summary.diagnostics(rows)
+    out = summary.diagnostics(rows, ("batch_id", "kind", "metric"))
     return out.select("batch_id", "metric", "rank_count", F.col("min").alias("low"), F.round("mean", 6).alias("mean"), F.col("max").alias("high"), F.round("max_over_mean", 6).alias("ratio"))
 
 

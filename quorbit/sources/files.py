@@ -51,9 +51,10 @@ def classify(rows: DataFrame) -> DataFrame:
     return rows.withColumn("kind", kind).withColumn("at", F.explode(F.when(kind == "two", places).otherwise(one))).select("kind", "at.*", "v").dropDuplicates(["kind", "p", "q", "r", "s"])
 
 
-def load_integrals(spark: SparkSession, path: str) -> Integrals:
+def load_integrals(spark: SparkSession, path: str, unrestricted: bool = False) -> Integrals:
+    """Tables of a file's integrals; with ``unrestricted`` its indices are spin-orbitals, alpha and beta in turn."""
     header, rows = read_fcidump(spark, path)
-    norb, core, one, two = int(header["NORB"]), 0.0, {}, {}
+    core, one, two = 0.0, {}, {}
     for v, i, j, k, m in rows.collect():  # norb^4 rows at most
         if i == 0:
             core += v
@@ -61,7 +62,12 @@ def load_integrals(spark: SparkSession, path: str) -> Integrals:
             one[i - 1, j - 1] = v
         else:
             two[i - 1, j - 1, k - 1, m - 1] = v
-    return integral_tables(spark, norb, core, one, two)
+    if not unrestricted:
+        return integral_tables(spark, int(header["NORB"]), core, one, two)
+    half = lambda at: tuple(x // 2 for x in at)
+    firsts = [{half(at): v for at, v in one.items() if at[0] % 2 == s == at[1] % 2} for s in (0, 1)]
+    blocks = {(s, t): {half(at): v for at, v in two.items() if [x % 2 for x in at] == [s, s, t, t]} for s in (0, 1) for t in (0, 1)}
+    return integral_tables(spark, int(header["NORB"]), core, firsts[0], {}, firsts[1], blocks)
 
 
 def fcidump_operator(spark: SparkSession, path: str) -> tuple[Operator, int]:
@@ -184,11 +190,11 @@ def append_batches(rows: DataFrame, path: str) -> None:
     rows.select(*BATCH_COLUMNS).write.mode("append").csv(path, header=True)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(batch_id, rank, host, kind, metric, value) from statistic lines of run logs."""
+def read_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(calculation_id, batch_id, rank, host, kind, metric, value) from statistic lines of run logs."""
     lines = spark.read.text(path).filter(F.col("value").rlike(r"stats: (profile|timing) "))
     pairs = F.regexp_extract_all("value", F.lit(r'(\w+)=("[^"]*"|\S+)'), F.lit(0))
     kv = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1), F.regexp_replace(F.regexp_replace(p, r"^\w+=", ""), '"', ""))))
     rows = lines.select(F.regexp_extract("value", r"stats: (profile|timing) ", 1).alias("kind"), kv.alias("kv"))
-    named = rows.select(F.col("kv")["batch_id"].cast("bigint").alias("batch_id"), F.col("kv")["rank"].cast("int").alias("rank"), F.col("kv")["host"].alias("host"), "kind", F.explode("kv").alias("metric", "text"))
-    return named.filter(~F.col("metric").isin("batch_id", "rank", "host")).select("batch_id", "rank", "host", "kind", "metric", F.col("text").cast("double").alias("value"))
+    named = rows.select(F.col("kv")["calculation_id"].alias("calculation_id"), F.col("kv")["batch_id"].cast("bigint").alias("batch_id"), F.col("kv")["rank"].cast("int").alias("rank"), F.col("kv")["host"].alias("host"), "kind", F.explode("kv").alias("metric", "text"))
+    return named.filter(~F.col("metric").isin("calculation_id", "batch_id", "rank", "host")).select("calculation_id", "batch_id", "rank", "host", "kind", "metric", F.col("text").cast("double").alias("value"))

@@ -23,3 +23,8 @@ def test_commands(spark, tmp_path):
     assert chain["energy"] == pytest.approx(-(2**0.5), abs=1e-6)
     rows = main(["stat", "--wave", path("chain/wave"), "--hamiltonian", path("ham"), "--samples", "50", "--batches", "2", "--reference-energy", "-3"], spark)
     assert [r["external"] for r in rows["batches"]] == [0, 0]
+    (tmp_path / "log").write_text('a stats: profile calculation_id=run batch_id=1 rank=0 host="n" children=4\n')
+    assert main(["summarize", "--log", path("log"), "--profile-output", path("p"), "--rank-output", path("r")], spark) == {"diagnostics": 1}
+    assert spark.read.csv(path("r"), header=True).first()["calculation_id"] == "run"
+    with pytest.raises(ValueError, match="distinct"):
+        main(["summarize", "--log", path("log"), "--profile-output", path("p"), "--rank-output", path("p")], spark)

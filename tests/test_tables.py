@@ -70,6 +70,26 @@ def test_integrals_as_operator(spark, dump):
     assert values(E.integral_edges(basis, ints), basis) == pytest.approx(values(E.operator_edges(blocked, A.term_table(spark, op), True), blocked))
 
 
+def test_unrestricted_integrals(spark, dump, tmp_path):
+    """A restricted model, written with spin-orbital indices, has the same tables."""
+    want = files.load_integrals(spark, dump)
+    lines = ["&FCI NORB=2,NELEC=2,", "&END"]
+    for v, i, j, k, m in files.read_fcidump(spark, dump)[1].collect():
+        up = lambda x, s: 2 * x - 1 + s
+        if i == 0:
+            lines.append(f"{v} 0 0 0 0")
+        elif k == 0:
+            lines += [f"{v} {up(i, s)} {up(j, s)} 0 0" for s in (0, 1)]
+        else:
+            lines += [f"{v} {up(i, s)} {up(j, s)} {up(k, t)} {up(m, t)}" for s in (0, 1) for t in (0, 1)]
+            lines += [f"{v} {up(k, s)} {up(m, s)} {up(i, t)} {up(j, t)}" for s in (0, 1) for t in (0, 1)]
+    (tmp_path / "u.txt").write_text("\n".join(lines))
+    got = files.load_integrals(spark, str(tmp_path / "u.txt"), unrestricted=True)
+    assert got.core == want.core
+    for name in ("one", "direct", "single", "double"):
+        assert sorted(map(tuple, getattr(got, name).collect())) == sorted(map(tuple, getattr(want, name).collect()))
+
+
 def test_state_files(spark, tmp_path):
     one, two, wrong = tmp_path / "a.txt", tmp_path / "b.txt", tmp_path / "c.txt"
     one.write_text("0001\n0010\n")
