@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -48,7 +49,8 @@ class PieceTable:
             raise ValueError("the model is not a BPE with byte fallback and the identity as its normaliser")
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
-            self.automaton.add_word(p, p)
+            if len(p) > 1:
+                self.automaton.add_word(p, (p, len(p), {}))  # with what is known of the tokens that may stand before it
         self.automaton.make_automaton()
         self.surface = [b""] * n  # what an id adds to the decoded text
         for p, i in self.ids.items():
@@ -57,7 +59,7 @@ class PieceTable:
             self.surface[i] = bytes([b])
         self.surface[lib.unk_id()] = " ⁇ ".encode()
         self.parts: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.n_pairs = 0
 
     def merged(self, text: str) -> list[str]:
         """Plain merging of a short text: the best pair first, of equal ones the leftmost."""
@@ -73,43 +75,38 @@ class PieceTable:
             held[at : at + 2] = [held[at] + held[at + 1]]
         return held
 
-    def compatible(self, left: str, right: str) -> bool:
+    def compatible(self, left: str, right: str, known: dict[str, bool]) -> bool:
         """Whether merging leaves the two tokens apart and whole; an empty left asks whether it makes the right one."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            found = self.merged(left + right) == ([left, right] if left else [right])
-            self.pairs[left, right] = found
+        if self.n_pairs >= REMEMBERED:
+            for _, _, old in self.automaton.values():
+                old.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        found = known[left] = self.merged(left + right) == ([left, right] if left else [right])
         return found
 
     def last_tokens(self, part: str) -> list[str]:
-        """The last token of each prefix; the first entry is of the empty one."""
-        ending: list[list[str]] = [[] for _ in range(len(part) + 1)]
-        for end, p in self.automaton.iter(part):
-            if len(p) > 1:
-                ending[end + 1].append(p)
-        table = [""]
-        for end in range(1, len(part) + 1):
-            single = part[end - 1]
-            for p in ending[end]:
-                if self.compatible(table[end - len(p)], p):
-                    table.append(p)
-                    break
-            else:
-                table.append(single)
+        """The last token of each prefix; the first entry is of the empty one. A character of its own, where no match is it."""
+        table = ["", *part]
+        for end, (token, size, known) in self.automaton.iter(part):
+            left = table[end + 1 - size]
+            fits = known.get(left)
+            if fits or fits is None and self.compatible(left, token, known):
+                table[end + 1] = token
         return table
 
     def encode_part(self, part: str) -> bytes:
-        table, end, found = self.last_tokens(part), len(part), []
+        table, end, found, ids = self.last_tokens(part), len(part), [], self.ids
         while end:
             token = table[end]
             end -= len(token)
-            if token in self.ids:
-                found.append(self.ids[token])
-            else:
+            number = ids.get(token)
+            if number is None:
                 found += [self.byte_id[b] for b in reversed(token.encode())]
-        return np.array(found[::-1], "<u4").tobytes()
+            else:
+                found.append(number)
+        found.reverse()
+        return struct.pack(f"<{len(found)}I", *found)
 
     def encode(self, text: str) -> bytes:
         """All ids, begin and end included, as little-endian unsigned 32-bit integers."""
