@@ -30,11 +30,11 @@ from quorbit.llm.columns import pick
 #: An item is found where so large a share of its words, at most, is edited.
 MOST_EDITED = 0.2
 MIN_WORDS = 5
-#: Of words, one in so many is an anchor; items with fewer than FEWEST of them have all words as anchors.
+#: Of words, one in so many is an anchor, of an item's first two thirds; items with fewer than FEWEST of them have all words there as anchors.
 ANCHOR_RATE, FEWEST = 2, 6
 REPETITIONS, SAMPLES, STEPS = 10, 4, 15
 #: Characters of benchmark text that one pass over the documents looks for; more items take more passes.
-PASS_CHARS = 8_000_000
+PASS_CHARS = 1_000_000
 END, OTHER = 0, 1
 #: Marks that words are compared without.
 ASCII_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -122,30 +122,36 @@ class Index:
             starts.append(own)
         made = cls(coded, code, anchor, moves, places, *([np.zeros(1 << _SLOTS, bool) for _ in range(SAMPLES)] for _ in range(2)))
         made.bags = np.zeros((len(coded), BAG + 1), bool)
-        for number, ((_, cs), own) in enumerate(zip(coded, starts, strict=True)):
+        for number, (_, cs) in enumerate(coded):
             made.bags[number, np.array(cs) % BAG] = True
-            sequence = np.array([*cs, *[END] * (STEPS + 1)], np.int64)
-            for offset in own:
-                for r in range(REPETITIONS):
-                    made._add(r, sequence, offset, number)
+        made._fill(starts)
         return made
 
-    def _add(self, r: int, sequence: np.ndarray, offset: int, number: int) -> None:
-        at, step, key = offset, 0, first_key(r, sequence[offset : offset + 1])
-        last = None
-        for sample, place in enumerate(self.places[r]):
-            while step < place:
-                at += int(self.moves[r, step, sequence[at]])
-                step += 1
-            if sequence[at] == END:
-                break
-            key, last = next_key(key, sequence[at : at + 1]), sample
-            self.open[sample][slot(key)] = True
-        if last is not None:
-            self.stop[last][slot(key)] = True
-            found = self.ends.setdefault(int(key[0]), [])
-            if (number, offset) not in found:
-                found.append((number, offset))
+    def _fill(self, starts: list[list[int]]) -> None:
+        """Enters the windows of all items: their keys after each sample, up to the item's end."""
+        if not self.items:
+            return
+        padded = [[*cs, *[END] * (STEPS + 1)] for _, cs in self.items]
+        codes = np.array([c for p in padded for c in p], np.int64)
+        base = np.cumsum([0, *map(len, padded[:-1])])
+        number = np.repeat(np.arange(len(starts)), [len(own) for own in starts])
+        offset = np.array([o for own in starts for o in own], np.int64)
+        for r in range(REPETITIONS):
+            at, step, inside = base[number] + offset, 0, np.ones(len(number), bool)
+            key, last = first_key(r, codes[at]), np.full(len(number), -1)
+            for sample, place in enumerate(self.places[r]):
+                while step < place:
+                    at = at + self.moves[r, step][codes[at]]
+                    step += 1
+                inside &= codes[at] != END
+                key = np.where(inside, next_key(key, codes[at]), key)
+                last[inside] = sample
+                self.open[sample][slot(key[inside])] = True
+            for sample in range(SAMPLES):
+                self.stop[sample][slot(key[last == sample])] = True
+            for k, n, o, some in zip(key.tolist(), number.tolist(), offset.tolist(), (last >= 0).tolist(), strict=True):
+                if some and (n, o) not in (found := self.ends.setdefault(k, [])):
+                    found.append((n, o))
 
     def candidates(self, codes: np.ndarray) -> set[tuple[int, int, int]]:
         """(place of an anchor, place of the item's first word if nothing before it is edited, item); ``codes`` ends with an END."""
