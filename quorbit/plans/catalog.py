@@ -192,6 +192,13 @@ def join_tensor_basis(spark, d):  # noqa: ANN001, ANN201
     return G.product_states(a.filter("adet < 32"), b.filter("bdet < 32"), 6)
 
 
+@query("join_tensor_basis_whole", HALVED + ", a AS (SELECT DISTINCT adet FROM halved), b AS (SELECT DISTINCT bdet FROM halved) SELECT adet, bdet, " + " | ".join(f"(((adet >> {i}) & 1) << {2 * i}) | (((bdet >> {i}) & 1) << {2 * i + 1})" for i in range(6)) + " AS det FROM a, b")
+def join_tensor_basis_whole(spark, d):  # noqa: ANN001, ANN201
+    """Every alpha half with every beta half; join_tensor_basis has a quarter of them, as its SQL does."""
+    a, b = B.half_states(basis(spark, d), 6)
+    return G.product_states(a, b, 6)
+
+
 _SAVED = f"WITH {basis_sql(12)}, saved AS (SELECT det, c FROM basis WHERE c % 3 <> 0 UNION ALL SELECT CAST(range AS BIGINT), 7 FROM range(10))"
 
 
