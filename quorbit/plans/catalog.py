@@ -149,6 +149,14 @@ def bit_word_order(spark, d):  # noqa: ANN001, ANN201
     return first.select("det", F.row_number().over(Window.orderBy("w")).cast("bigint").alias("place"))
 
 
+@query("bit_word_order_whole", f"WITH {basis_sql(16)}, w AS (SELECT det, det & 255 AS low, det >> 8 AS high FROM basis) SELECT det, row_number() OVER (ORDER BY high, low) AS place FROM w")
+def bit_word_order_whole(spark, d):  # noqa: ANN001, ANN201
+    """The place of every state; bit_word_order has the first 100, as its SQL does."""
+    words = B.words_from_text(B.to_text("det", 16), 16, 8)
+    rows = basis(spark, d, 16).select("det", B.word_order(words).alias("w"), F.lit(0).alias("zero"))
+    return S.ranked(rows, "zero", "w").select("det", (F.col("position") + 1).alias("place"))
+
+
 @query("file_names", "SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS padded, 'bin' AS ext, 'wf.' || o_orderkey AS stem FROM orders")
 def file_names(spark, d):  # noqa: ANN001, ANN201
     name = F.concat(F.lit("wf."), F.col("o_orderkey"), F.lit(".bin"))

@@ -16,3 +16,10 @@ def test_tensor_basis_has_every_pair_of_halves(spark, small):
     got = [(r["adet"], r["bdet"], r["det"]) for r in found(spark, small, "join_tensor_basis_whole")]
     assert len(got) == len(want) and set(got) == want
     assert any(a >= 32 for a, _, _ in got) and any(b >= 32 for _, b, _ in got)
+
+
+def test_word_order_places_every_state(spark, small):
+    dets = [r["det"] for r in catalog.basis(spark, small, 16).collect()]
+    want = {det: place for place, det in enumerate(sorted(dets, key=lambda x: (x >> 8, x & 255)), 1)}
+    got = found(spark, small, "bit_word_order_whole")
+    assert len(got) == len(want) > 100 and {r["det"]: r["place"] for r in got} == want
