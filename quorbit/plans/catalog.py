@@ -336,6 +336,27 @@ def agg_two_key_merge(spark, d):  # noqa: ANN001, ANN201
     return two_key_merge(X.half_moves(own, 12).join(own, "det").select("det", F.col("bra").alias("child"), F.col("c").alias("x"), (F.col("c") * F.col("c")).alias("z")))
 
 
+_XZ_WHOLE = HOPS[12] + ", kids AS (SELECT ket, bra, c AS x, c * c AS z FROM hops)"
+
+
+@query("agg_child_sums_whole", _XZ_WHOLE + " SELECT bra AS child, CAST(sum(x) AS BIGINT) AS x, CAST(sum(z) AS BIGINT) AS z FROM kids GROUP BY bra")
+def agg_child_sums_whole(spark, d):  # noqa: ANN001, ANN201
+    """All states are parents; in agg_child_sums those of an even c are, as in its SQL."""
+    from quorbit.operators.stat import child_sums
+
+    own = basis(spark, d)
+    return child_sums(X.half_moves(own, 12).join(own, "det").select("det", F.col("bra").alias("child"), F.col("c").alias("x"), (F.col("c") * F.col("c")).alias("z")))
+
+
+@query("agg_two_key_merge_whole", _XZ_WHOLE + " SELECT child, CAST(sum(x) AS BIGINT) AS x, CAST(sum(z) AS BIGINT) AS z FROM (SELECT bra AS child, ket, sum(x) AS x, sum(z) AS z FROM kids GROUP BY bra, ket) GROUP BY child")
+def agg_two_key_merge_whole(spark, d):  # noqa: ANN001, ANN201
+    """All states are parents; in agg_two_key_merge those of an even c are, as in its SQL."""
+    from quorbit.operators.stat import two_key_merge
+
+    own = basis(spark, d)
+    return two_key_merge(X.half_moves(own, 12).join(own, "det").select("det", F.col("bra").alias("child"), F.col("c").alias("x"), (F.col("c") * F.col("c")).alias("z")))
+
+
 @query(
     "agg_u_statistic",
     _XZ + ", sums AS (SELECT bra, sum(x) AS x, sum(z) AS z FROM kids GROUP BY bra) SELECT CAST(count(*) AS BIGINT) AS external, round(sum(CAST(x * x - z AS DOUBLE)) / 90, 3) AS variance FROM sums WHERE bra NOT IN (SELECT det FROM basis WHERE c % 2 = 0)",

@@ -1,5 +1,9 @@
 """Queries over all rows, against plain Python."""
 
+from collections import defaultdict
+
+import pytest
+
 import __spark_entry__ as entry
 from quorbit.plans import catalog
 
@@ -23,3 +27,17 @@ def test_word_order_places_every_state(spark, small):
     want = {det: place for place, det in enumerate(sorted(dets, key=lambda x: (x >> 8, x & 255)), 1)}
     got = found(spark, small, "bit_word_order_whole")
     assert len(got) == len(want) > 100 and {r["det"]: r["place"] for r in got} == want
+
+
+@pytest.mark.parametrize("name", ["agg_child_sums_whole", "agg_two_key_merge_whole"])
+def test_child_sums_take_all_parents(spark, small, name):
+    wave = {r["det"]: r["c"] for r in catalog.basis(spark, small).collect()}
+    want = defaultdict(lambda: (0, 0))
+    for det, c in wave.items():
+        for i in range(12):
+            for a in range(12):
+                if det >> i & 1 and not det >> a & 1:
+                    child = det ^ 1 << i ^ 1 << a
+                    want[child] = (want[child][0] + c, want[child][1] + c * c)
+    assert any(c % 2 for c in wave.values())
+    assert {r["child"]: (r["x"], r["z"]) for r in found(spark, small, name)} == want
