@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quorbit.llm.arrow import map_texts
 from quorbit.llm.columns import pick
 
-#: The sample of labelled texts that is learnt from: so many documents a language, and so many characters of them together.
+#: The sample of labelled texts that is learnt from: so many documents a language, and so many characters of them together, shared evenly.
 SAMPLE_DOCS, SAMPLE_CHARS = 48, 16_000
 #: Letters that have a class of their own; all others share one, and what is no letter is a gap.
 LETTERS = 120
@@ -111,9 +111,18 @@ class Model:
         return total
 
 
+def shared_evenly(texts: list[str], chars: int) -> list[str]:
+    """Beginnings of the texts, of ``chars`` characters together with a blank between: what short texts leave, longer ones share."""
+    left, out = chars - len(texts) + 1, list(texts)
+    for rank, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        out[i] = texts[i][: max(0, left // (len(texts) - rank))]
+        left -= len(out[i])
+    return out
+
+
 def train(samples: dict[str, list[str]]) -> Model:
-    """A model of the texts that each language has."""
-    texts = {lang: " ".join(t).lower()[:SAMPLE_CHARS] for lang, t in sorted(samples.items())}
+    """A model of the texts that each language has, each with an even share of SAMPLE_CHARS."""
+    texts = {lang: " ".join(shared_evenly([x.lower() for x in t], SAMPLE_CHARS)) for lang, t in sorted(samples.items())}
     seen = Counter(c for t in texts.values() for c in t if c.isalpha())
     class_of = np.full(0x110000, GAP, np.uint8)
     points = np.arange(0x110000)
