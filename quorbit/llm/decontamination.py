@@ -11,10 +11,14 @@ are held against the item by exact edit distance.
 Windows begin at anchors, words that a hash chooses alike on both sides, and are
 sized by the item from there on; so a window and an item begin in step. An item
 has many anchors, and each is a fresh trial, as is each repetition.
+
+Items of fewer than MIN_WORDS words, of which MOST_EDITED lets none be edited,
+are looked for as they are.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,6 +43,9 @@ END, OTHER = 0, 1
 #: Marks that words are compared without.
 ASCII_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 OTHER_MARKS = tuple(m.encode() for m in "«»“”„‘’…¿¡")
+#: Characters of scripts without spaces, each of which is a word: Thai, Lao, Myanmar, Khmer, kana and Han; and marks among them.
+SPACELESS = re.compile("[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
+SPACELESS_MARKS = re.compile("[\u0e2f\u0e4f\u0e5a\u0e5b\u104a-\u104f\u17d4-\u17da\u3001-\u3003\u3008-\u3011\u3014-\u301f\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 20
 #: Slots of the items' bags of words; the last one, of words that no item has, stays empty.
@@ -46,8 +53,11 @@ BAG = 1024
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """Lower-cased words without marks, in UTF-8."""
-    raw = (text or "").lower().encode().translate(None, ASCII_MARKS)
+    """Lower-cased words without marks, in UTF-8; where a script has no spaces, each character is a word."""
+    low = (text or "").lower()
+    if not low.isascii() and SPACELESS.search(low):
+        low = SPACELESS.sub(r" \g<0> ", SPACELESS_MARKS.sub(" ", low))
+    raw = low.encode().translate(None, ASCII_MARKS)
     for mark in OTHER_MARKS:
         if mark in raw:
             raw = raw.replace(mark, b"")
@@ -98,10 +108,15 @@ class Index:
     stop: list[np.ndarray] = field(default_factory=list)  # and of those whose item ends before the next sample
     ends: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # key -> item, offset
     bags: np.ndarray = field(default_factory=lambda: np.zeros((0, BAG + 1), bool))  # item, slot of a code -> whether the item has one there
+    short: dict[bytes, dict[tuple[bytes, ...], list[object]]] = field(default_factory=dict)  # first word -> words of a short item -> its keys
 
     @classmethod
     def of(cls, items: list[tuple[object, str]]) -> Index:
         words = [(key, tokens(text)) for key, text in items]
+        short: dict[bytes, dict[tuple[bytes, ...], list[object]]] = {}
+        for key, w in words:
+            if 0 < len(w) < MIN_WORDS:
+                short.setdefault(w[0], {}).setdefault(tuple(w), []).append(key)
         words = [(key, w) for key, w in words if len(w) >= MIN_WORDS]
         code = Codes({w: i + 2 for i, w in enumerate(sorted({w for _, ws in words for w in ws}))})
         chance = np.random.default_rng(8)
@@ -121,6 +136,7 @@ class Index:
                 anchor[[cs[i] for i in own]] = True
             starts.append(own)
         made = cls(coded, code, anchor, moves, places, *([np.zeros(1 << _SLOTS, bool) for _ in range(SAMPLES)] for _ in range(2)))
+        made.short = short
         made.bags = np.zeros((len(coded), BAG + 1), bool)
         for number, (_, cs) in enumerate(coded):
             made.bags[number, np.array(cs) % BAG] = True
@@ -191,6 +207,18 @@ class Index:
             keep = held >= sizes[number] - most[number]
             yield from zip(*(x[keep].tolist() for x in (owner, number, low, high)), strict=True)
 
+    def short_hits(self, words: list[bytes]) -> Iterator[tuple[object, int, int]]:
+        """(item key, first word, words) for each short item that a text holds as it is; the first place."""
+        seen: set[tuple[bytes, ...]] = set()
+        for at, word in enumerate(words):
+            if (begun := self.short.get(word)) is None:
+                continue
+            for n in range(1, MIN_WORDS):
+                item = tuple(words[at : at + n])
+                if item in begun and item not in seen:
+                    seen.add(item)
+                    yield from ((key, at, len(item)) for key in begun[item])
+
     def hits(self, texts: list[list[bytes]]) -> Iterator[tuple[int, object, int, int, int]]:
         """(text, item key, edits, first word, words) for each item that a text holds; the place with the fewest edits."""
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -206,6 +234,9 @@ class Index:
         for (owner, number), (edits, end) in sorted(best.items()):
             n = len(self.items[number][1])
             yield owner, self.items[number][0], edits, max(0, end - n - int(begins[owner])), n
+        if self.short:
+            for owner, words in enumerate(texts):
+                yield from ((owner, key, 0, first, n) for key, first, n in self.short_hits(words))
 
 
 def first_key(r: int, codes: np.ndarray) -> np.ndarray:
@@ -224,8 +255,9 @@ def slot(key: np.ndarray) -> np.ndarray:
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, edits, first_word, n_words) for each item that a document holds with MOST_EDITED edits or fewer.
 
-    Words are lower-cased and without punctuation. Null texts hold nothing;
-    items that are null, or shorter than MIN_WORDS, are looked for nowhere.
+    Words are lower-cased and without punctuation; in scripts without spaces each
+    character is one. Null texts hold nothing; items that are null, or have no
+    word, are looked for nowhere, and those of fewer than MIN_WORDS as they are.
     Repeated documents and items each have rows of their own. ``first_word`` counts from 0,
     for the place with the fewest edits. The benchmark is looked for in parts of
     PASS_CHARS characters, so that what is sent to the executors is bounded.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quorbit.llm import language_id
+from quorbit.llm import decontamination, language_id
 
 
 def rows(df):
@@ -17,3 +17,21 @@ def test_language_learns_from_each_text():
     shares = language_id.shared_evenly([long_text, "pqr stu", long_text], 1_001)
     assert [len(x) for x in shares] == [496, 7, 496] and len(" ".join(shares)) == 1_001
     assert language_id.shared_evenly(["a", "b"], 100) == ["a", "b"] and language_id.shared_evenly([], 100) == []
+
+
+def test_short_items_are_found_as_they_are(spark):
+    docs = spark.createDataFrame([(1, "Well, the QUICK fox; quick fox again"), (2, "the quick brown fox"), (3, "foxes quick"), (4, None), (5, "quick fox the quick red fox jumps over it")], "doc_id bigint, text string")
+    items = [(1, "quick fox"), (1, "Quick fox!"), (2, "foxes"), (3, "the quick red fox"), (4, "the quick red fox jumps over"), (5, " ... "), (None, "fox")]
+    found = rows(decontamination.op8(docs, spark.createDataFrame(items, "item_id bigint, text string")))
+    short = [(1, 1, 0, 2, 2), (1, 1, 0, 2, 2), (1, None, 0, 3, 1), (2, None, 0, 3, 1), (3, 2, 0, 0, 1), (5, 1, 0, 0, 2), (5, 1, 0, 0, 2), (5, None, 0, 1, 1), (5, 3, 0, 2, 4)]
+    assert sorted(found, key=repr) == sorted([*short, (5, 4, 0, 2, 6)], key=repr)
+
+
+def test_scripts_without_spaces_are_cut_into_characters(spark):
+    item = "\u5409\u8f29\u306f\u732b\u3067\u3042\u308b\u3002\u540d\u524d\u306f\u307e\u3060\u7121\u3044"
+    assert len(decontamination.tokens(item)) == len(item) - 1
+    assert decontamination.tokens("Straße, «déjà» vu") == ["straße".encode(), "déjà".encode(), b"vu"]
+    edited = item.replace("\u732b", "\u72ac").replace("\u3002", "")
+    docs = spark.createDataFrame([(1, "\u4eca\u65e5" + item + "\u660e\u65e5"), (2, "abc" + edited), (3, item[:7]), (4, "\u732b\u3067")], "doc_id bigint, text string")
+    found = rows(decontamination.op8(docs, spark.createDataFrame([(1, item), (2, "\u732b\u3067")], "item_id bigint, text string")))
+    assert {(r[0], r[1], r[2]) for r in found} == {(1, 1, 0), (2, 1, 1), (1, 2, 0), (3, 2, 0), (4, 2, 0)} and len(found) == 5
