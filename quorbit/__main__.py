@@ -82,6 +82,10 @@ def _summaries(spark: SparkSession, a: argparse.Namespace) -> dict:
         problems = [tuple(r) for r in summary.validate(rows).orderBy("calculation_id").limit(20).collect()]
         if problems:
             raise ValueError(f"the batches break the table's rules: {problems}")
+        if a.log:
+            problems = [tuple(r) for r in summary.disagreements(rows, files.read_log(spark, a.log)).orderBy("calculation_id", "batch_id", "problem").limit(20).collect()]
+            if problems:
+                raise ValueError(f"the logs and the batches disagree: {problems}")
         summary.summarize(rows).write.mode("overwrite").csv(a.out, header=True)
         done["summaries"] = spark.read.csv(a.out, header=True).count()
     if a.log:

@@ -33,6 +33,23 @@ def validate(batches: DataFrame) -> DataFrame:
     return twice.unionByName(mixed.filter("a > 1 or b > 1").select("calculation_id", F.lit("mixed settings").alias("problem"))).distinct()
 
 
+def disagreements(batches: DataFrame, log: DataFrame) -> DataFrame:
+    """(calculation_id, batch_id, problem): logged batches without a row in the table, or with one of another MPI size or draw count.
+
+    A log's draws are the sum over ranks; its MPI size is the header's, or without one the number of ranks.
+    """
+    keys = ["calculation_id", "batch_id"]
+    drawn = F.when((F.col("kind") == "profile") & (F.col("metric") == "draws"), F.col("value"))
+    logged = log.groupBy(*keys).agg(F.min("mpi_size").alias("least"), F.coalesce(F.max("mpi_size"), F.count_distinct("rank")).alias("size"), F.sum(drawn).alias("draws"))
+    rows = batches.select(*[F.col(k).alias(f"{k}_") for k in keys], "mpi_size", "sample_count", F.lit(1).alias("there"))
+    pairs = logged.join(rows, F.col("calculation_id").eqNullSafe(F.col("calculation_id_")) & F.col("batch_id").eqNullSafe(F.col("batch_id_")), "left")
+    size = ~F.col("mpi_size").eqNullSafe(F.col("size")) | (F.coalesce("least", "size") != F.col("size"))
+    problem = F.when(F.col("there").isNull(), F.array(F.lit("no batch row"))).otherwise(
+        F.array(F.when(size, F.lit("MPI size")), F.when(~F.col("sample_count").eqNullSafe(F.col("draws")), F.lit("draw count")))
+    )
+    return pairs.select(*keys, F.explode(problem).alias("problem")).filter("problem is not null").distinct()
+
+
 def diagnostics(log: DataFrame, keys: tuple[str, ...] = ("calculation_id", "batch_id", "kind", "metric")) -> DataFrame:
     """Spread of each metric over ranks; ``max_over_mean`` is null where the mean is 0."""
     mean = F.avg("value")

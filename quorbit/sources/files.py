@@ -191,10 +191,21 @@ def append_batches(rows: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(calculation_id, batch_id, rank, host, kind, metric, value) from statistic lines of run logs."""
-    lines = spark.read.text(path).filter(F.col("value").rlike(r"stats: (profile|timing) "))
+    """(calculation_id, batch_id, rank, host, kind, metric, value, mpi_size) from statistic lines of run logs.
+
+    The calculation, where a line does not name it, and the MPI size are those of the run's header lines above, null without.
+    """
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    told = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"))
+    told = told.filter(F.col("value").rlike(r"stats: (profile|timing) |^# (FCIDUMP|calculation ID|MPI size):"))
+    header = lambda x: F.when(F.col("value").rlike(x), F.regexp_extract("value", x, 1))
+    above = Window.partitionBy("file").orderBy("at")
+    runs = told.withColumn("run", F.count(F.when(F.col("value").rlike("^# (FCIDUMP|calculation ID):"), 1)).over(above))
+    above = Window.partitionBy("file", "run").orderBy("at")
+    named = runs.withColumn("named", F.last(header(r"^# calculation ID: (.+?)\r?$"), True).over(above)).withColumn("mpi_size", F.last(header(r"^# MPI size: (\d+)\r?$"), True).over(above).cast("int"))
+    lines = named.filter(F.col("value").rlike(r"stats: (profile|timing) "))
     pairs = F.regexp_extract_all("value", F.lit(r'(\w+)=("[^"]*"|\S+)'), F.lit(0))
     kv = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1), F.regexp_replace(F.regexp_replace(p, r"^\w+=", ""), '"', ""))))
-    rows = lines.select(F.regexp_extract("value", r"stats: (profile|timing) ", 1).alias("kind"), kv.alias("kv"))
-    named = rows.select(F.col("kv")["calculation_id"].alias("calculation_id"), F.col("kv")["batch_id"].cast("bigint").alias("batch_id"), F.col("kv")["rank"].cast("int").alias("rank"), F.col("kv")["host"].alias("host"), "kind", F.explode("kv").alias("metric", "text"))
-    return named.filter(~F.col("metric").isin("calculation_id", "batch_id", "rank", "host")).select("calculation_id", "batch_id", "rank", "host", "kind", "metric", F.col("text").cast("double").alias("value"))
+    rows = lines.select(F.regexp_extract("value", r"stats: (profile|timing) ", 1).alias("kind"), kv.alias("kv"), "named", "mpi_size")
+    named = rows.select(F.coalesce(F.col("kv")["calculation_id"], "named").alias("calculation_id"), F.col("kv")["batch_id"].cast("bigint").alias("batch_id"), F.col("kv")["rank"].cast("int").alias("rank"), F.col("kv")["host"].alias("host"), "kind", "mpi_size", F.explode("kv").alias("metric", "text"))
+    return named.filter(~F.col("metric").isin("calculation_id", "batch_id", "rank", "host")).select("calculation_id", "batch_id", "rank", "host", "kind", "metric", F.col("text").cast("double").alias("value"), "mpi_size")
