@@ -8,9 +8,13 @@ Sampling a few places of the copy is then a locality-sensitive hash: windows
 that agree on all sampled places of any repetition are candidates, and these
 are held against the item by exact edit distance.
 
-Windows begin at anchors, words that a hash chooses alike on both sides, and are
-sized by the item from there on; so a window and an item begin in step. An item
-has many anchors, and each is a fresh trial, as is each repetition.
+A window begins at an anchor, a word that a hash chooses alike on both sides, and
+is as long as the item is from there on: its places are sampled from the whole
+walk to the item's end, one from each of the spans that SPANS begins. So a window
+and an item begin in step. An item has many anchors, and each is a fresh trial, as
+is each repetition. How many repetitions there are follows from RECALL: copies
+of items with as many edits as are allowed are made and looked for, and there
+are as many repetitions as it takes to find that share of them at every length.
 
 Items of fewer than MIN_WORDS words, of which MOST_EDITED lets none be edited,
 are looked for as they are.
@@ -34,10 +38,15 @@ from quorbit.llm.columns import pick
 #: An item is found where so large a share of its words, at most, is edited.
 MOST_EDITED = 0.2
 MIN_WORDS = 5
+#: The share of copies with as many edits that the repetitions are to find, at each length; and repetitions at most.
+RECALL, MOST_REPETITIONS = 0.98, 48
+#: Items, and copies of each, from which the number of repetitions is found.
+TRIED_ITEMS, TRIED_COPIES = 400, 5
 #: Of words, one in so many is an anchor, of an item's first two thirds; items with fewer than FEWEST of them have all words there as anchors.
 ANCHOR_RATE, FEWEST = 2, 6
-REPETITIONS, SAMPLES, STEPS = 10, 4, 15
-#: Characters of benchmark text that one pass over the documents looks for; more items take more passes.
+#: Steps at which the first spans of the walk begin; the later ones begin at twice the step of the one before.
+SPANS = (1, 4)
+#: Characters of benchmark text that a worker holds at once; more items are looked for in turn, in the same pass over the documents.
 PASS_CHARS = 1_000_000
 END, OTHER = 0, 1
 #: Marks that words are compared without.
@@ -68,8 +77,11 @@ def most_edits(n_words: int) -> int:
     return int(MOST_EDITED * n_words + 1e-9)
 
 
-def find_within(pattern: list[int], text: list[int], most: int) -> tuple[int, int] | None:
-    """Least edits of ``pattern`` against any part of ``text``, and where that part ends; bit-parallel, exact."""
+def find_within(pattern: list[int], text: list[int], most: int, anchored: bool = False) -> tuple[int, int] | None:
+    """Least edits of ``pattern`` against any part of ``text``, and where that part ends first; bit-parallel, exact.
+
+    ``anchored`` parts begin where the text does.
+    """
     n = len(pattern)
     where: dict[int, int] = defaultdict(int)
     for i, c in enumerate(pattern):
@@ -81,13 +93,22 @@ def find_within(pattern: list[int], text: list[int], most: int) -> tuple[int, in
         diagonal = (((eq & up) + up) ^ up) | eq | down
         plus, minus = down | ~(diagonal | up) & ones, up & diagonal
         score += (1 if plus & high else 0) - (1 if minus & high else 0)
-        plus, minus = (plus << 1) & ones, (minus << 1) & ones
+        plus, minus = (plus << 1 | anchored) & ones, (minus << 1) & ones
         up, down = minus | ~(diagonal | plus) & ones, plus & diagonal
         if score < best:
             best, end = score, at
     return (best, end) if best <= most else None
 
 
+def place_within(pattern: list[int], text: list[int], most: int) -> tuple[int, int, int] | None:
+    """Least edits, and where the part with them begins and ends; of equally good ends the first, and of its beginnings the last."""
+    if (found := find_within(pattern, text, most)) is None:
+        return None
+    edits, end = found
+    _, size = find_within(pattern[::-1], text[:end][::-1], len(pattern), anchored=True)
+    return edits, end - size, end
+
+
 class Codes(dict):
     """Word codes; OTHER for words that no item has."""
 
@@ -95,6 +116,33 @@ class Codes(dict):
         return OTHER
 
 
+def spans_for(n_words: int) -> list[int]:
+    """Where the spans begin, and the last one ends, for walks along so many words: a step moves on every other time."""
+    made = list(SPANS)
+    while made[-1] < 2 * n_words:
+        made.append(2 * made[-1])
+    return made
+
+
+class Walks:
+    """The random bits and the sampled places of each repetition's walk."""
+
+    def __init__(self, n_codes: int, longest: int, repetitions: int, seed: int = 8):
+        spans = spans_for(longest)
+        chance = np.random.default_rng(seed)
+        self.places = np.stack([chance.integers(spans[:-1], spans[1:]) for _ in range(repetitions)])
+        self.bits = chance.integers(0, 1 << 64, (repetitions, spans[-1] // 64 + 1, n_codes), dtype=np.uint64)
+        self.bits[:, :, END] = 0
+        self.first = chance.integers(0, 1 << 32, (repetitions, 2, n_codes), dtype=np.uint32)
+
+    def moves(self, r: int, step: int) -> np.ndarray:
+        """0 or 1 for each code."""
+        return (self.bits[r, step >> 6] >> np.uint64(step & 63) & np.uint64(1)).astype(np.int8)
+
+    def first_slot(self, r: int, begin: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return (self.first[r, 0][begin] + self.first[r, 1][second]) >> np.uint32(32 - _SLOTS)
+
+
 @dataclass
 class Index:
     """Items, and hash tables of their windows' sampled copies."""
@@ -102,8 +150,8 @@ class Index:
     items: list[tuple[object, list[int]]]
     code: Codes
     anchor: np.ndarray
-    moves: np.ndarray  # repetition, step, code -> 0 or 1
-    places: np.ndarray  # repetition, sample -> step
+    walks: Walks
+    recall: float = 1.0  # of the copies that were tried, at the length where it was least
     open: list[np.ndarray] = field(default_factory=list)  # by sample: slots of items' keys
     stop: list[np.ndarray] = field(default_factory=list)  # and of those whose item ends before the next sample
     ends: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # key -> item, offset
@@ -119,10 +167,6 @@ class Index:
                 short.setdefault(w[0], {}).setdefault(tuple(w), []).append(key)
         words = [(key, w) for key, w in words if len(w) >= MIN_WORDS]
         code = Codes({w: i + 2 for i, w in enumerate(sorted({w for _, ws in words for w in ws}))})
-        chance = np.random.default_rng(8)
-        moves = chance.integers(0, 2, (REPETITIONS, STEPS, len(code) + 2), dtype=np.int8)
-        moves[:, :, END] = 0
-        places = np.sort(np.stack([chance.choice(np.arange(1, STEPS), SAMPLES, replace=False) for _ in range(REPETITIONS)]), axis=1)
         anchor = np.zeros(len(code) + 2, bool)
         for w, c in code.items():
             anchor[c] = xxhash.xxh64_intdigest(w, 8) % ANCHOR_RATE == 0
@@ -135,8 +179,11 @@ class Index:
                 own = list(half)
                 anchor[[cs[i] for i in own]] = True
             starts.append(own)
-        made = cls(coded, code, anchor, moves, places, *([np.zeros(1 << _SLOTS, bool) for _ in range(SAMPLES)] for _ in range(2)))
-        made.short = short
+        longest = max((len(cs) for _, cs in coded), default=0)
+        repetitions, recall = repetitions_for([cs for _, cs in coded], starts, anchor, longest)
+        made = cls(coded, code, anchor, Walks(len(anchor), longest, repetitions), recall, short=short)
+        n_samples = made.walks.places.shape[1]
+        made.open, made.stop = ([np.zeros(1 << _SLOTS, bool) for _ in range(n_samples)] for _ in range(2))
         made.bags = np.zeros((len(coded), BAG + 1), bool)
         for number, (_, cs) in enumerate(coded):
             made.bags[number, np.array(cs) % BAG] = True
@@ -147,42 +194,41 @@ class Index:
         """Enters the windows of all items: their keys after each sample, up to the item's end."""
         if not self.items:
             return
-        padded = [[*cs, *[END] * (STEPS + 1)] for _, cs in self.items]
-        codes = np.array([c for p in padded for c in p], np.int64)
-        base = np.cumsum([0, *map(len, padded[:-1])])
-        number = np.repeat(np.arange(len(starts)), [len(own) for own in starts])
-        offset = np.array([o for own in starts for o in own], np.int64)
-        for r in range(REPETITIONS):
-            at, step, inside = base[number] + offset, 0, np.ones(len(number), bool)
-            key, last = first_key(r, codes[at]), np.full(len(number), -1)
-            for sample, place in enumerate(self.places[r]):
-                while step < place:
-                    at = at + self.moves[r, step][codes[at]]
-                    step += 1
-                inside &= codes[at] != END
-                key = np.where(inside, next_key(key, codes[at]), key)
-                last[inside] = sample
-                self.open[sample][slot(key[inside])] = True
-            for sample in range(SAMPLES):
-                self.stop[sample][slot(key[last == sample])] = True
-            for k, n, o, some in zip(key.tolist(), number.tolist(), offset.tolist(), (last >= 0).tolist(), strict=True):
+        number, offset, codes, at = windows([cs for _, cs in self.items], starts)
+        for r in range(len(self.walks.places)):
+            last, final = np.full(len(number), -1), np.zeros(len(number), np.uint64)
+            for sample, (place, key) in enumerate(sampled(self.walks, r, codes, at)):
+                inside = codes[place] != END
+                last[inside], final[inside] = sample, key[inside]
+                slots = slot(key) if sample else self.walks.first_slot(r, codes[at], codes[place])
+                self.open[sample][slots[inside]] = True
+            for sample in range(len(self.stop)):
+                self.stop[sample][slot(final[last == sample])] = True
+            for k, n, o, some in zip(final.tolist(), number.tolist(), offset.tolist(), (last >= 0).tolist(), strict=True):
                 if some and (n, o) not in (found := self.ends.setdefault(k, [])):
                     found.append((n, o))
 
     def candidates(self, codes: np.ndarray) -> set[tuple[int, int, int]]:
         """(place of an anchor, place of the item's first word if nothing before it is edited, item); ``codes`` ends with an END."""
         starts = np.nonzero(self.anchor[codes])[0]
+        begins = codes[starts]
         found: set[tuple[int, int, int]] = set()
-        for r in range(REPETITIONS):
-            begin, at, step = starts, starts, 0
-            key = first_key(r, codes[at])
-            for sample, place in enumerate(self.places[r]):
+        for r, places in enumerate(self.walks.places.tolist()):
+            begin, at, step, key = starts, starts, 0, None
+            for sample, place in enumerate(places):
                 while step < place:
-                    at = at + self.moves[r, step][codes[at]]
+                    at = at + self.walks.moves(r, step)[codes[at]]
                     step += 1
-                key = next_key(key, codes[at])
-                on = self.open[sample][slot(key)]
-                begin, at, key = begin[on], at[on], key[on]
+                if key is None:  # most anchors end here, on a sum of two looked-up numbers
+                    on = self.open[0][self.walks.first_slot(r, begins, codes[at])]
+                    begin, at = begin[on], at[on]
+                    key = next_key(first_key(r, codes[begin]), codes[at])
+                else:
+                    key = next_key(key, codes[at])
+                    on = self.open[sample][slot(key)]
+                    begin, at, key = begin[on], at[on], key[on]
+                if not len(key):
+                    break
                 over = self.stop[sample][slot(key)]
                 for b, k in zip(begin[over].tolist(), key[over].tolist(), strict=True):
                     found.update((b, b - offset, number) for number, offset in self.ends.get(k, ()))
@@ -229,11 +275,10 @@ class Index:
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for owner, number, low, high in self.likely(codes, begins):
             pattern = self.items[number][1]
-            if (got := find_within(pattern, codes[low:high].tolist(), most_edits(len(pattern)))) is not None:
+            if (got := place_within(pattern, codes[low:high].tolist(), most_edits(len(pattern)))) is not None:
                 best[owner, number] = min(best.get((owner, number), (1 << 30, 0)), (got[0], low + got[1]))
-        for (owner, number), (edits, end) in sorted(best.items()):
-            n = len(self.items[number][1])
-            yield owner, self.items[number][0], edits, max(0, end - n - int(begins[owner])), n
+        for (owner, number), (edits, begin) in sorted(best.items()):
+            yield owner, self.items[number][0], edits, begin - int(begins[owner]), len(self.items[number][1])
         if self.short:
             for owner, words in enumerate(texts):
                 yield from ((owner, key, 0, first, n) for key, first, n in self.short_hits(words))
@@ -252,34 +297,107 @@ def slot(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(64 - _SLOTS)).astype(np.int64)
 
 
+def windows(items: list[list[int]], starts: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The item, the offset in it and the place in the joined codes of each start; and these codes, with an END after each item."""
+    begins = np.cumsum([0, *(len(cs) + 1 for cs in items)])
+    codes = np.full(begins[-1], END, np.int64)
+    for at, cs in zip(begins.tolist(), items, strict=False):
+        codes[at : at + len(cs)] = cs
+    number = np.repeat(np.arange(len(items)), [len(own) for own in starts])
+    offset = np.array([o for own in starts for o in own], np.int64)
+    return number, offset, codes, begins[number] + offset
+
+
+def sampled(walks: Walks, r: int, codes: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where the walks from the places ``at`` are at each sample, and their keys with it."""
+    step, key = 0, first_key(r, codes[at])
+    for place in walks.places[r].tolist():
+        while step < place:
+            at = at + walks.moves(r, step)[codes[at]]
+            step += 1
+        key = next_key(key, codes[at])
+        yield at, key
+
+
+def edited(codes: list[int], chance: np.random.Generator, edits: int) -> list[int]:
+    """A copy with so many words replaced, left out, or preceded by a word that no item has."""
+    kinds = dict(zip(chance.choice(len(codes), edits, replace=False).tolist(), chance.integers(0, 3, edits).tolist(), strict=True))
+    made: list[int] = []
+    for i, c in enumerate(codes):
+        made += {None: [c], 0: [OTHER], 1: [], 2: [OTHER, c]}[kinds.get(i)]
+    return made
+
+
+def repetitions_for(items: list[list[int]], starts: list[list[int]], anchor: np.ndarray, longest: int) -> tuple[int, float]:
+    """The least repetitions that find RECALL of edited copies of items, in each class of lengths, and the least class's share.
+
+    Copies have as many edits as are allowed. Classes go by powers of two. Of more
+    than TRIED_ITEMS items, as many of each class are tried.
+    """
+    size_class = [len(cs).bit_length() for cs in items]
+    chance = np.random.default_rng(9)
+    tried: list[int] = []
+    for c in sorted(set(size_class)):
+        own = [i for i, k in enumerate(size_class) if k == c]
+        tried += chance.permutation(own)[: max(1, TRIED_ITEMS // len(set(size_class)))].tolist()
+    if not tried:
+        return 1, 1.0
+    copies = [edited(items[i], chance, most_edits(len(items[i]))) for i in tried for _ in range(TRIED_COPIES)]
+    walks = Walks(len(anchor), longest, MOST_REPETITIONS)
+    number, _, own_codes, own_at = windows([items[i] for i in tried], [starts[i] for i in tried])
+    copy, _, copy_codes, copy_at = windows(copies, [[i for i, c in enumerate(cs) if anchor[c]] for cs in copies])
+    kind = np.repeat(np.array([size_class[i] for i in tried]), TRIED_COPIES)
+    found = np.zeros(len(copies), bool)
+    for r in range(MOST_REPETITIONS):
+        final = np.zeros(len(number), np.uint64)
+        for place, key in sampled(walks, r, own_codes, own_at):
+            final = np.where(own_codes[place] != END, key, final)
+        wanted = np.unique(final[final > 0] ^ number[final > 0].astype(np.uint64))
+        for _, key in sampled(walks, r, copy_codes, copy_at):
+            found[copy[np.isin(key ^ (copy // TRIED_COPIES).astype(np.uint64), wanted)]] = True
+        share = min(found[kind == k].mean() for k in set(kind.tolist()))
+        if share >= RECALL:
+            break
+    return r + 1, float(share)
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, edits, first_word, n_words) for each item that a document holds with MOST_EDITED edits or fewer.
 
     Words are lower-cased and without punctuation; in scripts without spaces each
     character is one. Null texts hold nothing; items that are null, or have no
     word, are looked for nowhere, and those of fewer than MIN_WORDS as they are.
-    Repeated documents and items each have rows of their own. ``first_word`` counts from 0,
-    for the place with the fewest edits. The benchmark is looked for in parts of
-    PASS_CHARS characters, so that what is sent to the executors is bounded.
+    Repeated documents and items each have rows of their own; null ids are ids
+    like any other; an empty table gives an empty result; columns of other names
+    are not looked at. Whole texts are read, of any length; a text is in memory
+    with its words. ``first_word`` counts from 0, for the place with the fewest
+    edits, of equally good ones the first.
+
+    Documents are read once. What is looked for is broadcast in parts of
+    PASS_CHARS characters of items; the driver makes one part after the other, and
+    a worker holds one at a time, so neither grows with the benchmark.
     """
     picked = pick(docs, doc_id=id_col, text=text_col)
     asked = pick(benchmark, item_id="item_id", text="text").filter("text is not null")
     kinds = [f.dataType.simpleString() for f in (picked.schema["doc_id"], asked.schema["item_id"])]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, first_word int, n_words int"
     total = asked.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = -(-total // PASS_CHARS) or 1
-    out = None
-    for part in range(parts):
-        rows = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
+    n_parts = -(-total // PASS_CHARS) or 1
+    parts = []
+    for part in range(n_parts):
+        rows = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == part).collect()
         index = Index.of(sorted(((r[0], r[1]) for r in rows), key=lambda x: (str(x[0]), x[1])))
+        parts.append(docs.sparkSession.sparkContext.broadcast(index))
 
-        def run(keys: list, texts: list, index: Index = index) -> Iterator[tuple]:
-            for i, item, edits, first, n in index.hits([tokens(t) for t in texts]):
+    def run(keys: list, texts: list) -> Iterator[tuple]:
+        split = [tokens(t) for t in texts]
+        for part in parts:
+            for i, item, edits, first, n in part.value.hits(split):
                 yield keys[i], item, edits, first, n
+            if len(parts) > 1:
+                vars(part).pop("_value", None)  # read again for the next slice of documents
 
-        found = map_texts(picked, run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return map_texts(picked, run, schema)
 
 
 def op8(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
