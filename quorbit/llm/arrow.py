@@ -14,15 +14,19 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 BATCH_BYTES = 4 << 20
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    kind = _parse_datatype_string(schema)
+    assert isinstance(kind, StructType)
+    return to_arrow_schema(kind)
+
+
 def map_texts(df: DataFrame, rows: Callable[[list, list], Iterable[tuple]], schema: str) -> DataFrame:
     """Applies ``rows(keys, texts)`` to slices of a two-column (key, text) frame.
 
     Slices hold about BATCH_BYTES of text, or one longer text. ``rows`` yields
     tuples of ``schema``.
     """
-    kind = _parse_datatype_string(schema)
-    assert isinstance(kind, StructType)
-    out = to_arrow_schema(kind)
+    out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -31,7 +35,7 @@ def map_texts(df: DataFrame, rows: Callable[[list, list], Iterable[tuple]], sche
                 columns = list(zip(*made, strict=True)) or [()] * len(out)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
-    return df.mapInArrow(run, kind)
+    return df.mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:

@@ -321,26 +321,35 @@ def test_pieces_of_tables(hard_docs, hard_rows, no_docs, clashing, library):
 
 
 def plain_scores(docs):
+    """Counts of n-grams in dictionaries, and the interpolated probability of each token by its definition."""
     tokens = [["<b>", *WORD.findall((t or "").translate(LOWER)), "<e>"] for _, t in docs]
-    words, pairs = Counter(), Counter()
+    count = Counter()
     for (i, _), w in zip(docs, tokens, strict=True):
         if crc(i) % 5 != 1:
-            words.update(w)
-            pairs.update(zip(w, w[1:], strict=False))
-    begins = words.pop("<b>", 0)
+            count.update(tuple(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    words = {g[0]: n for g, n in count.items() if len(g) == 1 and g != ("<b>",)}
     total = sum(words.values())
     size = total + 0.5 * (len(words) + 1)
-    count = lambda h: begins if h == "<b>" else words[h]
+
+    def p(h, w):
+        if not h:
+            return (words.get(w, 0) + 0.5) / size
+        return (count[(*h, w)] + lm_scoring.MASS * p(h[1:], w)) / (count[h] + lm_scoring.MASS)
+
     for (i, _), w in zip(docs, tokens, strict=True):
-        base = sum(math.log10((words[x] + 0.5) / size) for x in w[1:])
-        smooth = sum(math.log10((pairs[a, b] + lm_scoring.MASS * (words[b] + 0.5) / size) / (count(a) + lm_scoring.MASS)) for a, b in zip(w, w[1:], strict=False))
-        yield (i, crc(i) % 5 == 1, len(w) - 1, sum(words[x] > 0 for x in w[1:]), total, base, smooth)
+        base = sum(math.log10(p((), x)) for x in w[1:])
+        smooth = sum(math.log10(p(tuple(w[max(0, k - 2) : k]), w[k])) for k in range(1, len(w)))
+        yield (i, crc(i) % 5 == 1, len(w) - 1, sum(x in words for x in w[1:]), total, base, smooth)
 
 
-@pytest.mark.parametrize("size", [2000, 10**9])
-def test_scores(hard_docs, hard_rows, no_docs, clashing, monkeypatch, size):
+@pytest.mark.parametrize("size, fan", [(2000, 2048), (2000, 4), (10**9, 2048)])
+def test_scores(hard_docs, hard_rows, no_docs, clashing, monkeypatch, size, fan):
+    """Few and many blocks, asked directly and through sets of blocks; lanes that cut texts."""
     monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", size)
     monkeypatch.setattr(lm_scoring, "RANGE_BYTES", 3 * size)
+    monkeypatch.setattr(lm_scoring, "LEAST_BLOCKS", 3)
+    monkeypatch.setattr(lm_scoring, "LEAST_RANGES", 2)
+    monkeypatch.setattr(lm_scoring, "FAN", fan)
     key = lambda r: (repr(r[0]), r[2], r[5])
     want = sorted(plain_scores([r[:2] for r in hard_rows]), key=key)
     found = sorted(rows(lm_scoring.op7(clashing(hard_docs))), key=key)
@@ -350,15 +359,59 @@ def test_scores(hard_docs, hard_rows, no_docs, clashing, monkeypatch, size):
     assert rows(lm_scoring.op7(no_docs)) == []
 
 
+def test_scores_of_a_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want = {r[0]: r for r in plain_scores(rows(docs.select("doc_id", "text")))}
+    found = rows(lm_scoring.op7(docs))
+    assert len(found) == len(want)
+    for r in found:
+        assert r[:5] == want[r[0]][:5]
+        assert r[5:] == pytest.approx(want[r[0]][5:], rel=1e-9)
+
+
+def follow(model, block, words):
+    """One step after the other along arcs and failure arcs, with the state carried, of a text of the block."""
+    steps, order, score = block.at[block.starts[words] : block.starts[words] + block.sizes[words]], 1, 0.0
+    for t in steps.tolist():
+        while np.isnan(model.arc[order][t]):
+            score += model.fail[order][t]
+            order -= 1
+        score += model.arc[order][t]
+        pair = block.triples[t] & 0xFFFFFFFF
+        order = 2 if not np.isnan(model.arc[1][t]) else 1 if model.word_count[block.pairs[pair] & 0xFFFFFFFF] else 0
+    return score
+
+
+def test_traversal_takes_arcs_and_failure_arcs(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LANE", 3)
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 40))).encode() for _ in range(30)]
+    block = lm_scoring.Block(texts)
+    learnt = np.array([i % 3 > 0 for i in range(30)])
+    totals = block.counts(learnt)
+    known = [i for i in range(block.n_words) if totals[i] and i != lm_scoring.BEGIN]
+    model = lm_scoring.BackoffAutomaton(block, totals, int(totals[known].sum()), len(known))
+    assert model.traverse(block) == pytest.approx([follow(model, block, i) for i in range(30)], rel=1e-12)
+
+
 def test_probabilities_sum_to_one():
-    block = lm_scoring.Block(["a b a c", "b b"])
-    totals = block.counts([True, True])
-    words = totals[: block.n_words].copy()
-    words[lm_scoring.BEGIN] = 0
-    known = [i for i in range(block.n_words) if words[i]]
-    tokens = int(words.sum())
-    root = (words + 0.5) / (tokens + 0.5 * (len(known) + 1))
-    assert sum(root[i] for i in known) + 0.5 / (tokens + 0.5 * (len(known) + 1)) == pytest.approx(1)
+    """Over all known words and one unknown, after every context."""
+    words = [f"w{i}".encode() for i in range(5)]
+    rng = random.Random(1)
+    learnt = [b" ".join(rng.choice(words) for _ in range(30)) for _ in range(3)]
+    contexts = [(a, b) for a in words for b in words]
+    asked = [b" ".join((*c, w)) for c in contexts for w in (*words, b"unknown")] + [b" ".join(c) for c in contexts]
+    block = lm_scoring.Block(learnt + asked)
+    totals = block.counts(np.array([True] * len(learnt) + [False] * len(asked)))
+    known = [i for i in range(block.n_words) if totals[i] and i != lm_scoring.BEGIN]
+    model = lm_scoring.BackoffAutomaton(block, totals, int(totals[known].sum()), len(known))
+    third = {}
+    for n, text in enumerate(asked, len(learnt)):
+        steps = block.at[block.starts[n] : block.starts[n] + block.sizes[n]]
+        step = int(steps[2])
+        order = int(model.reached[steps[1]])
+        third.setdefault(tuple(text.split()[:2]), []).append(10 ** model.moves[order * len(block.triples) + step])
+    assert all(sum(p) == pytest.approx(1) for p in third.values()) and len(third) == 25
 
 
 # -- 8: benchmark -------------------------------------------------------------
