@@ -256,15 +256,15 @@ def cut_into(asker: int, keys: np.ndarray, n: np.ndarray, starts: np.ndarray, nu
     spans = list(zip(cuts, cuts[1:], strict=False))
     return pa.table(
         {
-            "block": pa.array([asker] * len(spans), pa.int64()),
-            "part": pa.array(range(number, number + len(spans)), pa.int64()),
+            "block": pa.array([asker] * len(spans), pa.int32()),
+            "part": pa.array(range(number, number + len(spans)), pa.int32()),
             "keys": pa.array([packed(keys[a:b]) for a, b in spans], pa.binary()),
             "n": pa.array([packed(n[a:b]) for a, b in spans], pa.binary()),
         }
     )
 
 
-ASKED, ANSWERED = "block long, part long, keys binary, n binary", "block long, part long, n binary, tokens long, kinds long"
+ASKED, ANSWERED = "block int, part int, keys binary, n binary", "block int, part int, n binary, tokens long, kinds long"
 
 
 def ask(dealt: pa.Table, n_parts: int) -> pa.Table:
@@ -322,11 +322,11 @@ def joined(answers: pa.Table) -> tuple[int, int, np.ndarray]:
 def exchanged(asked: DataFrame, n_blocks: int, n_parts: int, n_ranges: int) -> DataFrame:
     """Answers to all blocks. With as many parts as ranges directly, else through sets of as many blocks as there are parts."""
     if n_parts == n_ranges:
-        return asked.groupBy("part").applyInArrow(answer, ANSWERED)
+        return asked.repartitionById(n_parts, "part").groupBy("part").applyInArrow(answer, ANSWERED)
     sets = -(-n_blocks // n_parts)
     asked = asked.withColumn("unit", (F.col("block") % sets) * n_parts + F.col("part"))
     merged = asked.groupBy("unit").applyInArrow(lambda t: gather(t, n_parts, n_ranges), ASKED)
-    far = merged.groupBy("part").applyInArrow(answer, ANSWERED)
+    far = merged.repartitionById(n_ranges, "part").groupBy("part").applyInArrow(answer, ANSWERED)
     return asked.groupBy("unit").cogroup(far.groupBy("block")).applyInArrow(spread, ANSWERED)
 
 
@@ -372,11 +372,12 @@ def lm_scores(docs: DataFrame, fold: int = 1, id_col: str = "doc_id", text_col:
     n_blocks = max(LEAST_BLOCKS, -(-size // BLOCK_BYTES))
     n_parts, n_ranges = parts_for(max(LEAST_RANGES, -(-size // RANGE_BYTES)))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, doc_id array<{kind}>, learnt array<boolean>, sizes array<long>, data binary"
+    schema = f"block int, doc_id array<{kind}>, learnt array<boolean>, sizes array<long>, data binary"
     marked = rows.select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", learnt.alias("learnt"), "text")
-    dealt = marked.mapInArrow(deal(n_blocks, arrow_schema(schema)), schema).repartition(n_blocks, "block")
+    # a task for each block and each range, so that none gets several by chance
+    dealt = marked.mapInArrow(deal(n_blocks, arrow_schema(schema)), schema).repartitionById(n_blocks, "block")
     asked = dealt.groupBy("block").applyInArrow(lambda t: ask(t, n_parts), ASKED)
-    answers = exchanged(asked, n_blocks, n_parts, n_ranges)
+    answers = exchanged(asked, n_blocks, n_parts, n_ranges).repartitionById(n_blocks, "block")
     return (
         dealt.groupBy("block")  # both uses of the dealt texts share one exchange
         .cogroup(answers.groupBy("block"))
