@@ -71,7 +71,7 @@ class Vocabulary(dict):
     def ids(self, text: bytes) -> np.ndarray:
         """Begin, the words, end."""
         words = text.lower().split()
-        out = np.empty(len(words) + 2, np.int64)
+        out = np.empty(len(words) + 2, np.int32)
         out[0], out[-1] = BEGIN, END
         out[1:-1] = list(map(self.__getitem__, words))
         return out
@@ -96,6 +96,18 @@ def longer_keys(shorter: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(29))) & ~_ONE
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and each value's place among them, in four bytes."""
+    order = np.argsort(values, kind="stable").astype(np.int32)
+    new = np.empty(len(values), bool)
+    new[:1] = True
+    inorder = values[order]
+    np.not_equal(inorder[1:], inorder[:-1], out=new[1:])
+    place = np.empty(len(values), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return inorder[new], place
+
+
 class Block:
     """A block's texts as numbers, its distinct n-grams, and their keys in the order of ``order``.
 
@@ -109,10 +121,16 @@ class Block:
         ids = [vocabulary.ids(t) for t in texts]
         self.sizes = np.array([len(t) - 1 for t in ids], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.pairs, pair_at = np.unique(np.concatenate([t[:-1] << 32 | t[1:] for t in ids]), return_inverse=True)
-        before = np.concatenate([[0], pair_at[:-1] + 1])
+        joined_ids = np.concatenate(ids)
+        begins = self.starts + np.arange(len(ids))  # of texts among the joined numbers, which have a begin each
+        del ids
+        self.pairs, pair_at = numbered(np.delete(joined_ids[:-1].astype(np.int64) << 32 | joined_ids[1:], begins[1:] - 1))
+        del joined_ids
+        before = np.empty(len(pair_at), np.int64)
+        before[1:] = pair_at[:-1] + 1
         before[self.starts] = 0
-        self.triples, self.at = np.unique(before << 32 | pair_at, return_inverse=True)
+        self.triples, self.at = numbered(before << 32 | pair_at)
+        del before, pair_at
         words = np.fromiter(map(word_hash, vocabulary), np.uint64, len(vocabulary))
         self.n_words, self.n_firsts = len(words), int(np.searchsorted(self.triples, 1 << 32))
         pair_keys = longer_keys(words[self.pairs >> 32], words[self.pairs & 0xFFFFFFFF])
