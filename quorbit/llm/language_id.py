@@ -2,14 +2,21 @@
 
 A suffix automaton of each language's labelled text finds, from any place of a
 text, the longest match with that language. A text is parsed greedily into such
-longest matches, and the language that needs the fewest phrases a character
-wins. Automata are kept as dense transition tables in which a failed step begins
-the next phrase, so one table lookup a character parses many texts at once.
+longest matches. A language with more text has longer matches; so the number of
+phrases is normalised by the logarithm of the length of the language's text, as in
+the cross-parsing estimate of entropy, phrases x log2(length) / characters, and the
+language of the least entropy wins.
+
+Automata are kept as rows laid over one another in one array, so that one lookup a
+character and language parses many pieces of texts at once. Pieces are first parsed
+as if a phrase began with each; then each is parsed again from the state that the
+piece before it ends in, until both parses are in the same state. So the cut into
+pieces changes nothing.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,14 +27,13 @@ from pyspark.sql import functions as F
 from quorbit.llm.arrow import map_texts
 from quorbit.llm.columns import pick
 
-#: The sample of labelled texts that is learnt from: so many documents a language, and so many characters of them together, shared evenly.
-SAMPLE_DOCS, SAMPLE_CHARS = 48, 16_000
-#: Letters that have a class of their own; all others share one, and what is no letter is a gap.
-LETTERS = 120
-#: Phrases end where a block of a text ends; blocks of many texts are parsed side by side.
-BLOCK = 1024
-LANES = 8192
+#: The sample of labelled texts that is learnt from: so many different texts a language, whole, with so many characters together, at most.
+SAMPLE_DOCS, SAMPLE_CHARS = 48, 150_000
+#: Characters of a piece, and pieces that are parsed side by side; neither changes a result.
+PIECE, LANES = 1024, 8192
+#: Classes of characters: what is no letter, letters that no sample has, and from 2 on the samples' letters.
 GAP, OTHER = 0, 1
+_TARGET = (1 << 32) - 1
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -59,23 +65,81 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return steps
 
 
-def parse_table(symbols: list[int], classes: int) -> np.ndarray:
-    """2 * next state + 1 if a phrase begins there, for each state and class."""
-    steps = suffix_automaton(symbols)
-    fresh = np.array([2 * steps[0].get(c, 0) + 1 for c in range(classes)], np.int32)
-    table = np.tile(fresh, (len(steps), 1))
-    for state, out in enumerate(steps):
-        for c, to in out.items():
-            table[state, c] = 2 * to if state else 2 * to + 1
-    return table.ravel()
+@dataclass(frozen=True)
+class Automaton:
+    """Transitions as rows that are laid over one another: a state is told by where its row begins.
+
+    The entry at state + class holds owner << 32 | next state, and is the state's
+    own if it is the owner. ``fresh`` has the next state for a class at which a
+    phrase begins. The root owns nothing, so any class begins a phrase there.
+    """
+
+    entries: np.ndarray
+    fresh: np.ndarray
+    root: int
+    size: int  # of the text
+
+    @classmethod
+    def of(cls, symbols: list[int], classes: int) -> Automaton:
+        steps = suffix_automaton(symbols)
+        place = laid_over([list(out) for out in steps[1:]], classes)
+        root = max(place, default=0) + 1
+        begin = [root, *place]
+        entries = np.full(root + classes, -1 << 32, np.int64)
+        for state, out in zip(place, steps[1:], strict=True):
+            for c, to in out.items():
+                entries[state + c] = state << 32 | begin[to]
+        fresh = np.array([begin[steps[0].get(c, 0)] for c in range(classes)], np.int64)
+        return cls(entries, fresh, root, len(symbols))
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where no phrase began."""
+        found = self.entries.take(state + symbols)
+        on = (found >> 32) == state
+        return np.where(on, found & _TARGET, self.fresh.take(symbols)), on
+
+
+def laid_over(rows: list[list[int]], classes: int) -> list[int]:
+    """Where each row begins, so that no two rows begin alike or use the same place; rows of many entries first."""
+    n = sum(map(len, rows))
+    room = 2 * n + 2 * len(rows) + 4 * classes + 8192
+    free, unbegun = np.ones(room, bool), np.ones(room, bool)
+    place = np.zeros(len(rows), np.int64)
+    degree = np.array([len(r) for r in rows], np.int64)
+    low = 0
+    for i in np.argsort(-degree, kind="stable")[: int((degree > 1).sum())].tolist():
+        width, at = 256, low
+        while True:
+            fits = unbegun[at : at + width].copy()
+            for c in rows[i]:
+                fits &= free[at + c : at + c + width]
+            k = int(fits.argmax())
+            if fits[k]:
+                break
+            at, width = at + width, 4096
+        place[i] = begin = at + k
+        unbegun[begin] = False
+        for c in rows[i]:
+            free[begin + c] = False
+        if at > low:  # the rows so far leave few gaps below; what they leave, rows of one entry fill
+            low = at
+    single = np.nonzero(degree == 1)[0]
+    symbol = np.array([rows[i][0] for i in single], np.int64)
+    for c in np.unique(symbol).tolist():
+        own = single[symbol == c]
+        begins = np.nonzero(free[c:] & unbegun[: room - c])[0][: len(own)]
+        place[own] = begins
+        free[begins + c] = unbegun[begins] = False
+    none = np.nonzero(degree == 0)[0]
+    place[none] = np.nonzero(unbegun)[0][: len(none)]
+    return place.tolist()
 
 
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    classes: int
     class_of: np.ndarray  # by code point
-    tables: tuple[np.ndarray, ...]
+    automata: tuple[Automaton, ...]
 
     def codes(self, text: str) -> np.ndarray:
         """Classes of the lower-cased text, with runs of gaps as one."""
@@ -86,59 +150,89 @@ class Model:
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases that each language needs, a row for each text."""
-        owner, blocks = [], []
+        pieces, owner, follows = [], [], []
         for i, codes in enumerate(texts):
-            for at in range(0, len(codes), BLOCK):
+            for at in range(0, len(codes), PIECE):
+                pieces.append(codes[at : at + PIECE])
                 owner.append(i)
-                blocks.append(codes[at : at + BLOCK])
+                follows.append(at > 0)
         total = np.zeros((len(texts), len(self.languages)), np.int64)
-        order = sorted(range(len(blocks)), key=lambda b: -len(blocks[b]))
-        for at in range(0, len(order), LANES):
-            lanes = order[at : at + LANES]
-            sizes = np.array([len(blocks[b]) for b in lanes])
-            grid = np.zeros((sizes[0], len(lanes)), np.uint8)
-            for lane, b in enumerate(lanes):
-                grid[: sizes[lane], lane] = blocks[b]
-            active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
-            who = np.array([owner[b] for b in lanes])
-            for k, table in enumerate(self.tables):
-                state, count = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64)
-                for step, n in enumerate(active.tolist()):
-                    moved = table[state[:n] + grid[step, :n]]
-                    count[:n] += moved & 1
-                    np.multiply(moved >> 1, self.classes, out=state[:n])
-                np.add.at(total[:, k], who, count)
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        grids = [grid_of([pieces[p] for p in order[at : at + LANES].tolist()]) for at in range(0, len(order), LANES)]
+        for k, automaton in enumerate(self.automata):
+            count, end = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+            for n, grid in enumerate(grids):
+                lanes = order[n * LANES : (n + 1) * LANES]
+                count[lanes], end[lanes] = parsed(automaton, grid, sizes[lanes])
+            count += corrections(automaton, pieces, np.array(follows, bool), end)
+            np.add.at(total[:, k], np.array(owner, np.int64), count)
         return total
 
 
-def shared_evenly(texts: list[str], chars: int) -> list[str]:
-    """Beginnings of the texts, of ``chars`` characters together with a blank between: what short texts leave, longer ones share."""
-    left, out = chars - len(texts) + 1, list(texts)
-    for rank, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
-        out[i] = texts[i][: max(0, left // (len(texts) - rank))]
-        left -= len(out[i])
-    return out
+def grid_of(pieces: list[np.ndarray]) -> np.ndarray:
+    """Classes by step and lane; the longest pieces come first."""
+    grid = np.zeros((len(pieces[0]), len(pieces)), np.int64)
+    for lane, piece in enumerate(pieces):
+        grid[: len(piece), lane] = piece
+    return grid
+
+
+def parsed(automaton: Automaton, grid: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that begin in each lane, and the state that it ends in, if a phrase begins with it."""
+    state, matched = np.full(len(sizes), automaton.root), np.zeros(len(sizes), np.int64)
+    for step, n in enumerate(np.searchsorted(-sizes, -np.arange(len(grid)), side="left").tolist()):
+        state[:n], on = automaton.step(state[:n], grid[step, :n])
+        matched[:n] += on
+    return sizes - matched, state
+
+
+def corrections(automaton: Automaton, pieces: list[np.ndarray], follows: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """What each piece's phrases change by, if it goes on in the state that the piece before it ends in.
+
+    Both parses fall into one state after a few phrases, and are alike from there
+    on. Where one does not before the piece ends, the next piece begins in yet
+    another state, and is looked at again.
+    """
+    change, begun = np.zeros(len(pieces), np.int64), np.full(len(pieces), automaton.root)
+    length = np.array([len(p) for p in pieces], np.int64)
+    starts, joined = np.cumsum(length) - length, np.concatenate([*pieces, np.empty(0, np.uint16)]).astype(np.int64)
+    while True:
+        true = np.where(follows, np.roll(end, 1), automaton.root)
+        lanes = np.nonzero(true != begun)[0]
+        if not len(lanes):
+            return change
+        new, old, step = true[lanes], begun[lanes], 0
+        begun[lanes] = new
+        while len(lanes):
+            over = length[lanes] <= step
+            end[lanes[over]] = new[over]
+            lanes, new, old = lanes[~over], new[~over], old[~over]
+            symbols = joined[starts[lanes] + step]
+            (new, one), (old, other) = automaton.step(new, symbols), automaton.step(old, symbols)
+            change[lanes] += other.astype(np.int64) - one
+            apart = new != old
+            lanes, new, old, step = lanes[apart], new[apart], old[apart], step + 1
 
 
 def train(samples: dict[str, list[str]]) -> Model:
-    """A model of the texts that each language has, each with an even share of SAMPLE_CHARS."""
-    texts = {lang: " ".join(shared_evenly([x.lower() for x in t], SAMPLE_CHARS)) for lang, t in sorted(samples.items())}
-    seen = Counter(c for t in texts.values() for c in t if c.isalpha())
-    class_of = np.full(0x110000, GAP, np.uint8)
+    """A model of the whole texts that each language has."""
+    texts = {lang: " ".join(x.lower() for x in t) for lang, t in sorted(samples.items())}
+    letters = sorted({c for t in texts.values() for c in set(t) if c.isalpha()})
+    class_of = np.full(0x110000, GAP, np.uint16 if len(letters) < 60_000 else np.uint32)
     points = np.arange(0x110000)
-    letters = np.fromiter((chr(p).isalpha() for p in points), bool, len(points))
-    class_of[letters] = OTHER
-    for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]):
-        class_of[ord(c)] = i + 2
-    model = Model(tuple(texts), 2 + min(len(seen), LETTERS), class_of, ())
-    return Model(model.languages, model.classes, class_of, tuple(parse_table(model.codes(t).tolist(), model.classes) for t in texts.values()))
+    class_of[np.fromiter((chr(p).isalpha() for p in points), bool, len(points))] = OTHER
+    class_of[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
+    model = Model(tuple(texts), class_of, ())
+    return Model(model.languages, class_of, tuple(Automaton.of(model.codes(t).tolist(), len(letters) + 2) for t in texts.values()))
 
 
 def predict(model: Model, texts: list[str | None]) -> Iterator[tuple[str, float]]:
-    """The language with the fewest phrases and how far the next one is behind, 0 to 1; of equal ones the first by name."""
+    """The language with the fewest normalised phrases and how far the next one is behind, 0 to 1; of equal ones the first by name."""
     known = [bool(t) and any(map(str.isalpha, t)) for t in texts]
-    counts = model.phrases([model.codes(t) if k else np.empty(0, np.uint8) for t, k in zip(texts, known, strict=True)])
-    for row, k in zip(counts, known, strict=True):
+    counts = model.phrases([model.codes(t) if k else np.empty(0, np.uint16) for t, k in zip(texts, known, strict=True)])
+    norm = np.array([math.log2(a.size + 1) for a in model.automata])
+    for row, k in zip(counts * norm, known, strict=True):
         if not k or not model.languages:
             yield "und", 0.0
             continue
@@ -147,28 +241,49 @@ def predict(model: Model, texts: list[str | None]) -> Iterator[tuple[str, float]
         yield model.languages[best], float(1 - row[best] / rest.min()) if len(rest) else 1.0
 
 
+def whole_texts(found: list[tuple[int, int]], most_chars: int) -> list[int]:
+    """Of (hash, length) pairs, the hashes of those that have room, in order of their hashes; if none has, of the shortest."""
+    taken, left = [], most_chars
+    for h, n in sorted(found):
+        if n <= left:
+            taken.append(h)
+            left -= n
+    return taken or [h for _, h in sorted((n, h) for h, n in found)[:1]]
+
+
 def labelled_sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, chars_each: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """(key, text, lang) rows to texts by language: the ``docs_each`` of the least hash, of 200 to 20,000 characters.
+    """(text, lang) rows to texts by language, in order of their hashes.
 
-    Shorter and longer documents are taken where a language has no others.
+    Different texts of a language are taken in order of their hash, ``docs_each`` at
+    most, each whole, and those passed over that would bring a language beyond
+    ``chars_each`` characters; a language whose texts are all longer than that has
+    the shortest of its ``docs_each``. Copies count once. Two small jobs bring the
+    hashes, and then the chosen texts, to the driver.
     """
-    fit = F.when(F.length("text").between(200, 20_000), 0).otherwise(1)
-    named = docs.filter("text is not null and lang is not null").select("lang", "key", fit.alias("unfit"), F.xxhash64("key", F.lit("sample")).alias("h"))
-    chosen = named.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("unfit", "h", "key"))).filter(F.col("n") <= docs_each)
-    keys = [r[0] for r in chosen.select("key").distinct().collect()]  # docs_each a language
-    rows = docs.filter(F.col("key").isin(keys)).select("lang", "key", F.substring("text", 1, chars_each).alias("text")).dropDuplicates(["lang", "key"]).collect() if keys else []
-    found: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (str(r["lang"]), str(r["key"]))):
-        if r["lang"] is not None and r["text"] is not None:
-            found.setdefault(r["lang"], []).append(r["text"])
-    return found
+    named = docs.filter("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
+    least = named.select("lang", "h", F.length("text").alias("n")).withColumn("rank", rank).filter(F.col("rank") <= docs_each)
+    sizes: dict[str, dict[int, int]] = {}
+    for lang, h, n in least.select("lang", "h", "n").distinct().collect():
+        sizes.setdefault(lang, {})[h] = n
+    chosen = {lang: whole_texts(list(found.items()), chars_each) for lang, found in sizes.items()}
+    if not chosen:
+        return {}
+    wanted = F.lit(False)
+    for lang, hashes in chosen.items():
+        wanted = wanted | ((F.col("lang") == lang) & F.col("h").isin(hashes))
+    rows = named.filter(wanted).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    return {lang: [r["text"] for r in sorted(rows, key=lambda r: r["h"]) if r["lang"] == lang] for lang in sorted(chosen)}
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: doc_id, lang_pred, score.
 
-    Whole texts; case is ignored, runs of what is no letter count as one gap.
-    ``und`` and 0 for null texts and those without a letter. Repeated rows stay.
+    Whole texts of any length; case is ignored, runs of what is no letter count as
+    one gap. ``und`` and 0 for null texts and those without a letter, and where
+    nothing was learnt. Equal phrases: the first language by name. Repeated rows
+    and null ids stay; an empty table gives an empty result; columns of other names
+    are not looked at.
     """
     picked = pick(docs, doc_id=id_col, text=text_col)
     rows = lambda keys, texts: ((k, *p) for k, p in zip(keys, predict(model, texts), strict=True))
@@ -181,6 +296,7 @@ def held_out(key: str, fold: int) -> Column:
 
 
 def op4(docs: DataFrame) -> DataFrame:
+    """Learns from rows with a language outside the held-out ones; rows with a null id count by an empty one."""
     labelled = pick(docs, key="doc_id", text="text", lang="lang").filter(~held_out("key", 0))
-    model = train(labelled_sample(labelled))
+    model = train(labelled_sample(labelled.select("text", "lang")))
     return identify(docs, model).select("doc_id", held_out("doc_id", 0).alias("held_out"), "lang_pred", "score")

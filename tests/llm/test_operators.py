@@ -192,31 +192,83 @@ def test_bad_hosts_are_blocked_and_few_labels_are_not_enough(spark):
 # -- 4: languages -------------------------------------------------------------
 
 
-def plain_phrases(table_text, codes, block):
+def plain_phrases(table_text, codes):
     """Greedy longest matches, by substring search."""
-    text, n = "".join(map(chr, table_text)), 0
-    for at in range(0, len(codes), block):
-        part, i = "".join(map(chr, codes[at : at + block])), 0
-        while i < len(part):
-            k = 1
-            while i + k < len(part) and part[i : i + k + 1] in text:
-                k += 1
-            n, i = n + 1, i + k
+    text, part, n, i = "".join(map(chr, table_text)), "".join(map(chr, codes)), 0, 0
+    while i < len(part):
+        k = 1
+        while i + k < len(part) and part[i : i + k + 1] in text:
+            k += 1
+        n, i = n + 1, i + k
     return n
 
 
-def test_phrases_are_longest_matches(monkeypatch):
-    monkeypatch.setattr(language_id, "BLOCK", 37)
-    monkeypatch.setattr(language_id, "LANES", 5)
+@pytest.mark.parametrize("piece, lanes", [(37, 5), (3, 4), (1, 7), (1024, 8192)])
+def test_phrases_are_longest_matches(monkeypatch, piece, lanes):
+    """However texts are cut into pieces."""
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    monkeypatch.setattr(language_id, "LANES", lanes)
     rng = random.Random(2)
     learnt = {"a": ["".join(rng.choice("abcde ") for _ in range(300))], "b": ["".join(rng.choice("cdefg ") for _ in range(200))]}
     model = language_id.train(learnt)
-    texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (0, 1, 30, 37, 38, 200, 500)]
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (0, 1, 30, 37, 38, 200, 500)] + [learnt["a"][0][20:290], learnt["b"][0] * 2]
     codes = [model.codes(t) for t in texts]
     got = model.phrases(codes)
     for k, lang in enumerate(model.languages):
         own = model.codes(learnt[lang][0])
-        assert got[:, k].tolist() == [plain_phrases(own, c, 37) for c in codes]
+        assert got[:, k].tolist() == [plain_phrases(own, c) for c in codes]
+
+
+def plain_languages(docs):
+    """The query by its definition: texts of the least hashes, phrases by substring search, each times log2 of the language's length."""
+    learnt = {}
+    for i, text, lang in docs:
+        if text is not None and lang is not None and crc(i) % 5:
+            learnt.setdefault(lang, set()).add(text)
+    def clean(text):
+        return re.sub(r"[\W\d_]+", " ", text.lower())
+
+    models = {}
+    for lang, texts in sorted(learnt.items()):
+        hashes = {}
+        for t in texts:
+            hashes[xx64(t)] = t
+        left, taken = language_id.SAMPLE_CHARS, []
+        for h in sorted(hashes)[: language_id.SAMPLE_DOCS]:
+            if len(hashes[h]) <= left:
+                taken.append(hashes[h])
+                left -= len(hashes[h])
+        models[lang] = re.sub(" +", " ", clean(" ".join(taken)))
+    for i, text, _ in docs:
+        if not text or not any(map(str.isalpha, text)):
+            yield i, crc(i) % 5 == 0, "und", 0.0
+            continue
+        cost = sorted((plain_phrases(map(ord, m), map(ord, clean(text))) * math.log2(len(m) + 1), lang) for lang, m in models.items())
+        yield i, crc(i) % 5 == 0, cost[0][1], 1 - cost[0][0] / cost[1][0]
+
+
+def xx64(text):
+    """Spark's hash of a string column, as a signed number."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_language_query_against_a_plain_version(spark, small):
+    """Also with an id that several texts share, null ids, and a script of 500 letters."""
+    script = [chr(0x4E00 + i) for i in range(500)]
+    rng = random.Random(4)
+    docs = [(r[0], r[1], r[2]) for r in rows(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").orderBy("doc_id").limit(60))]
+    docs = [(i, t[:1500], lang) for i, t, lang in docs]
+    phrases = ["".join(rng.choices(script, k=6)) for _ in range(120)]
+    docs += [(900 + k, " ".join(rng.choices(phrases, k=40)), "zz") for k in range(12)]
+    docs += [(7, f"a text of its own with the number {k}", "en") for k in range(4)] + [(None, "ohne Nummer", "de"), (None, "12 34", None), (8, None, "fr")]
+    rng.shuffle(docs)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    order = lambda r: (repr(r[0]), r[2], r[3])
+    found, want = sorted(rows(language_id.op4(frame)), key=order), sorted(plain_languages(docs), key=order)
+    assert [r[:3] for r in found] == [r[:3] for r in want]
+    assert [r[3] for r in found] == pytest.approx([r[3] for r in want], rel=1e-9)
+    assert sum(r[2] == "zz" for r in found) == 12
 
 
 def test_language_held_out(spark, small):

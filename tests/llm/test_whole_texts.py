@@ -9,14 +9,13 @@ def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
-def test_language_learns_from_each_text():
+def test_language_learns_from_whole_texts():
     long_text = "ab cd " * 10_000
     model = language_id.train({"xx": [long_text, "pqr stu", long_text]})
     letters = {c for c in "abcdpqrstu" if model.class_of[ord(c)] not in (language_id.GAP, language_id.OTHER)}
-    assert letters == set("abcdpqrstu")
-    shares = language_id.shared_evenly([long_text, "pqr stu", long_text], 1_001)
-    assert [len(x) for x in shares] == [496, 7, 496] and len(" ".join(shares)) == 1_001
-    assert language_id.shared_evenly(["a", "b"], 100) == ["a", "b"] and language_id.shared_evenly([], 100) == []
+    assert letters == set("abcdpqrstu") and model.automata[0].size == 2 * len(long_text) + 8
+    assert language_id.whole_texts([(5, 40), (1, 70), (3, 50), (4, 30)], 100) == [1, 4]
+    assert language_id.whole_texts([(5, 400), (1, 700)], 100) == [5] and language_id.whole_texts([], 100) == []
 
 
 def test_short_items_are_found_as_they_are(spark):
