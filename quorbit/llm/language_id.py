@@ -16,9 +16,9 @@ pieces changes nothing.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -28,9 +28,9 @@ from quorbit.llm.arrow import map_texts
 from quorbit.llm.columns import pick
 
 #: The sample of labelled texts that is learnt from: so many different texts a language, whole, with so many characters together, at most.
-SAMPLE_DOCS, SAMPLE_CHARS = 48, 150_000
+SAMPLE_DOCS, SAMPLE_CHARS = 48, 100_000
 #: Characters of a piece, and pieces that are parsed side by side; neither changes a result.
-PIECE, LANES = 1024, 8192
+PIECE, LANES = 1024, 4096
 #: Classes of characters: what is no letter, letters that no sample has, and from 2 on the samples' letters.
 GAP, OTHER = 0, 1
 _TARGET = (1 << 32) - 1
@@ -66,46 +66,54 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 @dataclass(frozen=True)
-class Automaton:
-    """Transitions as rows that are laid over one another: a state is told by where its row begins.
+class Automata:
+    """Each language's transitions, as rows that are laid over one another: a state is told by where its row begins.
 
     The entry at state + class holds owner << 32 | next state, and is the state's
-    own if it is the owner. ``fresh`` has the next state for a class at which a
-    phrase begins. The root owns nothing, so any class begins a phrase there.
+    own if it is the owner. ``fresh`` has the next state of each language for a
+    class at which a phrase begins. Roots own nothing, so any class begins a phrase
+    there.
     """
 
     entries: np.ndarray
     fresh: np.ndarray
-    root: int
-    size: int  # of the text
+    roots: np.ndarray
+    sizes: np.ndarray  # of the languages' texts
 
     @classmethod
-    def of(cls, symbols: list[int], classes: int) -> Automaton:
-        steps = suffix_automaton(symbols)
-        place = laid_over([list(out) for out in steps[1:]], classes)
-        root = max(place, default=0) + 1
-        begin = [root, *place]
-        entries = np.full(root + classes, -1 << 32, np.int64)
-        for state, out in zip(place, steps[1:], strict=True):
-            for c, to in out.items():
-                entries[state + c] = state << 32 | begin[to]
-        fresh = np.array([begin[steps[0].get(c, 0)] for c in range(classes)], np.int64)
-        return cls(entries, fresh, root, len(symbols))
-
-    def step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def of(cls, texts: list[list[int]], classes: int) -> Automata:
+        entries, fresh, roots = [np.empty(0, np.int64)], np.empty((len(texts), classes), np.int64), []
+        for k, symbols in enumerate(texts):
+            steps, offset = suffix_automaton(symbols), sum(map(len, entries))
+            rows = steps[1:]
+            degree = np.fromiter(map(len, rows), np.int64, len(rows))
+            symbol = np.fromiter(chain.from_iterable(rows), np.int64, degree.sum())
+            to = np.fromiter(chain.from_iterable(map(dict.values, rows)), np.int64, degree.sum())
+            place = laid_over(rows, degree, symbol, classes)
+            root = int(place.max(initial=0)) + 1
+            begin, owner = np.append(root, place) + offset, np.repeat(place, degree)
+            own = np.full(root + classes, -1 << 32, np.int64)
+            own[owner + symbol] = (owner + offset) << 32 | begin[to]
+            entries.append(own)
+            roots.append(root + offset)
+            fresh[k] = [begin[steps[0].get(c, 0)] for c in range(classes)]
+        return cls(np.concatenate(entries), fresh, np.array(roots, np.int64), np.array([len(t) for t in texts], np.int64))
+
+    def step(self, state: np.ndarray, symbols: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states, and where no phrase began."""
         found = self.entries.take(state + symbols)
         on = (found >> 32) == state
-        return np.where(on, found & _TARGET, self.fresh.take(symbols)), on
+        return np.where(on, found & _TARGET, fresh), on
 
 
-def laid_over(rows: list[list[int]], classes: int) -> list[int]:
-    """Where each row begins, so that no two rows begin alike or use the same place; rows of many entries first."""
-    n = sum(map(len, rows))
-    room = 2 * n + 2 * len(rows) + 4 * classes + 8192
+def laid_over(rows: list[dict[int, int]], degree: np.ndarray, symbol: np.ndarray, classes: int) -> np.ndarray:
+    """Where each row begins, so that no two rows begin alike or use the same place; rows of many entries first.
+
+    ``degree`` is the rows' numbers of entries, and ``symbol`` all their classes.
+    """
+    room = 2 * len(symbol) + 2 * len(rows) + 4 * classes + 8192
     free, unbegun = np.ones(room, bool), np.ones(room, bool)
     place = np.zeros(len(rows), np.int64)
-    degree = np.array([len(r) for r in rows], np.int64)
     low = 0
     for i in np.argsort(-degree, kind="stable")[: int((degree > 1).sum())].tolist():
         width, at = 256, low
@@ -121,25 +129,24 @@ def laid_over(rows: list[list[int]], classes: int) -> list[int]:
         unbegun[begin] = False
         for c in rows[i]:
             free[begin + c] = False
-        if at > low:  # the rows so far leave few gaps below; what they leave, rows of one entry fill
-            low = at
+        low = at  # rows of one entry fill what gaps are left below
     single = np.nonzero(degree == 1)[0]
-    symbol = np.array([rows[i][0] for i in single], np.int64)
-    for c in np.unique(symbol).tolist():
-        own = single[symbol == c]
+    only = symbol[(np.cumsum(degree) - degree)[single]]
+    for c in np.unique(only).tolist():
+        own = single[only == c]
         begins = np.nonzero(free[c:] & unbegun[: room - c])[0][: len(own)]
         place[own] = begins
         free[begins + c] = unbegun[begins] = False
     none = np.nonzero(degree == 0)[0]
     place[none] = np.nonzero(unbegun)[0][: len(none)]
-    return place.tolist()
+    return place
 
 
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
     class_of: np.ndarray  # by code point
-    automata: tuple[Automaton, ...]
+    automata: Automata
 
     def codes(self, text: str) -> np.ndarray:
         """Classes of the lower-cased text, with runs of gaps as one."""
@@ -150,69 +157,66 @@ class Model:
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases that each language needs, a row for each text."""
-        pieces, owner, follows = [], [], []
-        for i, codes in enumerate(texts):
-            for at in range(0, len(codes), PIECE):
-                pieces.append(codes[at : at + PIECE])
-                owner.append(i)
-                follows.append(at > 0)
         total = np.zeros((len(texts), len(self.languages)), np.int64)
+        cuts = [(i, at) for i, codes in enumerate(texts) for at in range(0, len(codes), PIECE)]
+        if not cuts or not self.languages:
+            return total
+        pieces = [texts[i][at : at + PIECE] for i, at in cuts]
         sizes = np.array([len(p) for p in pieces], np.int64)
         order = np.argsort(-sizes, kind="stable")
-        grids = [grid_of([pieces[p] for p in order[at : at + LANES].tolist()]) for at in range(0, len(order), LANES)]
-        for k, automaton in enumerate(self.automata):
-            count, end = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
-            for n, grid in enumerate(grids):
-                lanes = order[n * LANES : (n + 1) * LANES]
-                count[lanes], end[lanes] = parsed(automaton, grid, sizes[lanes])
-            count += corrections(automaton, pieces, np.array(follows, bool), end)
-            np.add.at(total[:, k], np.array(owner, np.int64), count)
+        count, end = (np.empty((len(self.languages), len(pieces)), np.int64) for _ in range(2))
+        for at in range(0, len(order), LANES):
+            lanes = order[at : at + LANES]
+            count[:, lanes], end[:, lanes] = parsed(self.automata, [pieces[p] for p in lanes.tolist()], sizes[lanes])
+        count += corrections(self.automata, pieces, np.array([at > 0 for _, at in cuts]), end)
+        np.add.at(total, [i for i, _ in cuts], count.T)
         return total
 
 
-def grid_of(pieces: list[np.ndarray]) -> np.ndarray:
-    """Classes by step and lane; the longest pieces come first."""
+def parsed(automata: Automata, pieces: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that begin in each piece, and the state that it ends in, if a phrase begins with it; the longest pieces come first."""
     grid = np.zeros((len(pieces[0]), len(pieces)), np.int64)
     for lane, piece in enumerate(pieces):
         grid[: len(piece), lane] = piece
-    return grid
-
-
-def parsed(automaton: Automaton, grid: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases that begin in each lane, and the state that it ends in, if a phrase begins with it."""
-    state, matched = np.full(len(sizes), automaton.root), np.zeros(len(sizes), np.int64)
+    state = np.repeat(automata.roots[:, None], len(sizes), axis=1)
+    matched = np.zeros(state.shape, np.int64)
     for step, n in enumerate(np.searchsorted(-sizes, -np.arange(len(grid)), side="left").tolist()):
-        state[:n], on = automaton.step(state[:n], grid[step, :n])
-        matched[:n] += on
+        symbols = grid[step, :n]
+        state[:, :n], on = automata.step(state[:, :n], symbols, automata.fresh.take(symbols, axis=1))
+        matched[:, :n] += on
     return sizes - matched, state
 
 
-def corrections(automaton: Automaton, pieces: list[np.ndarray], follows: np.ndarray, end: np.ndarray) -> np.ndarray:
+def corrections(automata: Automata, pieces: list[np.ndarray], follows: np.ndarray, end: np.ndarray) -> np.ndarray:
     """What each piece's phrases change by, if it goes on in the state that the piece before it ends in.
 
     Both parses fall into one state after a few phrases, and are alike from there
     on. Where one does not before the piece ends, the next piece begins in yet
     another state, and is looked at again.
     """
-    change, begun = np.zeros(len(pieces), np.int64), np.full(len(pieces), automaton.root)
+    change, begun = np.zeros(end.shape, np.int64), np.repeat(automata.roots[:, None], len(pieces), axis=1)
     length = np.array([len(p) for p in pieces], np.int64)
-    starts, joined = np.cumsum(length) - length, np.concatenate([*pieces, np.empty(0, np.uint16)]).astype(np.int64)
+    starts, joined = np.cumsum(length) - length, np.concatenate(pieces).astype(np.int64)
     while True:
-        true = np.where(follows, np.roll(end, 1), automaton.root)
-        lanes = np.nonzero(true != begun)[0]
+        true = np.where(follows, np.roll(end, 1, axis=1), automata.roots[:, None])
+        which, lanes = np.nonzero(true != begun)
         if not len(lanes):
             return change
-        new, old, step = true[lanes], begun[lanes], 0
-        begun[lanes] = new
+        new, old, step = true[which, lanes], begun[which, lanes], 0
+        begun[which, lanes] = new
         while len(lanes):
-            over = length[lanes] <= step
-            end[lanes[over]] = new[over]
-            lanes, new, old = lanes[~over], new[~over], old[~over]
+            on = length[lanes] > step
+            if not on.all():
+                end[which[~on], lanes[~on]] = new[~on]
+                which, lanes, new, old = which[on], lanes[on], new[on], old[on]
             symbols = joined[starts[lanes] + step]
-            (new, one), (old, other) = automaton.step(new, symbols), automaton.step(old, symbols)
-            change[lanes] += other.astype(np.int64) - one
+            fresh = automata.fresh[which, symbols]
+            (new, one), (old, other) = automata.step(new, symbols, fresh), automata.step(old, symbols, fresh)
+            change[which, lanes] += other.astype(np.int64) - one
             apart = new != old
-            lanes, new, old, step = lanes[apart], new[apart], old[apart], step + 1
+            if not apart.all():
+                which, lanes, new, old = which[apart], lanes[apart], new[apart], old[apart]
+            step += 1
 
 
 def train(samples: dict[str, list[str]]) -> Model:
@@ -220,18 +224,17 @@ def train(samples: dict[str, list[str]]) -> Model:
     texts = {lang: " ".join(x.lower() for x in t) for lang, t in sorted(samples.items())}
     letters = sorted({c for t in texts.values() for c in set(t) if c.isalpha()})
     class_of = np.full(0x110000, GAP, np.uint16 if len(letters) < 60_000 else np.uint32)
-    points = np.arange(0x110000)
-    class_of[np.fromiter((chr(p).isalpha() for p in points), bool, len(points))] = OTHER
+    class_of[np.fromiter(map(str.isalpha, map(chr, range(len(class_of)))), bool, len(class_of))] = OTHER
     class_of[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
-    model = Model(tuple(texts), class_of, ())
-    return Model(model.languages, class_of, tuple(Automaton.of(model.codes(t).tolist(), len(letters) + 2) for t in texts.values()))
+    model = Model(tuple(texts), class_of, Automata.of([], 0))
+    return Model(model.languages, class_of, Automata.of([model.codes(t).tolist() for t in texts.values()], len(letters) + 2))
 
 
 def predict(model: Model, texts: list[str | None]) -> Iterator[tuple[str, float]]:
     """The language with the fewest normalised phrases and how far the next one is behind, 0 to 1; of equal ones the first by name."""
     known = [bool(t) and any(map(str.isalpha, t)) for t in texts]
     counts = model.phrases([model.codes(t) if k else np.empty(0, np.uint16) for t, k in zip(texts, known, strict=True)])
-    norm = np.array([math.log2(a.size + 1) for a in model.automata])
+    norm = np.log2(model.automata.sizes + 1)
     for row, k in zip(counts * norm, known, strict=True):
         if not k or not model.languages:
             yield "und", 0.0

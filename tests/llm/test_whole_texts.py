@@ -13,7 +13,7 @@ def test_language_learns_from_whole_texts():
     long_text = "ab cd " * 10_000
     model = language_id.train({"xx": [long_text, "pqr stu", long_text]})
     letters = {c for c in "abcdpqrstu" if model.class_of[ord(c)] not in (language_id.GAP, language_id.OTHER)}
-    assert letters == set("abcdpqrstu") and model.automata[0].size == 2 * len(long_text) + 8
+    assert letters == set("abcdpqrstu") and model.automata.sizes[0] == 2 * len(long_text) + 8
     assert language_id.whole_texts([(5, 40), (1, 70), (3, 50), (4, 30)], 100) == [1, 4]
     assert language_id.whole_texts([(5, 400), (1, 700)], 100) == [5] and language_id.whole_texts([], 100) == []
 
