@@ -48,26 +48,29 @@ def _n(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(without(text, characters))
 
 
-def line_passes(line: Column, limits: Limits = Limits()) -> Column:
-    """Whether a line keeps its place; lines without a word pass."""
-    n_words = F.size(F.split(F.trim(line), "[\\x20\\x09-\\x0D]+"))
-
-    def rules(marks: Column) -> Column:
-        bars = _n(marks, "|»•·")
-        punctuation = (
-            ((n_words < limits.long_line) | line.rlike("[.!?…:;。！？]"))
-            & (_n(marks, "#*$%&") <= limits.most_symbols * F.length(line))
-            & (_n(marks, "!?") <= n_words * limits.most_shouts * 2)
-        )
-        navigation = (bars < limits.least_bars) | (bars < n_words * limits.most_bars)
-        return punctuation & navigation
+def line_facts(line: Column) -> Column:
+    """What the rules ask of a line, found once: the line, its number of words, and its marks in order."""
+    bare = F.btrim(line, F.lit(BLANKS))
+    n_words = F.when(bare == "", 0).otherwise(F.size(F.split(bare, "[\\x20\\x09-\\x0D]+")))
+    return F.struct(line.alias("line"), n_words.alias("n"), _only(line, "#*$%&|»•·!?").alias("marks"))
+
 
+def facts_pass(facts: Column, limits: Limits = Limits()) -> Column:
+    """Whether a line keeps its place; lines without a word pass."""
+    line, n_words, marks = facts["line"], facts["n"], facts["marks"]
+    bars = _n(marks, "|»•·")
+    punctuation = (
+        ((n_words < limits.long_line) | line.rlike("[.!?…:;。！？]"))
+        & (_n(marks, "#*$%&") <= limits.most_symbols * F.length(line))
+        & (_n(marks, "!?") <= n_words * limits.most_shouts * 2)
+    )
+    navigation = (bars < limits.least_bars) | (bars < n_words * limits.most_bars)
     notice = (n_words <= limits.notice_words) & F.lower(line).rlike(NOTICE)
-    return ~has_word(line) | (F.element_at(F.transform(F.array(_only(line, "#*$%&|»•·!?")), rules), 1) & ~notice)
+    return (n_words == 0) | (punctuation & navigation & ~notice)
 
 
-def has_word(text: Column) -> Column:
-    return text.rlike("[^\\x20\\x09-\\x0D]")
+def line_passes(line: Column, limits: Limits = Limits()) -> Column:
+    return F.element_at(F.transform(F.transform(F.array(line), line_facts), lambda f: facts_pass(f, limits)), 1)
 
 
 def window_hashes(word_list: Column) -> Column:
@@ -109,7 +112,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Measures (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) are of
     the whole text as it came; ``lost`` is the share of its word characters in
     removed lines. Null and empty texts have zeros, and fail for want of words.
-    Repeated rows are judged each by itself.
+    Repeated rows, and rows of a null id, are judged each by itself, by text alone,
+    so there are no ties; texts of any length are read whole, within one row. An
+    empty table gives an empty result; columns of other names are not looked at.
+    A line's words are what the whole text's are: blanks at its ends, such as the
+    return of a CRLF text, are none.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     measures = F.struct(
@@ -125,9 +132,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     measured = (
         pick(docs, row=row, doc_id=id_col, text=text_col)
         .withColumn("text", text)
-        .withColumn("lines", F.split("text", "\n"))
-        .withColumn("with_word", F.filter("lines", has_word))
-        .withColumn("clean_text", F.concat_ws("\n", F.filter("lines", lambda line: line_passes(line, limits))))
+        .withColumn("lines", F.transform(F.split("text", "\n"), line_facts))
+        .withColumn("with_word", F.transform(F.filter("lines", lambda f: f["n"] > 0), lambda f: f["line"]))
+        .withColumn("clean_text", F.concat_ws("\n", F.transform(F.filter("lines", lambda f: facts_pass(f, limits)), lambda f: f["line"])))
         .withColumn("words", words(F.col("text")))
         .withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
         .withColumn("windows", window_hashes(F.col("words")))

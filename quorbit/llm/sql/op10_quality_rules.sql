@@ -6,11 +6,11 @@ WITH texts AS (
 lined AS (
   SELECT *, list_filter(lines, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS with_word,
     list_filter(lines, lambda l: NOT regexp_matches(l, '[^\x20\x09-\x0D]') OR (
-      (len(string_split_regex(trim(l, ' '), '[\x20\x09-\x0D]+')) < 12 OR regexp_matches(l, '[.!?…:;。！？]'))
+      (len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda w: w <> '')) < 12 OR regexp_matches(l, '[.!?…:;。！？]'))
       AND length(regexp_replace(l, '[^#*$%&]+', '', 'g')) <= 0.05::DOUBLE * length(l)
-      AND length(regexp_replace(l, '[^!?]+', '', 'g')) <= len(string_split_regex(trim(l, ' '), '[\x20\x09-\x0D]+')) * 0.2::DOUBLE * 2
-      AND (length(regexp_replace(l, '[^|»•·]+', '', 'g')) < 3 OR length(regexp_replace(l, '[^|»•·]+', '', 'g')) < len(string_split_regex(trim(l, ' '), '[\x20\x09-\x0D]+')) * 0.15::DOUBLE)
-      AND NOT (len(string_split_regex(trim(l, ' '), '[\x20\x09-\x0D]+')) <= 40 AND regexp_matches(lower(l), 'all rights reserved|terms of (use|service)|privacy policy|cookie policy|use of cookies|enable javascript|sign up|log ?in to|subscribe to|click here|copyright ?(\(c\)|©|\d{4})|licensed under (the|a) |released under (the|a) .{0,30}licen[cs]e|spdx-license'))
+      AND length(regexp_replace(l, '[^!?]+', '', 'g')) <= len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda w: w <> '')) * 0.2::DOUBLE * 2
+      AND (length(regexp_replace(l, '[^|»•·]+', '', 'g')) < 3 OR length(regexp_replace(l, '[^|»•·]+', '', 'g')) < len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda w: w <> '')) * 0.15::DOUBLE)
+      AND NOT (len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda w: w <> '')) <= 40 AND regexp_matches(lower(l), 'all rights reserved|terms of (use|service)|privacy policy|cookie policy|use of cookies|enable javascript|sign up|log ?in to|subscribe to|click here|copyright ?(\(c\)|©|\d{4})|licensed under (the|a) |released under (the|a) .{0,30}licen[cs]e|spdx-license'))
     )) AS clean
   FROM texts
 ),
