@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorbit.llm.columns import BLANKS, pick
+from quorbit.llm.skew import spread_join
+from quorbit.session import cut
 
 SPAN = 3
 
@@ -43,12 +45,13 @@ def copied_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """From (id, mark, text): id, mark, start, end of each window that is not the first of its kind.
 
     First is the least (id, mark, start), where null ids come first; ``mark``
-    tells texts of one id apart.
+    tells texts of one id apart. Windows are made once, into a checkpoint; one that
+    many texts share is split over tasks.
     """
-    made = docs.select("id", "mark", F.explode(_windows(F.split("text", "\n"), span)).alias("w")).select("id", "mark", "w.*")
+    made = cut(docs.select("id", "mark", F.explode(_windows(F.split("text", "\n"), span)).alias("w")).select("id", "mark", "w.*"))
     order = F.struct("id", "mark", "start")
-    first = made.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1").drop("n")
-    return made.join(first, ["a", "b"]).filter(~order.eqNullSafe(F.col("first"))).select("id", "mark", "start", "end")
+    first = made.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
+    return spread_join(made, first, ["a", "b"], "n").filter(~order.eqNullSafe(F.col("first"))).select("id", "mark", "start", "end")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, row: bool = False) -> DataFrame:
@@ -57,7 +60,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are what newlines separate; blank ones form no window and stay unless
     a copied window spans them. Lines compare without blanks at their ends.
     Texts of fewer lines than a window, and null ones, stay as they are. Rows
-    that are repeated whole count as one document and share its result.
+    that are repeated whole count as one document and share its result. Null ids
+    are one id, the least; of equal windows the one of the least id, text and place
+    stays. Texts of any length are read whole, within one row; an empty table gives
+    an empty result; columns of other names are not looked at.
     """
     rows = pick(docs, row=row, id=id_col, text=text_col).withColumn("mark", F.xxhash64("text"))
     covered = copied_windows(rows, span).groupBy("id", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
