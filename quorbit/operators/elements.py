@@ -47,13 +47,27 @@ def term_sign(det: Column, ops: Column, fermion: bool) -> Column:
     return done["sign"]
 
 
-def apply_terms(states: DataFrame, terms: DataFrame, fermion: bool, det: str = "det") -> DataFrame:
-    """Each state with each term that applies: the state's columns, bra, term_id, h = coef x sign.
+def meet(states: DataFrame, terms: DataFrame, det: str = "det") -> DataFrame:
+    """Each state with each term whose annihilated sites it holds.
 
-    A mask test per pair of state and term, evaluated in the join.
+    An equi-join on the lowest and the highest of these sites, -1 for terms that
+    annihilate nothing; so only terms that share them are held against the mask,
+    and no plan pairs all states with all terms.
     """
-    d, t = F.col(det), small(terms)
-    joined = states.join(t, applies(d, F.col("create"), F.col("annihilate")))
+    n = F.col("annihilate")
+    low = F.when(n == 0, -1).otherwise(F.bit_count(n.bitwiseAND(-n) - 1)).cast("int")
+    keyed = terms.withColumn("low", low).withColumn("high", F.when(n == 0, -1).otherwise(F.length(F.bin(n)) - 1).cast("int"))
+    held = B.sites(det, B.WORD_BITS)
+    pairs = F.flatten(F.transform(held, lambda p: F.transform(F.filter(held, lambda q: q >= p), lambda q: F.struct(p.cast("int").alias("low"), q.cast("int").alias("high")))))
+    none = F.array(F.struct(F.lit(-1).alias("low"), F.lit(-1).alias("high")))
+    placed = states.withColumn("place", F.explode(F.concat(pairs, none))).select(*states.columns, "place.low", "place.high")
+    return placed.join(small(keyed), ["low", "high"]).filter(F.col(det).bitwiseAND(n) == n).drop("low", "high")
+
+
+def apply_terms(states: DataFrame, terms: DataFrame, fermion: bool, det: str = "det") -> DataFrame:
+    """Each state with each term that applies: the state's columns, bra, term_id, h = coef x sign."""
+    d = F.col(det)
+    joined = meet(states, terms, det).filter(applies(d, F.col("create"), F.col("annihilate")))
     return joined.withColumn("bra", applied(d, F.col("create"), F.col("annihilate"))).withColumn("h", F.col("coef") * term_sign(d, F.col("ops"), fermion)).drop("create", "annihilate", "ops", "coef", "is_diag")
 
 
@@ -65,8 +79,7 @@ def operator_edges(basis: DataFrame, terms: DataFrame, fermion: bool) -> DataFra
 
 def operator_diagonal(basis: DataFrame, terms: DataFrame) -> DataFrame:
     """(det, h): the coefficients of diagonal terms whose sites are all occupied; a normal-ordered diagonal product has the sign +1."""
-    diag = small(terms.filter("is_diag").select("coef", "create"))
-    hit = basis.select("det").join(diag, F.col("det").bitwiseAND(F.col("create")) == F.col("create"))
+    hit = meet(basis.select("det"), terms.filter("is_diag").select("coef", "annihilate"))
     sums = hit.groupBy("det").agg(F.sum("coef").alias("h"))
     return basis.select("det").join(sums, "det", "left").select("det", F.coalesce("h", F.lit(0.0)).alias("h"))
 

@@ -9,7 +9,12 @@ from quorbit.operators.observe import marginal
 from quorbit.session import cut
 
 
-def ranked(rows: DataFrame, value: str = "c", key: str = "det", parts: int = 64) -> DataFrame:
+def parts_for(rows: DataFrame) -> int:
+    """Ordered parts: as many as the session has for a shuffle, which is where a cluster's size and its data's are set."""
+    return max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ranked(rows: DataFrame, value: str = "c", key: str = "det", parts: int | None = None) -> DataFrame:
     """``position`` from 0 by value descending, then key.
 
     Rows are ranged by value into ordered parts, numbered within, and offset by
@@ -17,20 +22,31 @@ def ranked(rows: DataFrame, value: str = "c", key: str = "det", parts: int = 64)
     """
     order = [F.desc(value), F.asc(key)]
     # checkpointed, as its two uses must see the same ranges
-    ranged = cut(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    ranged = cut(rows.repartitionByRange(parts or parts_for(rows), *order).withColumn("part", F.spark_partition_id()))
     sizes = ranged.groupBy("part").count()
     offsets = sizes.withColumn("before", F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).drop("count")
     inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
     return ranged.withColumn("inside", inside).join(F.broadcast(offsets), "part").withColumn("position", (F.coalesce("before", F.lit(0)) + F.col("inside") - 1).cast("bigint")).drop("part", "inside", "before")
 
 
-def running_sum(rows: DataFrame, value: str, order: str, by: str | None = None) -> DataFrame:
-    """``before``: the sum of the rows before, 0 for the first."""
-    window = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("before", F.coalesce(F.sum(value).over(window), F.lit(0)))
+def running_sum(rows: DataFrame, value: str, order: str, by: str | None = None, parts: int | None = None) -> DataFrame:
+    """``before``: the sum of the rows before, 0 for the first; within each ``by``, or over all rows.
+
+    Over all rows, sums of ordered parts come first, then sums within parts, so no
+    task holds all rows. Rows of equal order add up in any order among themselves.
+    """
+    over = lambda w: F.coalesce(F.sum(value).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if by:
+        return rows.withColumn("before", over(Window.partitionBy(by)))
+    # checkpointed, as its two uses must see the same ranges
+    ranged = cut(rows.repartitionByRange(parts or parts_for(rows), order).withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = ranged.withColumn("before", over(Window.partitionBy("_part")))
+    return inside.join(F.broadcast(offsets), "_part").withColumn("before", F.col("before") + F.col("_before")).drop("_part", "_before")
 
 
-def weight_cut(rows: DataFrame, weight: str, key: str, target: float, parts: int = 64) -> DataFrame:
+def weight_cut(rows: DataFrame, weight: str, key: str, target: float, parts: int | None = None) -> DataFrame:
     """The shortest prefix, by weight descending, whose sum is over ``target`` of the whole.
 
     A row stays if the sum before it is not over the target. Sums of ordered
@@ -38,7 +54,7 @@ def weight_cut(rows: DataFrame, weight: str, key: str, target: float, parts: int
     """
     order = [F.desc(weight), F.asc(key)]
     # checkpointed, as its two uses must see the same ranges
-    ranged = cut(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    ranged = cut(rows.repartitionByRange(parts or parts_for(rows), *order).withColumn("part", F.spark_partition_id()))
     sums = ranged.groupBy("part").agg(F.sum(weight).alias("w"))
     total = F.sum("w").over(Window.partitionBy(F.lit(0)))
     before = F.coalesce(F.sum("w").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -69,7 +85,7 @@ def in_shards(rows: DataFrame, n: int, key: str = "det") -> DataFrame:
     return ranked(rows, "c", key).withColumn("shard", F.pmod("position", F.lit(n)).cast("int"))
 
 
-def equal_ranges(rows: DataFrame, n: int, key: str = "det", parts: int = 64) -> DataFrame:
+def equal_ranges(rows: DataFrame, n: int, key: str = "det", parts: int | None = None) -> DataFrame:
     """``shard``: n ranges of consecutive keys whose sizes differ by one at most, larger ones first."""
     total = rows.count()
     size, more = divmod(total, n)
@@ -96,7 +112,7 @@ def is_sorted(rows: DataFrame, key: str, place: str, by: str) -> DataFrame:
     return rows.withColumn("_before", before).groupBy(by).agg(F.sum(F.when(F.col("_before") >= F.col(key), 1).otherwise(0)).alias("wrong"))
 
 
-def shuffled(rows: DataFrame, seed: int, key: str = "det", parts: int = 64) -> DataFrame:
+def shuffled(rows: DataFrame, seed: int, key: str = "det", parts: int | None = None) -> DataFrame:
     """``position``: a seeded order in which the least key stays first, however rows lie."""
     first = rows.agg(F.min(key).alias("first")).first()[0]
     if first is None:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorbit.operators.apply import start_vector
-from quorbit.session import cut
+from quorbit.session import cut, cut_by
 
 
 @dataclass
@@ -37,10 +37,14 @@ def _mix(column: str, weights: list[float]) -> Column:
 
 
 class Subspace:
-    """Orthonormal vectors ``v`` and their images ``w``, as arrays by state."""
+    """Orthonormal vectors ``v`` and their images ``w``, as arrays by state.
+
+    The edges, by far the largest table, are dealt by ket once; a step moves only
+    the vectors to them, and partial sums back.
+    """
 
     def __init__(self, edges: DataFrame, starts: list[DataFrame], diagonal: DataFrame | None = None):
-        self.edges = edges
+        self.edges = cut_by(edges.select("bra", "ket", "h"), "ket")
         table = starts[0].select("det", F.array("c").alias("v"))
         for other in starts[1:]:
             more = other.select("det", F.col("c").alias("_c"))
@@ -67,20 +71,27 @@ class Subspace:
         new = range(self.images, self.size)
         kets = self.table.select(F.col("det").alias("ket"), *[F.col("v")[k].alias(f"v{k}") for k in new])
         sums = [F.sum(F.col("h") * F.col(f"v{k}")).alias(f"w{k}") for k in new]
-        made = self.edges.select("bra", "ket", "h").join(kets, "ket").groupBy(F.col("bra").alias("det")).agg(*sums)
+        made = self.edges.join(kets, "ket").groupBy(F.col("bra").alias("det")).agg(*sums)
         joined = self.table.join(made, "det", "left")
         self.table = cut(joined.select("det", "h", "v", F.concat("w", F.array(*[F.coalesce(f"w{k}", F.lit(0.0)) for k in new])).alias("w")))
         self.images = self.size
         return self._gram("w", range(self.size), new)
 
-    def append(self, vector: Column, least: float = 1e-10) -> float:
-        """Adds the part of ``vector`` that is orthogonal to all, found in two passes; returns its length, under which nothing is added."""
-        self.table = self.table.withColumn("t", vector)
-        for _ in range(2):
-            found = self.table.agg(F.sum(F.col("t") * F.col("t")), *[F.sum(F.col("v")[k] * F.col("t")) for k in range(self.size)]).first()
-            dots = [float(x or 0.0) for x in found[1:]]
-            self.table = self.table.withColumn("t", F.col("t") - _mix("v", dots))
-        length = math.sqrt(max(float(found[0] or 0.0) - sum(d * d for d in dots), 0.0))
+    def against(self, vector: Column, beside: Column | None = None) -> list[float]:
+        """The square of ``beside``, or of ``vector``, and the vectors' products with ``vector``, in one aggregation."""
+        beside = vector if beside is None else beside
+        found = self.table.agg(F.sum(beside * beside), *[F.sum(F.col("v")[k] * vector) for k in range(self.size)]).first()
+        return [float(x or 0.0) for x in found]
+
+    def append(self, vector: Column, least: float = 1e-10, dots: list[float] | None = None) -> float:
+        """Adds the part of ``vector`` that is orthogonal to all, found in two passes, of which ``dots`` may be the first.
+
+        Returns its length, under which nothing is added.
+        """
+        self.table = self.table.withColumn("t", vector - _mix("v", dots or self.against(vector)[1:]))
+        square, *dots = self.against(F.col("t"))
+        self.table = self.table.withColumn("t", F.col("t") - _mix("v", dots))
+        length = math.sqrt(max(square - sum(d * d for d in dots), 0.0))
         if length > least:
             self.table = self.table.withColumn("v", F.concat("v", F.array(F.col("t") / F.lit(length))))
             self.size += 1
@@ -123,14 +134,16 @@ def davidson(edges: DataFrame, diagonal: DataFrame, start: DataFrame | list[Data
             values, vectors = np.linalg.eigh((small + small.T) / 2)
             energy, mix = float(values[0]), vectors[:, 0].tolist()
             history.append(energy)
-            size = space.residual_norm(mix, energy)
+            down = F.lit(energy) - F.col("h")
+            down = F.when(F.abs(down) < regular, F.lit(regular)).otherwise(down)
+            rest = space.residual(mix, energy)
+            square, *dots = space.against(rest / down, rest)
+            size = math.sqrt(square)
             spent = time.time() - began
             late = max_time is not None and spent + spent / len(history) > max_time
             if size < eps or late or space.size >= block:
                 break
-            down = F.lit(energy) - F.col("h")
-            down = F.when(F.abs(down) < regular, F.lit(regular)).otherwise(down)
-            if space.append(space.residual(mix, energy) / down) <= 1e-10:
+            if space.append(rest / down, dots=dots) <= 1e-10:
                 break
         if size < eps or late:
             break

@@ -16,6 +16,7 @@ from quorbit.operators import elements as E
 from quorbit.operators import expand as X
 from quorbit.operators import observe as O
 from quorbit.operators import select as S
+from quorbit.operators import sets as Z
 from quorbit.operators import summary
 from quorbit.operators.algebra import parse_operator, term_table
 from quorbit.session import cut, table
@@ -231,7 +232,7 @@ def join_external_children(spark, d):  # noqa: ANN001, ANN201
 def join_internal_children(spark, d):  # noqa: ANN001, ANN201
     own = basis(spark, d).filter("c % 2 = 0").select("det")
     kids = X.half_moves(own, 12).select(F.col("bra").alias("det")).distinct()
-    return kids.join(own, "det", "left_semi")
+    return Z.inside(kids, own)
 
 
 # -- aggregation ------------------------------------------------------------------
@@ -303,12 +304,12 @@ def agg_two_rdm(spark, d):  # noqa: ANN001, ANN201
 @query("agg_merge_weights", "SELECT (l_orderkey*31 + l_partkey*7 + l_suppkey) & 4095 AS det, CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS BIGINT) AS w FROM lineitem GROUP BY 1")
 def agg_merge_weights(spark, d):  # noqa: ANN001, ANN201
     key = (F.col("l_orderkey") * 31 + F.col("l_partkey") * 7 + F.col("l_suppkey")).bitwiseAND(F.lit(4095))
-    return table(spark, d, "lineitem").groupBy(key.alias("det")).agg(F.sum(F.round("l_quantity").cast("bigint")).alias("w"))
+    return Z.merged(table(spark, d, "lineitem").withColumn("w", F.round("l_quantity").cast("bigint")), "w", key)
 
 
 @query("agg_unique_masked", f"WITH {basis_sql(16)} SELECT det & 21845 AS masked, count(*) AS n FROM basis GROUP BY 1")
 def agg_unique_masked(spark, d):  # noqa: ANN001, ANN201
-    return basis(spark, d, 16).groupBy(F.col("det").bitwiseAND(F.lit(0x5555)).alias("masked")).agg(F.count("*").alias("n"))
+    return Z.masked(basis(spark, d, 16), 0x5555)
 
 
 @query("agg_simplify_terms", "SELECT l_suppkey % 16 AS term, CAST(sum(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS coef FROM lineitem GROUP BY 1 HAVING abs(sum(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END)) > 0.00000001")
@@ -404,13 +405,12 @@ def agg_diagnostics(spark, d):  # noqa: ANN001, ANN201
 
 @query("agg_totals", f"WITH {basis_sql(16)} SELECT count(*) AS n, CAST(sum(c) AS BIGINT) AS total, CAST(max(abs(c)) AS BIGINT) AS greatest, CAST(max(det) AS BIGINT) AS last FROM basis")
 def agg_totals(spark, d):  # noqa: ANN001, ANN201
-    return basis(spark, d, 16).agg(F.count("*").alias("n"), F.sum("c").alias("total"), F.max(F.abs("c")).alias("greatest"), F.max("det").alias("last"))
+    return Z.totals(basis(spark, d, 16))
 
 
 @query("agg_task_cost", HALVED + ", n AS (SELECT adet, count(*) AS k FROM halved GROUP BY adet), m AS (SELECT bdet, count(*) AS k FROM halved GROUP BY bdet) SELECT CAST(sum(n.k * m.k) AS BIGINT) AS cost FROM halved JOIN n USING (adet) JOIN m USING (bdet)")
 def agg_task_cost(spark, d):  # noqa: ANN001, ANN201
-    a, b = B.half_states(basis(spark, d), 6)
-    return halved(spark, d).join(a.withColumnRenamed("n", "k"), "adet").join(b.withColumnRenamed("n", "m"), "bdet").agg(F.sum(F.col("k") * F.col("m")).alias("cost"))
+    return Z.task_cost(halved(spark, d))
 
 
 # -- windows, order, selection ------------------------------------------------------
@@ -450,13 +450,13 @@ def window_round_robin(spark, d):  # noqa: ANN001, ANN201
 @query("sort_unique", "SELECT DISTINCT (l_orderkey*31 + l_partkey*7 + l_suppkey) & 65535 AS det FROM lineitem ORDER BY det")
 def sort_unique(spark, d):  # noqa: ANN001, ANN201
     key = (F.col("l_orderkey") * 31 + F.col("l_partkey") * 7 + F.col("l_suppkey")).bitwiseAND(F.lit(65535))
-    return table(spark, d, "lineitem").select(key.alias("det")).distinct().orderBy("det")
+    return Z.sorted_unique(table(spark, d, "lineitem").select(key.alias("det")))
 
 
 @query("sort_merge_runs", f"WITH {basis_sql(12)} SELECT det FROM basis WHERE c % 2 = 0 UNION SELECT det FROM basis WHERE c % 3 = 0")
 def sort_merge_runs(spark, d):  # noqa: ANN001, ANN201
     own = basis(spark, d).select("det", "c")
-    return own.filter("c % 2 = 0").select("det").union(own.filter("c % 3 = 0").select("det")).distinct()
+    return Z.merged_runs([own.filter("c % 2 = 0"), own.filter("c % 3 = 0")])
 
 
 @query("top_states", f"WITH {basis_sql(16)} SELECT det, c FROM basis ORDER BY c * c DESC, det LIMIT 100")
@@ -499,7 +499,7 @@ def filter_important_halves(spark, d):  # noqa: ANN001, ANN201
 @query("set_except", f"WITH {basis_sql(12)} SELECT det FROM basis EXCEPT SELECT det FROM basis WHERE c % 2 = 0")
 def set_except(spark, d):  # noqa: ANN001, ANN201
     own = basis(spark, d)
-    return own.select("det").subtract(own.filter("c % 2 = 0").select("det"))
+    return J.outside(own.select("det"), own.filter("c % 2 = 0"))
 
 
 @query("set_intersect", f"WITH {basis_sql(12)} SELECT det FROM basis WHERE c % 3 = 0 INTERSECT SELECT det FROM basis WHERE c % 2 = 0")
@@ -511,7 +511,7 @@ def set_intersect(spark, d):  # noqa: ANN001, ANN201
 @query("set_bag_append", f"WITH {basis_sql(12)} SELECT det FROM basis UNION ALL SELECT det FROM basis WHERE c % 2 = 0")
 def set_bag_append(spark, d):  # noqa: ANN001, ANN201
     own = basis(spark, d)
-    return own.select("det").unionAll(own.filter("c % 2 = 0").select("det"))
+    return Z.appended([own, own.filter("c % 2 = 0")])
 
 
 # -- generation and elements ----------------------------------------------------------
@@ -629,8 +629,8 @@ def complex_squares(spark, d):  # noqa: ANN001, ANN201
 
 @query("energy_deltas", "SELECT event_id, event_type, value, round(value - lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), 6) AS delta FROM events")
 def energy_deltas(spark, d):  # noqa: ANN001, ANN201
-    before = F.lag("value").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    return table(spark, d, "events").select("event_id", "event_type", "value", F.round(F.col("value") - before, 6).alias("delta"))
+    found = Z.deltas(table(spark, d, "events"), "value", ["ts", "event_id"], "event_type")
+    return found.select("event_id", "event_type", "value", F.round("delta", 6).alias("delta"))
 
 
 # -- results without an SQL form ------------------------------------------------------

@@ -51,3 +51,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """As ``cut``, dealt by ``key`` such that joins on it find the rows in place.
+
+    A checkpoint keeps how its rows are dealt only where the plan is fixed before
+    it runs, so adaptive planning is off while it is made.
+    """
+    conf = df.sparkSession.conf
+    dealt, adaptive = df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key), conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(dealt)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)

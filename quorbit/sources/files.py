@@ -98,19 +98,23 @@ def read_states(spark: SparkSession, paths: str | list[str], width: int, name: s
 
 
 def read_shards(spark: SparkSession, paths: list[str], width: int) -> DataFrame:
-    """States of ordered shard files, which must be sorted in each, in order from one to the next, and without duplicates.
+    """States of ordered shards, files or folders, which must be sorted in each, in order from one to the next, and without duplicates.
 
-    The order within a file is that of its byte offsets. Neighbours are compared
-    within each file; then the files' ends with each other.
+    A state's place is its shard, its file by name, the file's block and the line
+    in it. Neighbours are compared within each block of a file, then the ends of
+    blocks with one another; so a large file is checked by many tasks.
     """
-    rank = F.element_at(F.create_map(*[x for n, p in enumerate(paths) for x in (F.lit(p.rsplit("/", 1)[-1]), F.lit(n))]), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    rows = spark.read.text(paths).select(B.from_text(F.trim("value"), width).alias("det"), rank.alias("shard"), (F.col("_metadata.file_block_start") * 1_000_000_000 + F.monotonically_increasing_id() % 1_000_000_000).alias("place"))
-    before = F.lag("det").over(Window.partitionBy("shard").orderBy("place"))
-    wrong = rows.withColumn("before", before).filter("before >= det").limit(1).count()
-    ends = [tuple(r) for r in rows.groupBy("shard").agg(F.min("det"), F.max("det")).orderBy("shard").collect()]  # a row for each file
-    if wrong or any(a[2] >= b[1] for a, b in zip(ends, ends[1:], strict=False)):
+    out = None
+    for number, path in enumerate(paths):
+        lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+        held = lines.select(B.from_text(F.trim("value"), width).alias("det"), F.struct(F.lit(number).alias("shard"), "file_path", "file_block_start").alias("block"), "line")
+        out = held if out is None else out.unionByName(held)
+    before = F.lag("det").over(Window.partitionBy("block").orderBy("line"))
+    blocks = out.withColumn("before", before).groupBy("block").agg(F.min("det").alias("least"), F.max("det").alias("last"), F.max(F.coalesce(F.col("before") >= F.col("det"), F.lit(False))).alias("wrong"))
+    ends = blocks.orderBy("block").select("least", "last", "wrong").collect()  # a row for each block of a file
+    if any(e["wrong"] for e in ends) or any(a["last"] >= b["least"] for a, b in zip(ends, ends[1:], strict=False)):
         raise ValueError("the shards are not sorted, or hold a state twice")
-    return rows.select("det")
+    return out.select("det")
 
 
 def read_records(spark: SparkSession, path: str, size: int) -> DataFrame:

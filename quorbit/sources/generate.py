@@ -10,11 +10,16 @@ from quorbit.session import table
 
 
 def fock_space(spark: SparkSession, width: int, particles: int) -> DataFrame:
-    """All states with a number of particles, by filling sites: as many rows as there are states, not 2^width."""
+    """All states with a number of particles, by filling sites: as many rows as there are states, not 2^width.
+
+    The first sites' choices are dealt over tasks, and each task fills the others.
+    """
     rows = spark.range(1).select(F.lit(0).cast("long").alias("det"), F.lit(-1).alias("last"))
     for k in range(particles):
         free = F.sequence(F.col("last") + 1, F.lit(width - particles + k))
         rows = rows.withColumn("site", F.explode(free)).select(F.col("det").bitwiseOR(B.bit(F.col("site"))).alias("det"), F.col("site").alias("last"))
+        if k == min(2, particles - 1):
+            rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "det")
     return rows.select("det")
 
 
