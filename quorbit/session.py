@@ -66,3 +66,9 @@ def cut_by(df: DataFrame, key: str) -> DataFrame:
         return cut(dealt)
     finally:
         conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this engine wrote, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
