@@ -7,16 +7,19 @@ from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quorbit.llm.conversations import op12
 from quorbit.llm.decontamination import op8
 from quorbit.llm.language_id import op4
 from quorbit.llm.line_dedup import op9
 from quorbit.llm.lm_scoring import op7
+from quorbit.llm.mixing import op11
 from quorbit.llm.pieces import op6
 from quorbit.llm.quality_gam import op2
 from quorbit.llm.quality_rules import op10
 from quorbit.llm.sharding import op5
 from quorbit.llm.simhash import op1
 from quorbit.llm.url_filter import op3
+from quorbit.llm.vector_codes import op13
 from quorbit.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +41,9 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": _over(op8, "documents", "benchmark"),
         "op9_line_dedup": _over(op9, "documents"),
         "op10_quality_rules": _over(op10, "documents"),
+        "op11_source_mixing": _over(op11, "documents"),
+        "op12_conversation_repair": _over(op12, "conversations"),
+        "op13_vector_codes": _over(op13, "embeddings"),
     }
 
 
