@@ -20,17 +20,17 @@ def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(kind)
 
 
-def map_texts(df: DataFrame, rows: Callable[[list, list], Iterable[tuple]], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, rows: Callable[[list, list], Iterable[tuple]], schema: str, slice_bytes: int = BATCH_BYTES) -> DataFrame:
     """Applies ``rows(keys, texts)`` to slices of a two-column (key, text) frame.
 
-    Slices hold about BATCH_BYTES of text, or one longer text. ``rows`` yields
+    Slices hold about ``slice_bytes`` of text, or one longer text. ``rows`` yields
     tuples of ``schema``.
     """
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, texts in slices(batch):
+            for keys, texts in slices(batch, slice_bytes):
                 made = list(rows(keys, texts))
                 columns = list(zip(*made, strict=True)) or [()] * len(out)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
@@ -38,11 +38,11 @@ def map_texts(df: DataFrame, rows: Callable[[list, list], Iterable[tuple]], sche
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
+def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[tuple[list, list]]:
     sizes = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
-        if held and held + n > BATCH_BYTES:
+        if held and held + n > most:
             yield batch.column(0).slice(start, i - start).to_pylist(), batch.column(1).slice(start, i - start).to_pylist()
             start, held = i, 0
         held += n + 1

@@ -16,29 +16,39 @@ is each repetition. How many repetitions there are follows from RECALL: copies
 of items with as many edits as are allowed are made and looked for, and there
 are as many repetitions as it takes to find that share of them at every length.
 
+Long items are cut into pieces, and their windows end with the piece. Of an item's
+pieces, one at least has no larger share of edits than the item, so what finds a
+piece finds the item, at any length; the whole item is then held against the
+surroundings. Where MOST_REPETITIONS do not find the share, as they may not for odd
+items, the items of that length are held against whole texts, without candidates.
+
 Items of fewer than MIN_WORDS words, of which MOST_EDITED lets none be edited,
 are looked for as they are.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorbit.llm.arrow import map_texts
+from quorbit.llm.arrow import BATCH_BYTES, map_texts
 from quorbit.llm.columns import pick
 
 #: An item is found where so large a share of its words, at most, is edited.
 MOST_EDITED = 0.2
 MIN_WORDS = 5
-#: The share of copies with as many edits that the repetitions are to find, at each length; and repetitions at most.
+#: Words of a piece, at most.
+PIECE_WORDS = 96
+#: The share of copies with as many edits that the repetitions are to find, at each length; and repetitions at most, beyond which search is exact.
 RECALL, MOST_REPETITIONS = 0.98, 48
 #: Items, and copies of each, from which the number of repetitions is found.
 TRIED_ITEMS, TRIED_COPIES = 400, 5
@@ -48,6 +58,8 @@ ANCHOR_RATE, FEWEST = 2, 6
 SPANS = (1, 4)
 #: Characters of benchmark text that a worker holds at once; more items are looked for in turn, in the same pass over the documents.
 PASS_CHARS = 1_000_000
+#: Bytes of documents that are held against one such part after the other, where there are several.
+SLICE_BYTES = 16 << 20
 END, OTHER = 0, 1
 #: Marks that words are compared without.
 ASCII_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -116,6 +128,13 @@ class Codes(dict):
         return OTHER
 
 
+def pieces(n_words: int) -> list[tuple[int, int]]:
+    """Where an item's pieces begin and end: as few as PIECE_WORDS allows, of about equal size."""
+    n = max(1, -(-n_words // PIECE_WORDS))
+    cuts = [n_words * i // n for i in range(n + 1)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 def spans_for(n_words: int) -> list[int]:
     """Where the spans begin, and the last one ends, for walks along so many words: a step moves on every other time."""
     made = list(SPANS)
@@ -145,13 +164,14 @@ class Walks:
 
 @dataclass
 class Index:
-    """Items, and hash tables of their windows' sampled copies."""
+    """Items, and hash tables of their windows' sampled copies. Items of equal words are one, with the keys of all."""
 
-    items: list[tuple[object, list[int]]]
+    items: list[tuple[list[object], list[int]]]
     code: Codes
     anchor: np.ndarray
     walks: Walks
     recall: float = 1.0  # of the copies that were tried, at the length where it was least
+    exact: list[int] = field(default_factory=list)  # items that are held against whole texts
     open: list[np.ndarray] = field(default_factory=list)  # by sample: slots of items' keys
     stop: list[np.ndarray] = field(default_factory=list)  # and of those whose item ends before the next sample
     ends: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # key -> item, offset
@@ -160,41 +180,47 @@ class Index:
 
     @classmethod
     def of(cls, items: list[tuple[object, str]]) -> Index:
-        words = [(key, tokens(text)) for key, text in items]
+        keys: dict[tuple[bytes, ...], list[object]] = {}
+        for key, text in items:
+            keys.setdefault(tuple(tokens(text)), []).append(key)
         short: dict[bytes, dict[tuple[bytes, ...], list[object]]] = {}
-        for key, w in words:
+        for w, own in keys.items():
             if 0 < len(w) < MIN_WORDS:
-                short.setdefault(w[0], {}).setdefault(tuple(w), []).append(key)
-        words = [(key, w) for key, w in words if len(w) >= MIN_WORDS]
+                short.setdefault(w[0], {})[w] = own
+        words = [(own, w) for w, own in keys.items() if len(w) >= MIN_WORDS]
         code = Codes({w: i + 2 for i, w in enumerate(sorted({w for _, ws in words for w in ws}))})
         anchor = np.zeros(len(code) + 2, bool)
         for w, c in code.items():
             anchor[c] = xxhash.xxh64_intdigest(w, 8) % ANCHOR_RATE == 0
-        coded = [(key, [code[w] for w in ws]) for key, ws in words]
+        coded = [(own, [code[w] for w in ws]) for own, ws in words]
+        parts = [(number, begin, cs[begin:end]) for number, (_, cs) in enumerate(coded) for begin, end in pieces(len(cs))]
         starts: list[list[int]] = []
-        for _, cs in coded:
+        for _, _, cs in parts:
             half = range(max(1, (len(cs) * 2 + 2) // 3))
             own = [i for i in half if anchor[cs[i]]]
             if len(own) < FEWEST:
                 own = list(half)
                 anchor[[cs[i] for i in own]] = True
             starts.append(own)
-        longest = max((len(cs) for _, cs in coded), default=0)
-        repetitions, recall = repetitions_for([cs for _, cs in coded], starts, anchor, longest)
-        made = cls(coded, code, anchor, Walks(len(anchor), longest, repetitions), recall, short=short)
+        longest = max((len(cs) for _, _, cs in parts), default=0)
+        repetitions, recall, missed = repetitions_for([cs for _, _, cs in parts], starts, anchor, longest)
+        exact = sorted({number for number, _, cs in parts if len(cs).bit_length() in missed})
+        made = cls(coded, code, anchor, Walks(len(anchor), longest, repetitions), recall, exact, short=short)
         n_samples = made.walks.places.shape[1]
         made.open, made.stop = ([np.zeros(1 << _SLOTS, bool) for _ in range(n_samples)] for _ in range(2))
         made.bags = np.zeros((len(coded), BAG + 1), bool)
         for number, (_, cs) in enumerate(coded):
             made.bags[number, np.array(cs) % BAG] = True
-        made._fill(starts)
+        made._fill(parts, starts)
         return made
 
-    def _fill(self, starts: list[list[int]]) -> None:
-        """Enters the windows of all items: their keys after each sample, up to the item's end."""
-        if not self.items:
+    def _fill(self, parts: list[tuple[int, int, list[int]]], starts: list[list[int]]) -> None:
+        """Enters the windows of all (item, begin, codes) pieces: their keys after each sample, up to the piece's end."""
+        if not parts:
             return
-        number, offset, codes, at = windows([cs for _, cs in self.items], starts)
+        part, within, codes, at = windows([cs for _, _, cs in parts], starts)
+        number, offset = np.array([p[0] for p in parts])[part], np.array([p[1] for p in parts])[part] + within
+        ends: dict[int, dict[tuple[int, int], None]] = {}
         for r in range(len(self.walks.places)):
             last, final = np.full(len(number), -1), np.zeros(len(number), np.uint64)
             for sample, (place, key) in enumerate(sampled(self.walks, r, codes, at)):
@@ -205,8 +231,9 @@ class Index:
             for sample in range(len(self.stop)):
                 self.stop[sample][slot(final[last == sample])] = True
             for k, n, o, some in zip(final.tolist(), number.tolist(), offset.tolist(), (last >= 0).tolist(), strict=True):
-                if some and (n, o) not in (found := self.ends.setdefault(k, [])):
-                    found.append((n, o))
+                if some:
+                    ends.setdefault(k, {})[n, o] = None
+        self.ends = {k: list(found) for k, found in ends.items()}
 
     def candidates(self, codes: np.ndarray) -> set[tuple[int, int, int]]:
         """(place of an anchor, place of the item's first word if nothing before it is edited, item); ``codes`` ends with an END."""
@@ -236,22 +263,32 @@ class Index:
 
     def likely(self, codes: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, begin, end) of candidates whose surroundings hold enough of the item's words, as words that are not edited are there."""
-        found = np.array(sorted(self.candidates(codes)), np.int64).reshape(-1, 3)
-        owner, number = np.searchsorted(begins, found[:, 0], side="right") - 1, found[:, 2]
-        found = np.unique(np.stack([owner, number, found[:, 1]], axis=1), axis=0)
         sizes = np.array([len(cs) for _, cs in self.items], np.int64)
         most = np.array([most_edits(n) for n in sizes.tolist()], np.int64)
         slots = np.where(codes < 2, BAG, codes % BAG)
-        for at in range(0, len(found), 1 << 16):
-            owner, number, b = found[at : at + (1 << 16)].T
-            low = np.maximum(b - most[number], begins[owner])
-            high = np.minimum(b + sizes[number] + 2 * most[number], begins[owner + 1] - 1)
-            held = np.zeros(len(b), np.int64)
-            for step in range(int((high - low).max(initial=0))):
-                place = low + step
-                held += self.bags[number, slots[np.minimum(place, len(slots) - 1)]] & (place < high)
-            keep = held >= sizes[number] - most[number]
-            yield from zip(*(x[keep].tolist() for x in (owner, number, low, high)), strict=True)
+        found = np.array(sorted(self.candidates(codes)), np.int64).reshape(-1, 3)
+        owner, number = np.searchsorted(begins, found[:, 0], side="right") - 1, found[:, 2]
+        owner, number, b = np.unique(np.stack([owner, number, found[:, 1]], axis=1), axis=0).T
+        # beginnings of one item that lie as near as its edits may move them are looked at together
+        first = np.ones(len(b), bool)
+        first[1:] = (owner[1:] != owner[:-1]) | (number[1:] != number[:-1]) | (b[1:] - b[:-1] > most[number[1:]])
+        last = np.append(first[1:], True)[: len(b)]
+        owner, number, low, high = owner[first], number[first], b[first], b[last]
+        low = np.maximum(low - most[number], begins[owner])
+        high = np.minimum(high + sizes[number] + 2 * most[number], begins[owner + 1] - 1)
+        if self.exact:
+            texts, items = (x.ravel() for x in np.meshgrid(np.arange(len(begins) - 1), np.array(self.exact), indexing="ij"))
+            owner, number = np.append(owner, texts), np.append(number, items)
+            low, high = np.append(low, begins[texts]), np.append(high, begins[texts + 1] - 1)
+        alike = np.argsort(high - low, kind="stable")
+        for at in range(0, len(alike), 1 << 16):
+            owner_, number_, low_, high_ = (x[alike[at : at + (1 << 16)]] for x in (owner, number, low, high))
+            held = np.zeros(len(low_), np.int64)
+            for step in range(int((high_ - low_).max(initial=0))):
+                place = low_ + step
+                held += self.bags[number_, slots[np.minimum(place, len(slots) - 1)]] & (place < high_)
+            keep = held >= sizes[number_] - most[number_]
+            yield from zip(*(x[keep].tolist() for x in (owner_, number_, low_, high_)), strict=True)
 
     def short_hits(self, words: list[bytes]) -> Iterator[tuple[object, int, int]]:
         """(item key, first word, words) for each short item that a text holds as it is; the first place."""
@@ -278,7 +315,8 @@ class Index:
             if (got := place_within(pattern, codes[low:high].tolist(), most_edits(len(pattern)))) is not None:
                 best[owner, number] = min(best.get((owner, number), (1 << 30, 0)), (got[0], low + got[1]))
         for (owner, number), (edits, begin) in sorted(best.items()):
-            yield owner, self.items[number][0], edits, begin - int(begins[owner]), len(self.items[number][1])
+            keys, pattern = self.items[number]
+            yield from ((owner, key, edits, begin - int(begins[owner]), len(pattern)) for key in keys)
         if self.short:
             for owner, words in enumerate(texts):
                 yield from ((owner, key, 0, first, n) for key, first, n in self.short_hits(words))
@@ -328,11 +366,11 @@ def edited(codes: list[int], chance: np.random.Generator, edits: int) -> list[in
     return made
 
 
-def repetitions_for(items: list[list[int]], starts: list[list[int]], anchor: np.ndarray, longest: int) -> tuple[int, float]:
-    """The least repetitions that find RECALL of edited copies of items, in each class of lengths, and the least class's share.
+def repetitions_for(items: list[list[int]], starts: list[list[int]], anchor: np.ndarray, longest: int) -> tuple[int, float, set[int]]:
+    """The least repetitions that find RECALL of edited copies of pieces, in each class of lengths, the least class's share, and the classes that miss it.
 
     Copies have as many edits as are allowed. Classes go by powers of two. Of more
-    than TRIED_ITEMS items, as many of each class are tried.
+    than TRIED_ITEMS pieces, as many of each class are tried.
     """
     size_class = [len(cs).bit_length() for cs in items]
     chance = np.random.default_rng(9)
@@ -341,7 +379,7 @@ def repetitions_for(items: list[list[int]], starts: list[list[int]], anchor: np.
         own = [i for i, k in enumerate(size_class) if k == c]
         tried += chance.permutation(own)[: max(1, TRIED_ITEMS // len(set(size_class)))].tolist()
     if not tried:
-        return 1, 1.0
+        return 1, 1.0, set()
     copies = [edited(items[i], chance, most_edits(len(items[i]))) for i in tried for _ in range(TRIED_COPIES)]
     walks = Walks(len(anchor), longest, MOST_REPETITIONS)
     number, _, own_codes, own_at = windows([items[i] for i in tried], [starts[i] for i in tried])
@@ -355,10 +393,10 @@ def repetitions_for(items: list[list[int]], starts: list[list[int]], anchor: np.
         wanted = np.unique(final[final > 0] ^ number[final > 0].astype(np.uint64))
         for _, key in sampled(walks, r, copy_codes, copy_at):
             found[copy[np.isin(key ^ (copy // TRIED_COPIES).astype(np.uint64), wanted)]] = True
-        share = min(found[kind == k].mean() for k in set(kind.tolist()))
-        if share >= RECALL:
+        shares = {k: float(found[kind == k].mean()) for k in set(kind.tolist())}
+        if min(shares.values()) >= RECALL:
             break
-    return r + 1, float(share)
+    return r + 1, min(shares.values()), {k for k, share in shares.items() if share < RECALL}
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,30 +412,42 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     edits, of equally good ones the first.
 
     Documents are read once. What is looked for is broadcast in parts of
-    PASS_CHARS characters of items; the driver makes one part after the other, and
-    a worker holds one at a time, so neither grows with the benchmark.
+    PASS_CHARS characters of items, or one longer item; a task makes each part, the
+    driver passes on one after the other, and a worker holds one at a time, so
+    none of them grows with the benchmark. Items of equal words are looked for once.
     """
     picked = pick(docs, doc_id=id_col, text=text_col)
     asked = pick(benchmark, item_id="item_id", text="text").filter("text is not null")
     kinds = [f.dataType.simpleString() for f in (picked.schema["doc_id"], asked.schema["item_id"])]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, first_word int, n_words int"
-    total = asked.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_parts = -(-total // PASS_CHARS) or 1
-    parts = []
-    for part in range(n_parts):
-        rows = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == part).collect()
-        index = Index.of(sorted(((r[0], r[1]) for r in rows), key=lambda x: (str(x[0]), x[1])))
-        parts.append(docs.sparkSession.sparkContext.broadcast(index))
+    context = docs.sparkSession.sparkContext
+    # unpickled in the worker, when the part's turn comes
+    parts = [context.broadcast(bytes(r[0])) for r in indexes(asked).toLocalIterator()]
 
     def run(keys: list, texts: list) -> Iterator[tuple]:
         split = [tokens(t) for t in texts]
         for part in parts:
-            for i, item, edits, first, n in part.value.hits(split):
+            if held.get("part") is not part:
+                held.update(part=part, index=pickle.loads(part.value))
+                vars(part).pop("_value", None)
+            for i, item, edits, first, n in held["index"].hits(split):
                 yield keys[i], item, edits, first, n
-            if len(parts) > 1:
-                vars(part).pop("_value", None)  # read again for the next slice of documents
 
-    return map_texts(picked, run, schema)
+    held: dict[str, object] = {}
+    return map_texts(picked, run, schema, SLICE_BYTES if len(parts) > 1 else BATCH_BYTES)
+
+
+def indexes(asked: DataFrame) -> DataFrame:
+    """(item_id, text) rows to a pickled Index for each PASS_CHARS characters; equal texts come to one."""
+    total = asked.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_parts = -(-total // PASS_CHARS) or 1
+    rows = asked.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(n_parts)))
+
+    def make(_: object, rows: pa.Table) -> pa.Table:
+        items = sorted(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist(), strict=True), key=lambda x: (str(x[0]), x[1]))
+        return pa.table({"index": pa.array([pickle.dumps(Index.of(items))], pa.binary())})
+
+    return rows.groupBy("part").applyInArrow(make, "index binary")
 
 
 def op8(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
