@@ -63,6 +63,6 @@ ruled AS (
 )
 SELECT r.page_id, r.host, r.path, r.rule,
   CASE WHEN r.rule = 'example.com/en/7' THEN 'allow' WHEN r.rule IS NOT NULL THEN 'block'
-    WHEN w.rate > 0 AND h.low > 1.5::DOUBLE * w.rate THEN 'block' ELSE 'allow' END AS verdict,
+    WHEN w.rate > 0 AND h.low * (1 - w.rate) > 1.5::DOUBLE * w.rate * (1 - h.low) THEN 'block' ELSE 'allow' END AS verdict,
   CAST(h.n AS BIGINT) AS host_n, CAST(h.bad AS BIGINT) AS host_bad, round(h.mean, 6) AS bad_rate
 FROM ruled r JOIN h2 h ON h.unit = r.host, whole w
