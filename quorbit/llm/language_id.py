@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from quorbit.llm.arrow import map_texts
 from quorbit.llm.columns import pick
 
-#: The sample of labelled texts that is learnt from: so many different texts a language, whole, with so many characters together, at most.
-SAMPLE_DOCS, SAMPLE_CHARS = 48, 100_000
+#: The sample of labelled texts that is learnt from: so many different texts a language at most; where they have more characters together, an even share of each.
+SAMPLE_DOCS, SAMPLE_CHARS = 48, 150_000
+#: Characters of a stretch that such a share is made of. An automaton has two states a character at most, so a language's holds 300,000 or somewhat more.
+STRETCH = 1_000
 #: Characters of a piece, and pieces that are parsed side by side; neither changes a result.
 PIECE, LANES = 1024, 4096
 #: Classes of characters: what is no letter, letters that no sample has, and from 2 on the samples' letters.
@@ -244,39 +246,40 @@ def predict(model: Model, texts: list[str | None]) -> Iterator[tuple[str, float]
         yield model.languages[best], float(1 - row[best] / rest.min()) if len(rest) else 1.0
 
 
-def whole_texts(found: list[tuple[int, int]], most_chars: int) -> list[int]:
-    """Of (hash, length) pairs, the hashes of those that have room, in order of their hashes; if none has, of the shortest."""
-    taken, left = [], most_chars
-    for h, n in sorted(found):
-        if n <= left:
-            taken.append(h)
-            left -= n
-    return taken or [h for _, h in sorted((n, h) for h, n in found)[:1]]
+def even_share(text: Column, share: Column) -> Column:
+    """The stretches of a text that hold ``share`` of it, from places at even distances; one at least, so of all lengths alike. A share of 1 or more: the text."""
+    n = F.length(text)
+    count = F.greatest(F.ceil(n * share / STRETCH), F.lit(1)).cast("int")
+    size = F.least(n, F.ceil(n * share / count)).cast("int")
+    cuts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, F.floor(i * (n / count)).cast("int") + 1, size))
+    return F.when(share >= 1, F.array(text)).otherwise(cuts)
 
 
 def labelled_sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, chars_each: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """(text, lang) rows to texts by language, in order of their hashes.
+    """(text, lang) rows to texts, or stretches of them, by language, in order of the texts' hashes.
 
     Different texts of a language are taken in order of their hash, ``docs_each`` at
-    most, each whole, and those passed over that would bring a language beyond
-    ``chars_each`` characters; a language whose texts are all longer than that has
-    the shortest of its ``docs_each``. Copies count once. Two small jobs bring the
-    hashes, and then the chosen texts, to the driver.
+    most, whatever their lengths; copies count once. Where they have more than
+    ``chars_each`` characters together, each gives the same share of its own, in
+    stretches that lie evenly over it. Two small jobs bring the hashes, and then
+    what is learnt, to the driver: ``chars_each`` characters a language, and a stretch
+    for each text, at most.
     """
     named = docs.filter("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
-    least = named.select("lang", "h", F.length("text").alias("n")).withColumn("rank", rank).filter(F.col("rank") <= docs_each)
-    sizes: dict[str, dict[int, int]] = {}
-    for lang, h, n in least.select("lang", "h", "n").distinct().collect():
-        sizes.setdefault(lang, {})[h] = n
-    chosen = {lang: whole_texts(list(found.items()), chars_each) for lang, found in sizes.items()}
+    sizes = named.select("lang", "h", F.length("text").alias("n")).groupBy("lang", "h").agg(F.max("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen: dict[str, dict[int, int]] = {}
+    for lang, h, n in sizes.withColumn("place", place).filter(F.col("place") <= docs_each).select("lang", "h", "n").collect():
+        chosen.setdefault(lang, {})[h] = n
     if not chosen:
         return {}
-    wanted = F.lit(False)
-    for lang, hashes in chosen.items():
-        wanted = wanted | ((F.col("lang") == lang) & F.col("h").isin(hashes))
-    rows = named.filter(wanted).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
-    return {lang: [r["text"] for r in sorted(rows, key=lambda r: r["h"]) if r["lang"] == lang] for lang in sorted(chosen)}
+    wanted, share = F.lit(False), F.lit(1.0)
+    for lang, found in chosen.items():
+        wanted = wanted | ((F.col("lang") == lang) & F.col("h").isin(list(found)))
+        if (total := sum(found.values())) > chars_each:
+            share = F.when(F.col("lang") == lang, F.lit(chars_each / total)).otherwise(share)
+    rows = named.filter(wanted).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "h", even_share(F.col("text"), share).alias("parts")).collect()
+    return {lang: [p for r in sorted(rows, key=lambda r: r["h"]) if r["lang"] == lang for p in r["parts"]] for lang in sorted(chosen)}
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
+import xxhash
+
 from quorbit.llm import decontamination, language_id
 
 
@@ -14,8 +18,29 @@ def test_language_learns_from_whole_texts():
     model = language_id.train({"xx": [long_text, "pqr stu", long_text]})
     letters = {c for c in "abcdpqrstu" if model.class_of[ord(c)] not in (language_id.GAP, language_id.OTHER)}
     assert letters == set("abcdpqrstu") and model.automata.sizes[0] == 2 * len(long_text) + 8
-    assert language_id.whole_texts([(5, 40), (1, 70), (3, 50), (4, 30)], 100) == [1, 4]
-    assert language_id.whole_texts([(5, 400), (1, 700)], 100) == [5] and language_id.whole_texts([], 100) == []
+
+
+def test_what_is_learnt_follows_the_lengths_of_all_texts(spark):
+    """Beyond the bound on characters each text gives the same share, however long it is; none is passed over."""
+    texts = {n: "".join(map(chr, random.Random(n).choices(range(0x4E00, 0x9E00), k=n))) for n in (5, 900, 12_000, 40_000, 400_000)}
+    docs = spark.createDataFrame([(t, "xx") for t in texts.values()] * 2 + [("short one", "yy"), (None, "yy"), ("text", None)], "text string, lang string")
+    found = language_id.labelled_sample(docs, chars_each=100_000)
+    assert found["yy"] == ["short one"] and sorted(found) == ["xx", "yy"]
+    share, held = 100_000 / sum(texts), {n: [] for n in texts}
+    for part in found["xx"]:
+        n = next(n for n, t in texts.items() if part in t and (len(part) > 5 or n == 5))
+        held[n].append(texts[n].index(part))
+    for n, starts in held.items():
+        assert len(starts) == max(1, -(-n * share // language_id.STRETCH))
+        assert [round(s * len(starts) / n) for s in sorted(starts)] == list(range(len(starts)))  # one stretch in each equal part
+    assert abs(sum(map(len, found["xx"])) - 100_000) < len(found["xx"])
+    assert language_id.labelled_sample(docs.filter("lang = 'xx'"), chars_each=sum(texts))["xx"] == sorted(texts.values(), key=xx64)
+    assert len(language_id.labelled_sample(docs, docs_each=2)["xx"]) == 2
+
+
+def xx64(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def test_short_items_are_found_as_they_are(spark):
