@@ -27,7 +27,7 @@ from quorbit.llm.columns import pick
 from quorbit.operators.select import parts_for
 from quorbit.session import cut
 
-#: Rows of a block, and how many short patterns of rows a task remembers the paths of.
+#: Rows of a block, a power of two, as ranges of places begin at multiples of 2^33; and how many short patterns of rows a task remembers the paths of.
 BLOCK, REMEMBERED = 4096, 20_000
 #: Costs: a turn that keeps its fault of being cut off, another role, a deletion, an insertion.
 TRUNCATED, REROLE, DELETE, INSERT = 1, 2, 3, 2

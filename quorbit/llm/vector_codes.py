@@ -212,7 +212,8 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     width = len(first[0][1]) if first else 0
     if width % PARTS:
         raise ValueError(f"vectors of {width} components can't be cut into {PARTS} equal parts")
-    start = whole(np.array([v for _, v in first if len(v) == width], float).reshape(-1, width))
+    fits = [v for _, v in first if len(v) == width]
+    start = whole(np.array(fits, float).reshape(len(fits), width))
     books = [start[:, :0]] * PARTS
     if width:
         books = fit_codebooks(kept.filter(F.size("vector") == width).select("vector"), width, start)
@@ -227,7 +228,7 @@ def with_label_errors(coded: DataFrame) -> DataFrame:
     """``label_error``: the errors of all rows of the same label, nulls being one; a label of many rows is split over tasks."""
     keyed = cut(coded.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("label").cast("string")), F.lit(""))))
     total = F.sum(F.col("error").cast("decimal(38,0)"))
-    sums = keyed.groupBy("key").agg(F.least(total, F.lit(LONGEST).cast("decimal(38,0)")).cast("long").alias("label_error"), F.count("*").alias("n"))
+    sums = keyed.groupBy("key").agg(F.when(total.isNotNull(), F.least(total, F.lit(LONGEST).cast("decimal(38,0)"))).cast("long").alias("label_error"), F.count("*").alias("n"))
     return spread_join(keyed, sums, ["key"], "n").drop("key", "n")
 
 
