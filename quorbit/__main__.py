@@ -22,6 +22,12 @@ def parser() -> argparse.ArgumentParser:
     for name, kind, default in (("method", str, "davidson"), ("tolerance", float, 1e-4), ("iteration", int, 1), ("block", int, 10), ("seed", int, 1), ("max-time", float, None), ("carryover", int, 0), ("threshold", float, 0.01), ("heatbath-cutoff", float, 1e-4)):
         solve.add_argument(f"--{name}", type=kind, default=default)
     solve.add_argument("--rdm", action="store_true")
+    solve.add_argument("--init", choices=diag.INITS, default="random", help="random start vectors, or one on the first state")
+    solve.add_argument("--initial-determinant", help="0/1 text of the state to start from")
+    solve.add_argument("--load", help="a saved wavefunction to start from")
+    solve.add_argument("--numivec", type=int, default=1, help="start vectors, which is also how many a restart keeps")
+    solve.add_argument("--carryover-type", choices=diag.CARRYOVERS, default="top")
+    solve.add_argument("--carryover-ratio", type=float, help="share of the states that is carried over")
     solve.add_argument("--out", help="folder for the wavefunction, densities and the next basis")
     for name in ("tpb", "gdb"):
         own = sub.add_parser(name, parents=[solve])
@@ -54,7 +60,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _options(a: argparse.Namespace) -> diag.Options:
-    return diag.Options(a.method, a.tolerance, a.iteration, a.block, a.seed, a.max_time, a.rdm, a.carryover, a.threshold, a.heatbath_cutoff)
+    return diag.Options(a.method, a.tolerance, a.iteration, a.block, a.seed, a.max_time, a.rdm, a.carryover, a.threshold, a.heatbath_cutoff, a.init, int(a.initial_determinant, 2) if a.initial_determinant else None, a.load, a.numivec, a.carryover_type, a.carryover_ratio)
 
 
 def _report(result: diag.Result, out: str | None, width: int) -> dict:

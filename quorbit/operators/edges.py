@@ -38,6 +38,11 @@ def hamming_edges(basis: DataFrame, distances: tuple[int, ...] = (2, 4)) -> Data
     return out
 
 
+def labelled(pairs: DataFrame, width: int) -> DataFrame:
+    """Pairs of bra and ket with ``created`` and ``annihilated``: the sites that the bra has and the ket has not, and the other way round, ascending."""
+    return pairs.withColumn("created", B.created("bra", "ket", width)).withColumn("annihilated", B.created("ket", "bra", width))
+
+
 def lookup(edges: DataFrame, vector: DataFrame) -> DataFrame:
     """Edges with the ket's coefficient."""
     return edges.join(vector.withColumnRenamed("det", "ket"), "ket")

@@ -1,18 +1,18 @@
 """Matrix elements: ladder terms on states, and Slater-Condon rules from integral tables.
 
-Term and integral tables are built on the driver from an input of n sites, at
-most ``MOST_TERMS`` rows, and are broadcast only up to that size.
+Terms of models and all integrals are tables; they are broadcast where a count
+shows ``MOST_TERMS`` rows at most, and shuffled beyond that.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorbit.functions import bits as B
+from quorbit.session import cut
 
 MOST_TERMS = 200_000
 
@@ -89,58 +89,78 @@ class Integrals:
     """Spin-orbital tables; spin-orbital 2i + s is orbital i with spin s (0 alpha, 1 beta).
 
     one(p, q, v); direct(p, q, v) = J - [same spin] K for p < q; single(i, a, j, v) adds
-    v for an occupied j; double(i, j, a, b, v), i < j, a < b, spin-conserving, v != 0.
+    v for an occupied j; double(i, j, a, b, v), i < j, a < b, spin-conserving, v != 0;
+    lookup(i, j, moves) has a pair's doubles as an array (w, v, a, b), w = |v|,
+    greatest first; two(p, q, r, s, v) = (pq|rs) for orders of all places. Each is
+    checkpointed, counted once, and marked for broadcast where that shows it is small.
     """
 
     core: float
     norb: int
     one: DataFrame
+    two: DataFrame
     direct: DataFrame
     single: DataFrame
     double: DataFrame
+    lookup: DataFrame
+
+
+def places(two: DataFrame) -> DataFrame:
+    """(left, right, p, q, r, s, v) in all eight places of equal value, once each; left and right are the spins of pq and of rs."""
+    orders = [("left", "right", *o) for o in ("pqrs", "qprs", "pqsr", "qpsr")] + [("right", "left", *o) for o in ("rspq", "srpq", "rsqp", "srqp")]
+    names = ("left", "right", "p", "q", "r", "s")
+    made = F.array_distinct(F.array(*[F.struct(*[F.col(c).alias(n) for c, n in zip(o, names, strict=True)]) for o in orders]))
+    return two.withColumn("at", F.explode(made)).select("at.*", "v").dropDuplicates(list(names))
+
+
+def spin_integrals(core: float, norb: int, one: DataFrame, two: DataFrame) -> Integrals:
+    """Tables from (spin, p, q, v) and (left, right, p, q, r, s, v) rows on spatial orbitals, 0-based, in any one or more of their equal places.
+
+    A null spin stands for both. All are projections and grouped sums of the
+    integrals' rows, so only integrals that are there make rows, and the driver
+    holds none.
+    """
+    spins = lambda c: F.when(F.col(c).isNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(c))
+    on = lambda c, spin: (2 * F.col(c) + F.col(spin)).cast("int").alias(c)
+    first = one.withColumn("spin", F.explode(spins("spin"))).withColumn("at", F.explode(F.array(F.struct("p", "q"), F.struct(F.col("q").alias("p"), F.col("p").alias("q")))))
+    first = first.select("spin", "at.p", "at.q", "v").dropDuplicates(["spin", "p", "q"]).filter("v <> 0").select(on("p", "spin"), on("q", "spin"), "v")
+    both = two.filter("v <> 0").withColumn("left", F.explode(spins("left"))).withColumn("right", F.explode(spins("right")))
+    g = cut(places(both).select(on("p", "left"), on("q", "left"), on("r", "right"), on("s", "right"), "v"))
+
+    def summed(keys: str, *parts: DataFrame) -> DataFrame:
+        """Coulomb parts less exchange parts, by key, where that is not zero."""
+        return parts[0].unionByName(parts[1].withColumn("v", -F.col("v"))).groupBy(*keys).agg(F.sum("v").alias("v")).filter("v <> 0")
+
+    named = lambda df, **new: df.select(*[F.col(old).alias(k) for k, old in new.items()], "v")
+    direct = summed("pq", named(g.filter("p = q and r = s and p < r"), p="p", q="r"), named(g.filter("p = s and q = r and p < q"), p="p", q="q"))
+    single = summed("iaj", named(g.filter("r = s and p <> q and r <> p and r <> q"), i="q", a="p", j="r"), named(g.filter("q = r and p <> s and q <> p and q <> s"), i="s", a="p", j="q"))
+    apart = g.filter("p <> q and p <> s and r <> q and r <> s and p < r")
+    double = cut(summed("ijab", named(apart.filter("q < s"), i="q", j="s", a="p", b="r"), named(apart.filter("s < q"), i="s", j="q", a="p", b="r")))
+    moves = F.reverse(F.sort_array(F.collect_list(F.struct(F.abs("v").alias("w"), "v", "a", "b"))))
+    tables = {"one": first, "two": g, "direct": direct, "single": single, "double": double, "lookup": double.groupBy("i", "j").agg(moves.alias("moves"))}
+    return Integrals(core, norb, **{k: small(t if k in ("two", "double") else cut(t)) for k, t in tables.items()})
 
 
 def integral_tables(spark: SparkSession, norb: int, core: float, one: dict[tuple[int, int], float], two: dict[tuple[int, int, int, int], float], one_beta: dict | None = None, two_blocks: dict | None = None) -> Integrals:
-    """Tables from spatial integrals, 0-based; (pq|rs) has one entry for its eight equal places.
+    """Tables from spatial integrals of a small model, 0-based; (pq|rs) has one entry for its eight equal places.
 
-    Unrestricted: ``one_beta``, and ``two_blocks`` by the pair of spins. Zero
-    entries take no row, so local models stay small.
+    Unrestricted: ``one_beta``, and ``two_blocks`` by the pair of spins.
     """
-    first = {0: one, 1: one_beta or one}
-    blocks = two_blocks or {(s, t): two for s in (0, 1) for t in (0, 1)}
-
-    def h(p: int, q: int) -> float:
-        table = first[p % 2]
-        return table.get((p // 2, q // 2), table.get((q // 2, p // 2), 0.0)) if p % 2 == q % 2 else 0.0
-
-    full: dict[tuple[int, int], dict] = defaultdict(dict)
-    for (left, right), block in blocks.items():
-        for (p, q, r, s), v in block.items():
-            for a, b in ((p, q), (q, p)):
-                for c, d in ((r, s), (s, r)):
-                    full[left, right][a, b, c, d] = full[right, left][c, d, a, b] = v
-
-    def g(p: int, q: int, r: int, s: int) -> float:
-        return full[p % 2, r % 2].get((p // 2, q // 2, r // 2, s // 2), 0.0) if p % 2 == q % 2 and r % 2 == s % 2 else 0.0
-
-    n = 2 * norb
-    rows: dict[str, list] = defaultdict(list)
-    for p in range(n):
-        rows["one"] += [(p, q, v) for q in range(n) if (v := h(p, q))]
-        rows["direct"] += [(p, q, v) for q in range(p + 1, n) if (v := g(p, p, q, q) - g(p, q, q, p))]
-        for a in range(p % 2, n, 2):
-            if a != p:
-                rows["single"] += [(p, a, j, v) for j in range(n) if j not in (p, a) and (v := g(a, p, j, j) - g(a, j, j, p))]
-    for i in range(n):
-        for j in range(i + 1, n):
-            for a in range(n):
-                for b in range(a + 1, n):
-                    if {i, j} & {a, b} or sorted((i % 2, j % 2)) != sorted((a % 2, b % 2)):
-                        continue
-                    if v := g(a, i, b, j) - g(a, j, b, i):
-                        rows["double"].append((i, j, a, b, v))
-    kinds = {"one": "p int, q int, v double", "direct": "p int, q int, v double", "single": "i int, a int, j int, v double", "double": "i int, j int, a int, b int, v double"}
-    return Integrals(core, norb, **{k: spark.createDataFrame(rows[k], s) for k, s in kinds.items()})
+    firsts = [(None if one_beta is None else 0, one)] + ([(1, one_beta)] if one_beta is not None else [])
+    one_rows = [(s, p, q, float(v)) for s, held in firsts for (p, q), v in held.items()]
+    blocks = two_blocks or {(None, None): two}
+    two_rows = [(*spins, *at, float(v)) for spins, block in blocks.items() for at, v in block.items()]
+    kinds = "spin int, p int, q int, v double", "left int, right int, p int, q int, r int, s int, v double"
+    return spin_integrals(core, norb, spark.createDataFrame(one_rows, kinds[0]), spark.createDataFrame(two_rows, kinds[1]))
+
+
+def over(moves: Column, least: Column, longest: int) -> Column:
+    """How many of the moves, which go by w downwards, have a w over ``least``: by bisection, in steps that ``longest`` arrays take."""
+    bounds = F.struct(F.lit(0).alias("low"), F.size(moves).alias("high"))
+    middle = lambda b: F.shiftright(b["low"] + b["high"], 1)
+    more = lambda b: F.get(moves, middle(b))["w"] > least
+    step = lambda b, _: F.when(b["low"] >= b["high"], b).when(more(b), F.struct((middle(b) + 1).alias("low"), b["high"].alias("high"))).otherwise(F.struct(b["low"].alias("low"), middle(b).alias("high")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(longest.bit_length() + 1)), bounds, step, lambda b: b["low"])
 
 
 def _occupied(states: DataFrame, width: int, name: str) -> DataFrame:
@@ -151,8 +171,8 @@ def diagonal(basis: DataFrame, ints: Integrals) -> DataFrame:
     """(det, h): core + sum of h_ii + sum over pairs of J - [same spin] K."""
     n = 2 * ints.norb
     states = basis.select("det").distinct()
-    first = _occupied(states, n, "p").join(small(ints.one.filter("p = q").select("p", "v")), "p").select("det", "v")
-    pairs = _occupied(_occupied(states, n, "p"), n, "q").filter("p < q").join(small(ints.direct), ["p", "q"]).select("det", "v")
+    first = _occupied(states, n, "p").join(ints.one.filter("p = q").select("p", "v"), "p").select("det", "v")
+    pairs = _occupied(_occupied(states, n, "p"), n, "q").filter("p < q").join(ints.direct, ["p", "q"]).select("det", "v")
     sums = first.unionByName(pairs).groupBy("det").agg(F.sum("v").alias("v"))
     return states.join(sums, "det", "left").select("det", (F.coalesce("v", F.lit(0.0)) + ints.core).alias("h"))
 
@@ -161,25 +181,25 @@ def singles(states: DataFrame, ints: Integrals) -> DataFrame:
     """(det, bra, i, a, h) for each spin-conserving move whose element is not zero."""
     n = 2 * ints.norb
     moves = _occupied(states.select("det").distinct(), n, "i").withColumn("a", F.explode(B.sites("det", n, 0))).filter("i % 2 = a % 2")
-    first = moves.join(small(ints.one.select(F.col("p").alias("a"), F.col("q").alias("i"), "v")), ["i", "a"]).select("det", "i", "a", "v")
-    rest = moves.join(small(ints.single), ["i", "a"]).filter(F.getbit("det", F.col("j")) == 1).select("det", "i", "a", "v")
+    first = moves.join(ints.one.select(F.col("p").alias("a"), F.col("q").alias("i"), "v"), ["i", "a"]).select("det", "i", "a", "v")
+    rest = moves.join(ints.single, ["i", "a"]).filter(F.getbit("det", F.col("j")) == 1).select("det", "i", "a", "v")
     sums = first.unionByName(rest).groupBy("det", "i", "a").agg(F.sum("v").alias("v")).filter("v <> 0")
     bra = F.col("det").bitwiseXOR(B.bit(F.col("i"))).bitwiseXOR(B.bit(F.col("a")))
     return sums.select("det", bra.alias("bra"), "i", "a", (F.col("v") * B.parity("det", F.col("i"), F.col("a"))).alias("h"))
 
 
 def doubles(states: DataFrame, ints: Integrals, cutoff: Column | None = None) -> DataFrame:
-    """(det, bra, i, j, a, b, h): occupied pairs looked up in the table of two-electron integrals.
+    """(det, bra, i, j, a, b, h): occupied pairs looked up in the two-electron moves.
 
-    Integral-driven: moves that no integral makes are never generated; a
-    ``cutoff`` on |v| (an expression of the state's columns) prunes in the join.
+    Integral-driven: moves that no integral makes are never generated. With a
+    ``cutoff`` on |v| (an expression of the state's columns), a pair's moves,
+    greatest first, are cut to those over it before they become rows; so the
+    only rows that go again are those whose targets are occupied.
     """
     n = 2 * ints.norb
-    pairs = _occupied(_occupied(states, n, "i"), n, "j").filter("i < j")
-    table = small(ints.double)
-    hit = pairs.join(table, ["i", "j"])
-    if cutoff is not None:
-        hit = hit.filter(F.abs("v") > cutoff)
+    pairs = _occupied(_occupied(states, n, "i"), n, "j").filter("i < j").join(ints.lookup, ["i", "j"])
+    moves = F.col("moves") if cutoff is None else F.slice("moves", 1, over(F.col("moves"), cutoff, n * n))
+    hit = pairs.withColumn("_m", F.explode(moves)).select(*states.columns, "i", "j", "_m.a", "_m.b", "_m.v")
     hit = hit.filter((F.getbit("det", F.col("a")) == 0) & (F.getbit("det", F.col("b")) == 0))
     one = F.col("det").bitwiseXOR(B.bit(F.col("i"))).bitwiseXOR(B.bit(F.col("a")))
     # the sign of a+_a a+_b a_j a_i as two moves, i to a and then j to b

@@ -21,6 +21,22 @@ def half_moves(halves: DataFrame, width: int, order: int = 1, name: str = "det")
     return out.select("det", bra.bitwiseXOR(B.bit(F.col("j"))).bitwiseXOR(B.bit(F.col("b"))).alias("bra"))
 
 
+def labelled_moves(states: DataFrame, width: int, order: int = 1, name: str = "det") -> DataFrame:
+    """(det, bra, i, a, spin) of single moves from i to a on spin-orbitals in turn, each within its spin.
+
+    Of double ones (det, bra, i, j, a, b, spin): i < j, a < b, and spin 0 for two alpha, 1 for
+    two beta electrons and 2 for one of each.
+    """
+    state = states.select(F.col(name).alias("det"))
+    out = state.withColumn("i", F.explode(B.sites("det", width))).withColumn("a", F.explode(B.sites("det", width, 0)))
+    bra = F.col("det").bitwiseXOR(B.bit(F.col("i"))).bitwiseXOR(B.bit(F.col("a")))
+    if order == 1:
+        return out.filter("i % 2 = a % 2").select("det", bra.alias("bra"), "i", "a", (F.col("i") % 2).cast("int").alias("spin"))
+    out = out.withColumn("j", F.explode(B.sites("det", width))).filter("i < j").withColumn("b", F.explode(B.sites("det", width, 0))).filter("a < b and i % 2 + j % 2 = a % 2 + b % 2")
+    spin = F.when(F.col("i") % 2 != F.col("j") % 2, 2).otherwise(F.col("i") % 2).cast("int")
+    return out.select("det", bra.bitwiseXOR(B.bit(F.col("j"))).bitwiseXOR(B.bit(F.col("b"))).alias("bra"), "i", "j", "a", "b", spin.alias("spin"))
+
+
 def singles_extended(halves: DataFrame, width: int, name: str = "det") -> DataFrame:
     """The halves and all their single moves, once each."""
     own = halves.select(F.col(name).alias("det"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quorbit.functions import bits as B
 from quorbit.operators.edges import hamming_edges
-from quorbit.operators.elements import Integrals, small
+from quorbit.operators.elements import Integrals
 
 
 def occupation(wave: DataFrame, width: int) -> DataFrame:
@@ -40,15 +40,15 @@ def two_rdm(wave: DataFrame, width: int) -> DataFrame:
 
 def rdm_energy(one: DataFrame, two: DataFrame, ints: Integrals) -> float:
     """Core + one- and two-electron parts, recomposed from density matrices and integrals."""
-    h = small(ints.one.select("p", "q", F.col("v").alias("h")))
+    h = ints.one.select("p", "q", F.col("v").alias("h"))
     first = one.join(h, ["p", "q"]).agg(F.sum(F.col("v") * F.col("h"))).first()[0] or 0.0
-    pair = small(ints.direct.select("p", "q", F.col("v").alias("g")))
+    pair = ints.direct.select("p", "q", F.col("v").alias("g"))
     same = two.filter("p = r and q = s").join(pair, ["p", "q"]).agg(F.sum(F.col("v") * F.col("g"))).first()[0] or 0.0
     # p, q -> r, s with one shared spin-orbital, whose elements are the single table's
     moves = _as_moves(two.filter("not (p = r and q = s)"))
-    single = small(ints.single.select(F.col("i").alias("i"), "a", "j", F.col("v").alias("g")))
+    single = ints.single.select(F.col("i").alias("i"), "a", "j", F.col("v").alias("g"))
     shared = moves.filter("j = b").join(single, ["i", "a", "j"]).agg(F.sum(F.col("v") * F.col("g"))).first()[0] or 0.0
-    double = small(ints.double.select(F.col("i").alias("r"), F.col("j").alias("s"), F.col("a").alias("p"), F.col("b").alias("q"), F.col("v").alias("g")))
+    double = ints.double.select(F.col("i").alias("r"), F.col("j").alias("s"), F.col("a").alias("p"), F.col("b").alias("q"), F.col("v").alias("g"))
     both = two.join(double, ["p", "q", "r", "s"]).agg(F.sum(F.col("v") * F.col("g"))).first()[0] or 0.0
     return float(ints.core + first + same + shared + both)
 

@@ -5,12 +5,16 @@ state: its diagonal element and arrays of its components in the vectors and in
 their images. So linear combinations are projections, all inner products of a
 step are one aggregation, and only the operator itself needs a join. Each step's
 table is checkpointed.
+
+An operator is a table of edges (bra, ket, h), or a function that takes (det, values)
+rows and names of values to the same of their images, as the product form has.
 """
 
 from __future__ import annotations
 
 import math
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,6 +31,23 @@ class Solution:
     vector: DataFrame
     residual: float
     history: list[float] = field(default_factory=list)
+    energies: list[float] = field(default_factory=list)
+    vectors: list[DataFrame] = field(default_factory=list)
+    applications: int = 0
+
+
+Images = Callable[[DataFrame, list[str]], DataFrame]
+
+
+def stored(edges: DataFrame) -> Images:
+    """The operator of an edge table, which is dealt by ket once; a step moves only the vectors to it, and partial sums back."""
+    dealt = cut_by(edges.select("bra", "ket", "h"), "ket")
+
+    def images(kets: DataFrame, values: list[str]) -> DataFrame:
+        sums = [F.sum(F.col("h") * F.col(v)).alias(v) for v in values]
+        return dealt.join(kets.withColumnRenamed("det", "ket"), "ket").groupBy(F.col("bra").alias("det")).agg(*sums)
+
+    return images
 
 
 def _mix(column: str, weights: list[float]) -> Column:
@@ -37,14 +58,11 @@ def _mix(column: str, weights: list[float]) -> Column:
 
 
 class Subspace:
-    """Orthonormal vectors ``v`` and their images ``w``, as arrays by state.
-
-    The edges, by far the largest table, are dealt by ket once; a step moves only
-    the vectors to them, and partial sums back.
-    """
+    """Orthonormal vectors ``v`` and their images ``w``, as arrays by state."""
 
-    def __init__(self, edges: DataFrame, starts: list[DataFrame], diagonal: DataFrame | None = None):
-        self.edges = cut_by(edges.select("bra", "ket", "h"), "ket")
+    def __init__(self, operator: DataFrame | Images, starts: list[DataFrame], diagonal: DataFrame | None = None):
+        self.operator = stored(operator) if isinstance(operator, DataFrame) else operator
+        self.applications = 0
         table = starts[0].select("det", F.array("c").alias("v"))
         for other in starts[1:]:
             more = other.select("det", F.col("c").alias("_c"))
@@ -69,9 +87,9 @@ class Subspace:
     def apply(self) -> np.ndarray:
         """Adds the missing images, and returns the vectors' products with them."""
         new = range(self.images, self.size)
-        kets = self.table.select(F.col("det").alias("ket"), *[F.col("v")[k].alias(f"v{k}") for k in new])
-        sums = [F.sum(F.col("h") * F.col(f"v{k}")).alias(f"w{k}") for k in new]
-        made = self.edges.join(kets, "ket").groupBy(F.col("bra").alias("det")).agg(*sums)
+        kets = self.table.select("det", *[F.col("v")[k].alias(f"w{k}") for k in new])
+        made = self.operator(kets, [f"w{k}" for k in new])
+        self.applications += 1
         joined = self.table.join(made, "det", "left")
         self.table = cut(joined.select("det", "h", "v", F.concat("w", F.array(*[F.coalesce(f"w{k}", F.lit(0.0)) for k in new])).alias("w")))
         self.images = self.size
@@ -98,6 +116,18 @@ class Subspace:
         self.table = self.table.drop("t")
         return length
 
+    def residuals(self, mixes: list[list[float]], energies: list[float], regular: float) -> list[tuple[Column, float, list[float]]]:
+        """For each combination its preconditioned residual, the residual's norm, and the vectors' products with the former: one aggregation."""
+        made, sums = [], []
+        for mix, energy in zip(mixes, energies, strict=True):
+            down = F.lit(energy) - F.col("h")
+            rest = self.residual(mix, energy)
+            made.append(rest / F.when(F.abs(down) < regular, F.lit(regular)).otherwise(down))
+            sums += [F.sum(rest * rest), *[F.sum(F.col("v")[k] * made[-1]) for k in range(self.size)]]
+        found = [float(x or 0.0) for x in self.table.agg(*sums).first()]
+        each = self.size + 1
+        return [(m, math.sqrt(found[i * each]), found[i * each + 1 : (i + 1) * each]) for i, m in enumerate(made)]
+
     def residual(self, mix: list[float], energy: float) -> Column:
         return _mix("w", mix) - F.lit(energy) * _mix("v", mix)
 
@@ -105,26 +135,34 @@ class Subspace:
         r = self.residual(mix, energy)
         return math.sqrt(float(self.table.agg(F.sum(r * r)).first()[0] or 0.0))
 
-    def restart(self, mix: list[float]) -> None:
-        """Keeps the combination alone; its image is the images' combination."""
-        self.table = cut(self.table.select("det", "h", F.array(_mix("v", mix)).alias("v"), F.array(_mix("w", mix)).alias("w")))
-        self.size = self.images = 1
+    def restart(self, mixes: list[list[float]]) -> None:
+        """Keeps these orthonormal combinations alone; their images are the images' combinations, so nothing is applied anew."""
+        both = [F.array(*[_mix(c, m) for m in mixes]).alias(c) for c in ("v", "w")]
+        self.table = cut(self.table.select("det", "h", *both))
+        self.size = self.images = len(mixes)
 
     def vector(self, mix: list[float]) -> DataFrame:
         return cut(self.table.select("det", _mix("v", mix).alias("c")))
 
 
-def davidson(edges: DataFrame, diagonal: DataFrame, start: DataFrame | list[DataFrame], eps: float = 1e-4, restarts: int = 1, block: int = 10, regular: float = 1e-12, max_time: float | None = None) -> Solution:
-    """Stops where the residual norm is under ``eps``; after ``block`` vectors it begins again from the Ritz vector.
+def davidson(operator: DataFrame | Images, diagonal: DataFrame, start: DataFrame | list[DataFrame], eps: float = 1e-4, restarts: int = 1, block: int = 10, regular: float = 1e-12, max_time: float | None = None, wanted: int = 1, keep: int | None = None) -> Solution:
+    """The ``wanted`` lowest states; stops where all their residual norms are under ``eps``.
 
-    Several start vectors open the first subspace together.
+    Several start vectors open the first subspace together. A step adds a vector
+    for each state that is not there yet, and applies the operator to all of them
+    in one pass. At ``block`` vectors it begins again from the ``keep`` lowest
+    combinations, as many as there were start vectors, or states wanted, unless told.
     """
-    space = Subspace(edges, start if isinstance(start, list) else [start], diagonal)
-    began, history, size = time.time(), [], math.inf
+    starts = start if isinstance(start, list) else [start]
+    keep = keep or max(wanted, len(starts))
+    if keep >= block and restarts > 1:
+        raise ValueError(f"{block} vectors leave no room beside {keep} that a restart keeps")
+    space, began, history = Subspace(operator, starts, diagonal), time.time(), []
+    energies: list[float] = []
     for turn in range(max(restarts, 1)):
         if turn:
-            space.restart(mix)
-        small = np.array([[energy]]) if turn else np.zeros((0, 0))
+            space.restart(mixes[:keep])
+        small = np.diag(energies[:keep]) if turn else np.zeros((0, 0))
         while True:
             if space.images < space.size:
                 old, products = len(small), space.apply()
@@ -132,27 +170,29 @@ def davidson(edges: DataFrame, diagonal: DataFrame, start: DataFrame | list[Data
                 small[:, old:] = products
                 small[old:, :] = products.T
             values, vectors = np.linalg.eigh((small + small.T) / 2)
-            energy, mix = float(values[0]), vectors[:, 0].tolist()
-            history.append(energy)
-            down = F.lit(energy) - F.col("h")
-            down = F.when(F.abs(down) < regular, F.lit(regular)).otherwise(down)
-            rest = space.residual(mix, energy)
-            square, *dots = space.against(rest / down, rest)
-            size = math.sqrt(square)
+            energies, mixes = [float(v) for v in values], vectors.T.tolist()
+            history.append(energies[0])
+            made = space.residuals(mixes[:wanted], energies[:wanted], regular)
             spent = time.time() - began
             late = max_time is not None and spent + spent / len(history) > max_time
-            if size < eps or late or space.size >= block:
+            done = len(made) == wanted and all(size < eps for _, size, _ in made)
+            if done or late or space.size >= block:
                 break
-            if space.append(rest / down, dots=dots) <= 1e-10:
+            added = 0
+            for rest, size, dots in made:
+                if size >= eps and space.size < block:
+                    added += space.append(rest, dots=None if added else dots) > 1e-10
+            if not added:
                 break
-        if size < eps or late:
+        if done or late:
             break
-    return Solution(energy, space.vector(mix), size, history)
+    found = [space.vector(m) for m in mixes[:wanted]]
+    return Solution(energies[0], found[0], made[0][1], history, energies[:wanted], found, space.applications)
 
 
-def lanczos(edges: DataFrame, start: DataFrame, eps: float = 1e-8, most: int = 60) -> Solution:
+def lanczos(operator: DataFrame | Images, start: DataFrame, eps: float = 1e-8, most: int = 60) -> Solution:
     """Stops where the energy moves, or the next vector's length is, under ``eps``; two Gram-Schmidt passes a step."""
-    space, alpha, beta, history = Subspace(edges, [start]), [], [], []
+    space, alpha, beta, history = Subspace(operator, [start]), [], [], []
     while True:
         alpha.append(float(space.apply()[-1, -1]))
         values, vectors = np.linalg.eigh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))
@@ -166,10 +206,12 @@ def lanczos(edges: DataFrame, start: DataFrame, eps: float = 1e-8, most: int = 6
     return Solution(history[-1], space.vector(mix), space.residual_norm(mix, history[-1]), history)
 
 
-def ground_state(edges: DataFrame, basis: DataFrame, method: str = "davidson", seed: int = 1, n_start: int = 1, **options) -> Solution:  # noqa: ANN003
-    start = start_vector(basis, "random", seed)
+def ground_state(edges: DataFrame | Images, basis: DataFrame, method: str = "davidson", seed: int = 1, n_start: int = 1, start: DataFrame | None = None, diagonal: DataFrame | None = None, **options) -> Solution:  # noqa: ANN003
+    """From ``start``, or random vectors; an operator that is no edge table comes with its ``diagonal``."""
     if method == "lanczos":
-        return lanczos(edges, start, **options)
-    if n_start > 1:
-        start = [start_vector(basis, "random", seed + k) for k in range(n_start)]
-    return davidson(edges, edges.filter("bra = ket").select(F.col("bra").alias("det"), "h"), start, **options)
+        return lanczos(edges, start_vector(basis, "random", seed) if start is None else start, **options)
+    starts = [start] if start is not None else []
+    starts += [start_vector(basis, "random", seed + k) for k in range(n_start - len(starts))]
+    if diagonal is None:
+        diagonal = edges.filter("bra = ket").select(F.col("bra").alias("det"), "h")
+    return davidson(edges, diagonal, starts, **options)

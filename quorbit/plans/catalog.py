@@ -143,19 +143,17 @@ def bit_words(spark, d):  # noqa: ANN001, ANN201
     return basis(spark, d, 16).select("det", *[five[i].alias(f"w{i}") for i in range(4)], *[eight[i].alias(f"v{i}") for i in range(2)])
 
 
-@query("bit_word_order", f"WITH {basis_sql(16)}, w AS (SELECT det, det & 255 AS low, det >> 8 AS high FROM basis) SELECT det, row_number() OVER (ORDER BY high, low) AS place FROM w ORDER BY place LIMIT 100")
+@query("bit_word_order", f"WITH {basis_sql(16)}, w AS (SELECT det, det & 255 AS low, det >> 8 AS high FROM basis) SELECT det, row_number() OVER (ORDER BY high, low) AS place FROM w")
 def bit_word_order(spark, d):  # noqa: ANN001, ANN201
+    """The place of every state."""
     words = B.words_from_text(B.to_text("det", 16), 16, 8)
-    first = basis(spark, d, 16).select("det", B.word_order(words).alias("w")).orderBy("w").limit(100)  # a top-k report
-    return first.select("det", F.row_number().over(Window.orderBy("w")).cast("bigint").alias("place"))
+    rows = basis(spark, d, 16).select("det", B.word_order(words).alias("w"), F.lit(0).alias("zero"))
+    return S.ranked(rows, "zero", "w").select("det", (F.col("position") + 1).alias("place"))
 
 
 @query("bit_word_order_whole", f"WITH {basis_sql(16)}, w AS (SELECT det, det & 255 AS low, det >> 8 AS high FROM basis) SELECT det, row_number() OVER (ORDER BY high, low) AS place FROM w")
 def bit_word_order_whole(spark, d):  # noqa: ANN001, ANN201
-    """The place of every state; bit_word_order has the first 100, as its SQL does."""
-    words = B.words_from_text(B.to_text("det", 16), 16, 8)
-    rows = basis(spark, d, 16).select("det", B.word_order(words).alias("w"), F.lit(0).alias("zero"))
-    return S.ranked(rows, "zero", "w").select("det", (F.col("position") + 1).alias("place"))
+    return bit_word_order(spark, d)
 
 
 @query("file_names", "SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS padded, 'bin' AS ext, 'wf.' || o_orderkey AS stem FROM orders")
@@ -195,10 +193,10 @@ def join_half_map(spark, d):  # noqa: ANN001, ANN201
     return halved(spark, d).join(a.withColumnRenamed("n", "n_a"), "adet").join(b.withColumnRenamed("n", "n_b"), "bdet").select("adet", "bdet", "n_a", "n_b")
 
 
-@query("join_tensor_basis", HALVED + ", a AS (SELECT DISTINCT adet FROM halved WHERE adet < 32), b AS (SELECT DISTINCT bdet FROM halved WHERE bdet < 32) SELECT adet, bdet, " + " | ".join(f"(((adet >> {i}) & 1) << {2 * i}) | (((bdet >> {i}) & 1) << {2 * i + 1})" for i in range(6)) + " AS det FROM a, b")
+@query("join_tensor_basis", HALVED + ", a AS (SELECT DISTINCT adet FROM halved), b AS (SELECT DISTINCT bdet FROM halved) SELECT adet, bdet, " + " | ".join(f"(((adet >> {i}) & 1) << {2 * i}) | (((bdet >> {i}) & 1) << {2 * i + 1})" for i in range(6)) + " AS det FROM a, b")
 def join_tensor_basis(spark, d):  # noqa: ANN001, ANN201
     a, b = B.half_states(basis(spark, d), 6)
-    return G.product_states(a.filter("adet < 32"), b.filter("bdet < 32"), 6)
+    return G.product_states(a, b, 6)
 
 
 @query("join_tensor_basis_whole", HALVED + ", a AS (SELECT DISTINCT adet FROM halved), b AS (SELECT DISTINCT bdet FROM halved) SELECT adet, bdet, " + " | ".join(f"(((adet >> {i}) & 1) << {2 * i}) | (((bdet >> {i}) & 1) << {2 * i + 1})" for i in range(6)) + " AS det FROM a, b")
@@ -318,14 +316,14 @@ def agg_simplify_terms(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 16).alias("term")).agg(F.sum(sign).alias("coef")).filter(F.abs("coef") > 1e-8)
 
 
-_XZ = HOPS[12] + ", kids AS (SELECT ket, bra, c AS x, c * c AS z FROM hops WHERE c % 2 = 0)"
+_XZ = HOPS[12] + ", kids AS (SELECT ket, bra, c AS x, c * c AS z FROM hops)"
 
 
 @query("agg_child_sums", _XZ + " SELECT bra AS child, CAST(sum(x) AS BIGINT) AS x, CAST(sum(z) AS BIGINT) AS z FROM kids GROUP BY bra")
 def agg_child_sums(spark, d):  # noqa: ANN001, ANN201
     from quorbit.operators.stat import child_sums
 
-    own = basis(spark, d).filter("c % 2 = 0")
+    own = basis(spark, d)
     return child_sums(X.half_moves(own, 12).join(own, "det").select("det", F.col("bra").alias("child"), F.col("c").alias("x"), (F.col("c") * F.col("c")).alias("z")))
 
 
@@ -333,7 +331,7 @@ def agg_child_sums(spark, d):  # noqa: ANN001, ANN201
 def agg_two_key_merge(spark, d):  # noqa: ANN001, ANN201
     from quorbit.operators.stat import two_key_merge
 
-    own = basis(spark, d).filter("c % 2 = 0")
+    own = basis(spark, d)
     return two_key_merge(X.half_moves(own, 12).join(own, "det").select("det", F.col("bra").alias("child"), F.col("c").alias("x"), (F.col("c") * F.col("c")).alias("z")))
 
 
@@ -342,7 +340,6 @@ _XZ_WHOLE = HOPS[12] + ", kids AS (SELECT ket, bra, c AS x, c * c AS z FROM hops
 
 @query("agg_child_sums_whole", _XZ_WHOLE + " SELECT bra AS child, CAST(sum(x) AS BIGINT) AS x, CAST(sum(z) AS BIGINT) AS z FROM kids GROUP BY bra")
 def agg_child_sums_whole(spark, d):  # noqa: ANN001, ANN201
-    """All states are parents; in agg_child_sums those of an even c are, as in its SQL."""
     from quorbit.operators.stat import child_sums
 
     own = basis(spark, d)
@@ -517,9 +514,19 @@ def set_bag_append(spark, d):  # noqa: ANN001, ANN201
 # -- generation and elements ----------------------------------------------------------
 
 
-@query("gen_fock_space", "SELECT CAST(range AS BIGINT) AS det FROM range(65536) WHERE bit_count(range) = 8")
+def fock_sql(m: int) -> str:
+    """All half-filled states of m sites with what line items put on them."""
+    return f"WITH {basis_sql(m)} SELECT CAST(r.range AS BIGINT) AS det, CAST(coalesce(b.c, 0) AS DOUBLE) AS c FROM range({1 << m}) r LEFT JOIN basis b ON b.det = r.range WHERE bit_count(r.range) = {m // 2}"
+
+
+def fock_wave(spark: SparkSession, d: str, m: int) -> DataFrame:
+    saved = basis(spark, d, m).withColumn("c", F.col("c").cast("double"))
+    return J.match_checkpoint(G.fock_space(spark, m, m // 2), saved)
+
+
+@query("gen_fock_space", fock_sql(16))
 def gen_fock_space(spark, d):  # noqa: ANN001, ANN201
-    return G.fock_space(spark, 16, 8)
+    return fock_wave(spark, d, 16)
 
 
 @query("gen_singles", HOPS[12] + " SELECT ket AS det, bra FROM hops")

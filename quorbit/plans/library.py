@@ -19,7 +19,7 @@ from quorbit.operators import select as S
 from quorbit.operators import sets as Z
 from quorbit.operators import stat
 from quorbit.operators.algebra import parse_operator, term_table
-from quorbit.plans.catalog import HALVED, HOPS, basis, basis_sql, halved, query, with_sites
+from quorbit.plans.catalog import HALVED, HOPS, basis, basis_sql, fock_sql, fock_wave, halved, query, with_sites
 from quorbit.session import shared_folder, table
 from quorbit.sources import files
 from quorbit.sources import generate as G
@@ -65,22 +65,22 @@ def apply_expectation(spark, d):  # noqa: ANN001, ANN201
     return _value(spark, v=round(A.expectation(J.hop_edges(own, 12).withColumn("h", F.lit(1.0)), own), 9))
 
 
-# -- larger spaces, whose size no table bounds ------------------------------------
+# -- larger spaces, with what line items put on their states --------------------------
 
 
-@query("gen_fock_large", "SELECT CAST(range AS BIGINT) AS det FROM range(1048576) WHERE bit_count(range) = 10")
+@query("gen_fock_large", fock_sql(20))
 def gen_fock_large(spark, d):  # noqa: ANN001, ANN201
-    return G.fock_space(spark, 20, 10)
+    return fock_wave(spark, d, 20)
 
 
 @query(
     "apply_mult_large",
-    "WITH basis AS (SELECT CAST(range AS BIGINT) AS det, CAST(range % 7 AS BIGINT) AS c FROM range(262144) WHERE bit_count(range) = 9), sites(i) AS (SELECT CAST(range AS INTEGER) FROM range(18)) "
-    "SELECT xor(xor(b.det, 1::BIGINT << s.i), 1::BIGINT << t.i) AS det, CAST(sum(b.c) AS DOUBLE) AS c FROM basis b, sites s, sites t WHERE (b.det >> s.i) & 1 = 1 AND (b.det >> t.i) & 1 = 0 GROUP BY 1",
+    f"{fock_sql(18).replace('SELECT CAST(r.', ', wave AS (SELECT CAST(r.', 1)}), sites(i) AS (SELECT CAST(range AS INTEGER) FROM range(18)) "
+    "SELECT xor(xor(b.det, 1::BIGINT << s.i), 1::BIGINT << t.i) AS det, CAST(sum(b.c) AS DOUBLE) AS c FROM wave b, sites s, sites t WHERE (b.det >> s.i) & 1 = 1 AND (b.det >> t.i) & 1 = 0 GROUP BY 1",
 )
 def apply_mult_large(spark, d):  # noqa: ANN001, ANN201
     """Four million edges of 48,620 states."""
-    own = G.fock_space(spark, 18, 9).withColumn("c", (F.col("det") % 7).cast("double"))
+    own = fock_wave(spark, d, 18)
     return A.mult(J.hop_edges(own, 18).withColumn("h", F.lit(1.0)), own)
 
 
@@ -151,10 +151,10 @@ def _u(p: int, q: int) -> int:
     return (p * q + 2 * (p + q)) % 7 - 2
 
 
-def _dense(spark: SparkSession) -> E.Integrals:
-    one = {(p, q): float(_u(p, q)) for p in range(4) for q in range(p + 1)}
-    two = {(p, q, r, s): float(_u(p, q) * _u(r, s)) for p, q, r, s in product(range(4), repeat=4) if p >= q and r >= s and (p, q) >= (r, s)}
-    return E.integral_tables(spark, 4, 0.5, one, two)
+def _dense(spark: SparkSession, n: int = 4) -> E.Integrals:
+    one = {(p, q): float(_u(p, q)) for p in range(n) for q in range(p + 1)}
+    two = {(p, q, r, s): float(_u(p, q) * _u(r, s)) for p, q, r, s in product(range(n), repeat=4) if p >= q and r >= s and (p, q) >= (r, s)}
+    return E.integral_tables(spark, n, 0.5, one, two)
 
 
 def _usql(p: str, q: str) -> str:
@@ -326,15 +326,40 @@ def file_matrix_form(spark, d):  # noqa: ANN001, ANN201
     return spark.read.text(path)
 
 
-_PLACES = ", ".join(f"({p}, {q}, {r}, {s})" for p, q, r, s in product(range(1, 5), repeat=4))
+#: One integral for each set of equal places, from line items: a sum of quantities for each pair of pairs of orbitals.
+_LINE_PLACES = ("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
+_INTEGRALS = (
+    "WITH placed AS (SELECT l_partkey % 4 + 1 AS p, l_suppkey % 4 + 1 AS q, l_orderkey % 4 + 1 AS r, l_linenumber % 4 + 1 AS s, CAST(round(l_quantity) AS BIGINT) AS n FROM lineitem), "
+    "pairs AS (SELECT greatest(p, q) * 5 + least(p, q) AS a, greatest(r, s) * 5 + least(r, s) AS b, n FROM placed), "
+    "two AS (SELECT greatest(a, b) AS a, least(a, b) AS b, CAST(sum(n) AS DOUBLE) AS v FROM pairs GROUP BY 1, 2), "
+    "one AS (SELECT a, CAST(sum(n) AS DOUBLE) AS v FROM pairs GROUP BY 1)"
+)
+
 
+def _line_integrals(spark: SparkSession, d: str) -> DataFrame:
+    """(v, i, j, k, l), 1-based: two-electron integrals, one-electron ones and a core energy of 0.5."""
+    p, q, r, s = ((F.col(c) % 4 + 1).cast("int") for c in _LINE_PLACES)
+    pair = lambda x, y: F.greatest(x, y) * 5 + F.least(x, y)
+    pairs = table(spark, d, "lineitem").select(pair(p, q).alias("a"), pair(r, s).alias("b"), F.round("l_quantity").cast("bigint").alias("n"))
+    place = lambda c: (F.floor(F.col(c) / 5).cast("int"), (F.col(c) % 5).cast("int"))
+    total = F.sum("n").cast("double").alias("v")
+    two = pairs.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(total).select("v", *place("a"), *place("b"))
+    one = pairs.groupBy("a").agg(total).select("v", *place("a"), F.lit(0), F.lit(0))
+    core = spark.range(1).select(F.lit(0.5), *[F.lit(0)] * 4)
+    return two.union(one).union(core).toDF("v", "i", "j", "k", "l")
 
-@query("file_integrals", f"WITH places(p, q, r, s) AS (VALUES {_PLACES}) SELECT 'two' AS kind, p, q, r, s, CAST({_usql('((p - 1) * 2)', '((q - 1) * 2)')} * {_usql('((r - 1) * 2)', '((s - 1) * 2)')} AS DOUBLE) AS v FROM places UNION ALL SELECT DISTINCT 'one', p, q, 0, 0, CAST({_usql('((p - 1) * 2)', '((q - 1) * 2)')} AS DOUBLE) FROM places UNION ALL SELECT 'scalar', 0, 0, 0, 0, 0.5")
+
+@query(
+    "file_integrals",
+    _INTEGRALS + ", places AS (SELECT a // 5 AS i, a % 5 AS j, b // 5 AS k, b % 5 AS l, v FROM two), turned AS ("
+    + " UNION ".join(f"SELECT 'two' AS kind, {x[0]} AS p, {x[1]} AS q, {x[2]} AS r, {x[3]} AS s, v FROM places" for x in ("ijkl", "jikl", "ijlk", "jilk", "klij", "lkij", "klji", "lkji"))
+    + ") SELECT kind, CAST(p AS INTEGER) AS p, CAST(q AS INTEGER) AS q, CAST(r AS INTEGER) AS r, CAST(s AS INTEGER) AS s, v FROM turned "
+    "UNION SELECT 'one', CAST(a // 5 AS INTEGER), CAST(a % 5 AS INTEGER), 0, 0, v FROM one UNION SELECT 'one', CAST(a % 5 AS INTEGER), CAST(a // 5 AS INTEGER), 0, 0, v FROM one UNION SELECT 'scalar', 0, 0, 0, 0, 0.5",
+)
 def file_integrals(spark, d):  # noqa: ANN001, ANN201
+    """Integrals of line items, written, read again and put in all their places."""
     path = _folder(spark)
-    rows = [(float(_u(p, q) * _u(r, s)), p + 1, q + 1, r + 1, s + 1) for p, q, r, s in product(range(4), repeat=4) if p >= q and r >= s and (p, q) >= (r, s)]
-    rows += [(float(_u(p, q)), p + 1, q + 1, 0, 0) for p in range(4) for q in range(p + 1)] + [(0.5, 0, 0, 0, 0)]
-    files.write_fcidump(spark, path, {"NORB": "4", "NELEC": "4", "MS2": "0"}, spark.createDataFrame(rows, "v double, i int, j int, k int, l int"))
+    files.write_fcidump(spark, path, {"NORB": "4", "NELEC": "4", "MS2": "0"}, _line_integrals(spark, d))
     return files.classify(files.read_fcidump(spark, path)[1])
 
 

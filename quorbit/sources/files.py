@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quorbit.functions import bits as B
-from quorbit.operators.algebra import Operator, annihilate, create, identity, parse_operator
+from quorbit.operators.algebra import Operator, Product, parse_operator
 from quorbit.operators.apply import normalized
 from quorbit.operators.edges import match_checkpoint
-from quorbit.operators.elements import Integrals, integral_tables
+from quorbit.operators.elements import Integrals, spin_integrals
+from quorbit.operators.terms import integral_terms
+from quorbit.session import cut
 
 BATCH_SCHEMA = (
     "format_version int, calculation_id string, observable string, base_seed bigint, batch_id bigint, sample_count bigint, "
@@ -52,40 +54,28 @@ def classify(rows: DataFrame) -> DataFrame:
 
 
 def load_integrals(spark: SparkSession, path: str, unrestricted: bool = False) -> Integrals:
-    """Tables of a file's integrals; with ``unrestricted`` its indices are spin-orbitals, alpha and beta in turn."""
+    """Tables of a file's integrals; with ``unrestricted`` its indices are spin-orbitals, alpha and beta in turn. No row comes to the driver."""
     header, rows = read_fcidump(spark, path)
-    core, one, two = 0.0, {}, {}
-    for v, i, j, k, m in rows.collect():  # norb^4 rows at most
-        if i == 0:
-            core += v
-        elif k == 0:
-            one[i - 1, j - 1] = v
-        else:
-            two[i - 1, j - 1, k - 1, m - 1] = v
-    if not unrestricted:
-        return integral_tables(spark, int(header["NORB"]), core, one, two)
-    half = lambda at: tuple(x // 2 for x in at)
-    firsts = [{half(at): v for at, v in one.items() if at[0] % 2 == s == at[1] % 2} for s in (0, 1)]
-    blocks = {(s, t): {half(at): v for at, v in two.items() if [x % 2 for x in at] == [s, s, t, t]} for s in (0, 1) for t in (0, 1)}
-    return integral_tables(spark, int(header["NORB"]), core, firsts[0], {}, firsts[1], blocks)
+    rows = cut(rows)
+    core = rows.filter("i = 0").agg(F.sum("v")).first()[0] or 0.0
+    place = lambda c: (F.floor((F.col(c) - 1) / 2) if unrestricted else F.col(c) - 1).cast("int")
+    spin = lambda c: ((F.col(c) - 1) % 2 if unrestricted else F.lit(None)).cast("int")
+    one = rows.filter("i <> 0 and k = 0").select(spin("i").alias("spin"), place("i").alias("p"), place("j").alias("q"), "v")
+    two = rows.filter("i <> 0 and k <> 0").select(spin("i").alias("left"), spin("k").alias("right"), *[place(c).alias(n) for c, n in zip("ijkl", "pqrs", strict=True)], "v")
+    return spin_integrals(float(core), int(header["NORB"]), one, two)
+
+
+def fcidump_terms(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The integrals as a table of terms on blocked spin-orbitals (alpha 0..L-1, beta L..2L-1), and L."""
+    ints = load_integrals(spark, path)
+    return integral_terms(ints), ints.norb
 
 
 def fcidump_operator(spark: SparkSession, path: str) -> tuple[Operator, int]:
-    """The integrals as an operator on blocked spin-orbitals: alpha 0..L-1, then beta L..2L-1."""
-    header, rows = read_fcidump(spark, path)
-    size = int(header["NORB"])
-    out = Operator({}, True)
-    for kind, p, q, r, s, v in classify(rows).collect():
-        if kind == "scalar":
-            out = out + identity() * v
-            continue
-        for a in (0, size):
-            if kind == "one":
-                out = out + create(p - 1 + a) * annihilate(q - 1 + a) * v
-            else:
-                for b in (0, size):
-                    out = out + create(p - 1 + a) * create(r - 1 + b) * annihilate(s - 1 + b) * annihilate(q - 1 + a) * (0.5 * v)
-    return out.normal_ordered(), size
+    """The same terms as an operator in Python, for models that are small enough to be one."""
+    terms, size = fcidump_terms(spark, path)
+    rows = terms.select("coef", "ops").collect()
+    return Operator({Product(tuple((op["dag"], op["site"]) for op in r["ops"])): r["coef"] for r in rows}, True), size
 
 
 # -- states ------------------------------------------------------------------
