@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quorbit.functions.bits import WORD_BITS
 from quorbit.operators import stat, summary
 from quorbit.operators.algebra import term_table
 from quorbit.operators.elements import diagonal, operator_diagonal
@@ -59,8 +60,16 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _state(text: str | None) -> int | list[int] | None:
+    """A state from its text, in words where it is wider than one."""
+    value = int(text, 2) if text else None
+    if value is None or len(text) <= WORD_BITS:
+        return value
+    return [value >> at & (1 << WORD_BITS) - 1 for at in range(0, len(text), WORD_BITS)]
+
+
 def _options(a: argparse.Namespace) -> diag.Options:
-    return diag.Options(a.method, a.tolerance, a.iteration, a.block, a.seed, a.max_time, a.rdm, a.carryover, a.threshold, a.heatbath_cutoff, a.init, int(a.initial_determinant, 2) if a.initial_determinant else None, a.load, a.numivec, a.carryover_type, a.carryover_ratio)
+    return diag.Options(a.method, a.tolerance, a.iteration, a.block, a.seed, a.max_time, a.rdm, a.carryover, a.threshold, a.heatbath_cutoff, a.init, _state(a.initial_determinant), a.load, a.numivec, a.carryover_type, a.carryover_ratio)
 
 
 def _report(result: diag.Result, out: str | None, width: int) -> dict:

@@ -1,6 +1,7 @@
 """Bit-key expressions. A basis state is a BIGINT of at most 62 bits; bit i is site i, and text has the highest site first.
 
-Wider states are arrays of 62-bit words, least significant word first.
+Wider states are arrays of 62-bit words, least significant word first. ``keys`` gives
+what operators need of a state for either kind, so that they are written once.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 WORD_BITS = 62
 MASK64 = (1 << 64) - 1
@@ -49,6 +51,20 @@ def words_to_text(words: Column | str, width: int, word_bits: int = WORD_BITS) -
     return F.concat(*[F.lpad(F.bin(F.get(words, F.lit(i))), min(word_bits, width - i * word_bits), "0") for i in reversed(range(n))])
 
 
+def advanced(det: Column | str, width: int) -> Column:
+    """The next state in order, which after the last one begins again with none occupied; words carry over."""
+    det = col(det)
+    none = F.struct(F.array().cast("array<bigint>").alias("words"), F.lit(1).cast("long").alias("carry"))
+
+    def step(held: Column, word: Column) -> Column:
+        total = word + held["carry"]
+        return F.struct(F.concat(held["words"], F.array(total.bitwiseAND(F.lit((1 << WORD_BITS) - 1)))).alias("words"), F.shiftright(total, WORD_BITS).alias("carry"))
+
+    made = F.aggregate(det, none, step, lambda held: held["words"])
+    top = (1 << (width - 1) % WORD_BITS + 1) - 1
+    return F.transform(made, lambda x, k: F.when(k == -(-width // WORD_BITS) - 1, x.bitwiseAND(F.lit(top))).otherwise(x))
+
+
 def change_word_bits(words: Column | str, width: int, old: int, new: int) -> Column:
     return words_from_text(words_to_text(words, width, old), width, new)
 
@@ -105,6 +121,110 @@ def string_sign(det: Column | str, site: Column) -> Column:
     return minus_one_if(F.bit_count(col(det).bitwiseAND(bit(site) - 1)))
 
 
+class Narrow:
+    """States that are one BIGINT."""
+
+    width = WORD_BITS
+
+    def sites(self, det: Column | str, width: int | None = None, value: int = 1) -> Column:
+        return sites(det, width or WORD_BITS, value)
+
+    def has(self, det: Column | str, site: Column) -> Column:
+        return F.getbit(col(det), site) == 1
+
+    def flip(self, det: Column | str, *at: Column) -> Column:
+        return reduce(lambda d, site: d.bitwiseXOR(bit(site)), at, col(det))
+
+    def parity(self, det: Column | str, start: Column, end: Column) -> Column:
+        return parity(det, start, end)
+
+    def string_sign(self, det: Column | str, site: Column) -> Column:
+        return string_sign(det, site)
+
+    def differ(self, a: Column | str, b: Column | str) -> Column:
+        return hamming(a, b)
+
+    def holds(self, det: Column, mask: Column) -> Column:
+        return det.bitwiseAND(mask) == mask
+
+    def minus(self, a: Column, b: Column) -> Column:
+        return a.bitwiseAND(F.bitwise_not(b))
+
+    def apart(self, a: Column, b: Column) -> Column:
+        return a.bitwiseAND(b) == 0
+
+    def join(self, a: Column, b: Column) -> Column:
+        return a.bitwiseOR(b)
+
+    def ends(self, mask: Column) -> tuple[Column, Column]:
+        """The lowest and the highest site of a mask; -1 for an empty one."""
+        low = F.when(mask == 0, -1).otherwise(F.bit_count(mask.bitwiseAND(-mask) - 1))
+        return low.cast("int"), F.when(mask == 0, -1).otherwise(F.length(F.bin(mask)) - 1).cast("int")
+
+    def mask(self, at: list[int], width: int) -> int | list[int]:
+        return sum(1 << i for i in at)
+
+
+class Wide(Narrow):
+    """States that are arrays of words. Arrays are keys of joins and sums as they are."""
+
+    def sites(self, det: Column | str, width: int | None = None, value: int = 1) -> Column:
+        det = col(det)
+        last = F.size(det) * WORD_BITS - 1 if width is None else F.lit(width - 1)
+        return F.filter(F.sequence(F.lit(0), last), lambda i: F.getbit(F.get(det, F.floor(i / WORD_BITS).cast("int")), i % WORD_BITS) == value)
+
+    def has(self, det: Column | str, site: Column) -> Column:
+        return F.getbit(F.get(col(det), F.floor(site / WORD_BITS).cast("int")), site % WORD_BITS) == 1
+
+    def flip(self, det: Column | str, *at: Column) -> Column:
+        def word(x: Column, k: Column) -> Column:
+            return reduce(lambda d, site: F.when(F.floor(site / WORD_BITS) == k, d.bitwiseXOR(bit(site % WORD_BITS))).otherwise(d), at, x)
+
+        return F.transform(col(det), word)
+
+    def _below(self, site: Column, k: Column) -> Column:
+        """Of word k, the bits under a site."""
+        return bit(F.least(F.greatest(site - k * WORD_BITS, F.lit(0)), F.lit(WORD_BITS))) - 1
+
+    def _count(self, words: Column) -> Column:
+        return F.aggregate(words, F.lit(0), lambda n, x: n + F.bit_count(x))
+
+    def parity(self, det: Column | str, start: Column, end: Column) -> Column:
+        low, high = F.least(start, end), F.greatest(start, end)
+        between = F.transform(col(det), lambda x, k: x.bitwiseAND(self._below(high, k)).bitwiseAND(F.bitwise_not(self._below(low + 1, k))))
+        return minus_one_if(self._count(between))
+
+    def string_sign(self, det: Column | str, site: Column) -> Column:
+        return minus_one_if(self._count(F.transform(col(det), lambda x, k: x.bitwiseAND(self._below(site, k)))))
+
+    def differ(self, a: Column | str, b: Column | str) -> Column:
+        return self._count(F.zip_with(col(a), col(b), lambda x, y: x.bitwiseXOR(y)))
+
+    def holds(self, det: Column, mask: Column) -> Column:
+        return F.zip_with(det, mask, lambda x, y: x.bitwiseAND(y)) == mask
+
+    def minus(self, a: Column, b: Column) -> Column:
+        return F.zip_with(a, b, lambda x, y: x.bitwiseAND(F.bitwise_not(y)))
+
+    def apart(self, a: Column, b: Column) -> Column:
+        return self._count(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))) == 0
+
+    def join(self, a: Column, b: Column) -> Column:
+        return F.zip_with(a, b, lambda x, y: x.bitwiseOR(y))
+
+    def ends(self, mask: Column) -> tuple[Column, Column]:
+        held = self.sites(mask)
+        return F.coalesce(F.array_min(held), F.lit(-1)).cast("int"), F.coalesce(F.array_max(held), F.lit(-1)).cast("int")
+
+    def mask(self, at: list[int], width: int) -> int | list[int]:
+        return [sum(1 << i - low for i in at if low <= i < low + WORD_BITS) for low in range(0, width, WORD_BITS)]
+
+
+def keys(states: DataFrame, name: str = "det") -> Narrow:
+    """What a table's states are."""
+    return Wide() if isinstance(states.schema[name].dataType, ArrayType) else Narrow()
+
+
 def spread(half: Column | str, width: int, offset: int) -> Column:
     """Bit i of a half state to bit 2i + offset."""
     half = col(half)
@@ -116,6 +236,13 @@ def interleave(alpha: Column | str, beta: Column | str, width: int) -> Column:
     return spread(alpha, width, 0).bitwiseOR(spread(beta, width, 1))
 
 
+def interleave_words(alpha: Column | str, beta: Column | str, width: int) -> Column:
+    """Halves of at most 62 orbitals, which may be more than 31, to an array of words."""
+    half = WORD_BITS // 2
+    part = lambda x, at: F.shiftright(col(x), at).bitwiseAND(F.lit((1 << min(half, width - at)) - 1))
+    return F.array(*[interleave(part(alpha, at), part(beta, at), min(half, width - at)) for at in range(0, width, half)])
+
+
 def gather(det: Column | str, width: int, offset: int) -> Column:
     """Bit 2i + offset to bit i."""
     det = col(det)
@@ -152,8 +279,8 @@ def unit_random(seed: int, stream: np.ndarray, counter: np.ndarray) -> np.ndarra
 
 
 def key_random(seed: int, *keys: Column) -> Column:
-    """Uniform (-1, 1) by key, the same however the rows lie."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(2_000_003)) / F.lit(1_000_001.5) - 1
+    """Uniform (-1, 1) by key, from 53 bits of a hash, the same however the rows lie."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) * F.lit(2.0**-52) - 1
 
 
 def padded(number: Column | str, width: int = 6) -> Column:

@@ -8,6 +8,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quorbit.functions.bits import WORD_BITS, Narrow, Wide
+from quorbit.functions.complex import TYPE
+
 #: Merged terms with a coefficient this small vanish.
 SMALLEST = 1e-8
 Ladder = tuple[bool, int]  # creates, site
@@ -147,12 +150,17 @@ def parse_operator(lines: Iterable[str]) -> Operator:
     return total.normal_ordered()
 
 
-def term_table(spark: SparkSession, operator: Operator) -> DataFrame:
-    """Normal-ordered terms, greatest |coef| first: term_id, coef, create, annihilate (masks), ops, is_diag."""
-    rows = []
+def term_table(spark: SparkSession, operator: Operator, width: int | None = None) -> DataFrame:
+    """Normal-ordered terms, greatest |coef| first: term_id, coef, create, annihilate (masks), ops, is_diag.
+
+    Coefficients are structs of re and im where any has an imaginary part. Masks are
+    as states of ``width`` sites are: arrays of words beyond ``WORD_BITS``.
+    """
+    rows, key = [], Wide() if width and width > WORD_BITS else Narrow()
+    imaginary = any(abs(complex(c).imag) > SMALLEST for c in operator.normal_ordered().terms.values())
     for p, c in sorted(operator.normal_ordered().terms.items(), key=lambda x: (-abs(x[1]), x[0].ops)):
-        if isinstance(c, complex) and abs(c.imag) > SMALLEST:
-            raise ValueError("Spark tables hold real coefficients")
-        up, down = (sum(1 << s for d, s in p.ops if d is want) for want in (True, False))
-        rows.append((len(rows), float(complex(c).real), up, down, [{"dag": d, "site": s} for d, s in p.ops], p.diagonal))
-    return spark.createDataFrame(rows, "term_id int, coef double, create bigint, annihilate bigint, ops array<struct<dag:boolean,site:int>>, is_diag boolean")
+        up, down = (key.mask([s for d, s in p.ops if d is want], width or WORD_BITS) for want in (True, False))
+        value = (float(complex(c).real), float(complex(c).imag)) if imaginary else float(complex(c).real)
+        rows.append((len(rows), value, up, down, [{"dag": d, "site": s} for d, s in p.ops], p.diagonal))
+    state = "array<bigint>" if isinstance(key, Wide) else "bigint"
+    return spark.createDataFrame(rows, f"term_id int, coef {TYPE if imaginary else 'double'}, create {state}, annihilate {state}, ops array<struct<dag:boolean,site:int>>, is_diag boolean")

@@ -1,24 +1,43 @@
-"""Vectors on a basis: (det, c) rows."""
+"""Vectors on a basis: (det, c) rows, with real coefficients or complex ones (structs of re and im)."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorbit.functions import complex as X
+from quorbit.functions.bits import Wide, key_random, keys, word_order
 
-def inner(x: DataFrame, y: DataFrame) -> float:
-    joined = x.select("det", F.col("c").alias("x")).join(y.select("det", F.col("c").alias("y")), "det")
-    return float(joined.agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0.0)
+
+def _product(rows: DataFrame, a: str, b: str) -> tuple[Column, bool]:
+    """The product of two columns, complex if either is, and whether it is."""
+    kinds = [X.is_complex(rows, c) for c in (a, b)]
+    if not any(kinds):
+        return F.col(a) * F.col(b), False
+    return X.times(*(X.as_complex(F.col(c), k) for c, k in zip((a, b), kinds, strict=True))), True
+
+
+def inner(x: DataFrame, y: DataFrame) -> float | complex:
+    """<x|y>, in which x is conjugated."""
+    own = X.conjugate(F.col("c")) if X.is_complex(x, "c") else F.col("c")
+    joined = x.select("det", own.alias("x")).join(y.select("det", F.col("c").alias("y")), "det")
+    value, of_complex = _product(joined, "x", "y")
+    found = joined.agg(X.total(value, of_complex).alias("v")).first()[0]
+    return complex(found["re"] or 0.0, found["im"] or 0.0) if of_complex else float(found or 0.0)
 
 
 def norm(x: DataFrame) -> float:
-    return math.sqrt(float(x.agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0.0))
+    square = X.square(F.col("c")) if X.is_complex(x, "c") else F.col("c") * F.col("c")
+    return math.sqrt(float(x.agg(F.sum(square)).first()[0] or 0.0))
 
 
-def scaled(x: DataFrame, factor: float) -> DataFrame:
-    return x.withColumn("c", F.col("c") * F.lit(factor))
+def scaled(x: DataFrame, factor: float | complex) -> DataFrame:
+    own = X.is_complex(x, "c")
+    if isinstance(factor, complex):
+        return x.withColumn("c", X.times(X.as_complex(F.col("c"), own), X.make(F.lit(factor.real), F.lit(factor.imag))))
+    return x.withColumn("c", X.scaled(F.col("c"), F.lit(factor), own))
 
 
 def normalized(x: DataFrame) -> DataFrame:
@@ -30,32 +49,37 @@ def normalized(x: DataFrame) -> DataFrame:
 
 def mult(edges: DataFrame, x: DataFrame) -> DataFrame:
     """H x: edges meet the vector on the ket, and sums go by bra; every state of x is in the result."""
-    found = edges.join(x.select(F.col("det").alias("ket"), "c"), "ket").groupBy(F.col("bra").alias("det")).agg(F.sum(F.col("h") * F.col("c")).alias("hc"))
-    return x.select("det").join(found, "det", "left").select("det", F.coalesce("hc", F.lit(0.0)).alias("c"))
+    joined = edges.join(x.select(F.col("det").alias("ket"), "c"), "ket")
+    value, of_complex = _product(joined, "h", "c")
+    found = joined.groupBy(F.col("bra").alias("det")).agg(X.total(value, of_complex).alias("hc"))
+    zero = X.make(F.lit(0.0), F.lit(0.0)) if of_complex else F.lit(0.0)
+    return x.select("det").join(found, "det", "left").select("det", F.coalesce("hc", zero).alias("c"))
 
 
-def combined(vectors: list[DataFrame], weights: list[float]) -> DataFrame:
+def combined(vectors: list[DataFrame], weights: list[float | complex]) -> DataFrame:
     """Sum of weight x vector, as one grouped sum over their union."""
-    parts = [scaled(v.select("det", "c"), float(w)) for v, w in zip(vectors, weights, strict=True)]
-    total = parts[0]
-    for part in parts[1:]:
-        total = total.unionByName(part)
-    return total.groupBy("det").agg(F.sum("c").alias("c"))
+    parts = [scaled(v.select("det", "c"), w if isinstance(w, complex) else float(w)) for v, w in zip(vectors, weights, strict=True)]
+    kinds = [X.is_complex(p, "c") for p in parts]
+    total = None
+    for part, kind in zip(parts, kinds, strict=True):
+        part = part.withColumn("c", X.as_complex(F.col("c"), kind)) if any(kinds) else part
+        total = part if total is None else total.unionByName(part)
+    return total.groupBy("det").agg(X.total("c", any(kinds)).alias("c"))
 
 
 def expectation(edges: DataFrame, x: DataFrame) -> float:
-    """<x|H|x> / <x|x>."""
-    return inner(x, mult(edges, x)) / norm(x) ** 2
+    """<x|H|x> / <x|x>, which is real for a Hermitian operator."""
+    return complex(inner(x, mult(edges, x))).real / norm(x) ** 2
 
 
-def start_vector(basis: DataFrame, kind: str = "first", seed: int = 0, det: int | None = None) -> DataFrame:
+def start_vector(basis: DataFrame, kind: str = "first", seed: int = 0, det: int | list[int] | None = None) -> DataFrame:
     """Unit vector: on the first state, random by key, or on one given state, which the basis must hold once."""
-    from quorbit.functions.bits import key_random
-
     if kind == "random":
         return normalized(basis.select("det", key_random(seed, F.col("det")).alias("c")))
+    wide = isinstance(keys(basis), Wide)
     if kind == "first":
-        det = basis.agg(F.min("det")).first()[0]
-    if (found := basis.filter(F.col("det") == det).count()) != 1:
+        det = basis.agg(F.reverse(F.min(word_order("det"))) if wide else F.min("det")).first()[0]
+    value = F.array(*[F.lit(w).cast("long") for w in det]) if wide and det is not None else F.lit(det)
+    if (found := basis.filter(F.col("det") == value).count()) != 1:
         raise ValueError(f"the initial state is in the basis {found} times, not once")
-    return basis.select("det", F.when(F.col("det") == det, 1.0).otherwise(0.0).alias("c"))
+    return basis.select("det", F.when(F.col("det") == value, 1.0).otherwise(0.0).alias("c"))

@@ -10,8 +10,9 @@ from quorbit.functions import bits as B
 
 def hop_edges(basis: DataFrame, width: int) -> DataFrame:
     """(bra, ket) one move apart, by generate and lookup: explode occupied x open sites, then an equi-join."""
-    moves = basis.select("det", F.explode(B.sites("det", width)).alias("i")).withColumn("a", F.explode(B.sites("det", width, 0)))
-    bra = F.col("det").bitwiseXOR(B.bit(F.col("i"))).bitwiseXOR(B.bit(F.col("a")))
+    k = B.keys(basis)
+    moves = basis.select("det", F.explode(k.sites("det", width)).alias("i")).withColumn("a", F.explode(k.sites("det", width, 0)))
+    bra = k.flip("det", F.col("i"), F.col("a"))
     made = moves.select(F.col("det").alias("ket"), bra.alias("bra"), "i", "a")
     return made.join(basis.select(F.col("det").alias("bra")), "bra")
 
@@ -23,24 +24,26 @@ def hamming_edges(basis: DataFrame, distances: tuple[int, ...] = (2, 4)) -> Data
     left of either without those sites is the same. All pairs are compared by
     no plan; d = 4 costs C(occupied, 2) keys a state.
     """
-    out = None
+    out, k = None, B.keys(basis)
     for d in sorted(distances):
         if d == 0:
             made = basis.select(F.col("det").alias("bra"), F.col("det").alias("ket"), F.lit(0).alias("distance"))
         else:
-            keyed = basis.select("det", F.col("det").alias("rest"), F.lit(62).alias("last"))
+            keyed = basis.select("det", F.col("det").alias("rest"), F.lit(1 << 30).alias("last"))
             for _ in range(d // 2):
-                keyed = keyed.withColumn("site", F.explode(B.sites("rest", 62))).filter("site < last")
-                keyed = keyed.withColumn("rest", F.col("rest").bitwiseXOR(B.bit(F.col("site")))).withColumn("last", F.col("site")).drop("site")
+                keyed = keyed.withColumn("site", F.explode(k.sites("rest"))).filter("site < last")
+                keyed = keyed.withColumn("rest", k.flip("rest", F.col("site"))).withColumn("last", F.col("site")).drop("site")
             a, b = keyed.select(F.col("det").alias("bra"), "rest"), keyed.select(F.col("det").alias("ket"), "rest")
-            made = a.join(b, "rest").filter(B.hamming("bra", "ket") == d).select("bra", "ket", F.lit(d).alias("distance"))
+            made = a.join(b, "rest").filter(k.differ("bra", "ket") == d).select("bra", "ket", F.lit(d).alias("distance"))
         out = made if out is None else out.unionByName(made)
     return out
 
 
 def labelled(pairs: DataFrame, width: int) -> DataFrame:
     """Pairs of bra and ket with ``created`` and ``annihilated``: the sites that the bra has and the ket has not, and the other way round, ascending."""
-    return pairs.withColumn("created", B.created("bra", "ket", width)).withColumn("annihilated", B.created("ket", "bra", width))
+    k = B.keys(pairs, "bra")
+    only = lambda a, b: k.sites(k.minus(F.col(a), F.col(b)), width)
+    return pairs.withColumn("created", only("bra", "ket")).withColumn("annihilated", only("ket", "bra"))
 
 
 def lookup(edges: DataFrame, vector: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorbit.functions import bits as B
+from quorbit.functions import complex as X
 from quorbit.session import cut
 
 MOST_TERMS = 200_000
@@ -22,27 +23,26 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_TERMS else df
 
 
-def applies(det: Column, create: Column, annihilate: Column) -> Column:
+def applies(det: Column, create: Column, annihilate: Column, k: B.Narrow | None = None) -> Column:
     """Whether a normal-ordered term leaves something: what it removes is there, and what it adds is free."""
-    free = det.bitwiseAND(F.bitwise_not(annihilate)).bitwiseAND(create)
-    return (det.bitwiseAND(annihilate) == annihilate) & (free == 0)
+    k = k or B.Narrow()
+    return k.holds(det, annihilate) & k.apart(k.minus(det, annihilate), create)
 
 
-def applied(det: Column, create: Column, annihilate: Column) -> Column:
-    return det.bitwiseAND(F.bitwise_not(annihilate)).bitwiseOR(create)
+def applied(det: Column, create: Column, annihilate: Column, k: B.Narrow | None = None) -> Column:
+    k = k or B.Narrow()
+    return k.join(k.minus(det, annihilate), create)
 
 
-def term_sign(det: Column, ops: Column, fermion: bool) -> Column:
+def term_sign(det: Column, ops: Column, fermion: bool, k: B.Narrow | None = None) -> Column:
     """Sign of a product on a state: the rightmost operator acts first."""
     if not fermion:
         return F.lit(1)
+    k = k or B.Narrow()
     done = F.aggregate(
         F.reverse(ops),
         F.struct(det.alias("s"), F.lit(1).alias("sign")),
-        lambda a, op: F.struct(
-            a["s"].bitwiseXOR(B.bit(op["site"])).alias("s"),
-            (a["sign"] * B.string_sign(a["s"], op["site"])).cast("int").alias("sign"),
-        ),
+        lambda a, op: F.struct(k.flip(a["s"], op["site"]).alias("s"), (a["sign"] * k.string_sign(a["s"], op["site"])).cast("int").alias("sign")),
     )
     return done["sign"]
 
@@ -54,32 +54,35 @@ def meet(states: DataFrame, terms: DataFrame, det: str = "det") -> DataFrame:
     annihilate nothing; so only terms that share them are held against the mask,
     and no plan pairs all states with all terms.
     """
+    k = B.keys(states, det)
     n = F.col("annihilate")
-    low = F.when(n == 0, -1).otherwise(F.bit_count(n.bitwiseAND(-n) - 1)).cast("int")
-    keyed = terms.withColumn("low", low).withColumn("high", F.when(n == 0, -1).otherwise(F.length(F.bin(n)) - 1).cast("int"))
-    held = B.sites(det, B.WORD_BITS)
+    low, high = k.ends(n)
+    keyed = terms.withColumn("low", low).withColumn("high", high)
+    held = k.sites(det)
     pairs = F.flatten(F.transform(held, lambda p: F.transform(F.filter(held, lambda q: q >= p), lambda q: F.struct(p.cast("int").alias("low"), q.cast("int").alias("high")))))
     none = F.array(F.struct(F.lit(-1).alias("low"), F.lit(-1).alias("high")))
     placed = states.withColumn("place", F.explode(F.concat(pairs, none))).select(*states.columns, "place.low", "place.high")
-    return placed.join(small(keyed), ["low", "high"]).filter(F.col(det).bitwiseAND(n) == n).drop("low", "high")
+    return placed.join(small(keyed), ["low", "high"]).filter(k.holds(F.col(det), n)).drop("low", "high")
 
 
 def apply_terms(states: DataFrame, terms: DataFrame, fermion: bool, det: str = "det") -> DataFrame:
-    """Each state with each term that applies: the state's columns, bra, term_id, h = coef x sign."""
-    d = F.col(det)
-    joined = meet(states, terms, det).filter(applies(d, F.col("create"), F.col("annihilate")))
-    return joined.withColumn("bra", applied(d, F.col("create"), F.col("annihilate"))).withColumn("h", F.col("coef") * term_sign(d, F.col("ops"), fermion)).drop("create", "annihilate", "ops", "coef", "is_diag")
+    """Each state with each term that applies: the state's columns, bra, term_id, h = coef x sign, which is complex where ``coef`` is."""
+    k, d = B.keys(states, det), F.col(det)
+    joined = meet(states, terms, det).filter(applies(d, F.col("create"), F.col("annihilate"), k))
+    h = X.scaled(F.col("coef"), term_sign(d, F.col("ops"), fermion, k), X.is_complex(terms, "coef"))
+    return joined.withColumn("bra", applied(d, F.col("create"), F.col("annihilate"), k)).withColumn("h", h).drop("create", "annihilate", "ops", "coef", "is_diag")
 
 
 def operator_edges(basis: DataFrame, terms: DataFrame, fermion: bool) -> DataFrame:
     """(bra, ket, h) of an operator within a basis, diagonal included."""
-    made = apply_terms(basis.select("det"), terms, fermion).groupBy("bra", "det").agg(F.sum("h").alias("h"))
+    made = apply_terms(basis.select("det"), terms, fermion).groupBy("bra", "det").agg(X.total("h", X.is_complex(terms, "coef")).alias("h"))
     return made.join(basis.select(F.col("det").alias("bra")), "bra").select("bra", F.col("det").alias("ket"), "h")
 
 
 def operator_diagonal(basis: DataFrame, terms: DataFrame) -> DataFrame:
-    """(det, h): the coefficients of diagonal terms whose sites are all occupied; a normal-ordered diagonal product has the sign +1."""
-    hit = meet(basis.select("det"), terms.filter("is_diag").select("coef", "annihilate"))
+    """(det, h): the coefficients of diagonal terms whose sites are all occupied, real as the operator is Hermitian; a normal-ordered diagonal product has the sign +1."""
+    coef = F.col("coef.re") if X.is_complex(terms, "coef") else F.col("coef")
+    hit = meet(basis.select("det"), terms.filter("is_diag").select(coef.alias("coef"), "annihilate"))
     sums = hit.groupBy("det").agg(F.sum("coef").alias("h"))
     return basis.select("det").join(sums, "det", "left").select("det", F.coalesce("h", F.lit(0.0)).alias("h"))
 
@@ -164,7 +167,7 @@ def over(moves: Column, least: Column, longest: int) -> Column:
 
 
 def _occupied(states: DataFrame, width: int, name: str) -> DataFrame:
-    return states.withColumn(name, F.explode(B.sites("det", width)))
+    return states.withColumn(name, F.explode(B.keys(states).sites("det", width)))
 
 
 def diagonal(basis: DataFrame, ints: Integrals) -> DataFrame:
@@ -179,13 +182,13 @@ def diagonal(basis: DataFrame, ints: Integrals) -> DataFrame:
 
 def singles(states: DataFrame, ints: Integrals) -> DataFrame:
     """(det, bra, i, a, h) for each spin-conserving move whose element is not zero."""
-    n = 2 * ints.norb
-    moves = _occupied(states.select("det").distinct(), n, "i").withColumn("a", F.explode(B.sites("det", n, 0))).filter("i % 2 = a % 2")
+    n, k = 2 * ints.norb, B.keys(states)
+    moves = _occupied(states.select("det").distinct(), n, "i").withColumn("a", F.explode(k.sites("det", n, 0))).filter("i % 2 = a % 2")
     first = moves.join(ints.one.select(F.col("p").alias("a"), F.col("q").alias("i"), "v"), ["i", "a"]).select("det", "i", "a", "v")
-    rest = moves.join(ints.single, ["i", "a"]).filter(F.getbit("det", F.col("j")) == 1).select("det", "i", "a", "v")
+    rest = moves.join(ints.single, ["i", "a"]).filter(k.has("det", F.col("j"))).select("det", "i", "a", "v")
     sums = first.unionByName(rest).groupBy("det", "i", "a").agg(F.sum("v").alias("v")).filter("v <> 0")
-    bra = F.col("det").bitwiseXOR(B.bit(F.col("i"))).bitwiseXOR(B.bit(F.col("a")))
-    return sums.select("det", bra.alias("bra"), "i", "a", (F.col("v") * B.parity("det", F.col("i"), F.col("a"))).alias("h"))
+    bra = k.flip("det", F.col("i"), F.col("a"))
+    return sums.select("det", bra.alias("bra"), "i", "a", (F.col("v") * k.parity("det", F.col("i"), F.col("a"))).alias("h"))
 
 
 def doubles(states: DataFrame, ints: Integrals, cutoff: Column | None = None) -> DataFrame:
@@ -196,16 +199,15 @@ def doubles(states: DataFrame, ints: Integrals, cutoff: Column | None = None) ->
     greatest first, are cut to those over it before they become rows; so the
     only rows that go again are those whose targets are occupied.
     """
-    n = 2 * ints.norb
+    n, k = 2 * ints.norb, B.keys(states)
     pairs = _occupied(_occupied(states, n, "i"), n, "j").filter("i < j").join(ints.lookup, ["i", "j"])
     moves = F.col("moves") if cutoff is None else F.slice("moves", 1, over(F.col("moves"), cutoff, n * n))
     hit = pairs.withColumn("_m", F.explode(moves)).select(*states.columns, "i", "j", "_m.a", "_m.b", "_m.v")
-    hit = hit.filter((F.getbit("det", F.col("a")) == 0) & (F.getbit("det", F.col("b")) == 0))
-    one = F.col("det").bitwiseXOR(B.bit(F.col("i"))).bitwiseXOR(B.bit(F.col("a")))
+    hit = hit.filter(~k.has("det", F.col("a")) & ~k.has("det", F.col("b")))
+    one = k.flip("det", F.col("i"), F.col("a"))
     # the sign of a+_a a+_b a_j a_i as two moves, i to a and then j to b
-    sign = B.parity("det", F.col("i"), F.col("a")) * B.parity(one, F.col("j"), F.col("b"))
-    bra = one.bitwiseXOR(B.bit(F.col("j"))).bitwiseXOR(B.bit(F.col("b")))
-    return hit.withColumn("bra", bra).withColumn("h", F.col("v") * sign).drop("v")
+    sign = k.parity("det", F.col("i"), F.col("a")) * k.parity(one, F.col("j"), F.col("b"))
+    return hit.withColumn("bra", k.flip(one, F.col("j"), F.col("b"))).withColumn("h", F.col("v") * sign).drop("v")
 
 
 def integral_edges(basis: DataFrame, ints: Integrals) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorbit.functions import bits as B
+from quorbit.functions import complex as X
 from quorbit.operators.elements import Integrals, apply_terms, doubles, singles
 from quorbit.operators.select import truncated
 
@@ -13,12 +14,12 @@ from quorbit.operators.select import truncated
 def half_moves(halves: DataFrame, width: int, order: int = 1, name: str = "det") -> DataFrame:
     """(det, bra) for all single, or double, moves of each half state."""
     state = halves.select(F.col(name).alias("det"))
-    out = state.withColumn("i", F.explode(B.sites("det", width))).withColumn("a", F.explode(B.sites("det", width, 0)))
-    bra = F.col("det").bitwiseXOR(B.bit(F.col("i"))).bitwiseXOR(B.bit(F.col("a")))
+    k = B.keys(state)
+    out = state.withColumn("i", F.explode(k.sites("det", width))).withColumn("a", F.explode(k.sites("det", width, 0)))
     if order == 1:
-        return out.select("det", bra.alias("bra"))
-    out = out.withColumn("j", F.explode(B.sites("det", width))).filter("i < j").withColumn("b", F.explode(B.sites("det", width, 0))).filter("a < b")
-    return out.select("det", bra.bitwiseXOR(B.bit(F.col("j"))).bitwiseXOR(B.bit(F.col("b"))).alias("bra"))
+        return out.select("det", k.flip("det", F.col("i"), F.col("a")).alias("bra"))
+    out = out.withColumn("j", F.explode(k.sites("det", width))).filter("i < j").withColumn("b", F.explode(k.sites("det", width, 0))).filter("a < b")
+    return out.select("det", k.flip("det", *(F.col(c) for c in "iajb")).alias("bra"))
 
 
 def labelled_moves(states: DataFrame, width: int, order: int = 1, name: str = "det") -> DataFrame:
@@ -28,13 +29,13 @@ def labelled_moves(states: DataFrame, width: int, order: int = 1, name: str = "d
     two beta electrons and 2 for one of each.
     """
     state = states.select(F.col(name).alias("det"))
-    out = state.withColumn("i", F.explode(B.sites("det", width))).withColumn("a", F.explode(B.sites("det", width, 0)))
-    bra = F.col("det").bitwiseXOR(B.bit(F.col("i"))).bitwiseXOR(B.bit(F.col("a")))
+    k = B.keys(state)
+    out = state.withColumn("i", F.explode(k.sites("det", width))).withColumn("a", F.explode(k.sites("det", width, 0)))
     if order == 1:
-        return out.filter("i % 2 = a % 2").select("det", bra.alias("bra"), "i", "a", (F.col("i") % 2).cast("int").alias("spin"))
-    out = out.withColumn("j", F.explode(B.sites("det", width))).filter("i < j").withColumn("b", F.explode(B.sites("det", width, 0))).filter("a < b and i % 2 + j % 2 = a % 2 + b % 2")
+        return out.filter("i % 2 = a % 2").select("det", k.flip("det", F.col("i"), F.col("a")).alias("bra"), "i", "a", (F.col("i") % 2).cast("int").alias("spin"))
+    out = out.withColumn("j", F.explode(k.sites("det", width))).filter("i < j").withColumn("b", F.explode(k.sites("det", width, 0))).filter("a < b and i % 2 + j % 2 = a % 2 + b % 2")
     spin = F.when(F.col("i") % 2 != F.col("j") % 2, 2).otherwise(F.col("i") % 2).cast("int")
-    return out.select("det", bra.bitwiseXOR(B.bit(F.col("j"))).bitwiseXOR(B.bit(F.col("b"))).alias("bra"), "i", "j", "a", "b", spin.alias("spin"))
+    return out.select("det", k.flip("det", *(F.col(c) for c in "iajb")).alias("bra"), "i", "j", "a", "b", spin.alias("spin"))
 
 
 def singles_extended(halves: DataFrame, width: int, name: str = "det") -> DataFrame:
@@ -52,9 +53,10 @@ def important_halves(wave: DataFrame, threshold: float) -> tuple[DataFrame, Data
 def operator_expansion(wave: DataFrame, terms: DataFrame, fermion: bool, cutoff: float, truncation: float = 0.0) -> DataFrame:
     """Heat bath on terms: parents, and the states that a term with |coef| |c| over the cutoff reaches."""
     parents = truncated(wave, truncation)
-    off = terms.filter("not is_diag")
-    heavy = parents.withColumn("least", F.lit(cutoff) / F.abs("c")).filter("c <> 0")
-    made = apply_terms(heavy.select("det", "least"), off.filter(F.abs("coef") > 0), fermion).filter(F.abs("h") > F.col("least"))
+    off, of_terms, of_wave = terms.filter("not is_diag"), X.is_complex(terms, "coef"), X.is_complex(wave, "c")
+    weight = X.size(F.col("c"), of_wave)
+    heavy = parents.filter(weight > 0).withColumn("least", F.lit(cutoff) / weight)
+    made = apply_terms(heavy.select("det", "least"), off.filter(X.size(F.col("coef"), of_terms) > 0), fermion).filter(X.size(F.col("h"), of_terms) > F.col("least"))
     return parents.select("det").unionByName(made.select(F.col("bra").alias("det"))).distinct()
 
 

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorbit.functions import bits as B
+from quorbit.functions import complex as X
 from quorbit.operators.edges import hamming_edges
 from quorbit.operators.elements import Integrals
 
 
 def occupation(wave: DataFrame, width: int) -> DataFrame:
     """(orbital, spin, n): sum of c^2 over states that hold spin-orbital 2 orbital + spin."""
-    held = wave.select(F.explode(B.sites("det", width)).alias("i"), (F.col("c") * F.col("c")).alias("w"))
+    square = X.square(F.col("c")) if X.is_complex(wave, "c") else F.col("c") * F.col("c")
+    held = wave.select(F.explode(B.keys(wave).sites("det", width)).alias("i"), square.alias("w"))
     return held.groupBy(F.shiftright("i", 1).alias("orbital"), (F.col("i") % 2).alias("spin")).agg(F.sum("w").alias("n"))
 
 
@@ -22,18 +24,20 @@ def marginal(wave: DataFrame, half: str) -> DataFrame:
 
 def one_rdm(wave: DataFrame, width: int) -> DataFrame:
     """(p, q, v) = <a+_p a_q> over spin-orbitals, by removing one electron: states with the same rest meet."""
-    cut = wave.select("c", "det", F.explode(B.sites("det", width)).alias("p"))
-    cut = cut.select("p", F.col("det").bitwiseXOR(B.bit(F.col("p"))).alias("rest"), (F.col("c") * B.string_sign("det", F.col("p"))).alias("c"))
+    k = B.keys(wave)
+    cut = wave.select("c", "det", F.explode(k.sites("det", width)).alias("p"))
+    cut = cut.select("p", k.flip("det", F.col("p")).alias("rest"), (F.col("c") * k.string_sign("det", F.col("p"))).alias("c"))
     other = cut.select(F.col("p").alias("q"), "rest", F.col("c").alias("d"))
     return cut.join(other, "rest").filter("p % 2 = q % 2").groupBy("p", "q").agg(F.sum(F.col("c") * F.col("d")).alias("v"))
 
 
 def two_rdm(wave: DataFrame, width: int) -> DataFrame:
     """(p, q, r, s, v) = <a+_p a+_q a_s a_r> for p < q and r < s, by removing two electrons."""
-    cut = wave.select("c", "det", F.explode(B.sites("det", width)).alias("p")).withColumn("q", F.explode(B.sites("det", width))).filter("p < q")
-    one = F.col("det").bitwiseXOR(B.bit(F.col("p")))
-    sign = B.string_sign("det", F.col("p")) * B.string_sign(one, F.col("q"))
-    cut = cut.select("p", "q", one.bitwiseXOR(B.bit(F.col("q"))).alias("rest"), (F.col("c") * sign).alias("c"))
+    k = B.keys(wave)
+    cut = wave.select("c", "det", F.explode(k.sites("det", width)).alias("p")).withColumn("q", F.explode(k.sites("det", width))).filter("p < q")
+    one = k.flip("det", F.col("p"))
+    sign = k.string_sign("det", F.col("p")) * k.string_sign(one, F.col("q"))
+    cut = cut.select("p", "q", k.flip(one, F.col("q")).alias("rest"), (F.col("c") * sign).alias("c"))
     other = cut.select(F.col("p").alias("r"), F.col("q").alias("s"), "rest", F.col("c").alias("d"))
     return cut.join(other, "rest").groupBy("p", "q", "r", "s").agg(F.sum(F.col("c") * F.col("d")).alias("v"))
 

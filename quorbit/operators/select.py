@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorbit.functions import complex as X
 from quorbit.operators.observe import marginal
 from quorbit.session import cut
 
 
+#: Rows of a top-k that one task merges; more are ranked in ordered parts, with the same result.
+MOST_IN_ONE_TASK = 100_000
+
+
 def parts_for(rows: DataFrame) -> int:
     """Ordered parts: as many as the session has for a shuffle, which is where a cluster's size and its data's are set."""
     return max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -66,18 +71,29 @@ def weight_cut(rows: DataFrame, weight: str, key: str, target: float, parts: int
 
 def truncated(wave: DataFrame, threshold: float) -> DataFrame:
     """States with |c|^2 over the threshold."""
-    return wave.filter(F.col("c") * F.col("c") > threshold)
+    return wave.filter(weight_of(wave) > threshold)
+
+
+def weight_of(wave: DataFrame) -> Column:
+    """|c|^2 of real or complex coefficients."""
+    return X.square(F.col("c")) if X.is_complex(wave, "c") else F.col("c") * F.col("c")
 
 
 def top_states(wave: DataFrame, k: int) -> tuple[DataFrame, float]:
     """The k states of the greatest |c|^2, ties by key, and the weight that is left out."""
-    kept = wave.orderBy(F.desc(F.col("c") * F.col("c")), "det").limit(k)
-    weights = [float(d.agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0.0) for d in (wave, kept)]
+    if k > MOST_IN_ONE_TASK:
+        kept = ranked(wave.withColumn("_w", weight_of(wave)), "_w").filter(F.col("position") < k).drop("_w", "position")
+    else:
+        kept = wave.orderBy(F.desc(weight_of(wave)), "det").limit(k)
+    weights = [float(d.agg(F.sum(weight_of(d))).first()[0] or 0.0) for d in (wave, kept)]
     return kept, 1 - weights[1] / weights[0] if weights[0] else 0.0
 
 
 def top_halves(wave: DataFrame, half: str, k: int) -> DataFrame:
-    return marginal(wave, half).orderBy(F.desc("p"), half).limit(k)
+    held = marginal(wave, half)
+    if k > MOST_IN_ONE_TASK:
+        return ranked(held, "p", half).filter(F.col("position") < k).drop("position")
+    return held.orderBy(F.desc("p"), half).limit(k)
 
 
 def in_shards(rows: DataFrame, n: int, key: str = "det") -> DataFrame:

@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorbit.functions import complex as X
 from quorbit.operators.apply import start_vector
 from quorbit.session import cut, cut_by
 
@@ -206,8 +207,37 @@ def lanczos(operator: DataFrame | Images, start: DataFrame, eps: float = 1e-8, m
     return Solution(history[-1], space.vector(mix), space.residual_norm(mix, history[-1]), history)
 
 
+def real_edges(edges: DataFrame) -> DataFrame:
+    """Edges of a complex Hermitian operator as those of a real symmetric one on parts of states: 0 the real part, 1 the imaginary one."""
+    part = lambda name, k: F.struct(F.col(name).alias("det"), F.lit(k).alias("part")).alias(name)
+    entries = ((0, 0, F.col("h.re")), (1, 1, F.col("h.re")), (0, 1, -F.col("h.im")), (1, 0, F.col("h.im")))
+    made = [edges.select(part("bra", b), part("ket", k), h.alias("h")) for b, k, h in entries]
+    return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3]).filter("h <> 0 or bra = ket")
+
+
+def real_vector(x: DataFrame) -> DataFrame:
+    c = X.as_complex(F.col("c"), X.is_complex(x, "c"))
+    parts = F.array(F.struct(F.lit(0).alias("part"), c["re"].alias("c")), F.struct(F.lit(1).alias("part"), c["im"].alias("c")))
+    return x.withColumn("_p", F.explode(parts)).select(F.struct("det", "_p.part").alias("det"), F.col("_p.c").alias("c"))
+
+
+def complex_vector(x: DataFrame) -> DataFrame:
+    held = lambda k: F.sum(F.when(F.col("det.part") == k, F.col("c")).otherwise(0.0))
+    return x.groupBy(F.col("det.det").alias("det")).agg(X.make(held(0), held(1)).alias("c"))
+
+
 def ground_state(edges: DataFrame | Images, basis: DataFrame, method: str = "davidson", seed: int = 1, n_start: int = 1, start: DataFrame | None = None, diagonal: DataFrame | None = None, **options) -> Solution:  # noqa: ANN003
-    """From ``start``, or random vectors; an operator that is no edge table comes with its ``diagonal``."""
+    """From ``start``, or random vectors; an operator that is no edge table comes with its ``diagonal``.
+
+    A complex operator is solved as the real one of twice the size, in which each
+    level is there twice; vectors are complex again in the result.
+    """
+    if isinstance(edges, DataFrame) and X.is_complex(edges, "h"):
+        first = start if start is not None else start_vector(basis, "random", seed)
+        options |= {"keep": max(2, n_start)} if method == "davidson" and options.get("block", 10) > 2 else {}
+        found = ground_state(cut(real_edges(edges)), real_vector(first), method, seed, n_start, real_vector(first), None, **options)
+        found.vector, found.vectors = complex_vector(found.vector), [complex_vector(v) for v in found.vectors]
+        return found
     if method == "lanczos":
         return lanczos(edges, start_vector(basis, "random", seed) if start is None else start, **options)
     starts = [start] if start is not None else []

@@ -38,7 +38,7 @@ class Options:
     threshold: float = 0.01
     heatbath_cutoff: float = 1e-4
     init: str = "random"
-    initial: int | None = None
+    initial: int | list[int] | None = None
     load: str | None = None
     vectors: int = 1
     carryover_type: str = "top"
@@ -98,7 +98,7 @@ def carried(wave: DataFrame, o: Options) -> tuple[DataFrame, float]:
 
 
 def weight(wave: DataFrame) -> float:
-    return float(wave.agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0.0)
+    return float(wave.agg(F.sum(select.weight_of(wave))).first()[0] or 0.0)
 
 
 def determinants(basis: DataFrame, ints: Integrals, o: Options = Options(), product: ProductOperator | None = None) -> Result:
@@ -128,11 +128,12 @@ def tensor(alpha: DataFrame, beta: DataFrame, ints: Integrals, o: Options = Opti
 
 
 def operators(spark: SparkSession, basis: DataFrame, operator: Operator, width: int, o: Options = Options()) -> Result:
-    """Arbitrary ladder operators on states of plain sites."""
-    terms = cut(term_table(spark, operator))
+    """Arbitrary ladder operators, also complex ones, on states of plain sites, also more than 62."""
+    terms = cut(term_table(spark, operator, width))
     edges = cut(operator_edges(basis, terms, operator.fermion))
     found = _solve(edges, basis, o)
-    density = found.vector.select(F.explode(B.sites("det", width)).alias("site"), (F.col("c") * F.col("c")).alias("w")).groupBy("site").agg(F.sum("w").alias("n"))
+    held = found.vector.select(F.explode(B.keys(basis).sites("det", width)).alias("site"), select.weight_of(found.vector).alias("w"))
+    density = held.groupBy("site").agg(F.sum("w").alias("n"))
     out = Result(found.energy, found, density)
     if o.carries:
         out.carryover, out.discarded = carried(select.truncated(found.vector, 0.0), o)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quorbit.functions import bits as B
@@ -84,7 +84,19 @@ def fcidump_operator(spark: SparkSession, path: str) -> tuple[Operator, int]:
 def read_states(spark: SparkSession, paths: str | list[str], width: int, name: str = "det") -> DataFrame:
     """Distinct states of 0/1 lines; other lines raise an error."""
     lines = spark.read.text(paths).filter(F.trim("value") != "")
-    return lines.select(B.from_text(F.trim("value"), width).alias(name)).distinct()
+    return lines.select(state_of(F.trim("value"), width).alias(name)).distinct()
+
+
+def state_of(text: Column, width: int) -> Column:
+    """A state of its 0/1 text, an array of words beyond ``WORD_BITS`` sites; other texts raise an error."""
+    if width <= B.WORD_BITS:
+        return B.from_text(text, width)
+    wrong = F.raise_error(F.concat(F.lit(f"not a bit string of {width}: "), text)).cast("array<bigint>")
+    return F.when(text.rlike(f"^[01]{{{width}}}$"), B.words_from_text(text, width)).otherwise(wrong)
+
+
+def text_of(det: str, width: int) -> Column:
+    return B.to_text(det, width) if width <= B.WORD_BITS else B.words_to_text(det, width)
 
 
 def read_shards(spark: SparkSession, paths: list[str], width: int) -> DataFrame:
@@ -97,7 +109,7 @@ def read_shards(spark: SparkSession, paths: list[str], width: int) -> DataFrame:
     out = None
     for number, path in enumerate(paths):
         lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
-        held = lines.select(B.from_text(F.trim("value"), width).alias("det"), F.struct(F.lit(number).alias("shard"), "file_path", "file_block_start").alias("block"), "line")
+        held = lines.select(state_of(F.trim("value"), width).alias("det"), F.struct(F.lit(number).alias("shard"), "file_path", "file_block_start").alias("block"), "line")
         out = held if out is None else out.unionByName(held)
     before = F.lag("det").over(Window.partitionBy("block").orderBy("line"))
     blocks = out.withColumn("before", before).groupBy("block").agg(F.min("det").alias("least"), F.max("det").alias("last"), F.max(F.coalesce(F.col("before") >= F.col("det"), F.lit(False))).alias("wrong"))
@@ -129,7 +141,7 @@ def read_word_states(spark: SparkSession, path: str, width: int, word_bits: int
 
 
 def write_states(basis: DataFrame, path: str, width: int) -> None:
-    basis.select(B.to_text("det", width).alias("value"), "det").orderBy("det").select("value").write.mode("overwrite").text(path)
+    basis.select(text_of("det", width).alias("value")).orderBy("value").write.mode("overwrite").text(path)
 
 
 def read_path_list(path: str) -> list[str]:

@@ -34,7 +34,7 @@ def sampled_states(spark: SparkSession, width: int, particles: int, n: int, seed
 def product_states(alpha: DataFrame, beta: DataFrame, width: int) -> DataFrame:
     """(adet, bdet, det) for every pair of halves: the tensor basis, which is all pairs by definition."""
     pairs = alpha.select("adet").join(beta.select("bdet"))
-    return pairs.withColumn("det", B.interleave("adet", "bdet", width))
+    return pairs.withColumn("det", B.interleave("adet", "bdet", width) if 2 * width <= B.WORD_BITS else B.interleave_words("adet", "bdet", width))
 
 
 def bond_model(edges: list[tuple[int, int]], hopping: float, repulsion: float, fermion: bool = False) -> list[str]:
