@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import platform
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,11 @@ def parser() -> argparse.ArgumentParser:
     own.add_argument("--seed", type=int, default=1)
     own.add_argument("--reference-energy", type=float, required=True)
     own.add_argument("--heatbath-cutoff", type=float, default=0.0)
+    own.add_argument("--observable", choices=stat.OBSERVABLES, default="both")
+    own.add_argument("--minimum-abs-denominator", type=float, default=1e-12)
+    own.add_argument("--calculation-id", default="run")
+    own.add_argument("--batch-output", help="batch table that the estimates are appended to")
+    own.add_argument("--log-output", help="folder of lines of what each batch made, and how long it took")
     own = sub.add_parser("gen-dets")
     own.add_argument("--alpha", required=True)
     own.add_argument("--norb", type=int, required=True)
@@ -136,7 +142,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
             operator = files.read_operator(spark, a.hamiltonian)
             terms = term_table(spark, operator)
             children, below, strict = (lambda s: stat.operator_children(s, terms, operator.fermion)), (lambda s: operator_diagonal(s, terms)), False
-        rows = stat.evaluate_batches(spark, wave, wave.select("det"), children, below, a.samples, a.batches, a.reference_energy, a.seed, a.heatbath_cutoff, strict)
+        rows = stat.evaluate_batches(spark, wave, wave.select("det"), children, below, a.samples, a.batches, a.reference_energy, a.seed, a.heatbath_cutoff, strict, a.observable, a.minimum_abs_denominator)
+        if a.batch_output:
+            files.append_batches(stat.batch_rows(spark, rows, a.calculation_id, a.observable, a.seed, a.samples, a.heatbath_cutoff, a.reference_energy), a.batch_output)
+        if a.log_output:
+            lines = [f"# calculation ID: {a.calculation_id}", "# MPI size: 1", *stat.log_lines(rows, a.calculation_id, platform.node())]
+            spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("append").text(a.log_output)
         out = {"batches": rows}
     elif a.command == "gen-dets":
         half = files.read_states(spark, a.alpha, a.norb, "adet")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quorbit.functions import bits as B
 from quorbit.functions import complex as X
 from quorbit.operators.elements import Integrals, apply_terms, doubles, singles
 from quorbit.operators.select import truncated
+from quorbit.session import cut, observed
 
 
 def half_moves(halves: DataFrame, width: int, order: int = 1, name: str = "det") -> DataFrame:
@@ -50,14 +53,35 @@ def important_halves(wave: DataFrame, threshold: float) -> tuple[DataFrame, Data
     return held.select("adet").distinct(), held.select("bdet").distinct()
 
 
+def important_half_counts(wave: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The same with ``n``: in how many of these states each half is."""
+    held = truncated(wave, threshold)
+    return tuple(held.groupBy(h).agg(F.count("*").alias("n")) for h in ("adet", "bdet"))
+
+
+def counted_expansion(wave: DataFrame, terms: DataFrame, fermion: bool, cutoff: float, truncation: float = 0.0) -> tuple[DataFrame, dict[str, int]]:
+    """``operator_expansion`` and what its steps made: parents, generated, accepted and states. Counted on the way, within the one job that makes it."""
+    seen = {name: Observation(name) for name in ("parents", "generated", "accepted")}
+    count = lambda df, name: df.observe(seen[name], F.count(F.lit(1)).alias("n"))
+    parents, made = _expanded(wave, terms, fermion, cutoff, truncation, count)
+    states = cut(parents.unionByName(made).distinct())
+    return states, {name: observed(o, "n")["n"] for name, o in seen.items()} | {"states": states.count()}
+
+
 def operator_expansion(wave: DataFrame, terms: DataFrame, fermion: bool, cutoff: float, truncation: float = 0.0) -> DataFrame:
     """Heat bath on terms: parents, and the states that a term with |coef| |c| over the cutoff reaches."""
+    parents, made = _expanded(wave, terms, fermion, cutoff, truncation)
+    return parents.unionByName(made).distinct()
+
+
+def _expanded(wave: DataFrame, terms: DataFrame, fermion: bool, cutoff: float, truncation: float, count: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> tuple[DataFrame, DataFrame]:
     parents = truncated(wave, truncation)
     off, of_terms, of_wave = terms.filter("not is_diag"), X.is_complex(terms, "coef"), X.is_complex(wave, "c")
     weight = X.size(F.col("c"), of_wave)
     heavy = parents.filter(weight > 0).withColumn("least", F.lit(cutoff) / weight)
-    made = apply_terms(heavy.select("det", "least"), off.filter(X.size(F.col("coef"), of_terms) > 0), fermion).filter(X.size(F.col("h"), of_terms) > F.col("least"))
-    return parents.select("det").unionByName(made.select(F.col("bra").alias("det"))).distinct()
+    made = count(apply_terms(heavy.select("det", "least"), off.filter(X.size(F.col("coef"), of_terms) > 0), fermion), "generated")
+    kept = count(made.filter(X.size(F.col("h"), of_terms) > F.col("least")), "accepted")
+    return count(parents.select("det"), "parents"), kept.select(F.col("bra").alias("det"))
 
 
 def integral_expansion(wave: DataFrame, ints: Integrals, cutoff: float, variant: str = "integral") -> DataFrame:

@@ -7,13 +7,16 @@ the squares of single draws, which the U-statistic takes away:
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quorbit.functions import bits as B
 from quorbit.operators.edges import outside
 from quorbit.operators.elements import Integrals, apply_terms, doubles, singles
+from quorbit.session import cut, observed
 
 
 def sample_counts(wave: DataFrame, draws: int, seed: int, batch: int = 0, parts: int = 256) -> DataFrame:
@@ -78,8 +81,11 @@ def two_key_merge(parts: DataFrame) -> DataFrame:
     return child_sums(parts.groupBy("child", "det").agg(F.sum("x").alias("x"), F.sum("z").alias("z")))
 
 
-def _second_order(rows: DataFrame, value: Column, diagonal: DataFrame, energy: float, least: float) -> dict[str, float]:
-    """Sums of the value, and of the value over E0 - H_aa, whose denominators must not be tiny."""
+def _second_order(rows: DataFrame, value: Column, diagonal: DataFrame | None, energy: float, least: float) -> dict[str, float]:
+    """Sums of the value, and of the value over E0 - H_aa, whose denominators must not be tiny; without a diagonal, the former alone."""
+    if diagonal is None:
+        got = rows.agg(F.count("*"), F.sum(value)).first()
+        return {"external": got[0], "variance": float(got[1] or 0.0)}
     down = F.lit(energy) - F.col("h")
     joined = rows.withColumn("_v", value).join(diagonal.withColumnRenamed("det", "child"), "child", "left")
     bad = F.sum(F.when(F.col("h").isNull() | (F.abs(down) <= least) | F.isnan(down), 1).otherwise(0))
@@ -89,7 +95,7 @@ def _second_order(rows: DataFrame, value: Column, diagonal: DataFrame, energy: f
     return {"external": got[0], "variance": float(got[1] or 0.0), "pt2": float(got[2] or 0.0)}
 
 
-def u_statistic(parts: DataFrame, basis: DataFrame, diagonal: DataFrame, draws: int, energy: float, least: float = 1e-12) -> dict[str, float]:
+def u_statistic(parts: DataFrame, basis: DataFrame, diagonal: DataFrame | None, draws: int, energy: float, least: float = 1e-12) -> dict[str, float]:
     """Estimates from one batch of sampled contributions."""
     if draws < 2:
         raise ValueError("at least two samples are needed")
@@ -111,11 +117,50 @@ def check_stat_wave(wave: DataFrame) -> None:
         raise ValueError("the wavefunction holds a state twice, or is not normalized")
 
 
-def evaluate_batches(spark: SparkSession, wave: DataFrame, basis: DataFrame, children_of, diagonal_of, draws: int, batches: int, energy: float, seed: int, cutoff: float = 0.0, drop_equal: bool = False) -> list[dict]:  # noqa: ANN001
-    """One estimate a batch; each batch's draws depend on the seed and its number alone."""
-    out = []
+#: What may be estimated.
+OBSERVABLES = ("both", "variance", "pt2")
+
+
+def evaluate_batches(spark: SparkSession, wave: DataFrame, basis: DataFrame, children_of, diagonal_of, draws: int, batches: int, energy: float, seed: int, cutoff: float = 0.0, drop_equal: bool = False, observable: str = "both", least: float = 1e-12) -> list[dict]:  # noqa: ANN001
+    """One estimate a batch; each batch's draws depend on the seed and its number alone.
+
+    A batch's sample and its contributions are checkpointed, so neither is made twice.
+    ``profile`` counts what the steps made, on the way; ``timing`` has their seconds.
+    Without ``pt2`` no denominator is looked at, also no one under ``least``.
+    """
+    if observable not in OBSERVABLES:
+        raise ValueError(f"{observable} is none of {', '.join(OBSERVABLES)}")
+    known, out = {"parents": wave.count(), "membership": basis.count()}, []
     for batch in range(batches):
-        sampled = sample_counts(wave, draws, seed, batch)
-        parts = contributions(sampled, children_of(sampled), cutoff, drop_equal)
-        out.append({"batch_id": batch} | u_statistic(parts, basis, diagonal_of(parts.select(F.col("child").alias("det")).distinct()), draws, energy))
+        began, seen = time.perf_counter(), {n: Observation(f"{n}-{batch}") for n in ("sampled", "generated")}
+        sampled = cut(sample_counts(wave, draws, seed, batch).observe(seen["sampled"], F.count(F.lit(1)).alias("sampled_parents"), F.sum("n").alias("draws")))
+        drawn = time.perf_counter()
+        parts = cut(contributions(sampled, children_of(sampled), cutoff, drop_equal).observe(seen["generated"], F.count(F.lit(1)).alias("generated_records"), F.count_if(F.col("child").isNotNull()).alias("received_records")))
+        expanded = time.perf_counter()
+        diagonal = None if observable == "variance" else diagonal_of(parts.select(F.col("child").alias("det")).distinct())
+        found = u_statistic(parts, basis, diagonal, draws, energy, least)
+        done = time.perf_counter()
+        profile = known | observed(seen["sampled"], "sampled_parents", "draws") | observed(seen["generated"], "generated_records", "received_records") | {"external_children": found["external"]}
+        timing = {"sampling": drawn - began, "expansion": expanded - drawn, "reduction": done - expanded, "total": done - began}
+        wanted = {k: v for k, v in found.items() if observable in ("both", k) or k == "external"}
+        out.append({"batch_id": batch} | wanted | {"profile": profile, "timing": timing})
+    return out
+
+
+def batch_rows(spark: SparkSession, found: list[dict], calculation: str, observable: str, seed: int, draws: int, cutoff: float, energy: float) -> DataFrame:
+    """Estimates as rows of a batch table; what was not asked for is blank."""
+    from quorbit.sources.files import BATCH_SCHEMA
+
+    rows = [(1, calculation, observable, seed, f["batch_id"], draws, cutoff, energy, f.get("variance"), f.get("pt2"), 1, spark.sparkContext.defaultParallelism, f["timing"]["total"]) for f in found]
+    return spark.createDataFrame(rows, BATCH_SCHEMA)
+
+
+def log_lines(found: list[dict], calculation: str, host: str) -> list[str]:
+    """Profile and timing lines as ``read_log`` reads them. Spark's tasks are one rank, so each summary's least, mean and greatest value are one."""
+    out = []
+    for f in found:
+        named = f'calculation_id="{calculation}" batch_id={f["batch_id"]}'
+        for kind in ("profile", "timing"):
+            out.append(f' stats: {kind} {named} rank=0 host="{host}" ' + " ".join(f"{k}={v!r}" for k, v in f[kind].items()))
+            out += [f" stats: {kind}_summary {named} metric={k} min={v!r} mean={v!r} max={v!r}" for k, v in f[kind].items()]
     return out

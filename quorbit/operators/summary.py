@@ -6,20 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: The format of batch tables, and what is the same in all batches of a calculation.
+FORMAT, SETTINGS = 1, ("observable", "sample_count", "heatbath_cutoff", "reference_energy")
+
+
 def _spread(x: str) -> list[Column]:
     sd = F.when(F.count(x) > 0, F.coalesce(F.stddev_samp(x), F.lit(0.0)))
     return [F.avg(x).alias(f"{x}_mean"), sd.alias(f"{x}_sample_stddev"), (sd / F.sqrt(F.count(x))).alias(f"{x}_standard_error")]
 
 
 def summarize(batches: DataFrame) -> DataFrame:
-    """A row for each calculation and observable: means, sample deviations (0 for one batch) and standard errors."""
+    """A row for each calculation: its settings, means, sample deviations (0 for one batch) and standard errors.
+
+    ``validate`` says whether settings are the same in all of a calculation's
+    batches, the number of samples of one batch among them; then any one is all.
+    """
     named = batches.withColumnsRenamed({"variance_estimate": "variance", "pt2_estimate": "pt2"})
-    keys = ["format_version", "calculation_id", "observable"]
-    return named.groupBy(*keys).agg(
+    return named.groupBy("calculation_id").agg(
+        F.min("format_version").alias("format_version"),
+        *[F.min(c).alias(c) for c in SETTINGS[:1]],
         F.count("*").alias("batch_count"),
-        F.sum("sample_count").alias("sample_count"),
-        F.first("heatbath_cutoff").alias("heatbath_cutoff"),
-        F.first("reference_energy", ignorenulls=True).alias("reference_energy"),
+        *[F.min(c).alias(c) for c in SETTINGS[1:]],
         *_spread("variance"),
         *_spread("pt2"),
         F.sum("elapsed_seconds").alias("elapsed_seconds_total"),
@@ -27,10 +34,18 @@ def summarize(batches: DataFrame) -> DataFrame:
 
 
 def validate(batches: DataFrame) -> DataFrame:
-    """Rows that break the table's rules: repeated batches, or settings that change within a calculation."""
-    twice = batches.groupBy("calculation_id", "observable", "batch_id").count().filter("count > 1").select("calculation_id", F.lit("repeated batch").alias("problem"))
-    mixed = batches.groupBy("calculation_id").agg(F.count_distinct("heatbath_cutoff").alias("a"), F.count_distinct("format_version").alias("b"))
-    return twice.unionByName(mixed.filter("a > 1 or b > 1").select("calculation_id", F.lit("mixed settings").alias("problem"))).distinct()
+    """(calculation_id, problem): what breaks the table's rules.
+
+    Each calculation has an id, the one format version there is, a batch once, and
+    the same settings in all batches; a setting is blank in all of them or in none.
+    """
+    twice = batches.groupBy("calculation_id", "batch_id").count().filter("count > 1").select("calculation_id", F.lit("repeated batch").alias("problem"))
+    held = [(F.count_distinct(c) > 1) | ((F.count(c) > 0) & (F.count(c) < F.count("*"))) for c in SETTINGS]
+    problems = [F.when(wrong, F.lit(f"mixed {c}")) for c, wrong in zip(SETTINGS, held, strict=True)]
+    problems.append(F.when(F.sum(F.when(F.col("format_version").eqNullSafe(F.lit(FORMAT)), 0).otherwise(1)) > 0, F.lit("format version")))
+    found = batches.groupBy("calculation_id").agg(F.array(*problems).alias("found")).select("calculation_id", F.explode("found").alias("problem")).filter("problem is not null")
+    nameless = batches.filter(F.coalesce("calculation_id", F.lit("")) == "").select("calculation_id", F.lit("empty id").alias("problem"))
+    return twice.unionByName(found).unionByName(nameless).distinct()
 
 
 def disagreements(batches: DataFrame, log: DataFrame) -> DataFrame:

@@ -378,15 +378,18 @@ def agg_exact_external(spark, d):  # noqa: ANN001, ANN201
     return J.outside(sums.withColumnRenamed("bra", "det"), own).agg(F.count("*").alias("external"), F.sum(F.col("x") * F.col("x")).alias("variance"))
 
 
-_BATCH = "WITH batches AS (SELECT event_type AS calculation_id, user_id % 20 AS batch_id, count(*) AS sample_count, avg(value) AS v FROM events GROUP BY 1, 2)"
+_BATCH = "WITH batches AS (SELECT event_type AS calculation_id, user_id % 20 AS batch_id, avg(value) AS v FROM events GROUP BY 1, 2), drawn AS (SELECT event_type AS calculation_id, count(*) AS sample_count FROM events GROUP BY 1)"
 
 
 @query(
     "agg_batch_summary",
-    _BATCH + " SELECT calculation_id, count(*) AS batch_count, CAST(sum(sample_count) AS BIGINT) AS samples, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0), 6) AS sd, round(coalesce(stddev_samp(v), 0) / sqrt(count(*)), 6) AS se FROM batches GROUP BY 1",
+    _BATCH + " SELECT calculation_id, count(*) AS batch_count, CAST(any_value(sample_count) AS BIGINT) AS samples, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0), 6) AS sd, round(coalesce(stddev_samp(v), 0) / sqrt(count(*)), 6) AS se FROM batches JOIN drawn USING (calculation_id) GROUP BY 1",
 )
 def agg_batch_summary(spark, d):  # noqa: ANN001, ANN201
-    rows = table(spark, d, "events").groupBy(F.col("event_type").alias("calculation_id"), (F.col("user_id") % 20).alias("batch_id")).agg(F.count("*").alias("sample_count"), F.avg("value").alias("variance_estimate"))
+    """Batches of events; a calculation's sample count is one for all of its batches."""
+    events = table(spark, d, "events").withColumn("calculation_id", F.col("event_type"))
+    rows = events.groupBy("calculation_id", (F.col("user_id") % 20).alias("batch_id")).agg(F.avg("value").alias("variance_estimate"))
+    rows = rows.join(events.groupBy("calculation_id").agg(F.count("*").alias("sample_count")), "calculation_id")
     none = {"format_version": F.lit(1), "observable": F.lit("v"), "pt2_estimate": F.lit(None).cast("double"), "heatbath_cutoff": F.lit(0.0), "reference_energy": F.lit(0.0), "elapsed_seconds": F.lit(0.0)}
     out = summary.summarize(rows.withColumns(none))
     r = lambda x, n: F.round(x, 6).alias(n)
@@ -493,6 +496,13 @@ def filter_important_halves(spark, d):  # noqa: ANN001, ANN201
     return a.select(F.lit("a").alias("half"), F.col("adet").alias("state")).unionByName(b.select(F.lit("b").alias("half"), F.col("bdet").alias("state")))
 
 
+@query("filter_half_counts", HALVED + " SELECT 'a' AS half, adet AS state, count(*) AS n FROM halved WHERE c * c > 5000 GROUP BY adet UNION ALL SELECT 'b', bdet, count(*) FROM halved WHERE c * c > 5000 GROUP BY bdet")
+def filter_half_counts(spark, d):  # noqa: ANN001, ANN201
+    """In how many important states each half is."""
+    a, b = X.important_half_counts(halved(spark, d), 5000)
+    return a.select(F.lit("a").alias("half"), F.col("adet").alias("state"), "n").unionByName(b.select(F.lit("b").alias("half"), F.col("bdet").alias("state"), "n"))
+
+
 @query("set_except", f"WITH {basis_sql(12)} SELECT det FROM basis EXCEPT SELECT det FROM basis WHERE c % 2 = 0")
 def set_except(spark, d):  # noqa: ANN001, ANN201
     own = basis(spark, d)

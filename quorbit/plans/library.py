@@ -132,6 +132,18 @@ def expand_fermion_heatbath(spark, d):  # noqa: ANN001, ANN201
     return X.operator_expansion(_wave(spark, d), _fermion_terms(spark), True, 4500.0, 250000.0)
 
 
+@query(
+    "expand_counts",
+    _FERMION.replace("edges AS (", "unused AS (", 1)
+    + ", p AS (SELECT det, c FROM basis WHERE c * c > 250000), made AS (SELECT m.bra, abs(m.h) * abs(p.c) AS w FROM moved m JOIN p ON p.det = m.ket), kept AS (SELECT bra FROM made WHERE w > 4500) "
+    "SELECT (SELECT count(*) FROM p) AS parents, (SELECT count(*) FROM made) AS generated, (SELECT count(*) FROM kept) AS accepted, (SELECT count(*) FROM (SELECT det FROM p UNION SELECT bra FROM kept)) AS states",
+)
+def expand_counts(spark, d):  # noqa: ANN001, ANN201
+    """What each step of the heat bath made, counted within the job that makes it."""
+    _, counts = X.counted_expansion(_wave(spark, d), _fermion_terms(spark), True, 4500.0, 250000.0)
+    return spark.createDataFrame([tuple(counts[k] for k in ("parents", "generated", "accepted", "states"))], "parents long, generated long, accepted long, states long")
+
+
 _SIMPLE = "(SELECT l_suppkey % 5 AS i, l_partkey % 5 AS j, count(*) AS n FROM lineitem GROUP BY 1, 2)"
 
 

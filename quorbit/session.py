@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -47,6 +48,17 @@ def shared_folder(spark: SparkSession) -> str:
     return known.get()
 
 
+def observed(observation: Observation, *names: str) -> dict[str, int]:
+    """What an observation has counted; 0 where the planner found its branch empty and so didn't run it."""
+    try:
+        held = observation.get
+    except Py4JJavaError as error:
+        if "AssertionError" not in str(error.java_exception):
+            raise
+        held = {}
+    return {n: int(held.get(n) or 0) for n in names}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

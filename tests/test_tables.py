@@ -143,7 +143,7 @@ def test_batches(spark, tmp_path):
     (tmp_path / "in" / "a.csv").write_text(BATCHES)
     rows = files.read_batches(spark, str(tmp_path / "in"))
     got = summary.summarize(rows).first()
-    assert (got["batch_count"], got["sample_count"], got["reference_energy"]) == (3, 300, None)
+    assert (got["batch_count"], got["sample_count"], got["reference_energy"]) == (3, 100, None)
     assert (got["variance_mean"], got["pt2_mean"], got["variance_sample_stddev"]) == (3.0, -3.0, 2.0)
     assert got["variance_standard_error"] == pytest.approx(1.1547005383792517) and got["elapsed_seconds_total"] == pytest.approx(1.2)
     assert summary.validate(rows).count() == 0 and summary.validate(rows.union(rows)).count() == 1
