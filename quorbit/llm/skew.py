@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 KEYS, LEAST_ROWS = 10_000, 500
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, salt: Column | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, salt: Column | None = None, total: int | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has one row for each key, with the number of the key's rows on the left.
 
     A key of many rows goes to several tasks: its rows on the left are dealt over
@@ -17,8 +17,10 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, sal
     broadcast; there are KEYS at most. Rows are dealt by ``salt``, a hash of what
     tells a key's rows apart. Without it, they are dealt by their order; then ``left``
     must come in the same order when it is read again, as a table or a checkpoint does.
+    ``total`` is about how many rows the left has, where that is known.
     """
-    total = right.agg(F.sum(rows)).first()[0] or 0
+    if total is None:
+        total = right.agg(F.sum(rows)).first()[0] or 0
     most = max(LEAST_ROWS, total // KEYS)
     parts = F.ceil(F.col(rows) / most).cast("long")
     split = right.filter(F.col(rows) > most).select(*on, parts.alias("parts"))
