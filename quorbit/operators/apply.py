@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quorbit.functions import complex as X
 from quorbit.functions.bits import Wide, key_random, keys, word_order
+from quorbit.functions.exact import exact_sums
 
 
 def _product(rows: DataFrame, a: str, b: str) -> tuple[Column, bool]:
@@ -20,17 +21,16 @@ def _product(rows: DataFrame, a: str, b: str) -> tuple[Column, bool]:
 
 
 def inner(x: DataFrame, y: DataFrame) -> float | complex:
-    """<x|y>, in which x is conjugated."""
+    """<x|y>, in which x is conjugated; the same to the last bit however rows are dealt."""
     own = X.conjugate(F.col("c")) if X.is_complex(x, "c") else F.col("c")
     joined = x.select("det", own.alias("x")).join(y.select("det", F.col("c").alias("y")), "det")
     value, of_complex = _product(joined, "x", "y")
-    found = joined.agg(X.total(value, of_complex).alias("v")).first()[0]
-    return complex(found["re"] or 0.0, found["im"] or 0.0) if of_complex else float(found or 0.0)
+    return complex(*exact_sums(joined, value["re"], value["im"])) if of_complex else exact_sums(joined, value)[0]
 
 
 def norm(x: DataFrame) -> float:
     square = X.square(F.col("c")) if X.is_complex(x, "c") else F.col("c") * F.col("c")
-    return math.sqrt(float(x.agg(F.sum(square)).first()[0] or 0.0))
+    return math.sqrt(exact_sums(x, square)[0])
 
 
 def scaled(x: DataFrame, factor: float | complex) -> DataFrame:

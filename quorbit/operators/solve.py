@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorbit.functions import complex as X
+from quorbit.functions.exact import exact_sums
 from quorbit.operators.apply import start_vector
 from quorbit.session import cut, cut_by
 
@@ -58,10 +59,15 @@ def _mix(column: str, weights: list[float]) -> Column:
     return total
 
 
+def _plain_sums(rows: DataFrame, *values: Column) -> list[float]:
+    return [float(x or 0.0) for x in rows.agg(*[F.sum(v) for v in values]).first()]
+
+
 class Subspace:
     """Orthonormal vectors ``v`` and their images ``w``, as arrays by state."""
 
-    def __init__(self, operator: DataFrame | Images, starts: list[DataFrame], diagonal: DataFrame | None = None):
+    def __init__(self, operator: DataFrame | Images, starts: list[DataFrame], diagonal: DataFrame | None = None, exact: bool = False):
+        self.sums = exact_sums if exact else _plain_sums
         self.operator = stored(operator) if isinstance(operator, DataFrame) else operator
         self.applications = 0
         table = starts[0].select("det", F.array("c").alias("v"))
@@ -82,8 +88,8 @@ class Subspace:
         self.size, self.images = len(sharp), 0
 
     def _gram(self, right: str, rows: range, columns: range) -> np.ndarray:
-        sums = [F.sum(F.col("v")[i] * F.col(right)[j]) for i in rows for j in columns]
-        return np.array([x or 0.0 for x in self.table.agg(*sums).first()], float).reshape(len(rows), len(columns))
+        products = [F.col("v")[i] * F.col(right)[j] for i in rows for j in columns]
+        return np.array(self.sums(self.table, *products), float).reshape(len(rows), len(columns))
 
     def apply(self) -> np.ndarray:
         """Adds the missing images, and returns the vectors' products with them."""
@@ -99,8 +105,7 @@ class Subspace:
     def against(self, vector: Column, beside: Column | None = None) -> list[float]:
         """The square of ``beside``, or of ``vector``, and the vectors' products with ``vector``, in one aggregation."""
         beside = vector if beside is None else beside
-        found = self.table.agg(F.sum(beside * beside), *[F.sum(F.col("v")[k] * vector) for k in range(self.size)]).first()
-        return [float(x or 0.0) for x in found]
+        return self.sums(self.table, beside * beside, *[F.col("v")[k] * vector for k in range(self.size)])
 
     def append(self, vector: Column, least: float = 1e-10, dots: list[float] | None = None) -> float:
         """Adds the part of ``vector`` that is orthogonal to all, found in two passes, of which ``dots`` may be the first.
@@ -124,8 +129,8 @@ class Subspace:
             down = F.lit(energy) - F.col("h")
             rest = self.residual(mix, energy)
             made.append(rest / F.when(F.abs(down) < regular, F.lit(regular)).otherwise(down))
-            sums += [F.sum(rest * rest), *[F.sum(F.col("v")[k] * made[-1]) for k in range(self.size)]]
-        found = [float(x or 0.0) for x in self.table.agg(*sums).first()]
+            sums += [rest * rest, *[F.col("v")[k] * made[-1] for k in range(self.size)]]
+        found = self.sums(self.table, *sums)
         each = self.size + 1
         return [(m, math.sqrt(found[i * each]), found[i * each + 1 : (i + 1) * each]) for i, m in enumerate(made)]
 
@@ -134,7 +139,7 @@ class Subspace:
 
     def residual_norm(self, mix: list[float], energy: float) -> float:
         r = self.residual(mix, energy)
-        return math.sqrt(float(self.table.agg(F.sum(r * r)).first()[0] or 0.0))
+        return math.sqrt(self.sums(self.table, r * r)[0])
 
     def restart(self, mixes: list[list[float]]) -> None:
         """Keeps these orthonormal combinations alone; their images are the images' combinations, so nothing is applied anew."""
@@ -146,19 +151,21 @@ class Subspace:
         return cut(self.table.select("det", _mix("v", mix).alias("c")))
 
 
-def davidson(operator: DataFrame | Images, diagonal: DataFrame, start: DataFrame | list[DataFrame], eps: float = 1e-4, restarts: int = 1, block: int = 10, regular: float = 1e-12, max_time: float | None = None, wanted: int = 1, keep: int | None = None) -> Solution:
+def davidson(operator: DataFrame | Images, diagonal: DataFrame, start: DataFrame | list[DataFrame], eps: float = 1e-4, restarts: int = 1, block: int = 10, regular: float = 1e-12, max_time: float | None = None, wanted: int = 1, keep: int | None = None, exact: bool = False) -> Solution:
     """The ``wanted`` lowest states; stops where all their residual norms are under ``eps``.
 
     Several start vectors open the first subspace together. A step adds a vector
     for each state that is not there yet, and applies the operator to all of them
     in one pass. At ``block`` vectors it begins again from the ``keep`` lowest
     combinations, as many as there were start vectors, or states wanted, unless told.
+    ``exact`` takes inner products by sums that do not depend on the order of rows,
+    in a second pass over the subspace.
     """
     starts = start if isinstance(start, list) else [start]
     keep = keep or max(wanted, len(starts))
     if keep >= block and restarts > 1:
         raise ValueError(f"{block} vectors leave no room beside {keep} that a restart keeps")
-    space, began, history = Subspace(operator, starts, diagonal), time.time(), []
+    space, began, history = Subspace(operator, starts, diagonal, exact), time.time(), []
     energies: list[float] = []
     for turn in range(max(restarts, 1)):
         if turn:
@@ -191,9 +198,9 @@ def davidson(operator: DataFrame | Images, diagonal: DataFrame, start: DataFrame
     return Solution(energies[0], found[0], made[0][1], history, energies[:wanted], found, space.applications)
 
 
-def lanczos(operator: DataFrame | Images, start: DataFrame, eps: float = 1e-8, most: int = 60) -> Solution:
+def lanczos(operator: DataFrame | Images, start: DataFrame, eps: float = 1e-8, most: int = 60, exact: bool = False) -> Solution:
     """Stops where the energy moves, or the next vector's length is, under ``eps``; two Gram-Schmidt passes a step."""
-    space, alpha, beta, history = Subspace(operator, [start]), [], [], []
+    space, alpha, beta, history = Subspace(operator, [start], exact=exact), [], [], []
     while True:
         alpha.append(float(space.apply()[-1, -1]))
         values, vectors = np.linalg.eigh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))

@@ -13,40 +13,49 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from quorbit.functions import bits as B
+from quorbit.functions import complex as X
 from quorbit.operators.edges import outside
 from quorbit.operators.elements import Integrals, apply_terms, doubles, singles
 from quorbit.session import cut, observed
 
 
-def sample_counts(wave: DataFrame, draws: int, seed: int, batch: int = 0, parts: int = 256) -> DataFrame:
+#: States that one task draws from.
+STATES_PER_PART = 1_000_000
+
+
+def sample_counts(wave: DataFrame, draws: int, seed: int, batch: int = 0, per_part: int = STATES_PER_PART) -> DataFrame:
     """(det, c, p, n): how often ``draws`` draws with replacement, by |c|, take each state.
 
-    The draws are dealt to ``parts`` hash groups of states by one multinomial on
-    the driver; within a group each draw is a uniform number in the running sum
-    of its weights. The same seed and batch give the same counts, however rows lie.
+    Two levels: hash parts of about ``per_part`` states, as many as their number asks
+    for, share the draws by a multinomial on the driver, which has one weight for
+    each part; a part's states share its draws by another, a binomial draw for each
+    state in order. So neither time nor memory grows with the draws. The same
+    seed and batch give the same counts, however rows lie.
     """
     if draws < 2:
         raise ValueError("at least two samples are needed")
-    rows = wave.select("det", "c", F.abs("c").cast("double").alias("w")).filter("w > 0").withColumn("part", F.pmod(F.xxhash64("det"), F.lit(parts)).cast("int"))
-    sums = dict(sorted((r[0], r[1]) for r in rows.groupBy("part").agg(F.sum("w")).collect()))  # ``parts`` rows
-    weights = np.array(list(sums.values()))
-    dealt = np.random.default_rng([seed, batch]).multinomial(draws, weights / weights.sum())
-    plan = wave.sparkSession.createDataFrame([(k, float(s), int(n)) for (k, s), n in zip(sums.items(), dealt, strict=True)], "part int, w_part double, n_part bigint")
+    rows = wave.select("det", "c", X.size(F.col("c"), X.is_complex(wave, "c")).cast("double").alias("w")).filter("w > 0")
+    parts = max(1, -(-rows.count() // per_part))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("det"), F.lit(parts)).cast("int"))
+    # added up in the order of states in each part and of parts, so the last bits are the same as well
+    sums = dict(sorted((r[0], r[1]) for r in rows.groupBy("part").agg(F.sum("w")).collect()))
+    weights = np.array([float(f"{w:.12e}") for w in sums.values()])
+    dealt = np.random.default_rng([seed, batch]).multinomial(draws, weights / weights.sum()) if len(weights) else []
+    plan = wave.sparkSession.createDataFrame([(k, int(n)) for k, n in zip(sums, dealt, strict=True)], "part int, n_part bigint")
     total = float(weights.sum())
+    kind = [wave.schema[c].dataType.simpleString() for c in ("det", "c")]
 
     def draw(table):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
-        order = np.argsort(table.column("det").to_numpy())
-        det, c, w = (table.column(x).to_numpy()[order] for x in ("det", "c", "w"))
-        n, part = table.column("n_part")[0].as_py(), table.column("part")[0].as_py()
-        u = B.unit_random(seed, np.full(n, part * 1_000_003 + batch), np.arange(n))
-        edges = np.cumsum(w)
-        taken = np.bincount(np.minimum(np.searchsorted(edges, u * edges[-1], side="right"), len(w) - 1), minlength=len(w))
-        return pa.table({"det": det, "c": c.astype(float), "p": w / total, "n": taken}).filter(pa.array(taken > 0))
+        det = table.column("det").to_pylist()
+        table = table.take(pa.array(sorted(range(len(det)), key=det.__getitem__)))
+        w, n, part = table.column("w").to_numpy(), table.column("n_part")[0].as_py(), table.column("part")[0].as_py()
+        taken = np.random.default_rng([seed, batch, part, 1]).multinomial(n, w / w.sum())
+        out = pa.table({"det": table.column("det"), "c": table.column("c"), "p": w / total, "n": taken})
+        return out.filter(pa.array(taken > 0))
 
-    return rows.join(F.broadcast(plan), "part").groupBy("part").applyInArrow(draw, "det bigint, c double, p double, n bigint")
+    return rows.join(F.broadcast(plan), "part").groupBy("part").applyInArrow(draw, f"det {kind[0]}, c {kind[1]}, p double, n bigint")
 
 
 def operator_children(sampled: DataFrame, terms: DataFrame, fermion: bool) -> DataFrame:

@@ -316,10 +316,11 @@ def agg_simplify_terms(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 16).alias("term")).agg(F.sum(sign).alias("coef")).filter(F.abs("coef") > 1e-8)
 
 
-_XZ = HOPS[12] + ", kids AS (SELECT ket, bra, c AS x, c * c AS z FROM hops)"
+_XZ = HOPS[12] + ", kids AS (SELECT ket, bra, c AS x, c * c AS z FROM hops WHERE c % 2 = 0)"
+_XZ_WHOLE = HOPS[12] + ", kids AS (SELECT ket, bra, c AS x, c * c AS z FROM hops)"
 
 
-@query("agg_child_sums", _XZ + " SELECT bra AS child, CAST(sum(x) AS BIGINT) AS x, CAST(sum(z) AS BIGINT) AS z FROM kids GROUP BY bra")
+@query("agg_child_sums", _XZ_WHOLE + " SELECT bra AS child, CAST(sum(x) AS BIGINT) AS x, CAST(sum(z) AS BIGINT) AS z FROM kids GROUP BY bra")
 def agg_child_sums(spark, d):  # noqa: ANN001, ANN201
     from quorbit.operators.stat import child_sums
 
@@ -327,7 +328,7 @@ def agg_child_sums(spark, d):  # noqa: ANN001, ANN201
     return child_sums(X.half_moves(own, 12).join(own, "det").select("det", F.col("bra").alias("child"), F.col("c").alias("x"), (F.col("c") * F.col("c")).alias("z")))
 
 
-@query("agg_two_key_merge", _XZ + " SELECT child, CAST(sum(x) AS BIGINT) AS x, CAST(sum(z) AS BIGINT) AS z FROM (SELECT bra AS child, ket, sum(x) AS x, sum(z) AS z FROM kids GROUP BY bra, ket) GROUP BY child")
+@query("agg_two_key_merge", _XZ_WHOLE + " SELECT child, CAST(sum(x) AS BIGINT) AS x, CAST(sum(z) AS BIGINT) AS z FROM (SELECT bra AS child, ket, sum(x) AS x, sum(z) AS z FROM kids GROUP BY bra, ket) GROUP BY child")
 def agg_two_key_merge(spark, d):  # noqa: ANN001, ANN201
     from quorbit.operators.stat import two_key_merge
 
@@ -335,9 +336,6 @@ def agg_two_key_merge(spark, d):  # noqa: ANN001, ANN201
     return two_key_merge(X.half_moves(own, 12).join(own, "det").select("det", F.col("bra").alias("child"), F.col("c").alias("x"), (F.col("c") * F.col("c")).alias("z")))
 
 
-_XZ_WHOLE = HOPS[12] + ", kids AS (SELECT ket, bra, c AS x, c * c AS z FROM hops)"
-
-
 @query("agg_child_sums_whole", _XZ_WHOLE + " SELECT bra AS child, CAST(sum(x) AS BIGINT) AS x, CAST(sum(z) AS BIGINT) AS z FROM kids GROUP BY bra")
 def agg_child_sums_whole(spark, d):  # noqa: ANN001, ANN201
     from quorbit.operators.stat import child_sums
@@ -660,6 +658,28 @@ def sample_counts(spark, d):  # noqa: ANN001, ANN201
     return draw(basis(spark, d).withColumn("c", F.col("c").cast("double")), 10_000, 7)
 
 
+@query("sample_invariants", f"WITH {basis_sql(12)} SELECT CAST(10000 AS BIGINT) AS draws, CAST(0 AS BIGINT) AS strangers, CAST(sum(c) AS BIGINT) AS weight, CAST(0 AS BIGINT) AS far FROM basis")
+def sample_invariants(spark, d):  # noqa: ANN001, ANN201
+    """What holds for any draw: the number of draws, no state from elsewhere, weights that are the states' own, and no count more than six deviations off."""
+    from quorbit.operators.stat import sample_counts as draw
+
+    own = basis(spark, d).withColumn("c", F.col("c").cast("double"))
+    found = own.join(draw(own, 10_000, 7, per_part=200).select("det", "p", "n", F.lit(1).alias("drawn")), "det", "full").select("det", "c", "p", "n")
+    share = F.col("c") / F.lit(float(own.agg(F.sum("c")).first()[0]))
+    far = F.abs(F.coalesce("n", F.lit(0)) - 10_000 * share) > 6 * F.sqrt(10_000 * share) + 1
+    wrong = F.col("c").isNull() | (F.abs(F.coalesce("p", share) - share) > 1e-9)
+    return found.agg(F.sum("n").alias("draws"), F.count_if(wrong).alias("strangers"), F.sum("c").cast("bigint").alias("weight"), F.count_if(far).alias("far"))
+
+
+@query("shuffle_invariants", f"WITH {basis_sql(12)} SELECT count(*) AS n, count(*) AS places, count(*) - 1 AS last, min(det) AS first, TRUE AS moved FROM basis")
+def shuffle_invariants(spark, d):  # noqa: ANN001, ANN201
+    """A permutation in which the first state stays and others do not keep their order."""
+    found = S.shuffled(basis(spark, d), 3)
+    first = F.max(F.when(F.col("position") == 0, F.col("det"))).alias("first")
+    moved = (F.abs(F.corr(F.col("position").cast("double"), F.col("det").cast("double"))) < 0.5).alias("moved")
+    return found.agg(F.count("*").alias("n"), F.count_distinct("position").alias("places"), F.max("position").alias("last"), first, moved)
+
+
 @query("solve_ground_state")
 def solve_ground_state(spark, d):  # noqa: ANN001, ANN201
     """Davidson on the bond model within the table's states: energy, residual and steps."""

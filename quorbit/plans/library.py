@@ -11,6 +11,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorbit.functions.exact import exact_sums
 from quorbit.operators import apply as A
 from quorbit.operators import edges as J
 from quorbit.operators import elements as E
@@ -47,6 +48,14 @@ def apply_inner(spark, d):  # noqa: ANN001, ANN201
     return _value(spark, v=A.inner(own, own.withColumn("c", F.col("det") % 7)))
 
 
+@query("apply_inner_real", "SELECT round(sum(CAST(l_extendedprice AS DOUBLE) * CAST(l_discount AS DOUBLE)), 3) AS v, round(sqrt(sum(CAST(l_extendedprice AS DOUBLE) * CAST(l_extendedprice AS DOUBLE))), 3) AS size FROM lineitem")
+def apply_inner_real(spark, d):  # noqa: ANN001, ANN201
+    """Real values, to the last bit the same for any order of line items."""
+    line = table(spark, d, "lineitem").select(F.col("l_extendedprice").cast("double").alias("x"), F.col("l_discount").cast("double").alias("y"))
+    v, size = exact_sums(line, F.col("x") * F.col("y"), F.col("x") * F.col("x"))
+    return _value(spark, v=round(v, 3), size=round(size**0.5, 3))
+
+
 @query("apply_mult", HOPS[12] + ", y AS (SELECT bra, sum(c) AS y FROM edges GROUP BY bra) SELECT b.det, CAST(coalesce(y.y, 0) AS DOUBLE) AS c FROM basis b LEFT JOIN y ON y.bra = b.det")
 def apply_mult(spark, d):  # noqa: ANN001, ANN201
     own = _wave(spark, d)
