@@ -125,15 +125,22 @@ def read_records(spark: SparkSession, path: str, size: int) -> DataFrame:
 
 
 def read_binary_states(spark: SparkSession, path: str, width: int, name: str = "det") -> DataFrame:
-    """Distinct states of packed records of (width + 7) // 8 bytes, most significant bit first."""
-    records = read_records(spark, path, (width + 7) // 8)
+    """Distinct states of packed records of (width + 7) // 8 bytes, most significant bit first; arrays of words beyond ``WORD_BITS`` sites."""
+    size = (width + 7) // 8
+    records = read_records(spark, path, size)
+    if width > B.WORD_BITS:
+        bits = F.concat(*[F.lpad(F.conv(F.hex(F.substring("record", k, 1)), 16, 2), 8, "0") for k in range(1, size + 1)])
+        return records.select(B.words_from_text(F.right(bits, F.lit(width)), width).alias(name)).distinct()
     return records.select(F.conv(F.hex("record"), 16, 10).cast("long").alias(name)).distinct()
 
 
 def read_word_states(spark: SparkSession, path: str, width: int, word_bits: int = B.WORD_BITS, name: str = "det") -> DataFrame:
-    """Distinct states of raw records: little-endian 8-byte words of ``word_bits`` bits, least significant word first."""
+    """Distinct states of raw records: little-endian 8-byte words of ``word_bits`` bits, 62 at most, least significant word first; arrays of words beyond ``WORD_BITS`` sites."""
     records = read_records(spark, path, 8 * -(-width // word_bits))
     word = lambda n: F.conv(F.hex(F.concat(*[F.substring("record", 8 * n + k, 1) for k in range(8, 0, -1)])), 16, 10).cast("long")
+    if width > B.WORD_BITS:
+        words = F.array(*[word(n) for n in range(-(-width // word_bits))])
+        return records.select((words if word_bits == B.WORD_BITS else B.change_word_bits(words, width, word_bits, B.WORD_BITS)).alias(name)).distinct()
     total = word(0)
     for n in range(1, -(-width // word_bits)):
         total = total.bitwiseOR(F.shiftleft(word(n), n * word_bits))

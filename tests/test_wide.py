@@ -142,6 +142,20 @@ def test_wide_states_in_files_and_on_the_command_line(spark, tmp_path):
     assert spark.read.text(path("out/carryover")).count() == 2
 
 
+@pytest.mark.parametrize("width", [70, 76, 130])
+def test_records_of_wide_states(spark, tmp_path, width):
+    """Packed records, most significant bit first, and words of 62 and of 20 bits."""
+    rng = random.Random(width)
+    states = {rng.getrandbits(width) for _ in range(50)} | {0, (1 << width) - 1}
+    (tmp_path / "packed").write_bytes(b"".join(s.to_bytes((width + 7) // 8, "big") for s in sorted(states)) + (0).to_bytes((width + 7) // 8, "big"))
+    assert {number(r[0]) for r in files.read_binary_states(spark, str(tmp_path / "packed"), width).collect()} == states
+    for bits in (62, 20):
+        cut_up = lambda s: b"".join((s >> at & (1 << bits) - 1).to_bytes(8, "little") for at in range(0, width, bits))
+        (tmp_path / f"words{bits}").write_bytes(b"".join(map(cut_up, states)))
+        read = files.read_word_states(spark, str(tmp_path / f"words{bits}"), width, bits)
+        assert {number(r[0]) for r in read.collect()} == states and read.count() == len(states)
+
+
 @pytest.mark.parametrize("method", ["davidson", "lanczos"])
 def test_a_chain_with_complex_terms(spark, method):
     """Exchange along x, y and z with a term that twists: its levels are those of the dense matrix."""
