@@ -9,10 +9,12 @@ import re
 import zlib
 from itertools import product
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quorbit.llm import conversations
+from quorbit.llm import conversations, registry
 
 SCHEMA = "conv_id bigint, turn int, role string, text string"
 GRAMMAR = re.compile(r"(s?(ua)+)?")
@@ -148,6 +150,17 @@ def test_query_against_a_plain_version(spark, block, monkeypatch):
     assert sorted(found, key=key) == sorted(plain(table), key=key)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_the_sql_says_the_same(seed):
+    table = made_up(150, random.Random(seed), 12) + [(None, None, None, None), (None, 3, "user", "Hi."), (None, 3, "user", "Hi."), (777, None, "user", "A."), (777, None, "user", "A.")]
+    connection = duckdb.connect()
+    kinds = {"conv_id": pa.int64(), "turn": pa.int32(), "role": pa.string(), "text": pa.string()}
+    connection.register("conversations", pa.table({name: pa.array([r[k] for r in table], kind) for k, (name, kind) in enumerate(kinds.items())}))
+    got = connection.execute(registry.oracle_sql()["op12_conversation_repair"])
+    assert [c[0] for c in got.description][:2] == ["conv_id", "gaps"]
+    assert sorted(got.fetchall(), key=key) == sorted(plain(table), key=key)
+
+
 def test_given_table(spark, small):
     frame = spark.read.parquet(f"{small}/conversations.parquet")
     assert sorted(rows(conversations.op12(frame)), key=key) == sorted(plain(rows(frame)), key=key)
