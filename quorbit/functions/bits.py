@@ -271,7 +271,10 @@ def pair_index(i: Column, j: Column) -> Column:
 
 
 def unit_random(seed: int, stream: np.ndarray, counter: np.ndarray) -> np.ndarray:
-    """Uniform [0, 1) numbers that depend on seed, stream and counter alone; counter-based, so any layout gives the same."""
+    """Uniform [0, 1) numbers that depend on seed, stream and counter alone; counter-based, so any layout gives the same.
+
+    The mixing is splitmix64's, with its published multipliers and shifts as fixed values.
+    """
     x = np.uint64(seed & MASK64) ^ (stream.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) ^ (counter.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
