@@ -30,7 +30,7 @@ from quorbit.session import cut
 #: Entries of a codebook, parts of a vector, rounds of fitting, and what a component is multiplied by before it is floored.
 ENTRIES, PARTS, ROUNDS, SCALE = 256, 4, 4, 1024
 #: Entries looked at on each side before the annulus is narrowed again, and how many components of entries are held at once.
-STEP, HELD = 16, 1 << 20
+STEP, HELD = 16, 1 << 19
 #: Whole norms are rounded down, and roots of machine numbers may be one off: so much is added to the annulus on both sides.
 ROUNDING = 3
 #: Sums leave a task in digits of so many bits, so that Spark's longs hold the sums of 2^31 tasks.
@@ -47,9 +47,10 @@ def whole(values: np.ndarray, scale: int = SCALE) -> np.ndarray:
 
 
 def _narrowest(parts: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both as int64 where squared distances times the number of entries fit, else as Python's numbers."""
+    """Both in the kind of number that holds squared distances times the number of entries: doubles, which are whole and exact up to 2^53, int64, or Python's."""
     most = max((int(abs(x).max()) for x in (parts, book) if x.size), default=0)
-    kind = np.int64 if 4 * most * most * max(1, book.shape[1]) * (len(book) + 1) < 1 << 62 else object
+    greatest = 4 * most * most * max(1, book.shape[1]) * (len(book) + 1)
+    kind = np.float64 if greatest < 1 << 52 else np.int64 if greatest < 1 << 62 else object
     return parts.astype(kind), book.astype(kind)
 
 
@@ -101,12 +102,13 @@ class Codebook:
             keys = self._keys(parts[open_rows], entries, np.clip(places, 0, size - 1))
             best[open_rows] = np.minimum(best[open_rows], np.where(within, keys, best[open_rows, None]).min(axis=1))
             left[open_rows], right[open_rows] = left[open_rows] - STEP, right[open_rows] + STEP
-        return (best % size).astype(np.int64), best // size
+        return (best % size).astype(np.int64), best // size if best.dtype == object else (best // size).astype(np.int64)
 
     def _keys(self, parts: np.ndarray, entries: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Squared distance, then the entry's number, as one number."""
         apart = entries[places] - parts[:, None, :]
-        return (apart * apart).sum(axis=2) * len(entries) + self.order[places]
+        squared = np.einsum("ijk,ijk->ij", apart, apart) if apart.dtype != object else (apart * apart).sum(axis=2)
+        return squared * len(entries) + self.order[places]
 
 
 def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
