@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorbit.functions import bits as B
+from quorbit.functions import complex as X
 
 
 def hop_edges(basis: DataFrame, width: int) -> DataFrame:
@@ -52,8 +53,9 @@ def lookup(edges: DataFrame, vector: DataFrame) -> DataFrame:
 
 
 def match_checkpoint(basis: DataFrame, saved: DataFrame) -> DataFrame:
-    """(det, c) of the basis: the saved coefficient or zero; saved states outside the basis go."""
-    return basis.select("det").join(saved.select("det", "c"), "det", "left").select("det", F.coalesce("c", F.lit(0.0)).alias("c"))
+    """(det, c) of the basis: the saved coefficient, real or complex, or zero; saved states outside the basis go."""
+    zero = X.make(F.lit(0.0), F.lit(0.0)) if X.is_complex(saved, "c") else F.lit(0.0)
+    return basis.select("det").join(saved.select("det", "c"), "det", "left").select("det", F.coalesce("c", zero).alias("c"))
 
 
 def outside(children: DataFrame, basis: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from quorbit.plans.catalog import HALVED, HOPS, basis, basis_sql, fock_sql, fock
 from quorbit.session import shared_folder, table
 from quorbit.sources import files
 from quorbit.sources import generate as G
+from quorbit.sources import records
 
 
 def _value(spark: SparkSession, **named: float) -> DataFrame:
@@ -340,6 +341,22 @@ def file_product_wavefunction(spark, d):  # noqa: ANN001, ANN201
     return files.load_product_wavefunction(spark, path, own).select("adet", "bdet", F.round("c", 9).alias("c"))
 
 
+@query("file_wave_records", f"WITH {basis_sql(12)}, saved AS (SELECT * FROM basis WHERE c % 2 = 0), size AS (SELECT sqrt(CAST(sum(c * c) AS DOUBLE)) AS s FROM saved) SELECT b.det, round(coalesce(v.c, 0) / s, 9) AS c FROM basis b LEFT JOIN saved v USING (det), size")
+def file_wave_records(spark, d):  # noqa: ANN001, ANN201
+    """Record files of words of five bits."""
+    path, own = f"{_folder(spark)}/wave", _wave(spark, d)
+    records.save_wave_records(own.filter("c % 2 = 0"), path, 12, 5)
+    return records.load_wave_records(spark, path, own.select("det"), 12, 5).select("det", F.round("c", 9).alias("c"))
+
+
+@query("file_product_records", HALVED + ", size AS (SELECT sqrt(CAST(sum(c * c) AS DOUBLE)) AS s FROM halved) SELECT adet, bdet, round(c / s, 9) AS c FROM halved, size")
+def file_product_records(spark, d):  # noqa: ANN001, ANN201
+    """Record files of the product form; rows that are there twice add up."""
+    path, own = f"{_folder(spark)}/wave", halved(spark, d).withColumn("c", F.col("c") / 2)
+    records.save_product_records(own.unionAll(own), path, 6)
+    return records.load_product_records(spark, path, own, 6).select("adet", "bdet", F.round("c", 9).alias("c"))
+
+
 @query("file_matrix_form", HALVED + " SELECT printf('%.16e', CAST(c AS DOUBLE)) || ' # ia: ' || right(bin(adet + 64), 6) || ' ib: ' || right(bin(bdet + 64), 6) AS value FROM halved")
 def file_matrix_form(spark, d):  # noqa: ANN001, ANN201
     path = _folder(spark)

@@ -6,6 +6,8 @@ low word's first twelve and the high word's eight, so SQL has them as two column
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ from quorbit.operators import edges as J
 from quorbit.operators import elements as E
 from quorbit.operators.algebra import parse_operator, term_table
 from quorbit.plans.catalog import basis, basis_sql, query
-from quorbit.session import cut, table
+from quorbit.session import cut, shared_folder, table
+from quorbit.sources import records
 
 WIDTH, LOW, HIGH = 70, 12, 8
 #: (i, j, weight): bonds within each word and between the two.
@@ -97,6 +100,13 @@ def apply_mult_wide(spark, d):  # noqa: ANN001, ANN201
     return A.mult(E.operator_edges(own, term_table(spark, parse_operator(lines), WIDTH), True), own).select(*_two("det"), "c")
 
 
+@query("file_wide_records", f"{_WIDE} SELECT low AS det0, high AS det1, CAST(c AS DOUBLE) AS re, CAST(low % 7 AS DOUBLE) AS im FROM basis")
+def file_wide_records(spark, d):  # noqa: ANN001, ANN201
+    """Record files of 70 sites in words of 20 bits, with complex coefficients."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}/wave"
+    records.save_wave_records(wide_basis(spark, d).withColumn("c", C.make(F.col("c"), F.col("det")[0] % 7)), path, WIDTH)
+    return records.read_wave_records(spark, path, WIDTH, is_complex=True).select(*_two("det"), "c.re", "c.im")
+
 
 
 @query("bit_advanced", f"WITH {basis_sql(16)}, next AS (SELECT det, (det::HUGEINT * 4611686018427387904 + 4611686018427387903 + 1) AS n FROM basis) SELECT det, CAST(n % 4611686018427387904 AS BIGINT) AS low, CAST(n // 4611686018427387904 % 65536 AS BIGINT) AS high FROM next")

@@ -175,7 +175,11 @@ def load_wavefunction(spark: SparkSession, path: str, basis: DataFrame) -> DataF
 
 def load_product_wavefunction(spark: SparkSession, path: str, basis: DataFrame) -> DataFrame:
     """As above for (adet, bdet, c); saved duplicates add up."""
-    saved = spark.read.parquet(path).groupBy("adet", "bdet").agg(F.sum("c").alias("c"))
+    return product_on_basis(spark.read.parquet(path), basis)
+
+
+def product_on_basis(saved: DataFrame, basis: DataFrame) -> DataFrame:
+    saved = saved.groupBy("adet", "bdet").agg(F.sum("c").alias("c"))
     on_basis = basis.select("adet", "bdet").join(saved, ["adet", "bdet"], "left").na.fill({"c": 0.0})
     size = on_basis.agg(F.sqrt(F.sum(F.col("c") * F.col("c")))).first()[0]
     return on_basis.withColumn("c", F.col("c") / F.lit(size))
