@@ -8,6 +8,7 @@ import platform
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quorbit.functions import complex as X
 from quorbit.functions.bits import WORD_BITS
 from quorbit.operators import stat, summary
 from quorbit.operators.algebra import term_table
@@ -15,6 +16,7 @@ from quorbit.operators.elements import diagonal, operator_diagonal
 from quorbit.plans import diag
 from quorbit.sources import files
 from quorbit.sources import generate as G
+from quorbit.sources import records
 
 
 def parser() -> argparse.ArgumentParser:
@@ -27,6 +29,10 @@ def parser() -> argparse.ArgumentParser:
     solve.add_argument("--init", choices=diag.INITS, default="random", help="random start vectors, or one on the first state")
     solve.add_argument("--initial-determinant", help="0/1 text of the state to start from")
     solve.add_argument("--load", help="a saved wavefunction to start from")
+    solve.add_argument("--load-records", help="record files to start from, by their names' beginning; of the product form with tpb")
+    solve.add_argument("--load-complex", action="store_true", help="the coefficients of those records are complex")
+    solve.add_argument("--save-records", help="the beginning of the names of record files that the wavefunction is written to")
+    solve.add_argument("--word-bits", type=int, default=records.RECORD_BITS, help="bits of a word in record files")
     solve.add_argument("--numivec", type=int, default=1, help="start vectors, which is also how many a restart keeps")
     solve.add_argument("--carryover-type", choices=diag.CARRYOVERS, default="top")
     solve.add_argument("--carryover-ratio", type=float, help="share of the states that is carried over")
@@ -74,8 +80,24 @@ def _state(text: str | None) -> int | list[int] | None:
     return [value >> at & (1 << WORD_BITS) - 1 for at in range(0, len(text), WORD_BITS)]
 
 
-def _options(a: argparse.Namespace) -> diag.Options:
-    return diag.Options(a.method, a.tolerance, a.iteration, a.block, a.seed, a.max_time, a.rdm, a.carryover, a.threshold, a.heatbath_cutoff, a.init, _state(a.initial_determinant), a.load, a.numivec, a.carryover_type, a.carryover_ratio)
+def _saved(spark: SparkSession, a: argparse.Namespace, width: int, pairs: DataFrame | None = None) -> DataFrame | None:
+    """(det, c) of the record files to start from; with ``pairs`` of halves and their states, of those of the product form."""
+    if not a.load_records:
+        return None
+    if pairs is None:
+        return records.read_wave_records(spark, a.load_records, width, a.word_bits, is_complex=a.load_complex)
+    return records.read_wave_records(spark, a.load_records, width // 2, a.word_bits, True, a.load_complex).join(pairs, ["adet", "bdet"]).groupBy("det").agg(X.total("c", a.load_complex).alias("c"))
+
+
+def _save(wave: DataFrame, a: argparse.Namespace, width: int, pairs: DataFrame | None = None) -> None:
+    if a.save_records and pairs is None:
+        records.save_wave_records(wave, a.save_records, width, a.word_bits)
+    elif a.save_records:
+        records.save_product_records(wave.join(pairs, "det"), a.save_records, width // 2, a.word_bits)
+
+
+def _options(a: argparse.Namespace, saved: DataFrame | None) -> diag.Options:
+    return diag.Options(a.method, a.tolerance, a.iteration, a.block, a.seed, a.max_time, a.rdm, a.carryover, a.threshold, a.heatbath_cutoff, a.init, _state(a.initial_determinant), a.load, a.numivec, a.carryover_type, a.carryover_ratio, saved)
 
 
 def _report(result: diag.Result, out: str | None, width: int) -> dict:
@@ -123,15 +145,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     spark = spark or SparkSession.builder.appName("quorbit").getOrCreate()
     if a.command in ("tpb", "gdb"):
         ints = files.load_integrals(spark, a.fcidump)
+        width, pairs = 2 * ints.norb, None
         if a.command == "tpb":
             half = files.read_states(spark, a.dets, ints.norb, "adet")
-            found = diag.tensor(half, half.withColumnRenamed("adet", "bdet"), ints, _options(a))
+            other = half.withColumnRenamed("adet", "bdet")
+            pairs = G.product_states(half, other, ints.norb).select("adet", "bdet", "det")
+            found = diag.tensor(half, other, ints, _options(a, _saved(spark, a, width, pairs)))
         else:
-            found = diag.determinants(files.read_states(spark, a.dets, 2 * ints.norb), ints, _options(a))
-        out = _report(found, a.out, 2 * ints.norb)
+            found = diag.determinants(files.read_states(spark, a.dets, width), ints, _options(a, _saved(spark, a, width)))
+        _save(found.solution.vector, a, width, pairs)
+        out = _report(found, a.out, width)
     elif a.command == "caop":
         basis = files.read_shards(spark, a.basis, a.width) if len(a.basis) > 1 else files.read_states(spark, a.basis, a.width)
-        out = _report(diag.operators(spark, basis, files.read_operator(spark, a.hamiltonian), a.width, _options(a)), a.out, a.width)
+        found = diag.operators(spark, basis, files.read_operator(spark, a.hamiltonian), a.width, _options(a, _saved(spark, a, a.width)))
+        _save(found.solution.vector, a, a.width)
+        out = _report(found, a.out, a.width)
     elif a.command == "stat":
         wave = spark.read.parquet(a.wave).select("det", "c")
         stat.check_stat_wave(wave)

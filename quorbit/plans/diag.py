@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from quorbit.functions import bits as B
 from quorbit.operators import expand, observe, select
 from quorbit.operators.algebra import Operator, term_table
-from quorbit.operators.apply import start_vector
+from quorbit.operators.apply import normalized, start_vector
+from quorbit.operators.edges import match_checkpoint
 from quorbit.operators.elements import Integrals, integral_edges, operator_edges
 from quorbit.operators.product import ProductOperator
 from quorbit.operators.solve import Images, Solution, ground_state
@@ -43,6 +44,7 @@ class Options:
     vectors: int = 1
     carryover_type: str = "top"
     ratio: float | None = None
+    saved: DataFrame | None = None
 
     def __post_init__(self) -> None:
         for value, known in ((self.method, METHODS), (self.init, INITS), (self.carryover_type, CARRYOVERS)):
@@ -67,6 +69,8 @@ class Result:
 
 def _start(basis: DataFrame, o: Options) -> DataFrame | None:
     """The first start vector where the options name one: saved, on a given state, or on the first; else random ones are drawn."""
+    if o.saved is not None:
+        return normalized(match_checkpoint(basis, o.saved))
     if o.load:
         return load_wavefunction(basis.sparkSession, o.load, basis)
     if o.initial is not None:

@@ -8,6 +8,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from quorbit.__main__ import main
 from quorbit.functions import bits as B
 from quorbit.sources import records
 
@@ -119,3 +120,17 @@ def test_files_that_are_wrong(spark, tmp_path):
     with pytest.raises(Exception, match="a null is no"):
         records.save_wave_records(spark.createDataFrame([(1, None)], "det bigint, c double"), prefix, 12)
     assert [p.name for p in tmp_path.iterdir()] == ["w000000.bin"]
+
+
+@pytest.mark.parametrize("command", ["tpb", "caop"])
+def test_commands_start_from_records(spark, tmp_path, command):
+    """A run of one step from what another has saved has its level."""
+    path = lambda x: str(tmp_path / x)
+    (tmp_path / "dump").write_text("&FCI NORB=2,NELEC=2,\n&END\n 4.0 1 1 1 1\n 4.0 2 2 2 2\n -1.0 2 1 0 0\n")
+    (tmp_path / "ham").write_text("\n".join(["1", "1.0 sx 0 sx 1", "1.0 sy 0 sy 1", "0.7 sx 0 sy 1", "-0.7 sy 0 sx 1"]))
+    (tmp_path / "basis").write_text("01\n10\n")
+    model = ["--fcidump", path("dump"), "--dets", path("basis")] if command == "tpb" else ["--hamiltonian", path("ham"), "--basis", path("basis"), "--width", "2"]
+    run = lambda *x: main([command, *model, "--tolerance", "1e-7", "--word-bits", "1", *x], spark)["energy"]
+    level = run("--block", "4", "--save-records", path("wave"))
+    more = [] if command == "tpb" else ["--load-complex"]
+    assert run("--block", "1", "--load-records", path("wave"), *more) == pytest.approx(level, abs=1e-6)
