@@ -49,9 +49,13 @@ def normalized(x: DataFrame) -> DataFrame:
 
 def mult(edges: DataFrame, x: DataFrame) -> DataFrame:
     """H x: edges meet the vector on the ket, and sums go by bra; every state of x is in the result."""
-    joined = edges.join(x.select(F.col("det").alias("ket"), "c"), "ket")
-    value, of_complex = _product(joined, "h", "c")
-    found = joined.groupBy(F.col("bra").alias("det")).agg(X.total(value, of_complex).alias("hc"))
+    return gathered(edges.join(x.select(F.col("det").alias("ket"), "c"), "ket"), x)
+
+
+def gathered(edges: DataFrame, x: DataFrame) -> DataFrame:
+    """H x from edges that bring their ket's ``c``: sums by bra; every state of x is in the result."""
+    value, of_complex = _product(edges, "h", "c")
+    found = edges.groupBy(F.col("bra").alias("det")).agg(X.total(value, of_complex).alias("hc"))
     zero = X.make(F.lit(0.0), F.lit(0.0)) if of_complex else F.lit(0.0)
     return x.select("det").join(found, "det", "left").select("det", F.coalesce("hc", zero).alias("c"))
 

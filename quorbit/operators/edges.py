@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +11,18 @@ from quorbit.functions import bits as B
 from quorbit.functions import complex as X
 
 
-def hop_edges(basis: DataFrame, width: int) -> DataFrame:
-    """(bra, ket) one move apart, by generate and lookup: explode occupied x open sites, then an equi-join."""
+def hop_edges(basis: DataFrame, width: int, values: Sequence[str] = ()) -> DataFrame:
+    """(bra, ket, i, a) one move apart, and the ket's ``values``, by deletion keys.
+
+    Both states are the same without the site that the move empties or fills. So a
+    state sends a row for each occupied site, not for each move, and none for moves
+    that lead out of the basis; a key has no more states than there are sites.
+    """
     k = B.keys(basis)
-    moves = basis.select("det", F.explode(k.sites("det", width)).alias("i")).withColumn("a", F.explode(k.sites("det", width, 0)))
-    bra = k.flip("det", F.col("i"), F.col("a"))
-    made = moves.select(F.col("det").alias("ket"), bra.alias("bra"), "i", "a")
-    return made.join(basis.select(F.col("det").alias("bra")), "bra")
+    keyed = basis.select("det", *values, F.explode(k.sites("det", width)).alias("site")).withColumn("rest", k.flip("det", F.col("site")))
+    kets, bras = keyed.select("rest", F.col("site").alias("i"), *values), keyed.select("rest", F.col("site").alias("a"))
+    made = kets.join(bras.hint("merge"), "rest")  # not by broadcast: its estimate knows nothing of how many keys a state has
+    return made.filter("i <> a").select(k.flip("rest", F.col("a")).alias("bra"), k.flip("rest", F.col("i")).alias("ket"), "i", "a", *values)
 
 
 def hamming_edges(basis: DataFrame, distances: tuple[int, ...] = (2, 4)) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from quorbit.functions import complex as X
 from quorbit.functions.exact import exact_sums
 from quorbit.operators.apply import start_vector
+from quorbit.operators.edges import hop_edges
 from quorbit.session import cut, cut_by
 
 
@@ -52,6 +53,21 @@ def stored(edges: DataFrame) -> Images:
     return images
 
 
+def hopping(width: int, h: Column, diagonal: Column) -> Images:
+    """The operator of moves with elements ``h`` (of i, a and ket), and of a ``diagonal`` (of det); symmetric if these are.
+
+    Its edges are made from deletion keys in each step and summed by bra where they are
+    made, so none is stored or shuffled: a step sends rows for states and their occupied sites.
+    """
+
+    def images(kets: DataFrame, values: list[str]) -> DataFrame:
+        moved = hop_edges(kets, width, values).select(F.col("bra").alias("det"), *[(h * F.col(v)).alias(v) for v in values])
+        stayed = kets.select("det", *[(diagonal * F.col(v)).alias(v) for v in values])
+        return moved.unionByName(stayed).groupBy("det").agg(*[F.sum(v).alias(v) for v in values])
+
+    return images
+
+
 def _mix(column: str, weights: list[float]) -> Column:
     total = F.lit(0.0)
     for k, w in enumerate(weights):

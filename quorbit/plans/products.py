@@ -5,7 +5,7 @@ Halves, states and weights come from line items; larger tables reach more of the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorbit.operators import apply as A
@@ -84,7 +84,7 @@ def gen_labelled_moves(spark, d):  # noqa: ANN001, ANN201
 @query("apply_mult_grown", _GROWN + ", y AS (SELECT bra, sum(c) AS y FROM edges GROUP BY bra) SELECT b.det, CAST(coalesce(y.y, 0) AS DOUBLE) AS c FROM basis b LEFT JOIN y ON y.bra = b.det")
 def apply_mult_grown(spark, d):  # noqa: ANN001, ANN201
     own = cut(basis(spark, d, 24).withColumn("c", F.col("c").cast("double")))
-    return A.mult(J.hop_edges(own, 24).withColumn("h", F.lit(1.0)), own)
+    return A.gathered(J.hop_edges(own, 24, ["c"]).withColumn("h", F.lit(1.0)), own)
 
 
 # -- two steps of the solvers, whose energies follow from moments ---------------------------
@@ -100,11 +100,10 @@ _LOWER = (
 )
 
 
-def _bonds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The states with their weights, and hops of one with diagonal elements of -(det % 5)."""
-    own = cut(basis(spark, d, 24).withColumn("c", F.col("c").cast("double")))
-    same = own.select(F.col("det").alias("bra"), F.col("det").alias("ket"), (-(F.col("det") % 5)).cast("double").alias("h"))
-    return own, cut(J.hop_edges(own, 24).select("bra", "ket", F.lit(1.0).alias("h")).unionByName(same))
+def _bonds(spark: SparkSession, d: str) -> tuple[DataFrame, Column, solve.Images]:
+    """The states with their weights, diagonal elements of -(det % 5), and the operator of these and hops of one."""
+    own, diagonal = cut(basis(spark, d, 24).withColumn("c", F.col("c").cast("double"))), (-(F.col("det") % 5)).cast("double")
+    return own, diagonal, solve.hopping(24, F.lit(1.0), diagonal)
 
 
 @query(
@@ -113,8 +112,8 @@ def _bonds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 )
 def solve_lanczos_steps(spark, d):  # noqa: ANN001, ANN201
     """Two steps from the states' weights."""
-    own, edges = _bonds(spark, d)
-    found = solve.lanczos(edges, own, most=2)
+    own, _, images = _bonds(spark, d)
+    found = solve.lanczos(images, own, most=2)
     return spark.createDataFrame([(round(found.energy, 6),)], "energy double")
 
 
@@ -125,7 +124,6 @@ def solve_lanczos_steps(spark, d):  # noqa: ANN001, ANN201
 )
 def solve_davidson_steps(spark, d):  # noqa: ANN001, ANN201
     """A start vector and one preconditioned residual."""
-    own, edges = _bonds(spark, d)
-    diagonal = own.select("det", (-(F.col("det") % 5)).cast("double").alias("h"))
-    found = solve.davidson(edges, diagonal, own, eps=0.0, block=2)
+    own, diagonal, images = _bonds(spark, d)
+    found = solve.davidson(images, own.select("det", diagonal.alias("h")), own, eps=0.0, block=2)
     return spark.createDataFrame([(round(found.energy, 6),)], "energy double")

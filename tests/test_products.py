@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 
 import numpy as np
@@ -216,3 +217,47 @@ def test_options_change_results(spark, tmp_path):
     assert count() == 5
     assert kept("--carryover-ratio", "0.25", "--carryover-type", "random") > top and count() == 5
     assert 0 < kept("--carryover-type", "threshold", "--threshold", "0.05") < 1 and 0 < count() < 20
+
+
+def _states(sites, occupied):
+    return [sum(1 << i for i in at) for at in itertools.combinations(range(sites), occupied)]
+
+
+def _shuffled(spark, act):
+    """What ``act`` gives, and how many rows it wrote to shuffles."""
+    context, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+
+    def rows():
+        context.listenerBus().waitUntilEmpty()
+        no = spark.sparkContext._gateway.new_array(jvm.double, 0)
+        stages = context.statusStore().stageList(jvm.java.util.ArrayList(), False, False, no, jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = rows()
+    return act(), rows() - before
+
+
+def test_moves_are_not_shuffled(spark):
+    """252 states have 6,300 moves; but they send a row for each of five occupied sites, twice, and partial sums."""
+    own = cut(spark.createDataFrame([(s, float(s % 7)) for s in _states(10, 5)], "det long, c double"))
+    count, sent = _shuffled(spark, lambda: edges.hop_edges(own, 10).filter("i <> a and bra <> ket").count())
+    assert count == 6300 and sent <= 2 * 5 * 252 + 100
+    images = solve.hopping(10, F.lit(1.0), F.lit(0.0))
+    found, sent = _shuffled(spark, lambda: {r["det"]: r["c"] for r in images(own, ["c"]).collect()})
+    assert found == {a: sum(float(b % 7) for b in _states(10, 5) if (a ^ b).bit_count() == 2) for a in _states(10, 5)}
+    assert sent <= 3 * 5 * 252 + 252
+
+
+def test_hopping_is_the_operator_of_its_edges(spark):
+    """Elements and a diagonal by site, a basis with gaps, several vectors, wide states as narrow ones."""
+    held = [s for s in _states(8, 3) if s % 5]
+    h, diagonal = (F.col("i") + F.col("a") + 1).cast("double"), F.lit(3.0)
+    frame = cut(spark.createDataFrame([(s, float(s % 11), float(s % 3)) for s in held], "det long, c double, d double"))
+    dealt = edges.hop_edges(frame, 8).select("bra", "ket", h.alias("h")).unionByName(frame.select(F.col("det").alias("bra"), F.col("det").alias("ket"), diagonal.alias("h")))
+    want = {r["det"]: (r["c"], r["d"]) for r in solve.stored(dealt)(frame, ["c", "d"]).collect()}
+    assert {r["det"]: (r["c"], r["d"]) for r in solve.hopping(8, h, diagonal)(frame, ["c", "d"]).collect()} == want
+    wide = frame.select(F.array("det", F.lit(0).cast("long")).alias("det"), "c", "d")
+    assert {r["det"][0]: (r["c"], r["d"]) for r in solve.hopping(8, h, diagonal)(wide, ["c", "d"]).collect()} == want
+    with_c = edges.hop_edges(frame, 8, ["c"]).withColumn("h", h)
+    plain = apply.mult(with_c.drop("c"), frame)
+    assert sorted(map(tuple, apply.gathered(with_c, frame).collect())) == sorted(map(tuple, plain.collect()))
