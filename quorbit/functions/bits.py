@@ -92,6 +92,14 @@ def sites(det: Column | str, width: int, value: int = 1) -> Column:
     return F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.getbit(det, i) == value)
 
 
+def few_sites(det: Column | str, width: int) -> Column:
+    """As ``sites`` of occupied ones, without a look at each site where two are occupied at most."""
+    held = col(det).bitwiseAND(F.lit((1 << width) - 1))
+    lowest, rest = lambda x: F.bit_count(x.bitwiseAND(-x) - 1), held.bitwiseAND(held - 1)
+    count = F.bit_count(held)
+    return F.when(count == 1, F.array(lowest(held))).when(count == 2, F.array(lowest(held), lowest(rest))).otherwise(sites(det, width))
+
+
 def hamming(a: Column | str, b: Column | str) -> Column:
     return F.bit_count(col(a).bitwiseXOR(col(b)))
 
@@ -129,6 +137,9 @@ class Narrow:
     def sites(self, det: Column | str, width: int | None = None, value: int = 1) -> Column:
         return sites(det, width or WORD_BITS, value)
 
+    def few_sites(self, det: Column | str, width: int) -> Column:
+        return few_sites(det, width)
+
     def has(self, det: Column | str, site: Column) -> Column:
         return F.getbit(col(det), site) == 1
 
@@ -173,6 +184,9 @@ class Wide(Narrow):
         last = F.size(det) * WORD_BITS - 1 if width is None else F.lit(width - 1)
         return F.filter(F.sequence(F.lit(0), last), lambda i: F.getbit(F.get(det, F.floor(i / WORD_BITS).cast("int")), i % WORD_BITS) == value)
 
+    def few_sites(self, det: Column | str, width: int) -> Column:
+        return self.sites(det, width)
+
     def has(self, det: Column | str, site: Column) -> Column:
         return F.getbit(F.get(col(det), F.floor(site / WORD_BITS).cast("int")), site % WORD_BITS) == 1
 

@@ -42,7 +42,8 @@ def hamming_edges(basis: DataFrame, distances: tuple[int, ...] = (2, 4)) -> Data
                 keyed = keyed.withColumn("site", F.explode(k.sites("rest"))).filter("site < last")
                 keyed = keyed.withColumn("rest", k.flip("rest", F.col("site"))).withColumn("last", F.col("site")).drop("site")
             a, b = keyed.select(F.col("det").alias("bra"), "rest"), keyed.select(F.col("det").alias("ket"), "rest")
-            made = a.join(b, "rest").filter(k.differ("bra", "ket") == d).select("bra", "ket", F.lit(d).alias("distance"))
+            met = a.join(b.hint("merge"), "rest")  # not by broadcast: its estimate knows nothing of how many keys a state has
+            made = met.filter(k.differ("bra", "ket") == d).select("bra", "ket", F.lit(d).alias("distance"))
         out = made if out is None else out.unionByName(made)
     return out
 
@@ -50,7 +51,7 @@ def hamming_edges(basis: DataFrame, distances: tuple[int, ...] = (2, 4)) -> Data
 def labelled(pairs: DataFrame, width: int) -> DataFrame:
     """Pairs of bra and ket with ``created`` and ``annihilated``: the sites that the bra has and the ket has not, and the other way round, ascending."""
     k = B.keys(pairs, "bra")
-    only = lambda a, b: k.sites(k.minus(F.col(a), F.col(b)), width)
+    only = lambda a, b: k.few_sites(k.minus(F.col(a), F.col(b)), width)
     return pairs.withColumn("created", only("bra", "ket")).withColumn("annihilated", only("ket", "bra"))
 
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorbit.__main__ import main
+from quorbit.functions import bits as B
 from quorbit.operators import algebra as A
 from quorbit.operators import apply, edges, elements, expand, solve
 from quorbit.operators.product import ProductOperator
@@ -261,3 +262,19 @@ def test_hopping_is_the_operator_of_its_edges(spark):
     with_c = edges.hop_edges(frame, 8, ["c"]).withColumn("h", h)
     plain = apply.mult(with_c.drop("c"), frame)
     assert sorted(map(tuple, apply.gathered(with_c, frame).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_keys_of_states_are_not_broadcast(spark):
+    """A plan guesses the rows of keys from those of states, of which each has many."""
+    own = spark.range(1 << 10).select(F.col("id").alias("det")).filter("bit_count(det) = 5")
+    for made in (edges.hamming_edges(own, (2, 4)), edges.labelled(edges.hamming_edges(own, (2,)), 10)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_sites_are_all_sites(spark):
+    masks = [0, 1, 3, 5, 7, 1 << 61, (1 << 61) | 1, (1 << 62) - 1, 0b1011 << 20, 1 << 30, -1]
+    frame = spark.createDataFrame([(m,) for m in masks], "m long")
+    for width in (1, 24, 62):
+        assert all(a == b for a, b in frame.select(B.few_sites("m", width), B.sites("m", width)).collect())
+    plain = lambda c: frame.select(c).schema[0].dataType.elementType
+    assert plain(B.few_sites("m", 24)) == plain(B.sites("m", 24))
